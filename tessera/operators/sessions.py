@@ -71,6 +71,20 @@ def bucket_summary(df: DataFrame, key: str, time_col: str, gap: float, bucket: f
             .drop("_prev_max"))
 
 
+def _session_attrs(summ: DataFrame, key: str, session_cols: list[str]) -> DataFrame:
+    """Add ``list_size`` and ``first_<c>`` of each session to the bucket summary.
+
+    Windows over (key, session_no): the summary is already hash-partitioned by key,
+    which satisfies that clustering, so this adds a sort, not a shuffle.
+    """
+    ws = Window.partitionBy(key, "session_no")
+    wo = ws.orderBy("_b").rowsBetween(_UNB, Window.unboundedFollowing)
+    out = summ.withColumn("list_size", F.sum("_n").over(ws).cast("int"))
+    for c in session_cols:
+        out = out.withColumn(f"first_{c}", F.first(f"first_{c}").over(wo))
+    return out
+
+
 def sessionize(df: DataFrame, key: str, time_col: str, gap: float,
                bucket: float | None = None, tiebreak: Iterable[str] = (),
                session_cols: Iterable[str] = ()) -> DataFrame:
@@ -79,33 +93,30 @@ def sessionize(df: DataFrame, key: str, time_col: str, gap: float,
     ``c`` on the session's first event, e.g. the session class of D9).
 
     ``bucket`` (same unit as ``time_col``, at most ``gap``) bounds the rows that share
-    one window partition; default ``gap``.
+    one window partition; default ``gap``.  The event table is shuffled once, by
+    (key, bucket); the bookkeeping runs on the per-bucket summary.
     """
     bucket = gap if bucket is None else bucket
     tiebreak = list(tiebreak)
     session_cols = list(session_cols)
     summ = bucket_summary(df, key, time_col, gap, bucket, tiebreak, session_cols)
-    # session attributes from the (small) bucket table: size and first-event values
-    sess = (summ.groupBy(key, "session_no")
-            .agg(F.sum("_n").alias("list_size"),
-                 *[F.min_by(f"first_{c}", "_b").alias(f"first_{c}") for c in session_cols]))
-    summ = summ.select(key, "_b", "session_no", "rows_before", "start_pos").join(
-        sess, [key, "session_no"])
+    summ = _session_attrs(summ, key, session_cols).select(
+        key, "_b", "session_no", "rows_before", "start_pos", "list_size",
+        *[f"first_{c}" for c in session_cols])
     x = df.withColumn("_b", F.floor(F.col(time_col) / F.lit(bucket)).cast("long"))
     x = x.join(summ, [key, "_b"])
     wb = Window.partitionBy(key, "_b").orderBy(*_order_cols(time_col, tiebreak))
     x = x.withColumn("pos", (F.col("rows_before") + F.row_number().over(wb) - 1
                              - F.col("start_pos")).cast("int"))
-    return x.drop("_b", "rows_before", "start_pos").withColumn(
-        "list_size", F.col("list_size").cast("int"))
+    return x.drop("_b", "rows_before", "start_pos")
 
 
 def session_table(df: DataFrame, key: str, time_col: str, gap: float,
                   bucket: float | None = None, tiebreak: Iterable[str] = (),
                   session_cols: Iterable[str] = ()) -> DataFrame:
     """One row per session (key, session_no, list_size, start/end time, first values),
-    computed from the bucket summary alone: the event table is read once and never
-    shuffled."""
+    computed from the bucket summary alone: the event table is read once and only its
+    per-bucket partial aggregates are shuffled."""
     bucket = gap if bucket is None else bucket
     session_cols = list(session_cols)
     summ = bucket_summary(df, key, time_col, gap, bucket, tiebreak, session_cols)

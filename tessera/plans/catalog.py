@@ -4,3 +4,4 @@ from tessera.plans import q_sessions  # noqa: F401
 from tessera.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
+from tessera.plans import q_prep  # noqa: F401,E402
