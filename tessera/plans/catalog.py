@@ -5,3 +5,4 @@ from tessera.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
 from tessera.plans import q_prep  # noqa: F401,E402
+from tessera.plans import q_samples  # noqa: F401,E402

@@ -35,3 +35,63 @@ adj AS (SELECT a.graph_id, a.node AS i, b.node AS j, SUM(1.0 / a.de) AS w
         FROM memb_d a JOIN memb_d b
           ON a.graph_id = b.graph_id AND a.geek_id = b.geek_id AND a.session_no = b.session_no
         GROUP BY 1, 2, 3)"""
+
+# Leave-one-session-out samples, the direct (O(b²)) way: every sample re-builds both
+# class hypergraphs from all long sessions of its class with its own target cut.
+_J = "x.sg = y.sg AND x.ss = y.ss"
+SAMPLES = SESS + f""",
+long_s AS (SELECT first_person_class AS graph_id, geek_id, session_no, pos, list_size,
+                  job_class AS node FROM sess WHERE list_size > {P.list_cnt}),
+samples AS (SELECT graph_id, geek_id AS sg, session_no AS ss, list_size - {P.top_k} AS cut_len
+            FROM long_s WHERE pos = 0),
+sv AS (SELECT s.sg, s.ss, s.graph_id, l.geek_id, l.session_no, l.pos, l.node
+       FROM samples s JOIN long_s l ON l.graph_id = s.graph_id
+       WHERE NOT (l.geek_id = s.sg AND l.session_no = s.ss AND l.pos >= s.cut_len)),
+m1 AS (SELECT DISTINCT sg, ss, graph_id, geek_id, session_no, node FROM sv),
+m1d AS (SELECT *, COUNT(*) OVER (PARTITION BY sg, ss, geek_id, session_no) AS de FROM m1),
+a1 AS (SELECT x.sg, x.ss, x.graph_id, x.node AS i, y.node AS j, SUM(1.0 / x.de) AS w
+       FROM m1d x JOIN m1d y ON {_J} AND x.geek_id = y.geek_id AND x.session_no = y.session_no
+       GROUP BY 1, 2, 3, 4, 5),
+dv1 AS (SELECT sg, ss, node AS i, COUNT(*) AS dv FROM m1 GROUP BY 1, 2, 3),
+pr AS (SELECT sg, ss, graph_id, node AS src,
+              LEAD(node) OVER (PARTITION BY sg, ss, geek_id, session_no ORDER BY pos) AS dst
+       FROM sv),
+m2 AS (SELECT DISTINCT sg, ss, graph_id, src, dst AS node FROM pr WHERE dst IS NOT NULL),
+m2d AS (SELECT *, COUNT(*) OVER (PARTITION BY sg, ss, src) AS de FROM m2),
+a2 AS (SELECT x.sg, x.ss, x.graph_id, x.node AS i, y.node AS j, SUM(1.0 / x.de) AS w
+       FROM m2d x JOIN m2d y ON {_J} AND x.src = y.src GROUP BY 1, 2, 3, 4, 5),
+dv2 AS (SELECT sg, ss, node AS i, COUNT(*) AS dv FROM m2 GROUP BY 1, 2, 3),
+hist AS (SELECT DISTINCT sg, ss, node AS i FROM sv WHERE geek_id = sg AND session_no = ss),
+sc AS (SELECT h.sg, h.ss, a.j, a.w / d.dv AS s FROM hist h
+         JOIN a1 a ON a.sg = h.sg AND a.ss = h.ss AND a.i = h.i
+         JOIN dv1 d ON d.sg = h.sg AND d.ss = h.ss AND d.i = h.i
+       UNION ALL
+       SELECT h.sg, h.ss, a.j, a.w / d.dv FROM hist h
+         JOIN a2 a ON a.sg = h.sg AND a.ss = h.ss AND a.i = h.i
+         JOIN dv2 d ON d.sg = h.sg AND d.ss = h.ss AND d.i = h.i),
+tot AS (SELECT sg, ss, j, SUM(s) AS score FROM sc GROUP BY 1, 2, 3),
+ranked AS (SELECT sg, ss, j, ROUND(score, 6) AS score,
+                  ROW_NUMBER() OVER (PARTITION BY sg, ss ORDER BY ROUND(score, 6) DESC, j) AS rk
+           FROM tot),
+rec AS (SELECT sg, ss, j AS item, CAST(rk AS INTEGER) AS rk, score FROM ranked
+        WHERE rk <= {P.top_k}),
+lab AS (SELECT geek_id AS sg, session_no AS ss, list(node ORDER BY pos) AS label FROM long_s
+        WHERE pos >= list_size - {P.top_k} GROUP BY 1, 2),
+ex AS (SELECT l.sg, l.ss, l.label, r.item, r.rk,
+              CASE WHEN list_contains(l.label, r.item) THEN 1 ELSE 0 END AS h
+       FROM lab l LEFT JOIN rec r ON r.sg = l.sg AND r.ss = l.ss),
+ex2 AS (SELECT *, SUM(h) OVER (PARTITION BY sg, ss ORDER BY rk) AS ch FROM ex),
+per AS (SELECT sg, ss, any_value(label) AS label, SUM(h) AS nh, COUNT(item) AS nrec,
+               SUM(CASE WHEN h = 1 THEN ch * 1.0 / rk ELSE 0 END) AS ap_num,
+               MIN(CASE WHEN h = 1 THEN rk END) AS first_hit,
+               SUM(CASE WHEN h = 1 THEN 1.0 / log2(rk + 1) ELSE 0 END) AS dcg
+        FROM ex2 GROUP BY 1, 2),
+per2 AS (SELECT *, nh * 1.0 / nrec AS p, nh * 1.0 / len(label) AS r,
+                list_sum(list_transform(range(1, len(label) + 1), lambda i: 1.0 / log2(i + 1))) AS ideal
+         FROM per),
+met AS (SELECT sg AS geek_id, ss AS session_no, nh > 0 AS hit,
+               ap_num / LEAST(len(label), nrec) AS ap, p AS precision, r AS recall,
+               CASE WHEN p + r = 0 THEN 0.0 ELSE 2.0 * p * r / (p + r) END AS f1,
+               CASE WHEN first_hit IS NULL THEN 0.0 ELSE 1.0 / first_hit END AS rr,
+               dcg, CASE WHEN ideal = 0 THEN 0.0 ELSE dcg / ideal END AS ndcg
+        FROM per2)"""

@@ -49,3 +49,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="tessera-ckpt-")
     sc.setCheckpointDir(configured)
     return configured
+
+
+def materialize(df, eager: bool = True):
+    """Cut the lineage of a table that several branches of a plan read.
+
+    A reliable ``checkpoint`` writes the rows once to the shared folder of
+    ``spark.checkpoint.dir``, so later stages read them back instead of recomputing the
+    whole upstream plan, and a lost executor does not force a recompute either.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=eager)
