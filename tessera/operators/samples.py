@@ -135,10 +135,14 @@ def sample_adjacency(header: DataFrame, class_adj: DataFrame, delta: DataFrame,
     ``rows`` (sample, i) restricts the result to those rows (e.g. the history items)
     before the class rows are copied per sample.  Output (sample, graph_id, i, j, w).
     """
-    base = header.select(*SAMPLE, "graph_id").join(class_adj, "graph_id")
+    keys = header.select(*SAMPLE, "graph_id")
     d = delta
-    if rows is not None:
-        base = base.join(rows, [*SAMPLE, "i"], "left_semi")
+    if rows is None:
+        base = keys.join(class_adj, "graph_id")
+    else:
+        # only the requested rows of each sample: join them to the class rows on
+        # (graph_id, i), |rows| x n_nodes instead of n_nodes² rows per sample
+        base = rows.join(keys, SAMPLE).join(class_adj, ["graph_id", "i"])
         d = d.join(rows, [*SAMPLE, "i"], "left_semi")
     d = d.join(header.select(*SAMPLE, "graph_id"), SAMPLE)
     return (base.select(*SAMPLE, "graph_id", "i", "j", "w")

@@ -95,3 +95,19 @@ met AS (SELECT sg AS geek_id, ss AS session_no, nh > 0 AS hit,
                CASE WHEN first_hit IS NULL THEN 0.0 ELSE 1.0 / first_hit END AS rr,
                dcg, CASE WHEN ideal = 0 THEN 0.0 ELSE dcg / ideal END AS ndcg
         FROM per2)"""
+
+# Test graphs: UG = class adjacency (undirected, weighted, diagonal kept);
+# DG = successor pair counts per class (directed); N = k_job nodes per graph.
+UG = ADJ + f""",
+ug AS (SELECT graph_id, i AS src, j AS dst, w FROM adj),
+nodes AS (SELECT g.graph_id, CAST(r.range AS INTEGER) AS node
+          FROM (SELECT DISTINCT graph_id FROM ug) g, range({P.k_job}) r)"""
+
+DG = SESS + f""",
+pp AS (SELECT first_person_class AS graph_id, geek_id, session_no, job_class AS src,
+         LEAD(job_class) OVER (PARTITION BY geek_id, session_no ORDER BY pos) AS dst FROM sess),
+dg AS (SELECT graph_id, src, dst, CAST(COUNT(*) AS DOUBLE) AS w FROM
+         (SELECT DISTINCT graph_id, geek_id, session_no, src, dst FROM pp WHERE dst IS NOT NULL)
+       GROUP BY 1, 2, 3),
+dnodes AS (SELECT g.graph_id, CAST(r.range AS INTEGER) AS node
+           FROM (SELECT DISTINCT graph_id FROM dg) g, range({P.k_job}) r)"""
