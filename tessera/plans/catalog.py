@@ -7,3 +7,4 @@ __all__ = ["QUERIES", "ORACLE"]
 from tessera.plans import q_prep  # noqa: F401,E402
 from tessera.plans import q_samples  # noqa: F401,E402
 from tessera.plans import q_graph  # noqa: F401,E402
+from tessera.plans import q_spectral  # noqa: F401,E402

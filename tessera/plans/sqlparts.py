@@ -111,3 +111,52 @@ dg AS (SELECT graph_id, src, dst, CAST(COUNT(*) AS DOUBLE) AS w FROM
        GROUP BY 1, 2, 3),
 dnodes AS (SELECT g.graph_id, CAST(r.range AS INTEGER) AS node
            FROM (SELECT DISTINCT graph_id FROM dg) g, range({P.k_job}) r)"""
+
+# Combinatorial Laplacian of UG, weighted degrees and the bound lmax (2·max dw).
+LAP = UG + """,
+lap AS (SELECT graph_id, i, j, SUM(v) AS v FROM
+          (SELECT graph_id, src AS i, dst AS j, -w AS v FROM ug
+           UNION ALL SELECT graph_id, src, src, SUM(w) FROM ug GROUP BY 1, 2)
+        GROUP BY 1, 2, 3 HAVING abs(SUM(v)) > 1e-12),
+dwt AS (SELECT n.graph_id, n.node, COALESCE(SUM(u.w), 0) AS dw FROM nodes n
+        LEFT JOIN ug u ON u.graph_id = n.graph_id AND u.src = n.node GROUP BY 1, 2),
+gl AS (SELECT graph_id, 2.0 * MAX(dw) AS lmax, (2.0 * MAX(dw) + 1e-5) / 2 AS a FROM dwt
+       GROUP BY 1)"""
+
+
+def heat_coeff_sql(taus, m, name="cf"):
+    """K5 for the heat kernel in SQL: (graph_id, filter, k, c) per graph of gl."""
+    n = m + 1
+    vals = ", ".join(f"({i}, {float(t)!r})" for i, t in enumerate(taus))
+    return f"""{name} AS (SELECT g.graph_id, f.filter, CAST(k.range AS INTEGER) AS k,
+  2.0 / {n} * SUM(exp(-f.t * (g.lmax / 2 * cos(pi() * (q.range + 0.5) / {n}) + g.lmax / 2) / g.lmax)
+                  * cos(pi() * k.range * (q.range + 0.5) / {n})) AS c
+  FROM gl g, (VALUES {vals}) f(filter, t), range({m + 1}) k, range({n}) q GROUP BY 1, 2, 3)"""
+
+
+def cheby_terms_sql(signal, order, keys=("signal",), prefix="t", a_expr="g.a"):
+    """Chebyshev terms T0..T_order of the scaled Laplacian on a signal CTE
+    (graph_id, node, *keys, val); CTE names {prefix}0..{prefix}{order}."""
+    ks = "".join(f", {k}" for k in keys)
+    tks = "".join(f", t.{k}" for k in keys)
+    grp = ", ".join(str(i) for i in range(1, 3 + len(keys)))
+    out = [f"{prefix}0 AS (SELECT graph_id, node{ks}, val FROM {signal})"]
+    for k in range(1, order + 1):
+        scale = 1.0 if k == 1 else 2.0
+        old = "" if k == 1 else f" UNION ALL SELECT graph_id, node{ks}, -val FROM {prefix}{k - 2}"
+        out.append(f"""{prefix}{k} AS (SELECT graph_id, node{ks}, SUM(val) AS val FROM (
+  SELECT l.graph_id, l.i AS node{tks}, {scale} * l.v / {a_expr} * t.val AS val FROM lap l
+    JOIN {prefix}{k - 1} t ON t.graph_id = l.graph_id AND t.node = l.j
+    JOIN gl g ON g.graph_id = l.graph_id
+  UNION ALL SELECT graph_id, node{ks}, -{scale} * val FROM {prefix}{k - 1}{old}) GROUP BY {grp})""")
+    return ",\n".join(out)
+
+
+def cheby_combine_sql(order, coeff="cf", keys=("signal",), prefix="t", name="r"):
+    """r_f = ½ c_f0 T0 + Σ_k c_fk T_k per filter."""
+    ks = "".join(f", t.{k}" for k in keys)
+    terms = " UNION ALL ".join(f"SELECT {k} AS k, * FROM {prefix}{k}" for k in range(order + 1))
+    grp = ", ".join(str(i) for i in range(1, 4 + len(keys)))
+    return f"""{name} AS (SELECT t.graph_id, t.node{ks}, c.filter,
+  SUM(CASE WHEN c.k = 0 THEN 0.5 ELSE 1.0 END * c.c * t.val) AS val
+  FROM ({terms}) t JOIN {coeff} c ON c.graph_id = t.graph_id AND c.k = t.k GROUP BY {grp})"""
