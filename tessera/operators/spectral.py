@@ -88,8 +88,7 @@ def _shift(x: DataFrame, factor: float | Column, keys: list[str]) -> DataFrame:
 
 
 def cheby_terms(lap: DataFrame, signal: DataFrame, graphs: DataFrame, order: int,
-                lmax: str = "lmax", pad: float = 1e-5, keys: tuple[str, ...] = ("signal",),
-                checkpoint_every: int = 4):
+                lmax: str = "lmax", pad: float = 1e-5, keys: tuple[str, ...] = ("signal",)):
     """Chebyshev terms T0..T_order of the scaled Laplacian applied to ``signal``
     (graph_id, node, *keys, val): a1 = a2 = (lmax + pad)/2,
     T1 = (L s - a2 s)/a1, Tk = 2/a1 (L - a2 I) T(k-1) - T(k-2).
@@ -109,17 +108,18 @@ def cheby_terms(lap: DataFrame, signal: DataFrame, graphs: DataFrame, order: int
             parts = parts.unionByName(_shift(t_old, F.lit(-1.0), keys))
         return parts.groupBy(G, "node", *keys).agg(F.sum("val").alias("val"))
 
-    t0 = signal.select(G, "node", *keys, "val")
+    # T_k reads T_(k-1) and T_(k-2): as plain lineage the plan tree would grow like the
+    # Fibonacci numbers.  Each term is checkpointed (reliably, to the shared folder), so
+    # every term is a leaf for the next ones and the plans stay small.
+    t0 = materialize(signal.select(G, "node", *keys, "val"))
     yield 0, t0
     if order < 1:
         return
-    t1 = step(t0, 1.0, None)
+    t1 = materialize(step(t0, 1.0, None))
     yield 1, t1
     old, cur = t0, t1
     for k in range(2, order + 1):
-        new = step(cur, 2.0, old)
-        if k % checkpoint_every == 0:
-            new = materialize(new)
+        new = materialize(step(cur, 2.0, old))
         yield k, new
         old, cur = cur, new
 
