@@ -74,3 +74,34 @@ def report(per_sample: DataFrame) -> DataFrame:
         F.avg("rr").alias("mrr"), F.avg("ap").alias("map"),
         F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
         F.avg("f1").alias("f1"), F.avg("ndcg").alias("ndcg"))
+
+
+def wavelet_conv(phi: DataFrame, phi_inv: DataFrame, features: DataFrame, weights: DataFrame,
+                 theta: DataFrame, keys: tuple[str, ...] = ("graph_id",)) -> DataFrame:
+    """One hypergraph wavelet layer with given parameters,
+    ``out = Φ · diag(θ) · Φ⁻¹ · (X · W)``, evaluated right to left as three sparse
+    products (never an n³ product):
+
+    * ``phi`` / ``phi_inv``: (*keys, i, j, val) wavelet matrices of each graph,
+    * ``features``: (node, f, x) node features X (shared by all graphs),
+    * ``weights``: (f, o, w) the weight matrix W,
+    * ``theta``: (node, theta) the diagonal filter.
+    Output (*keys, node, o, val).
+    """
+    keys = list(keys)
+    xw = (features.join(weights, "f").groupBy("node", "o")
+          .agg(F.sum(F.col("x") * F.col("w")).alias("y")))
+    z = (phi_inv.join(xw.withColumnRenamed("node", "j"), "j")
+         .groupBy(*keys, F.col("i").alias("k"), "o").agg(F.sum(F.col("val") * F.col("y")).alias("z")))
+    z = z.join(theta.withColumnRenamed("node", "k"), "k").withColumn("z", F.col("z") * F.col("theta"))
+    return (phi.join(z.withColumnRenamed("k", "j"), [*keys, "j"])
+            .groupBy(*keys, F.col("i").alias("node"), "o")
+            .agg(F.sum(F.col("val") * F.col("z")).alias("val")))
+
+
+def fuse_views(*outs: DataFrame, keys: tuple[str, ...] = ("graph_id",)) -> DataFrame:
+    """R2: the layer outputs of the views summed per (graph, node, o)."""
+    u = outs[0]
+    for o in outs[1:]:
+        u = u.unionByName(o)
+    return u.groupBy(*keys, "node", "o").agg(F.sum("val").alias("val"))

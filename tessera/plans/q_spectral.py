@@ -255,3 +255,98 @@ def k4_k9_exact_filter(spark, sf):
     ex = sp.exact_filter(spec, s, graphs, TAUS)
     norms = sp.kernel_norms(spec, graphs, TAUS)
     return ex.join(norms, ["graph_id", "filter"])
+
+
+# ---------------------------------------------------------------- wavelet layer
+from tessera.operators import hypergraph as hg  # noqa: E402
+from tessera.operators import recommend as rc  # noqa: E402
+from tessera.operators import sessions as ss  # noqa: E402
+from tessera.plans.common import sessions_long, td  # noqa: E402
+from tessera.plans.sqlparts import TWO_VIEWS, P as _P  # noqa: E402
+
+_LAYER_SQL = """xe AS (SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS node,
+  COUNT(*) * 1.0 AS c, AVG(value) AS v, COUNT(DISTINCT user_id) * 1.0 AS u FROM events GROUP BY 1),
+x AS (SELECT node, 0 AS f, c AS x FROM xe UNION ALL SELECT node, 1, v FROM xe
+      UNION ALL SELECT node, 2, u FROM xe),
+wt AS (SELECT f.range AS f, o.range AS o, cos(f.range + 2 * o.range) / (1 + f.range) AS w
+       FROM range(3) f, range(4) o),
+th AS (SELECT range AS node, 1 + ((range % 5) - 2) / 20.0 AS theta FROM range({k})),
+xw AS (SELECT x.node, wt.o, SUM(x.x * wt.w) AS y FROM x JOIN wt USING (f) GROUP BY 1, 2),
+z AS (SELECT p.graph_id, p.i AS k, xw.o, SUM(p.val * xw.y) AS z FROM wv p
+      JOIN xw ON xw.node = p.j WHERE p.filter = 1 GROUP BY 1, 2, 3),
+lay AS (SELECT p.graph_id, p.i AS node, CAST(z.o AS INTEGER) AS o, SUM(p.val * z.z * th.theta) AS val
+        FROM wv p JOIN z ON z.graph_id = p.graph_id AND z.k = p.j JOIN th ON th.node = z.k
+        WHERE p.filter = 0 GROUP BY 1, 2, 3)""".format(k=_P.k_job)
+
+
+def _layer_inputs(spark, sf):
+    ev = td(spark, sf).table("events").select(
+        F.get_json_object("props", "$.k").cast("int").alias("node"), "value", "user_id")
+    xe = ev.groupBy("node").agg(F.count(F.lit(1)).cast("double").alias("c"),
+                                F.avg("value").alias("v"),
+                                F.count_distinct("user_id").cast("double").alias("u"))
+    x = xe.select("node", F.explode(F.array(
+        F.struct(F.lit(0).alias("f"), F.col("c").alias("x")),
+        F.struct(F.lit(1).alias("f"), F.col("v").alias("x")),
+        F.struct(F.lit(2).alias("f"), F.col("u").alias("x")))).alias("_s")).select("node", "_s.*")
+    one = spark.range(1)
+    w = (one.select(F.explode(F.sequence(F.lit(0), F.lit(2))).alias("f"))
+         .select("f", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("o"))
+         .select("f", "o", (F.cos(F.col("f") + 2 * F.col("o")) / (F.col("f") + 1)).alias("w")))
+    theta = spark.range(_P.k_job).select(F.col("id").cast("int").alias("node"),
+                                         (F.lit(1.0) + ((F.col("id") % 5) - 2) / 20.0).alias("theta"))
+    return x, w, theta
+
+
+def _two_view_graphs(spark, sf):
+    """Both class hypergraph views, graph key = class * 2 + view."""
+    from tessera.session import materialize
+    long = sessions_long(spark, sf)
+    a1 = hg.adjacency(hg.session_incidence(long, "first_person_class", ["geek_id", "session_no"],
+                                           "job_class"))
+    pairs = ss.consecutive_pairs(long.withColumnRenamed("first_person_class", "graph_id"),
+                                 ["geek_id", "session_no"], "pos", "job_class")
+    a2 = hg.adjacency(hg.successor_incidence(pairs))
+    e = (a1.select((F.col("graph_id") * 2).alias("graph_id"), F.col("i").alias("src"),
+                   F.col("j").alias("dst"), "w")
+         .unionByName(a2.select((F.col("graph_id") * 2 + 1).alias("graph_id"), F.col("i").alias("src"),
+                                F.col("j").alias("dst"), "w")))
+    e = materialize(e)
+    nodes = nodes_of(e)
+    lap = materialize(gr.laplacian(e, nodes))
+    return e, nodes, lap, gr.lmax_bound(e, nodes)
+
+
+def _layer(spark, sf):
+    e, nodes, lap, graphs = _two_view_graphs(spark, sf)
+    w = sp.wavelets(lap, nodes, graphs, TAUS, order=3)
+    phi = w.filter(F.col("filter") == 0).select("graph_id", "i", "j", "val")
+    phi_inv = w.filter(F.col("filter") == 1).select("graph_id", "i", "j", "val")
+    x, wt, theta = _layer_inputs(spark, sf)
+    return rc.wavelet_conv(phi, phi_inv, x, wt, theta)
+
+
+_TWO_WAVE = f"""{TWO_VIEWS}, {heat_coeff_sql(TAUS, 3)},
+sig AS (SELECT graph_id, node, node AS signal, 1.0 AS val FROM nodes),
+{cheby_terms_sql('sig', 3)},
+{cheby_combine_sql(3)},
+kept AS (SELECT * FROM r WHERE val >= 0.0 AND val <> 0),
+wv AS (SELECT graph_id, filter, node AS i, signal AS j,
+         val / SUM(abs(val)) OVER (PARTITION BY graph_id, filter, node) AS val FROM kept)"""
+
+
+@register("r1_wavelet_layer", f"""WITH {_TWO_WAVE}, {_LAYER_SQL}
+SELECT graph_id, node, o, ROUND(val, 6) AS val FROM lay""")
+def r1_wavelet_layer(spark, sf):
+    """Wavelet layer Φ·diag(θ)·Φ⁻¹·(X·W) on both views of every class: node features
+    from the log, rule-given weights W and θ."""
+    return _layer(spark, sf).select("graph_id", "node", "o", r6("val").alias("val"))
+
+
+@register("r2_two_view_fusion", f"""WITH {_TWO_WAVE}, {_LAYER_SQL}
+SELECT CAST(graph_id // 2 AS INTEGER) AS graph_id, node, o, ROUND(SUM(val), 6) AS val FROM lay
+GROUP BY 1, 2, 3""")
+def r2_two_view_fusion(spark, sf):
+    """Sum of the two views' layer outputs per class."""
+    out = _layer(spark, sf).withColumn("graph_id", (F.col("graph_id") / 2).cast("int"))
+    return rc.fuse_views(out).select("graph_id", "node", "o", r6("val").alias("val"))

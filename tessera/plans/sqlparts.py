@@ -160,3 +160,18 @@ def cheby_combine_sql(order, coeff="cf", keys=("signal",), prefix="t", name="r")
     return f"""{name} AS (SELECT t.graph_id, t.node{ks}, c.filter,
   SUM(CASE WHEN c.k = 0 THEN 0.5 ELSE 1.0 END * c.c * t.val) AS val
   FROM ({terms}) t JOIN {coeff} c ON c.graph_id = t.graph_id AND c.k = t.k GROUP BY {grp})"""
+
+# Both class hypergraph views as one set of graphs: graph key = class * 2 + view
+# (view 0 = session hyperedges, view 1 = successor hyperedges).
+TWO_VIEWS = ADJ + f""",
+pp2 AS (SELECT first_person_class AS graph_id, job_class AS src,
+          LEAD(job_class) OVER (PARTITION BY geek_id, session_no ORDER BY pos) AS dst FROM sess),
+m2 AS (SELECT DISTINCT graph_id, src, dst AS node FROM pp2 WHERE dst IS NOT NULL),
+m2d AS (SELECT *, COUNT(*) OVER (PARTITION BY graph_id, src) AS de FROM m2),
+adj2 AS (SELECT a.graph_id, a.node AS i, b.node AS j, SUM(1.0 / a.de) AS w FROM m2d a
+         JOIN m2d b ON a.graph_id = b.graph_id AND a.src = b.src GROUP BY 1, 2, 3),
+ug AS (SELECT graph_id * 2 AS graph_id, i AS src, j AS dst, w FROM adj
+       UNION ALL SELECT graph_id * 2 + 1, i, j, w FROM adj2),
+nodes AS (SELECT g.graph_id, CAST(r.range AS INTEGER) AS node
+          FROM (SELECT DISTINCT graph_id FROM ug) g, range({P.k_job}) r),
+""" + LAP[LAP.index("lap AS"):]
