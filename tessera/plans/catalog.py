@@ -9,3 +9,4 @@ from tessera.plans import q_samples  # noqa: F401,E402
 from tessera.plans import q_graph  # noqa: F401,E402
 from tessera.plans import q_spectral  # noqa: F401,E402
 from tessera.plans import q_features  # noqa: F401,E402
+from tessera.plans import q_io  # noqa: F401,E402
