@@ -46,12 +46,15 @@ def cheby_coeff(graphs: DataFrame, taus: list[float], m: int = 30, n_grid: int |
     return rows.select(G, "filter", "t", "k", c.alias("c"))
 
 
-def rect_coeff(graphs: DataFrame, b_lo: float, b_hi: float, order: int = 30,
+def rect_coeff(graphs: DataFrame, b_lo, b_hi, order: int = 30,
                lmax: str = "lmax") -> DataFrame:
-    """K13 coefficients of the ideal band-pass [b_lo, b_hi] (arccos bounds), in the
-    ½c0 convention of ``cheby_filter``: c0 = 2(b1 - b2)/π, ck = 2/(kπ)(sin k b1 - sin k b2)."""
-    b1 = F.acos(F.lit(2.0 * b_lo) / F.col(lmax) - 1.0)
-    b2 = F.acos(F.lit(2.0 * b_hi) / F.col(lmax) - 1.0)
+    """K13 coefficients of the ideal band-pass [b_lo, b_hi] (numbers or columns of
+    ``graphs``; arccos bounds), in the ½c0 convention of ``cheby_filter``:
+    c0 = 2(b1 - b2)/π, ck = 2/(kπ)(sin k b1 - sin k b2)."""
+    lo = b_lo if isinstance(b_lo, Column) else F.lit(float(b_lo))
+    hi = b_hi if isinstance(b_hi, Column) else F.lit(float(b_hi))
+    b1 = F.acos(F.lit(2.0) * lo / F.col(lmax) - 1.0)
+    b2 = F.acos(F.lit(2.0) * hi / F.col(lmax) - 1.0)
     k = F.col("k")
     c = F.when(k == 0, F.lit(2.0) * (b1 - b2) / F.lit(math.pi)).otherwise(
         F.lit(2.0) / (k * F.lit(math.pi)) * (F.sin(k * b1) - F.sin(k * b2)))

@@ -107,9 +107,10 @@ _RECT_ORDER = 10
 def _rect_sql():
     return f"""WITH {LAP},
 rc AS (SELECT g.graph_id, 0 AS filter, CAST(k.range AS INTEGER) AS k,
-  CASE WHEN k.range = 0 THEN 2.0 * (acos(2.0 * 1.0 / g.lmax - 1) - acos(2.0 * 5.0 / g.lmax - 1)) / pi()
-       ELSE 2.0 / (k.range * pi()) * (sin(k.range * acos(2.0 * 1.0 / g.lmax - 1))
-                                      - sin(k.range * acos(2.0 * 5.0 / g.lmax - 1))) END AS c
+  CASE WHEN k.range = 0 THEN 2.0 * (acos(2.0 * (g.lmax / 4) / g.lmax - 1)
+                                    - acos(2.0 * (g.lmax / 2) / g.lmax - 1)) / pi()
+       ELSE 2.0 / (k.range * pi()) * (sin(k.range * acos(2.0 * (g.lmax / 4) / g.lmax - 1))
+                                      - sin(k.range * acos(2.0 * (g.lmax / 2) / g.lmax - 1))) END AS c
   FROM gl g, range({_RECT_ORDER + 1}) k),
 {_SIG},
 {cheby_terms_sql('sig', _RECT_ORDER, a_expr='(g.lmax / 2)')},
@@ -119,15 +120,16 @@ SELECT graph_id, node, ROUND(val, 6) AS val FROM r"""
 
 @register("k13_cheby_rect", _rect_sql())
 def k13_cheby_rect(spark, sf):
-    """Ideal band-pass [1, 5] by Chebyshev (order 10) of the weighted-degree signal."""
+    """Ideal band-pass [lmax/4, lmax/2] by Chebyshev (order 10) of the weighted-degree
+    signal of every class graph."""
     e, nodes, lap, graphs = _graph(spark, sf)
-    coeff = sp.rect_coeff(graphs, 1.0, 5.0, order=_RECT_ORDER)
+    coeff = sp.rect_coeff(graphs, F.col("lmax") / 4, F.col("lmax") / 2, order=_RECT_ORDER)
     r = sp.cheby_filter(lap, _dw_signal(e, nodes), graphs, coeff, pad=0.0)
     return r.select("graph_id", "node", r6("val").alias("val"))
 
 
 @register("k14_jackson_coeff", f"""WITH {LAP},
-b AS (SELECT graph_id, 1.0 AS a, 5.0 AS b, 0.0 AS lmin, lmax FROM gl),
+b AS (SELECT graph_id, lmax / 4 AS a, lmax / 2 AS b, 0.0 AS lmin, lmax FROM gl),
 s AS (SELECT *, (lmax - lmin) / 2 AS a1, (lmax + lmin) / 2 AS a2 FROM b),
 f AS (SELECT graph_id, acos((a - a2) / a1) AS f0, acos((b - a2) / a1) AS f1 FROM s),
 c AS (SELECT graph_id, CAST(i.range AS INTEGER) AS i,
@@ -140,7 +142,8 @@ SELECT graph_id, i, ROUND(ch, 6) + 0.0 AS ch, ROUND(ch * jk, 6) + 0.0 AS jch FRO
 def k14_jackson_coeff(spark, sf):
     e = ug(spark, sf)
     b = gr.lmax_bound(e, nodes_of(e)).select(
-        "graph_id", F.lit(1.0).alias("a"), F.lit(5.0).alias("b"), F.lit(0.0).alias("lmin"), "lmax")
+        "graph_id", (F.col("lmax") / 4).alias("a"), (F.col("lmax") / 2).alias("b"),
+        F.lit(0.0).alias("lmin"), "lmax")
     j = sp.jackson_cheby_coeff(b, 10)
     return j.select("graph_id", "i", (r6("ch") + F.lit(0.0)).alias("ch"),
                     (r6("jch") + F.lit(0.0)).alias("jch"))
