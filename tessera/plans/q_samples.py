@@ -257,7 +257,8 @@ r AS (SELECT sg, ss, list(item ORDER BY rk) AS rec FROM rec GROUP BY 1, 2),
 z AS (SELECT l.sg, l.ss, UNNEST(l.label) AS lab, generate_subscripts(l.label, 1) AS p, r.rec
       FROM lab l JOIN r USING (sg, ss))
 SELECT sg AS geek_id, ss AS session_no,
-  100.0 * SUM(CASE WHEN rec[p] = lab THEN 1 ELSE 0 END) AS pos_acc FROM z GROUP BY 1, 2""")
+  CAST(100.0 * SUM(CASE WHEN rec[p] = lab THEN 1 ELSE 0 END) AS DOUBLE) AS pos_acc
+FROM z GROUP BY 1, 2""")
 def r12_position_accuracy(spark, sf):
     g = _graphs(spark, sf)
     ranked = rc.recommend(g, P.top_k, P.top_k)
