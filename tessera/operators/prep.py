@@ -76,10 +76,24 @@ def dense_class_counts(spark: SparkSession, rows: DataFrame, class_col: str, k:
 
 
 def best_so_far(df: DataFrame, value: str, order: list[str], part: list[str],
-                out: str = "best") -> DataFrame:
-    """Running maximum of ``value`` in ``order`` inside each ``part`` group."""
-    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.max(value).over(w))
+                out: str = "best", bucket: Column | None = None) -> DataFrame:
+    """Running maximum of ``value`` in ``order`` inside each ``part`` group.
+
+    With ``bucket`` (non-decreasing in ``order``, e.g. the day of a timestamp) the
+    running max is two-level: the maximum of all earlier buckets (a window over the
+    small per-bucket table) combined with the running max inside the bucket, so a large
+    group is not one window task."""
+    if bucket is None:
+        w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, F.max(value).over(w))
+    x = df.withColumn("_bk", bucket)
+    per = x.groupBy(*part, "_bk").agg(F.max(value).alias("_m"))
+    wc = Window.partitionBy(*part).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per.select(*part, "_bk", F.max("_m").over(wc).alias("_carry"))
+    wb = Window.partitionBy(*part, "_bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return (x.join(carry, [*part, "_bk"])
+            .withColumn(out, F.greatest(F.max(value).over(wb), F.col("_carry")))
+            .drop("_bk", "_carry"))
 
 
 def distinct_values(df: DataFrame, col: str) -> DataFrame:

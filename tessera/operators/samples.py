@@ -39,6 +39,7 @@ class ClassGraphs:
     inc1: DataFrame       # view-1 incidence (graph_id, edge, node)
     inc2: DataFrame       # view-2 incidence (graph_id, edge=struct(src), node)
     pair_cnt: DataFrame   # (graph_id, src, dst, cnt) sessions holding the pair
+    pairs: DataFrame      # consecutive pairs of the long sessions, with pos and list_size
 
 
 def class_graphs(sessions_long: DataFrame, list_cnt: int, class_col: str = "first_person_class",
@@ -51,11 +52,12 @@ def class_graphs(sessions_long: DataFrame, list_cnt: int, class_col: str = "firs
         # read by ~8 branches below: cut the lineage once (reliable checkpoint)
         long = materialize(long)
     inc1 = hg.session_incidence(long, "graph_id", SAMPLE, "node")
+    # one pair table for the class graphs and the per-sample removals (exchange reuse)
     pairs = ss.consecutive_pairs(long, SAMPLE, "pos", "node")
     pair_cnt = (pairs.select("graph_id", "geek_id", "session_no", "src", "dst").distinct()
                 .groupBy("graph_id", "src", "dst").agg(F.count(F.lit(1)).alias("cnt")))
     inc2 = hg.successor_incidence(pair_cnt)
-    return ClassGraphs(long, inc1, inc2, pair_cnt)
+    return ClassGraphs(long, inc1, inc2, pair_cnt, pairs)
 
 
 def sample_header(g: ClassGraphs, top_k: int) -> DataFrame:
@@ -81,8 +83,7 @@ def target_items(g: ClassGraphs, top_k: int) -> DataFrame:
 def removed_pairs(g: ClassGraphs, top_k: int) -> DataFrame:
     """View-2 pairs that leave each sample's graph: held by no other session and only
     in the target's cut tail.  (sample, graph_id, src, dst)."""
-    pairs = ss.consecutive_pairs(g.long.withColumn("cut_len", F.col("list_size") - F.lit(top_k)),
-                                 SAMPLE, "pos", "node")
+    pairs = g.pairs.withColumn("cut_len", F.col("list_size") - F.lit(top_k))
     per = (pairs.groupBy("graph_id", *SAMPLE, "src", "dst")
            .agg(F.max((F.col("pos") + 1 < F.col("cut_len")).cast("int")).alias("_in_prefix")))
     return (per.filter(F.col("_in_prefix") == 0)
@@ -177,22 +178,22 @@ def history_items(ti: DataFrame) -> DataFrame:
     return agg.select(*SAMPLE, F.transform("_s", lambda x: x["node"]).alias("history"))
 
 
-def split_samples(header: DataFrame, val_prop: float, order: list[str] | None = None,
-                  part_col: str = "graph_id") -> DataFrame:
+def split_samples(header: DataFrame, val_prop: float, part_col: str = "graph_id",
+                  key_range: int = 1 << 16) -> DataFrame:
     """Deterministic train/test split — the first ``floor(n*(1-val_prop))`` samples
-    in (class, target) order are 'train', the rest 'test'.  The global ordinal is
-    built from per-class counts (small) plus a per-class row number, so no single task
-    sees all samples."""
-    order = order or SAMPLE
+    in (class, target) order are 'train', the rest 'test'.  The global ordinal is the
+    class offset (per-class counts: one row per class) plus a two-level ordinal inside
+    the class, so no single task sees all samples of a class."""
     per = header.groupBy(part_col).agg(F.count(F.lit(1)).alias("_c"))
     wc = Window.orderBy(part_col)   # one row per class: bounded by the class count
     per = per.select(part_col, F.coalesce(F.sum("_c").over(wc.rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
                      F.sum("_c").over(Window.partitionBy()).alias("_n"))
-    w = Window.partitionBy(part_col).orderBy(*order)
-    out = (header.join(per, part_col)
-           .withColumn("sample_no", (F.col("_off") + F.row_number().over(w) - 1).cast("long")))
+    inner = ss.ordinal(header, [part_col], SAMPLE,
+                       F.floor(F.col(SAMPLE[0]) / F.lit(key_range)), "_in")
+    out = (inner.join(per, part_col)
+           .withColumn("sample_no", (F.col("_off") + F.col("_in")).cast("long")))
     cut = F.floor(F.col("_n") * F.lit(1.0 - val_prop))
     return (out.withColumn("split", F.when(F.col("sample_no") < cut, F.lit("train"))
                            .otherwise(F.lit("test")))
-            .drop("_off", "_n"))
+            .drop("_off", "_n", "_in"))

@@ -146,30 +146,42 @@ def keep_long(sessions: DataFrame, min_size: int, size_col: str = "list_size") -
     return sessions.filter(F.col(size_col) > F.lit(min_size))
 
 
+def ordinal(df: DataFrame, part: list[str], order: list[str], bucket: Column,
+            out: str = "ordinal") -> DataFrame:
+    """0-based row number inside each ``part`` group in ``order``, without a window over
+    a whole group: ``bucket`` must be non-decreasing in ``order`` (e.g. a range of the
+    first order key).  Per-(group, bucket) counts give each bucket's offset (a window
+    over the small count table); a row_number inside each bucket adds the rest."""
+    x = df.withColumn("_ob", bucket)
+    counts = x.groupBy(*part, "_ob").agg(F.count(F.lit(1)).alias("_c"))
+    wc = Window.partitionBy(*part).orderBy("_ob")
+    offs = counts.select(*part, "_ob", F.coalesce(F.sum("_c").over(wc.rowsBetween(_UNB, -1)),
+                                                  F.lit(0)).alias("_off"))
+    wb = Window.partitionBy(*part, "_ob").orderBy(*order)
+    return (x.join(offs, [*part, "_ob"])
+            .withColumn(out, (F.col("_off") + F.row_number().over(wb) - 1).cast("long"))
+            .drop("_ob", "_off"))
+
+
 def class_ordinal(sessions: DataFrame, class_col: str, key: str,
-                  session_col: str = "session_no") -> DataFrame:
+                  session_col: str = "session_no", key_range: int = 1 << 16) -> DataFrame:
     """0-based ordinal of each session inside its class, ordered by
-    (key, session_no).  Two levels so that a large class is not one window task: the
-    per-(class, key) session counts give the offset of each key, a per-key window
-    numbers that key's sessions."""
-    per_key = sessions.groupBy(class_col, key).agg(F.count(F.lit(1)).alias("_c"))
-    wc = Window.partitionBy(class_col).orderBy(key)
-    per_key = per_key.withColumn(
-        "_off", F.coalesce(F.sum("_c").over(wc.rowsBetween(_UNB, -1)), F.lit(0)))
-    wk = Window.partitionBy(class_col, key).orderBy(session_col)
-    return (sessions.join(per_key.select(class_col, key, "_off"), [class_col, key])
-            .withColumn("class_session_no",
-                        (F.col("_off") + F.row_number().over(wk) - 1).cast("int"))
-            .drop("_off"))
+    (key, session_no).  Two levels (``ordinal``) over key ranges of ``key_range`` ids, so
+    a large class is spread over many window tasks."""
+    out = ordinal(sessions, [class_col], [key, session_col],
+                  F.floor(F.col(key) / F.lit(key_range)), "class_session_no")
+    return out.withColumn("class_session_no", F.col("class_session_no").cast("int"))
 
 
 def consecutive_pairs(long: DataFrame, part: list[str], pos_col: str, item_col: str,
                       src: str = "src", dst: str = "dst") -> DataFrame:
-    """(item, next item) inside each session; ``part`` names the session."""
-    w = Window.partitionBy(*part).orderBy(pos_col)
-    return (long.withColumn(dst, F.lead(item_col).over(w))
-            .filter(F.col(dst).isNotNull())
-            .withColumnRenamed(item_col, src))
+    """(item, next item) inside each session; ``part`` names the session.
+
+    An equi-join of each event with the event at the next position of the same session:
+    the join keys (session, position) are unique, so even a session holding a large
+    share of all events is spread evenly (a ``lead`` window would put it in one task)."""
+    nxt = long.select(*part, (F.col(pos_col) - 1).alias(pos_col), F.col(item_col).alias(dst))
+    return long.join(nxt, [*part, pos_col]).withColumnRenamed(item_col, src)
 
 
 def cut_tail(long: DataFrame, k: int, pos_col: str = "pos",

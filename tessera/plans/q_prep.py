@@ -221,7 +221,8 @@ def a4_distinct_values(spark, sf):
                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best FROM events""")
 def a8_best_so_far(spark, sf):
     ev = td(spark, sf).table("events").select("event_id", "user_id", "value", "ts")
-    return prep.best_so_far(ev, "value", ["ts", "event_id"], ["user_id"]).drop("ts")
+    return prep.best_so_far(ev, "value", ["ts", "event_id"], ["user_id"],
+                            bucket=F.to_date("ts")).drop("ts")
 
 
 _O_KEYS = "l_returnflag, l_linestatus, l_shipdate, l_orderkey, l_linenumber"
