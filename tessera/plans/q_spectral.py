@@ -353,3 +353,42 @@ def r2_two_view_fusion(spark, sf):
     """Sum of the two views' layer outputs per class."""
     out = _layer(spark, sf).withColumn("graph_id", (F.col("graph_id") / 2).cast("int"))
     return rc.fuse_views(out).select("graph_id", "node", "o", r6("val").alias("val"))
+
+
+# ---------------------------------------------------------------- per-sample wavelets
+from tessera.operators import samples as smp  # noqa: E402
+from tessera.plans.sqlparts import SAMPLE_GRAPHS  # noqa: E402
+
+
+def sample_graph_edges(spark, sf):
+    """Both views of every leave-one-out sample as one edge table; graph key =
+    (geek_id * 100000 + session_no) * 2 + view - 1."""
+    g = smp.class_graphs(sessions_long(spark, sf), _P.list_cnt)
+    header = smp.sample_header(g, _P.top_k)
+    ti = smp.target_items(g, _P.top_k)
+    parts = []
+    for view, inc, (delta, _) in ((0, g.inc1, smp.view1_delta(ti)),
+                                  (1, g.inc2, smp.view2_delta(g, smp.removed_pairs(g, _P.top_k)))):
+        a = smp.sample_adjacency(header, hg.adjacency(inc), delta)
+        key = (F.col("geek_id") * 100000 + F.col("session_no")) * 2 + view
+        parts.append(a.select(key.alias("graph_id"), F.col("i").alias("src"), F.col("j").alias("dst"), "w"))
+    return parts[0].unionByName(parts[1])
+
+
+@register("k20_sample_wavelets", f"""WITH {SAMPLE_GRAPHS}, {heat_coeff_sql(TAUS, 3)},
+sig AS (SELECT graph_id, node, node AS signal, 1.0 AS val FROM nodes),
+{cheby_terms_sql('sig', 3)},
+{cheby_combine_sql(3)},
+kept AS (SELECT * FROM r WHERE val >= 0.0 AND val <> 0),
+wv AS (SELECT graph_id, filter, node AS i, signal AS j,
+         val / SUM(abs(val)) OVER (PARTITION BY graph_id, filter, node) AS val FROM kept)
+SELECT graph_id, filter, i, j, ROUND(val, 6) AS val FROM wv""")
+def k20_sample_wavelets(spark, sf):
+    """Forward (t=-1) and inverse (t=+1) wavelets of both graphs of every sample (the
+    transform the original runs per sample before the network)."""
+    from tessera.session import materialize
+    e = materialize(sample_graph_edges(spark, sf))
+    nodes = nodes_of(e)
+    lap = materialize(gr.laplacian(e, nodes))
+    w = sp.wavelets(lap, nodes, gr.lmax_bound(e, nodes), TAUS, order=3)
+    return w.select("graph_id", "filter", "i", "j", r6("val").alias("val"))
