@@ -21,6 +21,8 @@ HEADLINE = [
     "h8_sample_adjacency_v1",
     "r3_recommend",
     "r13_report",
+    "k12_k16_k17_k20_wavelets",
+    "k20_sample_wavelets",
 ]
 
 

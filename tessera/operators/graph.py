@@ -217,16 +217,18 @@ def subgraph(edges: DataFrame, keep: DataFrame) -> DataFrame:
 
 
 def reach_from(edges: DataFrame, nodes: DataFrame, start: int = 0, max_iter: int = 10_000,
-               checkpoint_every: int = 4) -> DataFrame:
-    """Nodes reachable from ``start`` over edges with w > 0, all graphs together.
-    Frontier expansion: one join + anti-join per step until no graph grows."""
+               checkpoint_every: int = 4, keys: tuple[str, ...] = (G,)) -> DataFrame:
+    """Nodes reachable from ``start`` over edges with w > 0, for every graph (``keys``
+    name a graph; extra keys such as an orientation run in the same loop).  Frontier
+    expansion: one join + anti-join per step until no graph grows."""
+    keys = list(keys)
     # loop inputs are read every step: cut their lineage once
-    adj = materialize(binary_adjacency(edges).select(G, F.col("src").alias("node"), "dst"))
-    seen = materialize(nodes.filter(F.col("node") == start).select(G, "node"))
+    adj = materialize(edges.filter(F.col("w") > 0).select(*keys, F.col("src").alias("node"), "dst"))
+    seen = materialize(nodes.filter(F.col("node") == start).select(*keys, "node"))
     frontier = seen
     for k in range(max_iter):
-        nxt = (frontier.join(adj, [G, "node"]).select(G, F.col("dst").alias("node")).distinct()
-               .join(seen, [G, "node"], "left_anti")).persist()
+        nxt = (frontier.join(adj, [*keys, "node"]).select(*keys, F.col("dst").alias("node")).distinct()
+               .join(seen, [*keys, "node"], "left_anti")).persist()
         if nxt.isEmpty():
             break
         seen = seen.unionByName(nxt)
@@ -238,21 +240,19 @@ def reach_from(edges: DataFrame, nodes: DataFrame, start: int = 0, max_iter: int
 
 
 def is_connected(edges: DataFrame, nodes: DataFrame, directed: bool = False) -> DataFrame:
-    """Every node reachable from node 0 (and, for directed graphs, also over the
-    transposed edges)."""
-    views = [edges]
+    """Every node reachable from node 0 — for directed graphs over the edges and
+    over the transposed edges, both orientations in one loop (key ``dir``)."""
+    e = edges.select(G, "src", "dst", "w", F.lit(0).alias("dir"))
     if directed:
-        views.append(edges.select(G, F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
-    nodes = materialize(nodes)
-    n = nodes.groupBy(G).agg(F.count(F.lit(1)).alias("_n"))
-    out = n
-    for k, e in enumerate(views):
-        r = reach_from(e, nodes).groupBy(G).agg(F.count(F.lit(1)).alias(f"_r{k}"))
-        out = out.join(r, G, "left")
-    cond = F.lit(True)
-    for k in range(len(views)):
-        cond = cond & (F.coalesce(F.col(f"_r{k}"), F.lit(0)) == F.col("_n"))
-    return out.select(G, cond.alias("connected"))
+        e = e.unionByName(edges.select(G, F.col("dst").alias("src"), F.col("src").alias("dst"),
+                                       "w", F.lit(1).alias("dir")))
+    dirs = F.array(*[F.lit(d) for d in ((0, 1) if directed else (0,))])
+    n_all = materialize(nodes.select(G, "node", F.explode(dirs).alias("dir")))
+    r = (reach_from(e, n_all, keys=(G, "dir")).groupBy(G, "dir").agg(F.count(F.lit(1)).alias("_r")))
+    n = n_all.groupBy(G, "dir").agg(F.count(F.lit(1)).alias("_n"))
+    per_dir = n.join(r, [G, "dir"], "left").select(
+        G, (F.coalesce("_r", F.lit(0)) == F.col("_n")).alias("_ok"))
+    return per_dir.groupBy(G).agg(F.bool_and("_ok").alias("connected"))
 
 
 def components(edges: DataFrame, nodes: DataFrame, max_iter: int = 10_000,
