@@ -385,10 +385,11 @@ wv AS (SELECT graph_id, filter, node AS i, signal AS j,
 SELECT graph_id, filter, i, j, ROUND(val, 6) AS val FROM wv""")
 def k20_sample_wavelets(spark, sf):
     """Forward (t=-1) and inverse (t=+1) wavelets of both graphs of every sample (the
-    transform the original runs per sample before the network)."""
+    transform the original runs per sample before the network).  Sample graphs are
+    small and dense, so the matrix polynomial runs per graph (``wavelets_dense``)."""
     from tessera.session import materialize
     e = materialize(sample_graph_edges(spark, sf))
     nodes = nodes_of(e)
-    lap = materialize(gr.laplacian(e, nodes))
-    w = sp.wavelets(lap, nodes, gr.lmax_bound(e, nodes), TAUS, order=3)
+    lap = gr.laplacian(e, nodes)
+    w = sp.wavelets_dense(lap, nodes, gr.lmax_bound(e, nodes), TAUS, order=3)
     return w.select("graph_id", "filter", "i", "j", r6("val").alias("val"))

@@ -261,3 +261,22 @@ def test_string_index_order(spark):
     model = ft.string_index(train, ["x"])
     got = [r.x_idx for r in model.transform(test).collect()]
     assert got == [0.0, 1.0, 2.0, 3.0, 3.0]
+
+
+def test_dense_wavelets_equal_join_wavelets(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for g in range(3):
+        m = np.triu(rng.random((8, 8)) * (rng.random((8, 8)) > 0.5))
+        m = m + m.T
+        rows += [(g, i, j, float(m[i, j])) for i in range(8) for j in range(8) if m[i, j] != 0]
+    e = spark.createDataFrame(rows, "graph_id long, src int, dst int, w double")
+    nodes = hg.dense_nodes(e, 8)
+    lap = gr.laplacian(e, nodes)
+    graphs = gr.lmax_bound(e, nodes)
+    a = {(r.graph_id, r.filter, r.i, r.j): r.val
+         for r in sp.wavelets(lap, nodes, graphs, [-1.0, 1.0]).collect()}
+    b = {(r.graph_id, r.filter, r.i, r.j): r.val
+         for r in sp.wavelets_dense(lap, nodes, graphs, [-1.0, 1.0]).collect()}
+    assert a.keys() == b.keys()
+    assert all(abs(a[k] - b[k]) < 1e-9 for k in a)
