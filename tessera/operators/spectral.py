@@ -309,7 +309,8 @@ def resistance_distance(spec: DataFrame, pairs: DataFrame, eps: float = 1e-10) -
 
 def wavelets_dense(lap: DataFrame, nodes: DataFrame, graphs: DataFrame, taus: list[float],
                    order: int = 3, tolerance: float = 0.0, kernel: str = "heat",
-                   lmax: str = "lmax", pad: float = 1e-5, max_nodes: int = 2000) -> DataFrame:
+                   lmax: str = "lmax", pad: float = 1e-5, max_nodes: int = 2000,
+                   from_weights: bool = False) -> DataFrame:
     """K12/K16/K17/K20 for many small dense graphs: same result as ``wavelets``.
 
     A wavelet matrix is the matrix polynomial p(L) itself.  As joins each Chebyshev step
@@ -317,10 +318,14 @@ def wavelets_dense(lap: DataFrame, nodes: DataFrame, graphs: DataFrame, taus: li
     Laplacian entries (at most ``max_nodes``² rows, guarded) to one grouped pandas call
     that runs the same recurrence with dense NumPy products, then applies the same
     threshold and row L1 normalization.  Coefficients come from ``cheby_coeff``.
-    Output (graph_id, filter, t, i, j, val)."""
+    With ``from_weights`` the first argument is the weight table (graph_id, src, dst, w)
+    and the combinatorial Laplacian D - W is formed inside the group (saves a shuffle
+    of all entries).  Output (graph_id, filter, t, i, j, val)."""
     import numpy as np
     import pandas as pd
 
+    if from_weights:
+        lap = lap.select(G, F.col("src").alias("i"), F.col("dst").alias("j"), F.col("w").alias("v"))
     coeff = cheby_coeff(graphs, taus, m=order, kernel=kernel, lmax=lmax)
     cf = coeff.groupBy(G).agg(F.array_sort(F.collect_list(F.struct("filter", "k", "c"))).alias("cf"))
     n = nodes.groupBy(G).agg(F.max("node").alias("nmax"))
@@ -340,6 +345,8 @@ def wavelets_dense(lap: DataFrame, nodes: DataFrame, graphs: DataFrame, taus: li
         e = pdf[pdf["i"].notna()]
         L = np.zeros((size, size))
         np.add.at(L, (e["i"].to_numpy(dtype=int), e["j"].to_numpy(dtype=int)), e["v"].to_numpy())
+        if from_weights:
+            L = np.diag(L.sum(axis=1)) - L
         a = (float(h["lm"]) + pad) / 2.0
         eye = np.eye(size)
         terms = [eye, (L - a * eye) / a]

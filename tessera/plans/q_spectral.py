@@ -390,6 +390,5 @@ def k20_sample_wavelets(spark, sf):
     from tessera.session import materialize
     e = materialize(sample_graph_edges(spark, sf))
     nodes = nodes_of(e)
-    lap = gr.laplacian(e, nodes)
-    w = sp.wavelets_dense(lap, nodes, gr.lmax_bound(e, nodes), TAUS, order=3)
+    w = sp.wavelets_dense(e, nodes, gr.lmax_bound(e, nodes), TAUS, order=3, from_weights=True)
     return w.select("graph_id", "filter", "i", "j", r6("val").alias("val"))

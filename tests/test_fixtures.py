@@ -278,5 +278,7 @@ def test_dense_wavelets_equal_join_wavelets(spark):
          for r in sp.wavelets(lap, nodes, graphs, [-1.0, 1.0]).collect()}
     b = {(r.graph_id, r.filter, r.i, r.j): r.val
          for r in sp.wavelets_dense(lap, nodes, graphs, [-1.0, 1.0]).collect()}
-    assert a.keys() == b.keys()
-    assert all(abs(a[k] - b[k]) < 1e-9 for k in a)
+    c = {(r.graph_id, r.filter, r.i, r.j): r.val
+         for r in sp.wavelets_dense(e, nodes, graphs, [-1.0, 1.0], from_weights=True).collect()}
+    assert a.keys() == b.keys() == c.keys()
+    assert all(abs(a[k] - b[k]) < 1e-9 and abs(a[k] - c[k]) < 1e-9 for k in a)
