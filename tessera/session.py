@@ -22,6 +22,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.coalescePartitions.enabled",
                 os.environ.get("TESSERA_AQE_COALESCE", "true"))
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # joins that expand small inputs (per-sample copies of class rows) are CPU-bound:
+        # do not let AQE merge their tiny input shuffles into one or two tasks
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize",
+                os.environ.get("TESSERA_MIN_PARTITION", "256k"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
