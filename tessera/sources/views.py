@@ -13,6 +13,15 @@ from pyspark.sql import functions as F
 from tessera.params import TESTDATA_PARAMS, Params
 
 
+def epoch_micros(ts_ntz):
+    """Microseconds since 1970-01-01 of a zone-less timestamp, read as UTC wall time.
+
+    Computed on the ``timestamp_ntz`` value itself, so the result does not depend on
+    the session time zone (a cast to ``timestamp`` would)."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", epoch, ts_ntz)
+
+
 class TestData:
     __test__ = False  # not a pytest class
 
@@ -27,13 +36,12 @@ class TestData:
     def log(self) -> DataFrame:
         """Interaction log: geek_id, job_class, deal_type, t_us, date, person_class, event_id."""
         ev = self.table("events")
-        ts = ev["ts"].cast("timestamp")
         return ev.select(
             F.col("user_id").alias("geek_id"),
             F.get_json_object("props", "$.k").cast("int").alias("job_class"),
             F.col("event_type").alias("deal_type"),
-            F.unix_micros(ts).alias("t_us"),
-            F.to_date(ts).alias("date"),
+            epoch_micros(F.col("ts")).alias("t_us"),
+            F.to_date(F.col("ts")).alias("date"),
             F.pmod(F.col("user_id"), F.lit(self.params.k_person)).cast("int").alias("person_class"),
             F.col("event_id"),
         )
