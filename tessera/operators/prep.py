@@ -99,3 +99,18 @@ def best_so_far(df: DataFrame, value: str, order: list[str], part: list[str],
 def distinct_values(df: DataFrame, col: str) -> DataFrame:
     """A4: distinct values of one column."""
     return df.select(col).distinct()
+
+
+def label_with_classes(log: DataFrame, person: DataFrame, job: DataFrame,
+                       person_keys: list[str], job_keys: list[str],
+                       dedupe: bool = False) -> DataFrame:
+    """Label every log row with its person class and job class.
+
+    The reference writes two left joins, each followed by a not-null filter; that is an
+    inner join, and Catalyst plans it as one.  Snapshots are not deduplicated by
+    default, so repeated snapshot rows multiply log rows as in the reference (D6);
+    ``dedupe=True`` keeps one snapshot row per key first."""
+    if dedupe:
+        person = person.dropDuplicates(person_keys)
+        job = job.dropDuplicates(job_keys)
+    return log.join(person, person_keys, "inner").join(job, job_keys, "inner")

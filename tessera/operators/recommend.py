@@ -30,11 +30,12 @@ def top_k(scores: DataFrame, part: list[str], score_col: str, item_col: str, k:
             .filter(F.col("rk") <= k).withColumn("rk", F.col("rk").cast("int")))
 
 
-def sample_scores(g: sp.ClassGraphs, top_k_label: int) -> DataFrame:
-    """R3 scores (sample, j, score) for every sample of ``g``."""
+def sample_scores(g: sp.ClassGraphs, top_k_label: int, history: str = "target") -> DataFrame:
+    """R3 scores (sample, j, score) for every sample of ``g``; ``history`` picks the
+    history items (D10: 'target' or the original's 'last')."""
     header = sp.sample_header(g, top_k_label)
     ti = sp.target_items(g, top_k_label)
-    hist = ti.filter(F.col("in_q")).select(*SAMPLE, F.col("node").alias("i"))
+    hist = sp.history_rows(g, ti, header, history)
     removed = sp.removed_pairs(g, top_k_label)
     parts = []
     for inc, (delta, dv_delta) in ((g.inc1, sp.view1_delta(ti)),
@@ -49,9 +50,9 @@ def sample_scores(g: sp.ClassGraphs, top_k_label: int) -> DataFrame:
             .agg(F.sum("s").alias("score")))
 
 
-def recommend(g: sp.ClassGraphs, top_k_label: int, k: int) -> DataFrame:
+def recommend(g: sp.ClassGraphs, top_k_label: int, k: int, history: str = "target") -> DataFrame:
     """Ranked list (sample, item, rk, score), at most ``k`` items per sample."""
-    sc = sample_scores(g, top_k_label).withColumnRenamed("j", "item")
+    sc = sample_scores(g, top_k_label, history).withColumnRenamed("j", "item")
     return top_k(sc, SAMPLE, "score", "item", k)
 
 

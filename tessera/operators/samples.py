@@ -178,6 +178,31 @@ def history_items(ti: DataFrame) -> DataFrame:
     return agg.select(*SAMPLE, F.transform("_s", lambda x: x["node"]).alias("history"))
 
 
+def history_rows(g: ClassGraphs, ti: DataFrame, header: DataFrame,
+                 mode: str = "target") -> DataFrame:
+    """Distinct history items (sample, i) of every sample.
+
+    ``target`` (default): the kept prefix of the sample's own target session.
+    ``last``: what the original assembles — the items of the class's last session in
+    (geek_id, session_no) order, cut when that session is the target itself."""
+    own = ti.filter(F.col("in_q")).select(*SAMPLE, F.col("node").alias("i"))
+    if mode == "target":
+        return own
+    if mode != "last":
+        raise ValueError(f"unknown history mode {mode}")
+    last = (g.long.groupBy("graph_id")
+            .agg(F.max(F.struct("geek_id", "session_no")).alias("_l"))
+            .select("graph_id", F.col("_l.geek_id").alias("_lg"), F.col("_l.session_no").alias("_ls")))
+    items = (g.long.join(last, "graph_id")
+             .filter((F.col("geek_id") == F.col("_lg")) & (F.col("session_no") == F.col("_ls")))
+             .select("graph_id", F.col("node").alias("i")).distinct())
+    is_last = (F.col("geek_id") == F.col("_lg")) & (F.col("session_no") == F.col("_ls"))
+    h = header.select(*SAMPLE, "graph_id").join(last, "graph_id")
+    others = h.filter(~is_last).join(items, "graph_id").select(*SAMPLE, "i")
+    selves = own.join(h.filter(is_last).select(*SAMPLE), SAMPLE)
+    return others.unionByName(selves)
+
+
 def split_samples(header: DataFrame, val_prop: float, part_col: str = "graph_id",
                   key_range: int = 1 << 16) -> DataFrame:
     """Deterministic train/test split — the first ``floor(n*(1-val_prop))`` samples

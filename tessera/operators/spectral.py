@@ -190,6 +190,12 @@ def wavelets(lap: DataFrame, nodes: DataFrame, graphs: DataFrame, taus: list[flo
                        F.col("node").alias("i"), F.col("signal").alias("j"), "val")
 
 
+def rejected_graphs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Graphs that have nodes but no edge (lmax would be 0, so no wavelet transform
+    exists); kept as a rejects table instead of being skipped silently."""
+    return nodes.select(G).distinct().join(edges.select(G).distinct(), G, "left_anti")
+
+
 def density(matrix: DataFrame, nodes: DataFrame, keys: tuple[str, ...] = ("filter",)) -> DataFrame:
     """Share of non-zero entries, percent rounded to 2."""
     n = nodes.groupBy(G).agg(F.count(F.lit(1)).alias("_n"))

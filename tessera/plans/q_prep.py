@@ -268,9 +268,7 @@ def j2_label_log(spark, sf):
                                         (F.col("c_nationkey") % 5).alias("pred_person"))
     job = t.table("part").select(F.col("p_partkey").alias("job_id"),
                                  (F.col("p_size") % 10).alias("pred_job"))
-    # the reference's left join + not-null filter; Catalyst plans both as inner joins
-    out = (log.join(person, "geek_id", "left").filter(F.col("pred_person").isNotNull())
-           .join(job, "job_id", "left").filter(F.col("pred_job").isNotNull()))
+    out = prep.label_with_classes(log, person, job, ["geek_id"], ["job_id"])
     return out.select("geek_id", "job_id", "order_id", "line_no", "pred_person", "pred_job")
 
 

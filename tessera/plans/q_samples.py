@@ -280,3 +280,22 @@ def r13_report(spark, sf):
     recommendations -> hit rate, MRR and the other means, in one plan."""
     rep = rc.report(_per_sample(spark, sf))
     return rep.select("n_samples", *[r6(c).alias(c) for c in rep.columns if c != "n_samples"])
+
+
+_LAST_SQL = SAMPLES.replace(
+    "hist AS (SELECT DISTINCT sg, ss, node AS i FROM sv WHERE geek_id = sg AND session_no = ss),",
+    """ls AS (SELECT graph_id, geek_id, session_no FROM (SELECT DISTINCT graph_id, geek_id, session_no,
+             ROW_NUMBER() OVER (PARTITION BY graph_id ORDER BY geek_id DESC, session_no DESC) AS rn
+           FROM long_s WHERE pos = 0) WHERE rn = 1),
+hist AS (SELECT DISTINCT s.sg, s.ss, v.node AS i FROM samples s JOIN ls ON ls.graph_id = s.graph_id
+         JOIN sv v ON v.sg = s.sg AND v.ss = s.ss AND v.geek_id = ls.geek_id
+           AND v.session_no = ls.session_no),""")
+assert _LAST_SQL != SAMPLES
+
+
+@register("r3_recommend_last_history", f"""WITH {_LAST_SQL}
+SELECT sg AS geek_id, ss AS session_no, item, rk, score FROM rec""")
+def r3_recommend_last_history(spark, sf):
+    """R3 with the original's history (D10 'last'): the class's last session."""
+    return rc.recommend(_graphs(spark, sf), P.top_k, P.top_k, history="last").select(
+        "geek_id", "session_no", "item", "rk", "score")

@@ -282,3 +282,31 @@ def test_dense_wavelets_equal_join_wavelets(spark):
          for r in sp.wavelets_dense(e, nodes, graphs, [-1.0, 1.0], from_weights=True).collect()}
     assert a.keys() == b.keys() == c.keys()
     assert all(abs(a[k] - b[k]) < 1e-9 and abs(a[k] - c[k]) < 1e-9 for k in a)
+
+
+def test_label_dedupe_and_rejects(spark):
+    from tessera.operators import prep
+    log = spark.createDataFrame([(1, 10), (2, 11)], "geek_id long, job_id long")
+    person = spark.createDataFrame([(1, 0), (1, 0), (2, 1)], "geek_id long, pc int")
+    job = spark.createDataFrame([(10, 5), (11, 6)], "job_id long, jc int")
+    assert prep.label_with_classes(log, person, job, ["geek_id"], ["job_id"]).count() == 3
+    assert prep.label_with_classes(log, person, job, ["geek_id"], ["job_id"], dedupe=True).count() == 2
+    e = _edges(spark, [[0, 1], [1, 0]])
+    nodes = _nodes(spark, 2).unionByName(_nodes(spark, 2, graph_id=1))
+    assert [r.graph_id for r in sp.rejected_graphs(e, nodes).collect()] == [1]
+
+
+def test_history_modes_differ_only_in_history(spark):
+    from tessera.operators import samples as smp
+    rows = []
+    for g_sess, (uid, items) in enumerate([(1, list(range(40))), (2, [5] * 35), (3, list(range(30, 70)))]):
+        rows += [(0, uid, 0, p, 40 if uid != 2 else 35, it) for p, it in enumerate(items)]
+    long = spark.createDataFrame(rows, "first_person_class int, geek_id long, session_no int, pos int, "
+                                       "list_size int, job_class int")
+    g = smp.class_graphs(long, 30, materialize_long=False)
+    header = smp.sample_header(g, 20)
+    ti = smp.target_items(g, 20)
+    last = {(r.geek_id, r.i) for r in smp.history_rows(g, ti, header, "last").collect()}
+    # the class's last session is (3, 0): other samples get all its items, itself its prefix
+    assert {i for (u, i) in last if u == 1} == set(range(30, 70))
+    assert {i for (u, i) in last if u == 3} == set(range(30, 50))
