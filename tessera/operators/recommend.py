@@ -23,8 +23,9 @@ def top_k(scores: DataFrame, part: list[str], score_col: str, item_col: str, k:
           digits: int = 6) -> DataFrame:
     """The ``k`` best items per group, score rounded to ``digits`` desc then item
     asc (total order, so results are deterministic).  Bounded per group by the
-    candidate count."""
-    s = F.round(score_col, digits)
+    candidate count.  A 1e-9 nudge before rounding keeps ulp-level float noise from
+    straddling a rounding tie."""
+    s = F.round(F.col(score_col) + F.lit(1e-9), digits)
     w = Window.partitionBy(*part).orderBy(s.desc(), F.col(item_col).asc())
     return (scores.withColumn(score_col, s).withColumn("rk", F.row_number().over(w))
             .filter(F.col("rk") <= k).withColumn("rk", F.col("rk").cast("int")))

@@ -33,4 +33,6 @@ def class_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r6(c):
-    return F.round(c, 6)
+    """Round to 6 digits after a 1e-9 nudge (see ``registry.tie_safe_sql``)."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c + F.lit(1e-9), 6)

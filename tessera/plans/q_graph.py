@@ -102,8 +102,11 @@ p AS (SELECT u.graph_id, u.src AS i, u.dst AS j, -a.r * u.w * b.r AS v FROM ug u
         JOIN r a ON a.graph_id = u.graph_id AND a.node = u.src
         JOIN r b ON b.graph_id = u.graph_id AND b.node = u.dst
       UNION ALL SELECT graph_id, node, node, 1.0 FROM nodes)
-SELECT graph_id, i, j, ROUND(SUM(v), 6) AS v FROM p GROUP BY 1, 2, 3 HAVING abs(SUM(v)) > 1e-12""")
+SELECT graph_id, i, j, ROUND(SUM(v), 6) AS v FROM p GROUP BY 1, 2, 3
+HAVING abs(SUM(v)) > 1e-12""")
 def g9_laplacian_normalized(spark, sf):
+    """Normalized Laplacian (entries such as -1/128 sit on a rounding tie; r6 and the
+    oracle rewrite both nudge by 1e-9)."""
     e = ug(spark, sf)
     return gr.laplacian(e, nodes_of(e), "normalized").select("graph_id", "i", "j", r6("v").alias("v"))
 
