@@ -127,18 +127,21 @@ def session_table(df: DataFrame, key: str, time_col: str, gap: float,
 
 
 def collect_sessions(long: DataFrame, key: str, time_col: str, cols: list[str],
-                     tiebreak: Iterable[str] = ()) -> DataFrame:
+                     tiebreak: Iterable[str] = (), chunk: int = 10_000) -> DataFrame:
     """A1/A2: the reference's session row — one list per column, in time order — plus
-    ``list_size``.  Lists are sorted by (time, tiebreak) (D7: the reference leaves the
-    order to chance).  This materializes a whole session in one row; the library's
-    own operators work on the long table instead and never need it."""
+    ``list_size`` (events of the whole session).  Lists are sorted by (time, tiebreak)
+    (D7: the reference leaves the order to chance).
+
+    A row never holds more than ``chunk`` events: a longer session continues in further
+    rows (``chunk_no`` 0, 1, ...), so no task has to build one unbounded list and no
+    event is dropped.  The library's own operators work on the long table instead."""
     tiebreak = list(tiebreak)
     fields = [time_col] + tiebreak + [c for c in cols if c not in (time_col, *tiebreak)]
     st = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in fields])))
-    out = long.groupBy(key, "session_no").agg(st.alias("_s"))
-    return out.select(key, "session_no",
-                      *[F.col("_s")[c].alias(f"{c}_list") for c in cols],
-                      F.size("_s").alias("list_size"))
+    out = (long.withColumn("chunk_no", F.floor(F.col("pos") / F.lit(chunk)).cast("int"))
+           .groupBy(key, "session_no", "chunk_no", "list_size").agg(st.alias("_s")))
+    return out.select(key, "session_no", "chunk_no",
+                      *[F.col("_s")[c].alias(f"{c}_list") for c in cols], "list_size")
 
 
 def keep_long(sessions: DataFrame, min_size: int, size_col: str = "list_size") -> DataFrame:

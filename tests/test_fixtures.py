@@ -310,3 +310,11 @@ def test_history_modes_differ_only_in_history(spark):
     # the class's last session is (3, 0): other samples get all its items, itself its prefix
     assert {i for (u, i) in last if u == 1} == set(range(30, 70))
     assert {i for (u, i) in last if u == 3} == set(range(30, 50))
+
+
+def test_collect_sessions_chunks_long_sessions(spark):
+    df = spark.createDataFrame([(1, t, t) for t in range(25)], "u long, t long, id long")
+    long = ss.sessionize(df, "u", "t", 10, bucket=5, tiebreak=["id"])
+    rows = ss.collect_sessions(long, "u", "t", ["id"], tiebreak=["id"], chunk=10).orderBy("chunk_no").collect()
+    assert [r.id_list for r in rows] == [list(range(10)), list(range(10, 20)), list(range(20, 25))]
+    assert {r.list_size for r in rows} == {25}
