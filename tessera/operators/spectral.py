@@ -295,6 +295,15 @@ def exact_filter(spec: DataFrame, signal: DataFrame, graphs: DataFrame, taus: li
             .agg(F.sum(F.col("u") * F.col("val")).alias("val")))
 
 
+def frame_bounds_eigenvalues(spec: DataFrame, graphs: DataFrame, taus: list[float],
+                             kernel: str = "heat", lmax: str = "lmax") -> DataFrame:
+    """K11 (``use_eigenvalues``): min and max of Σ_i g_i(λ)² over the eigenvalues."""
+    lam = spec.select(G, "k", "lam").distinct().join(graphs.select(G, lmax), G)
+    bank = evaluate_bank(lam, taus, kernel, x="lam", lmax=lmax)
+    s = bank.groupBy(G, "k").agg(F.sum(F.col("g") ** 2).alias("_s"))
+    return s.groupBy(G).agg(F.min("_s").alias("a"), F.max("_s").alias("b"))
+
+
 def kernel_norms(spec: DataFrame, graphs: DataFrame, taus: list[float], kernel: str = "heat",
                  lmax: str = "lmax") -> DataFrame:
     """K4: L2 norm of each kernel over the eigenvalues (the ``normalize=True`` divisor)."""

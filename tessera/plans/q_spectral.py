@@ -219,9 +219,10 @@ def _spec(spark, sf):
 
 @register("g17_spectrum")
 def g17_spectrum(spark, sf):
-    """Eigenvalues of every class graph's Laplacian (grouped dense solver): rows-only."""
+    """Eigenvalues of every class graph's Laplacian and its coherence mu = max |U|
+    (grouped dense solver): rows-only."""
     _, _, _, spec = _spec(spark, sf)
-    return spec.select("graph_id", "k", "lam").distinct()
+    return spec.select("graph_id", "k", "lam").distinct().join(sp.coherence(spec), "graph_id")
 
 
 @register("g18_g19_fourier_roundtrip", f"""WITH {LAP}
@@ -235,6 +236,13 @@ def g18_g19_fourier_roundtrip(spark, sf):
     return back.select("graph_id", "node", (F.round("val", 4) + F.lit(0.0)).alias("val"))
 
 
+@register("k11_frame_bounds_eigenvalues")
+def k11_frame_bounds_eigenvalues(spark, sf):
+    """Frame bounds of the heat bank over each class graph's eigenvalues: rows-only."""
+    _, _, graphs, spec = _spec(spark, sf)
+    return sp.frame_bounds_eigenvalues(spec, graphs, TAUS)
+
+
 @register("g20_modulate")
 def g20_modulate(spark, sf):
     e, nodes, _, spec = _spec(spark, sf)

@@ -318,3 +318,17 @@ def test_collect_sessions_chunks_long_sessions(spark):
     rows = ss.collect_sessions(long, "u", "t", ["id"], tiebreak=["id"], chunk=10).orderBy("chunk_no").collect()
     assert [r.id_list for r in rows] == [list(range(10)), list(range(10, 20)), list(range(20, 25))]
     assert {r.list_size for r in rows} == {25}
+
+
+def test_frame_bounds_on_eigenvalues(spark):
+    m = np.array([[0, 1, 0], [1, 0, 1], [0, 1, 0]], dtype=float)
+    e, nodes = _edges(spark, m), _nodes(spark, 3)
+    lap = gr.laplacian(e, nodes)
+    spec = sp.spectrum(lap, nodes)
+    graphs = gr.lmax_bound(e, nodes)
+    r = sp.frame_bounds_eigenvalues(spec, graphs, [-1.0, 1.0]).first()
+    lam = np.linalg.eigvalsh(np.diag(m.sum(1)) - m)
+    lam[0] = 0.0
+    s = np.exp(lam / 4) ** 2 + np.exp(-lam / 4) ** 2
+    assert (r.a, r.b) == pytest.approx((s.min(), s.max()))
+    assert sp.coherence(spec).first().mu == pytest.approx(np.abs(np.linalg.eigh(np.diag(m.sum(1)) - m)[1]).max())
