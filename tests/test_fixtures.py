@@ -332,3 +332,10 @@ def test_frame_bounds_on_eigenvalues(spark):
     s = np.exp(lam / 4) ** 2 + np.exp(-lam / 4) ** 2
     assert (r.a, r.b) == pytest.approx((s.min(), s.max()))
     assert sp.coherence(spec).first().mu == pytest.approx(np.abs(np.linalg.eigh(np.diag(m.sum(1)) - m)[1]).max())
+
+
+def test_tie_safe_sql_rewrite():
+    from tessera.plans.registry import tie_safe_sql
+    sql = "SELECT ROUND(SUM(a / (b + 1)), 6) AS x, ROUND(y, 4) AS y, ROUND(f(ROUND(z, 6), 2), 6) FROM t"
+    assert tie_safe_sql(sql) == ("SELECT ROUND((SUM(a / (b + 1))) + 1e-09, 6) AS x, ROUND(y, 4) AS y, "
+                                 "ROUND((f(ROUND((z) + 1e-09, 6), 2)) + 1e-09, 6) FROM t")
