@@ -81,9 +81,11 @@ def person_snapshots(t: TestData) -> DataFrame:
     part = t.table("part").select("p_partkey", "p_name")
     lines = (od.join(li, od.o_orderkey == li.l_orderkey)
              .join(part, F.col("l_partkey") == part.p_partkey))
-    # tokens of one (person, day): the words of the part names ordered that day
+    # tokens of one (person, day): the words of the distinct part names ordered that day
+    # (a set bounded by the part catalogue, not by how many lines a busy customer has)
     day = lines.groupBy("geek_id", "date").agg(
-        F.flatten(F.collect_list(fc.split_tokens(F.col("p_name"), " "))).alias("tokens"),
+        F.flatten(F.transform(F.array_sort(F.collect_set("p_name")),
+                              lambda n: fc.split_tokens(n, " "))).alias("tokens"),
         F.count(F.lit(1)).alias("n_lines"), F.sum("o_totalprice").alias("total_price"))
     cust = t.table("customer").select(F.col("c_custkey").alias("geek_id"),
                                       F.col("c_nationkey").alias("nation"),
@@ -107,7 +109,7 @@ def person_profile(spark: SparkSession, sf_dir: str, k: int = 8, topics: int = 5
             .fillna({"skills": -1})
 
     idx = ft.string_index(train, ["segment"])
-    train = idx.transform(topics_of(train)).withColumnRenamed("segment_idx", "segment_idx")
+    train = idx.transform(topics_of(train))
     test = idx.transform(topics_of(test))
     stages = [ft.assemble(PERSON_FEATURES), ft.scaler(), ft.kmeans(k)]
     model, (tr, te) = ft.fit_apply(stages, train, test)
