@@ -37,6 +37,27 @@ def sessionize_window(df: DataFrame, key: str, time_col: str, gap: float) -> Dat
             .withColumn("group_id", F.sum("new_record").over(w)))
 
 
+def session_flags(df: DataFrame, key: str, time_col: str, gap: float,
+                  bucket: float | None = None, tiebreak: Iterable[str] = ()) -> DataFrame:
+    """W1-W4 with the reference's columns — prev_time, time_diff (first row 0),
+    new_record (gap strictly greater), group_id (running count of new records) — in
+    the two-level form: ``lag`` inside each (key, bucket), the previous bucket's last
+    time as carry, and ``group_id`` from the bucket summary.  No window spans a key."""
+    bucket = gap if bucket is None else bucket
+    tiebreak = list(tiebreak)
+    summ = bucket_summary(df, key, time_col, gap, bucket, tiebreak).select(
+        key, "_b", "session_no", "prev_bucket_max")
+    x = (df.withColumn("_b", F.floor(F.col(time_col) / F.lit(bucket)).cast("long"))
+         .join(summ, [key, "_b"]))
+    wb = Window.partitionBy(key, "_b").orderBy(*_order_cols(time_col, tiebreak))
+    prev = F.coalesce(F.lag(time_col).over(wb), F.col("prev_bucket_max"))
+    return (x.withColumn("prev_time", prev)
+            .withColumn("time_diff", F.coalesce(F.col(time_col) - F.col("prev_time"), F.lit(0)))
+            .withColumn("new_record", F.when(F.col("time_diff") > F.lit(gap), 1).otherwise(0))
+            .withColumn("group_id", F.col("session_no").cast("long"))
+            .drop("_b", "session_no", "prev_bucket_max"))
+
+
 def bucket_summary(df: DataFrame, key: str, time_col: str, gap: float, bucket: float,
                    tiebreak: Iterable[str] = (), first_cols: Iterable[str] = ()) -> DataFrame:
     """One row per (key, bucket) with the session bookkeeping of that bucket.
@@ -68,7 +89,7 @@ def bucket_summary(df: DataFrame, key: str, time_col: str, gap: float, bucket: f
                          .cast("int"))
             .withColumn("start_pos", F.max(F.when(F.col("starts"), F.col("rows_before")))
                         .over(run))
-            .drop("_prev_max"))
+            .withColumnRenamed("_prev_max", "prev_bucket_max"))
 
 
 def _session_attrs(summ: DataFrame, key: str, session_cols: list[str]) -> DataFrame:

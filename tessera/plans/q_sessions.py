@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import sessions as ss
-from tessera.plans.common import GAP_US, class_adjacency, r6, sessions_long, td
+from tessera.plans.common import BUCKET_US, GAP_US, class_adjacency, r6, sessions_long, td
 from tessera.plans.registry import register
 from tessera.plans.sqlparts import ADJ, GAP_US as SQL_GAP, LOG_V, SESS
 
@@ -27,8 +27,9 @@ SELECT geek_id, t_us, prev_time, time_diff, new_record,
        CAST(SUM(new_record) OVER (PARTITION BY geek_id ORDER BY t_us) AS BIGINT) AS group_id
 FROM c""")
 def w4_session_flags(spark, sf):
-    log = td(spark, sf).log().select("geek_id", "t_us")
-    return ss.sessionize_window(log, "geek_id", "t_us", GAP_US).select(
+    log = td(spark, sf).log().select("geek_id", "t_us", "event_id")
+    return ss.session_flags(log, "geek_id", "t_us", GAP_US, bucket=BUCKET_US,
+                            tiebreak=["event_id"]).select(
         "geek_id", "t_us", "prev_time", "time_diff", "new_record", "group_id")
 
 

@@ -339,3 +339,20 @@ def test_tie_safe_sql_rewrite():
     sql = "SELECT ROUND(SUM(a / (b + 1)), 6) AS x, ROUND(y, 4) AS y, ROUND(f(ROUND(z, 6), 2), 6) FROM t"
     assert tie_safe_sql(sql) == ("SELECT ROUND((SUM(a / (b + 1))) + 1e-09, 6) AS x, ROUND(y, 4) AS y, "
                                  "ROUND((f(ROUND((z) + 1e-09, 6), 2)) + 1e-09, 6) FROM t")
+
+
+@pytest.mark.parametrize("bucket", [5, 50, 100])
+def test_session_flags_equal_window_form(spark, bucket):
+    rng = np.random.default_rng(11)
+    rows, k = [], 0
+    for u in range(4):
+        t = 0
+        for _ in range(50):
+            t += int(rng.choice([1, 7, 60, 150, 500]))
+            rows.append((u, t, k))
+            k += 1
+    df = spark.createDataFrame(rows, "u long, t long, id long")
+    cols = ["u", "t", "prev_time", "time_diff", "new_record", "group_id"]
+    a = {tuple(r) for r in ss.session_flags(df, "u", "t", 100, bucket=bucket, tiebreak=["id"]).select(*cols).collect()}
+    b = {tuple(r) for r in ss.sessionize_window(df, "u", "t", 100).select(*cols).collect()}
+    assert a == b
