@@ -11,7 +11,7 @@ join folds them to at most ``n_nodes²`` rows per task and graph before the shuf
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 

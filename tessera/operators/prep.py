@@ -10,7 +10,6 @@ from typing import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.functions.codes import NULL_STRING
 

@@ -1,7 +1,5 @@
 """Small hand fixtures (FIXTURES.md §3) and identities of the operators."""
 
-import math
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
