@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.codes import arg_max
+from tessera.session import check_bounded
 
 
 def string_index(train: DataFrame, cols: list[str], suffix: str = "_idx"):
@@ -80,10 +81,13 @@ def centres_table(spark, model, id_col: str = "cluster") -> DataFrame:
 
 
 def nearest_centre(points: DataFrame, vec: str, centres: DataFrame, id_col: str = "cluster",
-                   center: str = "center", out: str = "prediction") -> DataFrame:
+                   center: str = "center", out: str = "prediction",
+                   max_centres: int = 100_000) -> DataFrame:
     """M8: assign each point to the nearest centre of a small centre table (squared
     Euclidean, ties -> lowest id).  The centres are folded into one array by a scalar
-    subquery, so each point is compared in place — no join."""
+    subquery, so each point is compared in place — no join.  The centre table is
+    checked against ``max_centres`` first."""
+    check_bounded(centres, max_centres, "centres")
     arr = centres.agg(F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("id"),
                                                            F.col(center).alias("c"))))).scalar()
     # the subquery is projected into a column first (it cannot sit inside a lambda)
@@ -118,6 +122,7 @@ def silhouette_table(points: DataFrame, vec: str, cluster: str) -> DataFrame:
              .agg(F.count(F.lit(1)).alias("n"),
                   F.sum(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x * x)).alias("ysq")))
     stats = norms.join(sums, cluster)
+    check_bounded(stats, 100_000, "clusters")
     arr = stats.agg(F.collect_list(F.struct(F.col(cluster).alias("id"), "n", "ysq", "ysum"))).scalar()
     xsq = F.aggregate(F.col(vec), F.lit(0.0), lambda a, x: a + x * x)
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import materialize
+from tessera.session import broadcast_if_small, check_bounded, materialize
 
 G = "graph_id"
 
@@ -340,11 +340,14 @@ def _sqdist(a: Column, b: Column) -> Column:
                        lambda acc, t: acc + t)
 
 
-def distances_to(points: DataFrame, refs: DataFrame, vec: str, ref_id: str, ref_vec: str) -> DataFrame:
+def distances_to(points: DataFrame, refs: DataFrame, vec: str, ref_id: str, ref_vec: str,
+                 max_refs: int = 100_000) -> DataFrame:
     """G23 re-aimed: Euclidean distance of every point to every reference vector of a
     small, bounded set (e.g. cluster centres).  The reference set is folded into one
     array by a scalar subquery and expanded inside each point row — no join, no pair
-    table beyond points × references."""
+    table beyond points × references.  The reference set is checked against
+    ``max_refs`` first."""
+    check_bounded(refs, max_refs, "reference vectors")
     arr = refs.agg(F.array_sort(F.collect_list(F.struct(F.col(ref_id).alias("id"),
                                                         F.col(ref_vec).alias("v"))))).scalar()
     per = points.withColumn("_r", F.explode(arr))
@@ -358,7 +361,7 @@ def rescale_center(points: DataFrame, key: str, dim: str = "dim", val: str = "va
     global maximum (one scalar subquery)."""
     # one mean per dimension: bounded by the dimension count, so it is broadcast
     means = points.groupBy(dim).agg(F.avg(val).alias("_m"))
-    c = (points.join(F.broadcast(means), dim)
+    c = (points.join(broadcast_if_small(means), dim)
          .withColumn(val, F.col(val) - F.col("_m")).drop("_m"))
     mx = c.select(F.max(val)).scalar()
     return c.withColumn(val, F.col(val) / mx)

@@ -15,7 +15,7 @@ from tessera.plans.common import r6, sessions_long, td
 from tessera.plans.q_graph import centres
 from tessera.plans.registry import register
 from tessera.plans.sqlparts import ADJ, SAMPLES, SESS
-from tessera.session import ensure_checkpoint_dir
+from tessera.session import broadcast_if_small, ensure_checkpoint_dir
 from tessera.sources import io
 
 
@@ -158,10 +158,10 @@ def h9_sample_assembly(spark, sf):
 SELECT e.vec_id, e.label, ROUND(c0.cx, 6) AS c0, ROUND(c63.cx, 6) AS c63 FROM embeddings e
   JOIN c c0 ON c0.label = e.label AND c0.pos = 1 JOIN c c63 ON c63.label = e.label AND c63.pos = 64""")
 def j5_centre_lookup(spark, sf):
-    """Class id -> cluster centre: a join with the centre table, broadcast because it
-    holds one row per class (bounded by the class count)."""
+    """Class id -> cluster centre: a join with the centre table, broadcast after a size
+    check (one row per class), a shuffle join beyond the limit."""
     e = td(spark, sf).table("embeddings").select("vec_id", "label")
     c = centres(spark, sf)
-    return (e.join(F.broadcast(c), "label")
+    return (e.join(broadcast_if_small(c), "label")
             .select("vec_id", "label", r6(F.col("center")[0]).alias("c0"),
                     r6(F.col("center")[63]).alias("c63")))
