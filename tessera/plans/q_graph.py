@@ -176,10 +176,15 @@ UNION ALL
 SELECT 'dg', graph_id, (SELECT COUNT(*) FROM reach_f r WHERE r.graph_id = nd.graph_id) = n
   AND (SELECT COUNT(*) FROM reach_b r WHERE r.graph_id = nd.graph_id) = n FROM nd""")
 def g12_connected(spark, sf):
+    # one reachability loop for all graphs: key = class * 2 + kind.  For the symmetric
+    # class graphs the transposed pass reaches the same nodes, so checking both
+    # orientations everywhere gives the undirected answer for them.
     u, d = ug(spark, sf), dg(spark, sf)
-    a = gr.is_connected(u, nodes_of(u)).withColumn("kind", F.lit("ug"))
-    b = gr.is_connected(d, nodes_of(d), directed=True).withColumn("kind", F.lit("dg"))
-    return a.unionByName(b).select("kind", "graph_id", "connected")
+    e = (u.select((F.col("graph_id") * 2).alias("graph_id"), "src", "dst", "w")
+         .unionByName(d.select((F.col("graph_id") * 2 + 1).alias("graph_id"), "src", "dst", "w")))
+    c = gr.is_connected(e, nodes_of(e), directed=True)
+    return c.select(F.when(F.col("graph_id") % 2 == 0, F.lit("ug")).otherwise(F.lit("dg")).alias("kind"),
+                    (F.col("graph_id") / 2).cast("int").alias("graph_id"), "connected")
 
 
 @register("g13_components", f"""WITH RECURSIVE {DG},
