@@ -354,3 +354,18 @@ def test_session_flags_equal_window_form(spark, bucket):
     a = {tuple(r) for r in ss.session_flags(df, "u", "t", 100, bucket=bucket, tiebreak=["id"]).select(*cols).collect()}
     b = {tuple(r) for r in ss.sessionize_window(df, "u", "t", 100).select(*cols).collect()}
     assert a == b
+
+
+def test_broadcast_only_behind_size_check(spark):
+    from tessera.session import broadcast_if_small
+    big = spark.range(1000).withColumnRenamed("id", "k")
+    small = spark.range(10).withColumnRenamed("id", "k")
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # only explicit hints
+    try:
+        plan_small = big.join(broadcast_if_small(small, max_rows=100), "k")._jdf.queryExecution().executedPlan().toString()
+        plan_big = big.join(broadcast_if_small(small, max_rows=5), "k")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+    assert "BroadcastHashJoin" in plan_small
+    assert "BroadcastHashJoin" not in plan_big
