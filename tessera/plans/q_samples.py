@@ -21,15 +21,19 @@ def _graphs(spark, sf):
 
 @register("a1_collect_sessions", f"""WITH {SESS}
 SELECT geek_id, session_no, CAST(pos // 10000 AS INTEGER) AS chunk_no,
-  list(job_class ORDER BY pos) AS job_class_list,
-  list(deal_type ORDER BY pos) AS deal_type_list, list(t_us ORDER BY pos) AS t_us_list,
-  list(date ORDER BY pos) AS date_list, any_value(list_size) AS list_size
+  list(event_id ORDER BY pos) AS event_id_list, list(deal_type ORDER BY pos) AS deal_type_list,
+  list(t_us ORDER BY pos) AS t_us_list, list(date ORDER BY pos) AS date_list,
+  list(person_class ORDER BY pos) AS person_class_list,
+  list(job_class ORDER BY pos) AS job_class_list, any_value(list_size) AS list_size
 FROM sess GROUP BY 1, 2, 3""")
 def a1_collect_sessions(spark, sf):
     """Session rows with parallel lists (at most 10,000 events per row)."""
     long = ss.sessionize(td(spark, sf).log(), "geek_id", "t_us", 86400 * 10**6,
                          bucket=3600 * 10**6, tiebreak=["event_id"])
-    return ss.collect_sessions(long, "geek_id", "t_us", ["job_class", "deal_type", "t_us", "date"],
+    # the six lists of the original session row: job (event) id, deal type, time, date,
+    # person class and job class
+    return ss.collect_sessions(long, "geek_id", "t_us",
+                               ["event_id", "deal_type", "t_us", "date", "person_class", "job_class"],
                                tiebreak=["event_id"])
 
 
