@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, html_extract, quality_rules, secret_scan, sharding
+from tessera.llm import chat_format, html_extract, near_dup, quality_rules, secret_scan, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -59,3 +59,9 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html_extract.main_text(table(spark, sf_dir, "pages"))
     return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op4_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dup.near_duplicates(docs, near_dup.MinHash(shingle=2))
