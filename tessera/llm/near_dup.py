@@ -6,11 +6,13 @@ optimal densification: a bin probes others in an order that depends on the bin a
 it meets a filled one.  Bands of ``rows`` bins give bucket keys.
 
 Texts of equal sets are one class, so copies cost one row each and no pairs.  Within a
-bucket candidates are stars: the least member is the centre, and every member outside its
-component is compared with it on the full sets.  Confirmed links merge components; the
-centre then leaves the bucket.  While a bucket still holds members of two components, the
-next round takes further centres (8 times as many per round), so every pair of a bucket is
-either compared or already connected, without writing out all pairs of a group.
+bucket candidates are a star: the member that shares most buckets is the centre, and the
+others are compared with it on the full sets.  Confirmed links merge components.  Buckets
+that still hold two components are settled exactly: their members are bucketed anew by
+prefix shingles (any two sets of the wanted similarity share one), and stars of more and
+more centres (16 times as many per round, each of which then leaves its bucket) compare
+members of different components, until every pair of a bucket is compared or connected.
+No step writes out all pairs of a group.
 
 Edge cases: a text without words (null, empty) has no set and links with nothing; fewer
 words than a shingle make one shingle; ties and repeated rows fall into one class; a null
@@ -157,46 +159,78 @@ def confirm(pairs: DataFrame, texts: DataFrame, p: MinHash) -> DataFrame:
     return j.join(tb, F.col("b") == F.col("cb")).select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
+def _prefix_buckets(members: DataFrame, texts: DataFrame, p: MinHash) -> DataFrame:
+    """(bucket, cls, n, hub, rest) for the prefix shingles of ``members(cls, n, hub)``: with the
+    shingles of a set ordered from rare to frequent, two sets of the wanted similarity
+    share one of their first n - ceil(n * percent / 100) + 1 shingles.  ``rest`` counts the
+    shingles from there on: the first shared one bounds the size of the intersection."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = buffers(b.column("text"))
+            for i, j in slices(off):
+                doc, sh = shingle_sets(Texts(data[off[i]:off[j]], off[i:j + 1], lower=True), p.shingle)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("cls").slice(i, j - i).take(pa.array(doc)), pa.array(sh.view(np.int64))],
+                    names=["cls", "token"])
+
+    tokens = staged(texts.join(members.select("cls"), "cls", "left_semi").mapInArrow(run, "cls binary, token long"), "tokens")
+    freq = tokens.groupBy("token").agg(F.count("*").alias("f")).withColumnRenamed("token", "t")
+    ordered = (tokens.join(freq, F.col("token") == F.col("t")).groupBy("cls")
+               .agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("set")))
+    length = F.size("set") - F.ceil(F.size("set") * p.percent / 100).cast("int") + 1
+    rare = ordered.select(F.col("cls").alias("c"), F.posexplode(F.slice("set", F.lit(1), length)).alias("i", "s")).filter("s.f > 1")
+    return members.join(rare, F.col("cls") == F.col("c")).select(
+        F.col("s.token").alias("bucket"), "cls", "n", "hub", (F.col("n") - F.col("i")).alias("rest"))
+
+
 def links(classes: DataFrame, docs: DataFrame, p: MinHash) -> DataFrame:
     """Confirmed links (a, b) between classes: enough to connect every component.
     ``classes``: (cls, doc_id, n, bands), one row per class."""
     rows = classes.select("cls", "n", F.explode("bands").alias("bucket"))
-    crowded = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select(F.col("bucket").alias("k"))
-    left = staged(rows.join(crowded, F.col("bucket") == F.col("k")).select("bucket", "cls", "n"), "buckets")
+    crowded = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").withColumnRenamed("bucket", "k")
+    left = staged(rows.join(crowded, F.col("bucket") == F.col("k")).select("bucket", "cls", "n", "size"), "buckets")
+    none = rows.select(F.col("cls").alias("a"), F.col("cls").alias("b")).filter("false")
     if left.isEmpty():
-        return rows.select(F.col("cls").alias("a"), F.col("cls").alias("b")).filter("false")
+        return none
+    # a text that shares many buckets with many others (the original of edited copies) is a good centre
+    hub = left.groupBy("cls").agg(F.sum("size").alias("hub")).withColumnRenamed("cls", "c")
+    left = left.join(hub, F.col("cls") == F.col("c")).select("bucket", "cls", "n", "hub", F.col("n").alias("rest"))
     texts = staged(_class_texts(docs, classes.join(left.select("cls").distinct(), "cls", "left_semi")
                                 .select("doc_id", "cls"), p), "texts")
-    found, seen, labels, centres = None, None, None, 1
+    found, seen, labels, centres = none, none, None, 1
     while True:
         if labels is None:
             here = left.withColumn("comp", F.col("cls"))
         else:
             here = left.join(labels, F.col("cls") == F.col("node"), "left").select(
-                "bucket", "cls", "n", F.coalesce("label", "cls").alias("comp"))
-        mixed = here.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(
-            "lo <> hi").select(F.col("bucket").alias("k"))
-        left = staged(here.join(mixed, F.col("bucket") == F.col("k"), "left_semi"), "buckets")
+                "bucket", "cls", "n", "hub", "rest", F.coalesce("label", "cls").alias("comp"))
+        mixed = (here.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+                 .filter("lo <> hi").select(F.col("bucket").alias("k")))
+        left = here.join(mixed, F.col("bucket") == F.col("k"), "left_semi")
+        if centres == 8:  # the first stars are done: exact candidates for what is still apart
+            members = left.select("cls", "n", "hub").distinct()
+            left = _prefix_buckets(members, texts, p).join(
+                labels, F.col("cls") == F.col("node"), "left").select(
+                "bucket", "cls", "n", "hub", "rest", F.coalesce("label", "cls").alias("comp"))
+        left = staged(left, "buckets")
         if left.isEmpty():
             return found
-        part = F.pmod(F.xxhash64("cls"), F.lit(centres))
-        star = left.groupBy("bucket", part.alias("part")).agg(F.min(F.struct("cls", "comp", "n")).alias("c"))
-        star = staged(star.select(F.col("bucket").alias("k"), "c.*").toDF("k", "centre", "c_comp", "c_n"), "stars")
-        # sets of very unequal size cannot be similar
-        size_ok = (100 * F.least("n", "c_n") >= p.percent * F.greatest("n", "c_n"))
-        pairs = (left.join(star, F.col("bucket") == F.col("k")).filter((F.col("comp") != F.col("c_comp")) & size_ok)
-                 .select(F.col("cls").alias("a"), F.col("centre").alias("b")).distinct())
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti").join(
-                seen.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+        star = (left.groupBy("bucket", F.pmod(F.xxhash64("cls"), F.lit(centres)).alias("part"))
+                .agg(F.max(F.struct("hub", "cls", "comp", "n", "rest")).alias("c")))
+        star = staged(star.select(F.col("bucket").alias("k"), "c.*").toDF(
+            "k", "c_hub", "centre", "c_comp", "c_n", "c_rest"), "stars")
+        # a link needs this much in common: unequal sizes or late first matches rule it out
+        both = (100 + p.percent) * F.least("rest", "c_rest") >= p.percent * (F.col("n") + F.col("c_n"))
+        pairs = (left.join(star, (F.col("bucket") == F.col("k")) & (F.col("comp") != F.col("c_comp")) & both)
+                 .select(F.col("cls").alias("a"), F.col("centre").alias("b")).distinct()
+                 .join(seen, ["a", "b"], "left_anti")
+                 .join(seen.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
         pairs = staged(pairs, "pairs")
-        seen = pairs if seen is None else seen.union(pairs)
-        good = staged(confirm(pairs, texts, p), "links")
-        found = good if found is None else found.union(good)
+        found, seen = found.union(staged(confirm(pairs, texts, p), "links")), seen.union(pairs)
         labels = connected_components(found)
         left = left.join(star, (F.col("bucket") == F.col("k")) & (F.col("cls") == F.col("centre")), "left_anti").select(
-            "bucket", "cls", "n")
-        centres *= 8
+            "bucket", "cls", "n", "hub", "rest")
+        centres = 8 if centres == 1 else 16 * centres
 
 
 def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
