@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, html_extract, near_dup, quality_rules, secret_scan, sharding
+from tessera.llm import (chat_format, decontaminate, html_extract, line_dedup, near_dup, quality_rules,
+                         secret_scan, sharding)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,8 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["kind"] < 3)
-    kinds = [F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}")
-             for i, k in enumerate(secret_scan.KINDS)]
+
+    def of_kind(i: int):
+        return F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long")
+
+    kinds = [of_kind(i).alias(f"n_{k}") for i, k in enumerate(secret_scan.KINDS)]
     return found.select("doc_id", *kinds, F.sha2(secret_scan.joined(base), 256).alias("base_sha256"),
                         secret_scan.joined(F.col("spans")).alias("spans"))
 
@@ -65,3 +69,18 @@ def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dup.near_duplicates(docs, near_dup.MinHash(shingle=2))
+
+
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.rewrite(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.coalesce("__kept", F.lit(""))
+    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"),
+                      F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256"))
+
+
+@query
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontaminate.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                      table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return hits.select("doc_id", "item_id", F.col("n_item").cast("long"), F.col("n_shared").cast("long"))

@@ -139,4 +139,5 @@ def test_digest(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
     for r in op3_secret_scan(spark, d).collect():
         want = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in brute_base(texts[r.doc_id]))
+        assert [r.n_assign, r.n_access, r.n_hex] == [want.count(f"{k}:") for k in secret_scan.KINDS[:3]]
         assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
