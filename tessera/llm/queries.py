@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import (chat_format, decontaminate, html_extract, line_dedup, near_dup, quality_rules,
-                         secret_scan, sharding)
+from tessera.llm import (chat_format, decontaminate, html_extract, line_dedup, near_dup, packing,
+                         quality_rules, secret_scan, sharding)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -84,3 +84,8 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"),
                                       table(spark, sf_dir, "benchmark").select("item_id", "text"))
     return hits.select("doc_id", "item_id", F.col("n_item").cast("long"), F.col("n_shared").cast("long"))
+
+
+@query
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
