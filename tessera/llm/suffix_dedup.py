@@ -8,8 +8,8 @@ A byte goes if a ``length``-byte string over it also starts in a document of sma
    windows of the corpus into independent, bounded sets.  Minimizers that occur in one
    document only are ruled out first, by 32-bit remainders and one answer bit each.
 3. Runs of windows with a shared minimizer travel to its bucket as strings with the least
-   document that holds them (equal strings of a block once).  A bucket splits its strings
-   into shards, builds each shard's Burrows-Wheeler transform, and merges the transforms by
+   document that holds them (equal strings once).  Strings that are alone with their
+   minimizer share no window with others; a bucket splits the rest into shards, builds each shard's Burrows-Wheeler transform, and merges the transforms by
    iterative interleave refinement: round t stably deals the interleave by the symbols of
    the transforms, which sorts all suffixes by t symbols without comparing texts.  The
    round in which neighbours part is their common prefix + 1; after ``length`` rounds the
@@ -222,6 +222,18 @@ def least_documents(strings: list[bytes], docs: np.ndarray, p: Repeats) -> list[
     return np.split(out, first[1:-1])
 
 
+def _alone(strings: list[bytes], p: Repeats) -> np.ndarray:
+    """Which strings are the only ones with their minimizer (they share no window)."""
+    text, size = np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings])
+    end = np.cumsum(size)
+    at = np.arange(len(text))
+    inside = at + p.seed <= np.repeat(end, size)
+    low = np.full(len(text), np.iinfo(U).max, U)
+    low[inside] = span_hash(prefix(text), at[inside], at[inside] + p.seed)
+    _, of, n = np.unique(np.minimum.reduceat(low, end - size), return_inverse=True, return_counts=True)
+    return n[of] == 1
+
+
 def _shared(blocked: DataFrame, buckets: int, p: Repeats) -> DataFrame:
     """(block, bucket, shared): bits of the block's minimizers of the bucket."""
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,12 +245,12 @@ def _shared(blocked: DataFrame, buckets: int, p: Repeats) -> DataFrame:
                 low = (h >> U(32)).astype("<u4")
                 yield pa.RecordBatch.from_pydict(
                     {"bucket": [int(at[i]) for i in cut], "block": [r["block"]] * len(cut),
-                     "h": [low[i:j].tobytes() for i, j in zip(cut, end, strict=False)],
+                     "h": [_pack(np.diff(low[i:j], prepend=low.dtype.type(0)).tobytes()) for i, j in zip(cut, end, strict=False)],
                      "two": [np.packbits(two[i:j]).tobytes() for i, j in zip(cut, end, strict=False)]},
                     schema=pa.schema([("bucket", pa.int64()), ("block", pa.string()), ("h", pa.binary()), ("two", pa.binary())]))
 
     def answer(t: pa.Table) -> pa.Table:
-        h = [np.frombuffer(x, "<u4") for x in t["h"].to_pylist()]
+        h = [np.cumsum(np.frombuffer(_unpack(x), "<u4"), dtype="<u4") for x in t["h"].to_pylist()]
         _, of, n = np.unique(np.concatenate(h), return_inverse=True, return_counts=True)
         again = np.split(n[of] > 1, np.cumsum([len(x) for x in h])[:-1])
         bits = [np.packbits(a | np.unpackbits(np.frombuffer(w, np.uint8), count=len(a)).astype(bool)).tobytes()
@@ -299,7 +311,12 @@ def repeats(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
                     docs_[k] = d
                 mine.append(k)
             rows.append(mine)
-        low = least_documents(names, np.array(docs_, np.int64), p)
+        least, alone = np.array(docs_, np.int64), _alone(names, p)
+        low = [np.full(len(s) - p.length + 1, d) for s, d in zip(names, docs_, strict=True)]
+        if not alone.all():
+            more = np.flatnonzero(~alone)
+            for k, v in zip(more, least_documents([names[k] for k in more], least[more], p), strict=True):
+                low[k] = v
         return pa.table({"block": t["block"].cast(pa.string()), "bucket": t["bucket"], "low": pa.array(
             [_pack(np.concatenate([low[k] for k in mine]).astype("<i8").tobytes()) for mine in rows], pa.binary())})
 
