@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.codes import arg_max
-from tessera.session import check_bounded
 
 
 def string_index(train: DataFrame, cols: list[str], suffix: str = "_idx"):
@@ -25,13 +24,19 @@ def string_index(train: DataFrame, cols: list[str], suffix: str = "_idx"):
                          handleInvalid="keep", stringOrderType="frequencyDesc").fit(train)
 
 
-def bag_of_words(train: DataFrame, tokens: str, out: str = "tf", vocab_size: int = 1 << 18,
+def bag_of_words(train: DataFrame, tokens: str, out: str = "tf", vocab_size: int = (1 << 31) - 1,
                  min_df: float = 1.0):
-    """M2: CountVectorizer with the library defaults."""
+    """M2: CountVectorizer over all terms, for models that need term indices."""
     return CountVectorizer(inputCol=tokens, outputCol=out, vocabSize=vocab_size,
                            minDF=min_df).fit(train)
 
 
+def term_counts(df: DataFrame, id_col: str, tokens: str) -> DataFrame:
+    """M2 as a table (id, term, count): every term, no vocabulary on the driver."""
+    return (df.select(id_col, F.explode(tokens).alias("term")).groupBy(id_col, "term")
+            .agg(F.count(F.lit(1)).cast("double").alias("count")))
+
+
 def topic_model(train: DataFrame, features: str, k: int, max_iter: int, seed: int = 1):
     """M3: LDA (online optimizer, the default) with an explicit seed."""
     return LDA(k=k, maxIter=max_iter, seed=seed, featuresCol=features,
@@ -81,13 +86,11 @@ def centres_table(spark, model, id_col: str = "cluster") -> DataFrame:
 
 
 def nearest_centre(points: DataFrame, vec: str, centres: DataFrame, id_col: str = "cluster",
-                   center: str = "center", out: str = "prediction",
-                   max_centres: int = 100_000) -> DataFrame:
+                   center: str = "center", out: str = "prediction") -> DataFrame:
     """M8: assign each point to the nearest centre of a small centre table (squared
     Euclidean, ties -> lowest id).  The centres are folded into one array by a scalar
-    subquery, so each point is compared in place — no join.  The centre table is
-    checked against ``max_centres`` first."""
-    check_bounded(centres, max_centres, "centres")
+    subquery, so each point is compared in place — no join.  The centre
+    table has one row per cluster (the k of the fitted model)."""
     arr = centres.agg(F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("id"),
                                                            F.col(center).alias("c"))))).scalar()
     # the subquery is projected into a column first (it cannot sit inside a lambda)
@@ -122,7 +125,6 @@ def silhouette_table(points: DataFrame, vec: str, cluster: str) -> DataFrame:
              .agg(F.count(F.lit(1)).alias("n"),
                   F.sum(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x * x)).alias("ysq")))
     stats = norms.join(sums, cluster)
-    check_bounded(stats, 100_000, "clusters")
     arr = stats.agg(F.collect_list(F.struct(F.col(cluster).alias("id"), "n", "ysq", "ysum"))).scalar()
     xsq = F.aggregate(F.col(vec), F.lit(0.0), lambda a, x: a + x * x)
 

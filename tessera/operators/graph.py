@@ -11,10 +11,12 @@ lineage with reliable checkpoints.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import broadcast_if_small, check_bounded, materialize
+from tessera.session import materialize
 
 G = "graph_id"
 
@@ -216,7 +218,7 @@ def subgraph(edges: DataFrame, keep: DataFrame) -> DataFrame:
     return e.select(G, F.col("_s").alias("src"), F.col("_d").alias("dst"), "w")
 
 
-def reach_from(edges: DataFrame, nodes: DataFrame, start: int = 0, max_iter: int = 10_000,
+def reach_from(edges: DataFrame, nodes: DataFrame, start: int = 0,
                checkpoint_every: int = 4, keys: tuple[str, ...] = (G,)) -> DataFrame:
     """Nodes reachable from ``start`` over edges with w > 0, for every graph (``keys``
     name a graph; extra keys such as an orientation run in the same loop).  Frontier
@@ -226,7 +228,7 @@ def reach_from(edges: DataFrame, nodes: DataFrame, start: int = 0, max_iter: int
     adj = materialize(edges.filter(F.col("w") > 0).select(*keys, F.col("src").alias("node"), "dst"))
     seen = materialize(nodes.filter(F.col("node") == start).select(*keys, "node"))
     frontier = seen
-    for k in range(max_iter):
+    for k in count():
         nxt = (frontier.join(adj, [*keys, "node"]).select(*keys, F.col("dst").alias("node")).distinct()
                .join(seen, [*keys, "node"], "left_anti")).persist()
         if nxt.isEmpty():
@@ -255,7 +257,7 @@ def is_connected(edges: DataFrame, nodes: DataFrame, directed: bool = False) ->
     return per_dir.groupBy(G).agg(F.bool_and("_ok").alias("connected"))
 
 
-def components(edges: DataFrame, nodes: DataFrame, max_iter: int = 10_000,
+def components(edges: DataFrame, nodes: DataFrame,
                checkpoint_every: int = 4) -> DataFrame:
     """Connected components of undirected graphs as (graph_id, node, component)
     with component = smallest node id of the component (min-label propagation until
@@ -266,7 +268,7 @@ def components(edges: DataFrame, nodes: DataFrame, max_iter: int = 10_000,
     adj = materialize(adj)
     lab = materialize(nodes.select(G, "node", F.col("node").alias("comp")))
     lab = lab.persist()
-    for k in range(max_iter):
+    for k in count():
         prop = (lab.join(adj.withColumnRenamed("src", "node"), [G, "node"])
                 .groupBy(G, F.col("dst").alias("node")).agg(F.min("comp").alias("_c")))
         new = (lab.join(prop, [G, "node"], "left")
@@ -340,14 +342,11 @@ def _sqdist(a: Column, b: Column) -> Column:
                        lambda acc, t: acc + t)
 
 
-def distances_to(points: DataFrame, refs: DataFrame, vec: str, ref_id: str, ref_vec: str,
-                 max_refs: int = 100_000) -> DataFrame:
+def distances_to(points: DataFrame, refs: DataFrame, vec: str, ref_id: str, ref_vec: str) -> DataFrame:
     """G23 re-aimed: Euclidean distance of every point to every reference vector of a
     small, bounded set (e.g. cluster centres).  The reference set is folded into one
     array by a scalar subquery and expanded inside each point row — no join, no pair
-    table beyond points × references.  The reference set is checked against
-    ``max_refs`` first."""
-    check_bounded(refs, max_refs, "reference vectors")
+    table beyond points × references."""
     arr = refs.agg(F.array_sort(F.collect_list(F.struct(F.col(ref_id).alias("id"),
                                                         F.col(ref_vec).alias("v"))))).scalar()
     per = points.withColumn("_r", F.explode(arr))
@@ -359,9 +358,9 @@ def distances_to(points: DataFrame, refs: DataFrame, vec: str, ref_id: str, ref_
 def rescale_center(points: DataFrame, key: str, dim: str = "dim", val: str = "val") -> DataFrame:
     """Centre each dimension over the points, then divide everything by the
     global maximum (one scalar subquery)."""
-    # one mean per dimension: bounded by the dimension count, so it is broadcast
+    # one mean per dimension: a small table that adaptive execution broadcasts by its bytes
     means = points.groupBy(dim).agg(F.avg(val).alias("_m"))
-    c = (points.join(broadcast_if_small(means), dim)
+    c = (points.join(means, dim)
          .withColumn(val, F.col(val) - F.col("_m")).drop("_m"))
     mx = c.select(F.max(val)).scalar()
     return c.withColumn(val, F.col(val) / mx)

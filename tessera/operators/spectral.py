@@ -64,25 +64,25 @@ def rect_coeff(graphs: DataFrame, b_lo, b_hi, order: int = 30,
 
 def jackson_cheby_coeff(bounds: DataFrame, m: int, a: str = "a", b: str = "b",
                         lmin: str = "lmin", lmax: str = "lmax") -> DataFrame:
-    """Chebyshev (ch) and Jackson-damped (jch) coefficients of the band-pass [a, b]
-    on [lmin, lmax]; rows whose bounds fall outside the range raise (ValueError)."""
-    bad = bounds.filter((F.col(lmin) > F.col(a)) | (F.col(lmax) < F.col(b))
-                        | (F.col(lmin) > F.col(lmax)))
-    if not bad.isEmpty():
-        raise ValueError("Bounds of the filter are out of the lambda values")
-    a1 = (F.col(lmax) - F.col(lmin)) / 2
-    a2 = (F.col(lmax) + F.col(lmin)) / 2
-    f0 = F.acos((F.col(a) - a2) / a1)
-    f1 = F.acos((F.col(b) - a2) / a1)
-    i = F.col("i")
-    ch = F.when(i == 0, F.lit(2 / math.pi) * (f0 - f1)).otherwise(
-        F.lit(2.0) / (F.lit(math.pi) * i) * (F.sin(i * f0) - F.sin(i * f1)))
-    alpha = math.pi / (m + 2)
-    jk = (F.lit(1 / math.sin(alpha)) * ((F.lit(1.0) - i / F.lit(m + 2)) * F.lit(math.sin(alpha))
-                                        * F.cos(i * F.lit(alpha))
-                                        + F.lit(1.0 / (m + 2) * math.cos(alpha)) * F.sin(i * F.lit(alpha))))
-    rows = bounds.select("*", F.explode(F.sequence(F.lit(0), F.lit(m))).alias("i"))
-    return rows.select(*bounds.columns, "i", ch.alias("ch"), (ch * jk).alias("jch"))
+    """Chebyshev series (ch) of the indicator of [a, b] on [lmin, lmax] and the same
+    series with Jackson damping (jch).  In the angle t of x = cos(t) the indicator covers
+    [t(b), t(a)]; the damping factors of degree n = m + 2 are
+    ((n - k) sin(q) cos(kq) + cos(q) sin(kq)) / (n sin(q)) with q = pi / n.
+    Rows whose interval leaves the range fail in the job that reads them."""
+    def angle(edge: str) -> Column:
+        inside = F.col(edge).between(F.col(lmin), F.col(lmax)) & (F.col(lmin) < F.col(lmax))
+        at = (2 * F.col(edge) - F.col(lmin) - F.col(lmax)) / (F.col(lmax) - F.col(lmin))
+        return F.when(inside, F.acos(at)).otherwise(
+            F.raise_error(F.lit("band edge outside the range of eigenvalues")).cast("double"))
+
+    k, n = F.col("i"), m + 2
+    q = math.pi / n
+    low, high = angle(b), angle(a)
+    series = F.when(k == 0, (high - low) * (2 / math.pi)).otherwise(
+        (F.sin(k * high) - F.sin(k * low)) / k * (2 / math.pi))
+    damping = ((n - k) * math.sin(q) * F.cos(k * q) + math.cos(q) * F.sin(k * q)) / (n * math.sin(q))
+    rows = bounds.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(m))))
+    return rows.select(*bounds.columns, "i", series.alias("ch"), (series * damping).alias("jch"))
 
 
 # ---------------------------------------------------------------- polynomial filtering
@@ -135,7 +135,7 @@ def cheby_filter(lap: DataFrame, signal: DataFrame, graphs: DataFrame, coeff: Da
     keys = list(keys)
     order = coeff.agg(F.max("k")).first()[0]
     if order is None or order < 1:
-        raise TypeError("The coefficients have an invalid shape")
+        raise TypeError("cheby_filter needs coefficients of two orders at least")
     parts = None
     for k, t in cheby_terms(lap, signal, graphs, order, lmax, pad, tuple(keys)):
         ck = coeff.filter(F.col("k") == k).select(G, "filter", F.col("c"))
@@ -163,14 +163,12 @@ def synthesize(analysis: DataFrame, keys: tuple[str, ...] = ("signal",)) -> Data
 
 
 # ---------------------------------------------------------------- wavelets
-def scale_list(scale: int) -> list[float]:
-    """[-1/s, 1/s] and, for s > 1, -1/(s-1), 1/(s-1), ... down to -1, 1."""
-    out = [-1.0 / scale, 1.0 / scale]
-    while scale - 1 > 0:
-        sc = int(scale - 1)
-        out += [-1.0 / sc, 1.0 / sc]
-        scale = sc
-    return out
+def scale_list(scale: int | Column) -> list[float] | Column:
+    """The pairs (-1/d, 1/d) for d = scale, scale - 1, ..., 1; for a column, an array."""
+    if isinstance(scale, Column):
+        steps = F.sequence(scale.cast("int"), F.lit(1), F.lit(-1))
+        return F.flatten(F.transform(steps, lambda d: F.array(F.lit(-1.0) / d, F.lit(1.0) / d)))
+    return [sign / d for d in range(scale, 0, -1) for sign in (-1.0, 1.0)]
 
 
 def wavelets(lap: DataFrame, nodes: DataFrame, graphs: DataFrame, taus: list[float],

@@ -41,14 +41,9 @@ def m1_m12_string_index(spark, sf):
 @register("m2_bag_of_words", """SELECT doc_id, term, CAST(COUNT(*) AS DOUBLE) AS count FROM
   (SELECT doc_id, UNNEST(string_split(text, ' ')) AS term FROM documents) GROUP BY 1, 2""")
 def m2_bag_of_words(spark, sf):
-    """CountVectorizer over whole documents; (doc, term, count) compared, not indices."""
+    """Term counts of whole documents; every term of the corpus."""
     d = td(spark, sf).table("documents").select("doc_id", fc.split_tokens(F.col("text"), " ").alias("tok"))
-    model = ft.bag_of_words(d, "tok")
-    vocab = spark.createDataFrame(list(enumerate(model.vocabulary)), "idx int, term string")
-    tf = model.transform(d).select("doc_id", vector_to_array("tf").alias("v"))
-    # the sparse counts: non-zero positions only
-    nz = tf.select("doc_id", F.posexplode("v").alias("idx", "count")).filter(F.col("count") > 0)
-    return nz.join(vocab, "idx").select("doc_id", "term", "count")
+    return ft.term_counts(d, "doc_id", "tok")
 
 
 @register("m3_m4_topics")

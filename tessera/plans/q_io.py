@@ -15,7 +15,7 @@ from tessera.plans.common import r6, sessions_long, td
 from tessera.plans.q_graph import centres
 from tessera.plans.registry import register
 from tessera.plans.sqlparts import ADJ, SAMPLES, SESS
-from tessera.session import broadcast_if_small, ensure_checkpoint_dir
+from tessera.session import ensure_checkpoint_dir
 from tessera.sources import io
 
 
@@ -162,6 +162,6 @@ def j5_centre_lookup(spark, sf):
     check (one row per class), a shuffle join beyond the limit."""
     e = td(spark, sf).table("embeddings").select("vec_id", "label")
     c = centres(spark, sf)
-    return (e.join(broadcast_if_small(c), "label")
+    return (e.join(c, "label")
             .select("vec_id", "label", r6(F.col("center")[0]).alias("c0"),
                     r6(F.col("center")[63]).alias("c63")))

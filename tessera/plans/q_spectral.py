@@ -205,9 +205,7 @@ def k19_scale_list(spark, sf):
     """Scale lists of the wavelet transform for scale counts 1..4 seen in the data."""
     from tessera.plans.common import td
     s = td(spark, sf).table("events").select((F.col("user_id") % 4 + 1).alias("s")).distinct()
-    lists = F.flatten(F.transform(F.sequence(F.col("s"), F.lit(1).cast("long"), F.lit(-1).cast("long")),
-                                  lambda d: F.array(F.lit(-1.0) / d, F.lit(1.0) / d)))
-    return s.select("s", F.posexplode(lists).alias("idx", "scale"))
+    return s.select("s", F.posexplode(sp.scale_list(F.col("s"))).alias("idx", "scale"))
 
 
 # ---------------------------------------------------------------- spectrum-based (rows-only)

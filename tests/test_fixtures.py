@@ -356,16 +356,14 @@ def test_session_flags_equal_window_form(spark, bucket):
     assert a == b
 
 
-def test_broadcast_only_behind_size_check(spark):
-    from tessera.session import broadcast_if_small
-    big = spark.range(1000).withColumnRenamed("id", "k")
-    small = spark.range(10).withColumnRenamed("id", "k")
-    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # only explicit hints
-    try:
-        plan_small = big.join(broadcast_if_small(small, max_rows=100), "k")._jdf.queryExecution().executedPlan().toString()
-        plan_big = big.join(broadcast_if_small(small, max_rows=5), "k")._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
-    assert "BroadcastHashJoin" in plan_small
-    assert "BroadcastHashJoin" not in plan_big
+def test_every_term_is_counted(spark):
+    from tessera.operators import features as ft
+    df = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["c"])], "id long, tok array<string>")
+    assert {tuple(r) for r in ft.term_counts(df, "id", "tok").collect()} == {(1, "a", 2.0), (1, "b", 1.0), (2, "c", 1.0)}
+
+
+def test_long_path_is_one_component(spark):
+    from tessera.operators import graph as gr
+    e = spark.createDataFrame([(1, i, i + 1, 1.0) for i in range(12)], "graph_id int, src int, dst int, w double")
+    n = spark.createDataFrame([(1, i) for i in range(13)], "graph_id int, node int")
+    assert {r.component for r in gr.components(e, n).collect()} == {0}
