@@ -161,8 +161,9 @@ def removed_runs(docs: DataFrame, p: Align) -> DataFrame:
 
 def rewrite(docs: DataFrame, p: Align = Align()) -> DataFrame:
     """``docs`` with __kept (the remaining text), __lines and __removed (line counts)."""
+    # the runs grow with the corpus: the same sorted join at every size, never a broadcast
     runs = staged(removed_runs(docs, p), "runs").select(
-        F.col("did").alias("__did"), F.col("th").alias("__th"), F.col("runs").alias("__runs"))
+        F.col("did").alias("__did"), F.col("th").alias("__th"), F.col("runs").alias("__runs")).hint("merge")
     j = docs.join(runs, (F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == F.col("__did"))
                   & (text_key(docs["text"]) == F.col("__th")), "left")
     lines = F.split("text", "\n", -1)
