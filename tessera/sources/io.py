@@ -27,14 +27,18 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_partitioned(df: DataFrame, path: str, by: list[str] | str,
-                      mode: str = "overwrite") -> None:
+                      mode: str = "overwrite", salt: int = 16) -> None:
     """Parquet sink partitioned by columns (e.g. the cluster id).
 
-    Rows are clustered by the partition columns first so that each task writes few
-    files instead of one file per (task, partition value).
+    Rows are clustered by the partition columns and a hash of the others, so that a value
+    goes to at most ``salt`` tasks (and files) instead of one file per task, and a value
+    with a third of all rows is not written by one task.
     """
     by = [by] if isinstance(by, str) else list(by)
-    df.repartition(*[F.col(c) for c in by]).write.mode(mode).partitionBy(*by).parquet(path)
+    rest = [F.col(c) for c in df.columns if c not in by]
+    part = F.pmod(F.xxhash64(*rest), F.lit(salt)) if rest else F.lit(0)
+    (df.repartition(*[F.col(c) for c in by], part)
+     .write.mode(mode).partitionBy(*by).parquet(path))
 
 
 RELATION_SCHEMA = T.StructType([
