@@ -155,9 +155,14 @@ def shingle_sets(t: Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
     few = np.flatnonzero((count > 0) & (count < k))
     first = np.concatenate([[0], np.cumsum(count)])
     short = span_hash(prefix(wh), first[few], first[few + 1]) if len(few) else np.zeros(0, U)
-    doc, sh = np.concatenate([doc[at], few]), np.concatenate([sh, short])
-    order = np.lexsort((sh, doc))
-    doc, sh = doc[order], sh[order]
+    doc = doc[at]
+    if len(few):
+        doc, sh = np.concatenate([doc, few]), np.concatenate([sh, short])
+        order = np.argsort(doc, kind="stable")
+        doc, sh = doc[order], sh[order]
+    edge = np.searchsorted(doc, np.arange(t.n + 1)).tolist()
+    for i, j in zip(edge[:-1], edge[1:], strict=True):  # short sorts of one key beat a sort by two
+        sh[i:j].sort()
     new = np.ones(len(sh), bool)
     new[1:] = (sh[1:] != sh[:-1]) | (doc[1:] != doc[:-1])
     return doc[new], sh[new]
