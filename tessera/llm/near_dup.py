@@ -183,27 +183,24 @@ def _prefix_buckets(members: DataFrame, texts: DataFrame, p: MinHash) -> DataFra
         F.col("s.token").alias("bucket"), "cls", "n", "hub", (F.col("n") - F.col("i")).alias("rest"))
 
 
-def links(classes: DataFrame, docs: DataFrame, p: MinHash) -> DataFrame:
-    """Confirmed links (a, b) between classes: enough to connect every component.
+def class_labels(classes: DataFrame, docs: DataFrame, p: MinHash) -> DataFrame:
+    """(node, label) of every class that confirmed links connect with another.
     ``classes``: (cls, doc_id, n, bands), one row per class."""
     rows = classes.select("cls", "n", F.explode("bands").alias("bucket"))
     crowded = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").withColumnRenamed("bucket", "k")
     left = staged(rows.join(crowded, F.col("bucket") == F.col("k")).select("bucket", "cls", "n", "size"), "buckets")
     none = rows.select(F.col("cls").alias("a"), F.col("cls").alias("b")).filter("false")
     if left.isEmpty():
-        return none
+        return none.toDF("node", "label")
     # a text that shares many buckets with many others (the original of edited copies) is a good centre
     hub = left.groupBy("cls").agg(F.sum("size").alias("hub")).withColumnRenamed("cls", "c")
     left = left.join(hub, F.col("cls") == F.col("c")).select("bucket", "cls", "n", "hub", F.col("n").alias("rest"))
     texts = staged(_class_texts(docs, classes.join(left.select("cls").distinct(), "cls", "left_semi")
                                 .select("doc_id", "cls"), p), "texts")
-    found, seen, labels, centres = none, none, None, 1
+    seen, labels, centres = none, none.toDF("node", "label"), 1
     while True:
-        if labels is None:
-            here = left.withColumn("comp", F.col("cls"))
-        else:
-            here = left.join(labels, F.col("cls") == F.col("node"), "left").select(
-                "bucket", "cls", "n", "hub", "rest", F.coalesce("label", "cls").alias("comp"))
+        here = left.join(labels, F.col("cls") == F.col("node"), "left").select(
+            "bucket", "cls", "n", "hub", "rest", F.coalesce("label", "cls").alias("comp"))
         mixed = (here.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                  .filter("lo <> hi").select(F.col("bucket").alias("k")))
         left = here.join(mixed, F.col("bucket") == F.col("k"), "left_semi")
@@ -214,7 +211,7 @@ def links(classes: DataFrame, docs: DataFrame, p: MinHash) -> DataFrame:
                 "bucket", "cls", "n", "hub", "rest", F.coalesce("label", "cls").alias("comp"))
         left = staged(left, "buckets")
         if left.isEmpty():
-            return found
+            return labels
         star = (left.groupBy("bucket", F.pmod(F.xxhash64("cls"), F.lit(centres)).alias("part"))
                 .agg(F.max(F.struct("hub", "cls", "comp", "n", "rest")).alias("c")))
         star = staged(star.select(F.col("bucket").alias("k"), "c.*").toDF(
@@ -226,8 +223,9 @@ def links(classes: DataFrame, docs: DataFrame, p: MinHash) -> DataFrame:
                  .join(seen, ["a", "b"], "left_anti")
                  .join(seen.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
         pairs = staged(pairs, "pairs")
-        found, seen = found.union(staged(confirm(pairs, texts, p), "links")), seen.union(pairs)
-        labels = connected_components(found)
+        seen, new = seen.union(pairs), staged(confirm(pairs, texts, p), "links")
+        if not new.isEmpty():  # the components so far are stars: their labels stand for their links
+            labels = connected_components(new.union(labels.select("label", "node")))
         left = left.join(star, (F.col("bucket") == F.col("k")) & (F.col("cls") == F.col("centre")), "left_anti").select(
             "bucket", "cls", "n", "hub", "rest")
         centres = 8 if centres == 1 else 16 * centres
@@ -239,7 +237,7 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     some = rows.filter("cls is not null")
     classes = staged(some.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"),
                                              F.first("bands").alias("bands")), "classes")
-    labels = connected_components(links(classes, docs, p))
+    labels = class_labels(classes, docs, p)
     comp = classes.select("cls", "doc_id").join(labels, F.col("cls") == F.col("node"), "left").select(
         "cls", "doc_id", F.coalesce("label", "cls").alias("label"))
     least = comp.groupBy("label").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("label", "l")
