@@ -194,11 +194,11 @@ def t1_distinct(spark, sf):
 
 
 @register("t2_union_all", """SELECT p_partkey, p_size FROM part WHERE p_size < 10
-UNION ALL SELECT p_partkey, p_size FROM part WHERE p_size > 40
+UNION ALL SELECT p_partkey, p_size FROM part WHERE p_size >= 10
 UNION ALL SELECT p_partkey, p_size FROM part WHERE p_size = 3""")
 def t2_union_all(spark, sf):
     p = td(spark, sf).table("part").select("p_partkey", "p_size")
-    return (p.filter("p_size < 10").unionByName(p.filter("p_size > 40"))
+    return (p.filter("p_size < 10").unionByName(p.filter("p_size >= 10"))
             .unionByName(p.filter("p_size = 3")))
 
 
