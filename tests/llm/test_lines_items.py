@@ -122,3 +122,12 @@ def test_items_against_all_pairs(spark, docs_of):
     assert {x.doc_id for x in out.collect()} == {d for d, _ in rows} - {w[0] for w in want}
     assert dc.contaminated(docs_of([]), bench).count() == 0
     assert dc.clean(docs, bench.filter("false")).count() == len(rows)
+
+
+def test_a_long_frequent_line_goes_from_every_later_document(docs_of):
+    lines = ["one line of six words here", "another line of some seven words here"]
+    rows = [(-2, f"holder of {lines[0]}\n{lines[0]}\nend"), (-1, f"holder\n{lines[1]}\nend of it")]
+    rows += [(i, f"own {i}\n{lines[0]}\nmore {i}\n{lines[1]}\ntail {i}") for i in range(60)]
+    got = {r.doc_id: r for r in ld.rewrite(docs_of(rows)).collect()}
+    assert all(r["__removed"] == (2 if d >= 0 else 0) for d, r in got.items())
+    assert got[7]["__kept"] == "own 7\nmore 7\ntail 7"
