@@ -4,9 +4,10 @@ Every line is hashed.  A line of some words links each document that holds it to
 earliest holder (a star, so a line in a million documents gives a million rows, not their
 square).  A pair overlaps if it shares a rare line, or at any frequency two lines or one of
 ``alone_words`` words: one short frequent line alone (a greeting) is no evidence.
-Overlapping pairs are aligned by patience diff on the hashes, and the aligned blocks of
-enough words are deleted from the later document.  "Earlier" is the order of (doc_id, hash
-of the text).  Only line hashes move between tasks until the texts are rewritten.
+Overlapping pairs are aligned by patience diff on the hashes (a gap without unique lines by
+its longest common runs), and the aligned blocks of enough words are deleted from the later
+document; an alignment is one to one.  "Earlier" is the order of (doc_id, hash of the text).
+Only line hashes move between tasks until the texts are rewritten.
 
 Edge cases: null and empty texts have no lines to share and stay as they are; a null
 doc_id is the earliest; rows equal in doc_id and text are one document and are rewritten
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.numtext import Texts, buffers, slices, span_hash
+from tessera.llm.numtext import Texts, U, buffers, prefix, slices, span_hash
 from tessera.llm.tables import staged
 
 
@@ -58,9 +59,53 @@ def _increasing(pos: list[int]) -> list[int]:
     return out[::-1]
 
 
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+def _passages(h: list[int], w: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """End and hash of the shortest run of lines from each line on that has ``least`` words."""
+    below = np.concatenate([[0], np.cumsum(w)])
+    end = np.searchsorted(below, below[:-1] + least)
+    start = np.arange(int((end <= len(h)).sum()))
+    return end[start], span_hash(prefix(np.array(h, np.int64).view(U)), start, end[start])
+
+
+def common_run(a: list[int], b: list[int], words: list[int], least: int) -> tuple[int, int, int] | None:
+    """(start in a, start in b, lines) of a longest common run of ``least`` words (``words``
+    are those of ``b``), or None.  Passages of ``least`` words are compared by hash, and the
+    number of them in a row is found by bisection: no table of all pairs of lines."""
+    of = dict(zip(b, words, strict=True))
+    (ea, ha), (eb, hb) = _passages(a, np.array([of.get(x, least) for x in a]), least), _passages(b, np.array(words), least)
+
+    def start(n: int) -> tuple[int, int] | None:
+        if min(len(ha), len(hb)) < n:
+            return None
+        ra, rb = (span_hash(prefix(h), np.arange(len(h) - n + 1), np.arange(n, len(h) + 1)) for h in (ha, hb))
+        both, i, j = np.intersect1d(ra, rb, return_indices=True)
+        if not len(both):
+            return None
+        k = np.lexsort((i, j))[0]
+        return int(i[k]), int(j[k])
+
+    best, lo, hi = start(1), 1, min(len(ha), len(hb)) + 1
+    if best is None:
+        return None
+    while hi - lo > 1:
+        n = (lo + hi) // 2
+        at = start(n)
+        if at:
+            best, lo = at, n
+        else:
+            hi = n
+    i, j = best
+    n = 0
+    while n < min(len(a) - i, len(b) - j) and a[i + n] == b[j + n]:
+        n += 1
+    return (i, j, n) if n and sum(words[j:j + n]) >= least else None
+
+
+def patience(a: list[int], b: list[int], words: list[int] | None = None, least: int = 1) -> list[tuple[int, int]]:
     """Aligned index pairs of two sequences: lines unique in both anchor the alignment,
-    the gaps between anchors are aligned in turn; equal ends always match."""
+    the gaps between anchors are aligned in turn; equal ends always match.  A gap without
+    such a line is anchored by its longest common run of ``least`` words."""
+    words = [1] * len(b) if words is None else words
     out, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         i, j, k, m = todo.pop()
@@ -82,12 +127,16 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             i, k = p + 1, q + 1
         if both:
             todo.append((i, j, k, m))
+        elif na.keys() & nb.keys() and (run := common_run(a[i:j], b[k:m], words[k:m], least)):
+            p, q, n = i + run[0], k + run[1], run[2]
+            out.extend((p + t, q + t) for t in range(n))
+            todo += [(i, p, k, q), (p + n, j, q + n, m)]
     return sorted(out)
 
 
 def common_runs(a: list[int], b: list[int], words: list[int], least: int) -> list[tuple[int, int]]:
     """Runs (start, end) of ``b`` in blocks aligned with ``a`` of at least ``least`` words."""
-    out, pairs = [], patience(a, b)
+    out, pairs = [], patience(a, b, words, least)
     s = 0
     for t in range(1, len(pairs) + 1):
         if t == len(pairs) or pairs[t] != (pairs[t - 1][0] + 1, pairs[t - 1][1] + 1):

@@ -131,3 +131,20 @@ def test_a_long_frequent_line_goes_from_every_later_document(docs_of):
     got = {r.doc_id: r for r in ld.rewrite(docs_of(rows)).collect()}
     assert all(r["__removed"] == (2 if d >= 0 else 0) for d, r in got.items())
     assert got[7]["__kept"] == "own 7\nmore 7\ntail 7"
+
+
+def test_a_passage_repeated_within_one_document(docs_of):
+    r = random.Random(3)
+    for _ in range(300):  # the run found is common, and none is missed
+        a, b = ([r.randint(0, 4) for _ in range(r.randint(0, 14))] for _ in "ab")
+        words, least = [(x * 7) % 4 for x in b], r.randint(1, 6)
+        runs = [(i, j, n) for i in range(len(a)) for j in range(len(b)) for n in range(1, 15)
+                if a[i:i + n] == b[j:j + n] and len(b) - j >= n <= len(a) - i and sum(words[j:j + n]) >= least]
+        got = ld.common_run(a, b, words, least)
+        assert (got is None) == (not runs) and (got is None or got in runs)
+    p = "first line of it\nand a second line"
+    rows = [(1, f"head\n{p}\nbetween\n{p}\ntail"), (2, f"top\n{p}\nbottom"), (3, f"up\n{p}\nmid\nnew words\nbelow")]
+    rows += [(11, "x1\nq passage of five words\ny1"), (12, "x2\nq passage of five words\ny2\nq passage of five words\nz2")]
+    got = {g.doc_id: g["__kept"] for g in ld.rewrite(docs_of(rows)).collect()}
+    assert got[1] == rows[0][1] and got[2] == "top\nbottom" and got[3] == "up\nmid\nnew words\nbelow"
+    assert got[12] == "x2\ny2\nq passage of five words\nz2"  # an alignment is one to one
