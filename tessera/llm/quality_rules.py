@@ -4,8 +4,11 @@ Text measures are counted over every whole text.  A relative-error quantile sket
 (log-spaced buckets with counts, after DDSketch) is built per language and source; two
 sketches merge by adding counts, so small sources fall back on the merged sketch of
 their language and small languages on that of the corpus.  The sketch table gives robust
-fences (quartile plus three interquartile ranges), which replace fixed cut-offs, and a
-join with the fences filters the documents.
+fences, which replace fixed cut-offs, and a join with the fences filters the documents.
+Symbols and word length are fenced by quartiles and three interquartile ranges: junk can be
+several per cent of a source, and a high quantile would let it in.  Repeated lines and words
+are rare in most sources, so that their quartiles say nothing: their fence is the 0.99
+quantile plus its distance from the upper quartile.
 
 Edge cases: a null or empty text has no words and fails the base rule; null language or
 source is a group of its own; repeated rows are judged alike, one row each; an empty
@@ -34,15 +37,17 @@ SYMBOL[list(b"#*$%&|<>")] = True
 
 @dataclass(frozen=True)
 class Rules:
-    """``slack`` is the least distance of a fence from its quartile, per metric."""
+    """``slack`` is the least distance of a fence from its quantile, per metric; metrics in
+    ``tails`` have the 0.99 quantile."""
     min_words: int = 20
     max_repeat_pct: int = 30
     window: int = 8
     spread: float = 3.0
     accuracy: float = 0.01
     min_group: int = 200
-    slack: tuple = (("symbols", None, 0.25), ("dup_lines", None, 0.5),
-                    ("repeats", None, 0.3), ("word_len", 2.0, 3.0))
+    slack: tuple = (("symbols", None, 0.25), ("dup_lines", None, 0.2),
+                    ("repeats", None, 0.1), ("word_len", 2.0, 3.0))
+    tails: tuple = ("dup_lines", "repeats")
 
 
 def _counts(data: np.ndarray, off: np.ndarray, window: int) -> list[np.ndarray]:
@@ -114,18 +119,18 @@ def fences(sk: DataFrame, rules: Rules) -> DataFrame:
     value = F.when(F.col("bucket") == -(1 << 30), F.lit(0.0)).otherwise(
         2 * F.pow(F.lit(gamma), F.col("bucket")) / (gamma + 1))
 
-    def quartiles(level: list[str], tag: str) -> DataFrame:
+    def quantiles(level: list[str], tag: str) -> DataFrame:
         merged = sk.groupBy(*level, "metric", "bucket").agg(F.sum("n").alias("n"))
         by = Window.partitionBy(*level, "metric")
         c = (merged.withColumn("below", F.sum("n").over(by.orderBy("bucket")))
              .withColumn("total", F.sum("n").over(by)).withColumn("v", value))
         got = c.groupBy(*level, "metric").agg(F.max("total").alias("total"), *[
             F.min(F.when(F.col("below") >= q * F.col("total"), F.col("v"))).alias(f"q{int(q * 100)}")
-            for q in (0.25, 0.75)])
+            for q in (0.25, 0.75, 0.99)])
         return got.select(*[F.col(k).alias(f"{tag}_{k}") for k in level],
-                          F.col("metric").alias(f"{tag}_metric"), F.struct("total", "q25", "q75").alias(tag))
+                          F.col("metric").alias(f"{tag}_metric"), F.struct("total", "q25", "q75", "q99").alias(tag))
 
-    own, lang, all_ = (quartiles(k, t) for k, t in ((["lang", "source"], "own"), (["lang"], "up"), ([], "top")))
+    own, lang, all_ = (quantiles(k, t) for k, t in ((["lang", "source"], "own"), (["lang"], "up"), ([], "top")))
     j = (own.join(lang, F.col("own_lang").eqNullSafe(F.col("up_lang")) & (F.col("own_metric") == F.col("up_metric")))
          .join(all_, F.col("own_metric") == F.col("top_metric")))
     pick = (F.when(F.col("own.total") >= rules.min_group, F.col("own"))
@@ -138,7 +143,8 @@ def fences(sk: DataFrame, rules: Rules) -> DataFrame:
         here = F.col("metric") == m
         if lo is not None:
             aggs.append(F.max(F.when(here, F.col("q.q25") - F.greatest(spread, F.lit(lo)))).alias(f"{m}_lo"))
-        aggs.append(F.max(F.when(here, F.col("q.q75") + F.greatest(spread, F.lit(hi)))).alias(f"{m}_hi"))
+        top, wide = (F.col("q.q99"), F.col("q.q99") - F.col("q.q75")) if m in rules.tails else (F.col("q.q75"), spread)
+        aggs.append(F.max(F.when(here, top + F.greatest(wide, F.lit(hi)))).alias(f"{m}_hi"))
     return j.groupBy("f_lang", "f_source").agg(*aggs)
 
 

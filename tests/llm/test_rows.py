@@ -112,6 +112,21 @@ def test_keep_returns_the_columns(docs_of):
     assert {x.doc_id for x in kept.collect()} == set(range(250))
 
 
+def test_each_measure_can_reject(docs_of):
+    clean = [" ".join(f"word{(i * 7 + j * j) % 997}" for j in range(40)) for i in range(400)]
+    bad = {"symbols": " ".join(f"w{j}###" for j in range(60)),
+           "dup_lines": "\n".join(f"same line again\nu{j} v{j} w{j} x{j} y{j}" for j in range(6)),
+           "repeats": " ".join(f"p{j}" for j in [*range(14), *range(20, 92), *range(14)]),
+           "word_len": " ".join(f"{j}" + "x" * 30 for j in range(60))}
+    rows = quality_rules.quality(docs_of([*enumerate([*clean, *bad.values()])])).collect()
+    assert not any(r.base_failed for r in rows)
+    assert {r.doc_id for r in rows if not r.kept} == set(range(400, 404))
+    # where a source repeats as a rule, the fence follows it
+    often = [f"{x}\nsame line\n{i}\nsame line" for i, x in enumerate(clean)]
+    rows = quality_rules.quality(docs_of([*enumerate(often)])).collect()
+    assert all(r.kept for r in rows)
+
+
 def test_shards(docs_of):
     r = random.Random(2)
     rows = [(i, None if i % 50 == 0 else "é" * (i % 7)) for i in range(1000)] + [(5, "twin")] * 3 + [(None, "x")] * 2
