@@ -5,6 +5,8 @@ headers, footers, sidebars, notices, adverts, forms, comments and hidden parts a
 tag, role and class.  Every remaining paragraph passes points (length and commas) to its
 ancestors, less with each level; a container's sum is discounted by its link density.  The
 best container is kept with those of its siblings that score near it or read like text.
+Inside an article (or else a main) element that element is the container: all its blocks
+stay but lists, tables and sections that are mostly links.
 
 Edge cases: a null or empty page gives ''; a page without text gives ''; rows are
 independent, so repeated and null ids do not matter; pages of any length are parsed whole,
@@ -160,12 +162,19 @@ def extract(html: str | None) -> str:
     best = max(range(n), key=lambda i: (final[i], -i))
     if not final[best]:
         best = 0
+    path = [best]
+    while t.parent[path[-1]] >= 0:
+        path.append(t.parent[path[-1]])
+    root = next((i for tag in ("article", "main") for i in path if t.tag[i] == tag), best)
     kept, near = [False] * n, max(10.0, 0.2 * final[best])
+    chosen, above = [False] * n, set(path)
     for i in range(n):
         up = t.parent[i]
-        if i == best or (up >= 0 and kept[up]):
-            kept[i] = True
-        elif best and up == t.parent[best]:
+        chosen[i] = i == best or (up >= 0 and chosen[up])
+        if i == root or (up >= 0 and kept[up]):
+            kept[i] = (chosen[i] or i in above or t.tag[i] in INLINE or t.tag[i] in TEXTUAL
+                       or density[i] <= 0.5)
+        elif root and up == t.parent[root]:
             said = " ".join(own.get(i, ()))
             kept[i] = (final[i] >= near or t.tag[i] in ("h1", "h2", "h3") and density[i] < 0.25
                        or t.tag[i] == "p" and (len(said) > 80 and density[i] < 0.25

@@ -74,6 +74,18 @@ def test_page():
     assert hx.extract(deep) == "deep text, here."
 
 
+def test_whole_article_stays():
+    long = "Words of some text, and more of them follow here. " * 10
+    small = ('<section><h4>Small</h4><p>Short, final part</p><ul><li>item</li></ul><table><tr><td>cell</table>'
+             '<blockquote>Quote</blockquote><p><a href="x">Source</a></p></section>')
+    cut = '<ul><li><a href="a">Other page</a></li><li><a href="b">More</a></li></ul><div class="share">Share</div>'
+    for tag in ("article", "main"):
+        for inner in ("{}", "<div>{}</div>"):
+            body = inner.format("<section>" + f"<p>{long}</p>" * 10 + "</section>" + small + cut)
+            got = hx.extract(f"<body><nav>Menu</nav><{tag}><h1>Title</h1>{body}</{tag}><div>Elsewhere</div></body>")
+            assert got.split("\n") == ["Title", *[long.strip()] * 10, "Small", "Short, final part", "item", "cell", "Quote", "Source"]
+
+
 def test_pages_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "y"), (None, None, None, "z")],
                                   "page_id long, url string, html string, text string")
