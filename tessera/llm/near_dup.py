@@ -93,7 +93,8 @@ def _digest_array(d: np.ndarray, has: np.ndarray) -> pa.Array:
 
 
 def sketch(docs: DataFrame, p: MinHash) -> DataFrame:
-    """(doc_id, n_shingles, cls, bands) per row; cls (the set's digest) is null if empty."""
+    """(doc_id, th, n_shingles, cls, bands) per row; th is the hash of the text, cls (the
+    set's digest) is null if empty."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,12 +108,12 @@ def sketch(docs: DataFrame, p: MinHash) -> DataFrame:
                 bands = pa.ListArray.from_arrays(
                     np.arange(0, bands.size + 1, bands.shape[1], dtype=np.int32), bands.ravel())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(i, j - i), pa.array(n.astype(np.int64)),
+                    [*(b.column(c).slice(i, j - i) for c in ("doc_id", "th")), pa.array(n.astype(np.int64)),
                      _digest_array(_set_digest(doc, sh, t.n), n > 0), bands],
-                    names=["doc_id", "n_shingles", "cls", "bands"])
+                    names=["doc_id", "th", "n_shingles", "cls", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_shingles long, cls binary, bands array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(
+        run, f"doc_id {kind}, th long, n_shingles long, cls binary, bands array<long>")
 
 
 def _class_texts(docs: DataFrame, needed: DataFrame, p: MinHash) -> DataFrame:
@@ -231,8 +232,8 @@ def class_labels(classes: DataFrame, docs: DataFrame, p: MinHash) -> DataFrame:
         centres = 8 if centres == 1 else 16 * centres
 
 
-def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row."""
+def _judged(docs: DataFrame, p: MinHash) -> DataFrame:
+    """(doc_id, th, n_shingles, component_id, kept) of every row."""
     rows = staged(sketch(docs, p), "minhash")
     some = rows.filter("cls is not null")
     classes = staged(some.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"),
@@ -242,15 +243,21 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
         "cls", "doc_id", F.coalesce("label", "cls").alias("label"))
     least = comp.groupBy("label").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("label", "l")
     by_class = comp.join(least, F.col("label") == F.col("l")).select(F.col("cls").alias("c"), "component_id")
-    return (rows.select("doc_id", "n_shingles", "cls").join(by_class, F.col("cls") == F.col("c"), "left")
+    return (rows.select("doc_id", "th", "n_shingles", "cls").join(by_class, F.col("cls") == F.col("c"), "left")
             .withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select("doc_id", "n_shingles", "component_id", "kept"))
+            .select("doc_id", "th", "n_shingles", "component_id", "kept"))
+
+
+def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row."""
+    return _judged(docs, p).drop("th")
 
 
 def dedup(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     """The documents without those whose component has a smaller id; rows without an id
-    stay."""
-    gone = near_duplicates(docs, p).filter("not kept and doc_id is not null").select(
-        F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    stay, and so does another text with the id of one that goes."""
+    gone = _judged(docs, p).filter("not kept and doc_id is not null").select(
+        F.col("doc_id").alias("__gone"), F.col("th").alias("__th")).distinct()
+    return docs.join(gone, (docs["doc_id"] == F.col("__gone"))
+                     & (F.xxhash64(docs["text"]) == F.col("__th")), "left_anti")

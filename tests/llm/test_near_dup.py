@@ -92,3 +92,9 @@ def test_a_bucket_of_unlike_texts(docs_of):
             rows.append((g * 3 + c, " ".join(w)))
     got = near_duplicates(docs_of(rows), MinHash(shingle=2, bins=16, rows=1)).collect()
     assert sorted((g.doc_id, g.n_shingles, g.component_id) for g in got) == sorted(brute(rows, 2))
+
+
+def test_another_text_of_a_repeated_id_stays(docs_of):
+    near = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(near)), (2, " ".join([*near[:-1], "end"])), (2, "a clean text of some other words here")]
+    assert sorted(r.text for r in dedup(docs_of(rows)).collect()) == sorted([rows[0][1], rows[2][1]])
