@@ -6,7 +6,8 @@ so the set that an item is compared with is of like size even in a very long doc
 document below that size is one window.  One-permutation MinHash with 128 bins gives each
 window and item its bin minima; equal minima make a candidate.  An item with 80 % of its
 shingles in a window has a Jaccard similarity of 0.1 with it at least, and one bin minimum
-in common with probability 1 - 0.9**128 = 1 - 1.4e-6.  Candidates are verified by exact
+in common with probability 1 - 0.9**128 = 1 - 1.4e-6.  That needs bins that are filled: in
+parts whose windows have fewer shingles than bins every shingle is used.  Candidates are verified by exact
 containment of the item's shingles in the whole document.
 
 Edge cases: texts without words (null, empty) contain and match nothing; an item of fewer
@@ -70,7 +71,9 @@ def contaminated(docs: DataFrame, items: DataFrame, p: Containment = Containment
         empty = docs.select("doc_id", F.lit(0).cast("long").alias("th")).filter("false")
         return empty.join(items.select("item_id").filter("false")).withColumns(
             {"n_item": F.lit(0), "n_shared": F.lit(0)})
-    keys = it.select("item_id", "ith", "part", F.explode(minima(F.col("ish"), p.bin_bits)).alias("v"))
+    few = 1 << p.bin_bits  # windows of fewer shingles send them all
+    keys = it.select("item_id", "ith", "part", F.explode(F.when(2 * F.col("part") < few, F.col("ish")).otherwise(
+        minima(F.col("ish"), p.bin_bits))).alias("v"))
     # every item has at most 2**bin_bits minima of about 40 bytes
     if it.count() * 40 << p.bin_bits <= p.broadcast_bytes:
         keys = F.broadcast(keys)
@@ -78,8 +81,12 @@ def contaminated(docs: DataFrame, items: DataFrame, p: Containment = Containment
 
     def cut(part: int) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.size("sh") - part - 1, F.lit(0)), F.lit(part))
+
+        def sent(window: Column) -> Column:
+            return F.array_distinct(window) if 2 * part < few else minima(window, p.bin_bits)
+
         return F.transform(starts, lambda s: F.struct(
-            F.lit(part).alias("part"), minima(F.slice("sh", s + 1, 2 * part), p.bin_bits).alias("m")))
+            F.lit(part).alias("part"), sent(F.slice("sh", s + 1, 2 * part)).alias("m")))
 
     windows = F.concat(*[cut(part) for part in parts])
     rows = (seen.select("doc_id", "th", F.explode(windows).alias("w"))

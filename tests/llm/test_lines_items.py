@@ -148,3 +148,11 @@ def test_a_passage_repeated_within_one_document(docs_of):
     got = {g.doc_id: g["__kept"] for g in ld.rewrite(docs_of(rows)).collect()}
     assert got[1] == rows[0][1] and got[2] == "top\nbottom" and got[3] == "up\nmid\nnew words\nbelow"
     assert got[12] == "x2\ny2\nq passage of five words\nz2"  # an alignment is one to one
+
+
+def test_tiny_items_are_always_candidates(spark, docs_of):
+    items = [(i, " ".join(f"t{i}_{j}" for j in range(5))) for i in range(40)]
+    rows = [(i, " ".join([*(f"a{i}_{j}" for j in range(9)), t, *(f"b{i}_{j}" for j in range(9))])) for i, t in items]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = dc.contaminated(docs_of(rows), bench, dc.Containment(bin_bits=4)).collect()
+    assert sorted((g.doc_id, g.item_id) for g in got) == [(i, i) for i in range(40)]
