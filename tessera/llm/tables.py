@@ -44,6 +44,21 @@ def rank_within(df: DataFrame, keys: list[str], order: list[str | Column], out:
             .drop("__cell", "__c", "__off", "__rn", *names))
 
 
-def only(df: DataFrame, *cols: str) -> DataFrame:
-    """The named columns alone: extra columns of any name never reach an operator."""
-    return df.select(*cols)
+def range_cells(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
+    """``df`` written in the given order, with ``__pid`` (its range) and ``__seq`` (its place
+    there).  Ranges are cut by sampled rows, so a hot prefix of ``order`` spans several."""
+    place = F.monotonically_increasing_id()
+    out = (df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", place)
+           .withColumn("__pid", F.shiftright("__place", 33))
+           .withColumn("__seq", F.col("__place").bitwiseAND((1 << 33) - 1)).drop("__place"))
+    return staged(out, name)
+
+
+def numbered(df: DataFrame, order: list[str | Column], out: str) -> DataFrame:
+    """Add ``out``, the gapless 0-based place of a row in the order of the whole table: a
+    sort by ranges and the counts of the ranges, one row each."""
+    s = range_cells(df, order, "numbered")
+    off = (s.groupBy("__pid").agg(F.count("*").alias("__n"))
+           .select(F.col("__pid").alias("__p"), (F.sum("__n").over(Window.orderBy("__pid")) - F.col("__n")).alias("__off")))
+    return (s.join(off, F.col("__pid") == F.col("__p")).withColumn(out, F.col("__off") + F.col("__seq"))
+            .drop("__pid", "__seq", "__p", "__off"))
