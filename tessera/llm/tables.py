@@ -44,13 +44,16 @@ def rank_within(df: DataFrame, keys: list[str], order: list[str | Column], out:
             .drop("__cell", "__c", "__off", "__rn", *names))
 
 
-def range_cells(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
+def range_cells(df: DataFrame, order: list[str | Column], name: str,
+                cut: list[str | Column] | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
     """``df`` written in the given order, with ``__pid`` (its range) and ``__seq`` (its place
-    there).  Ranges are cut by sampled rows, so a hot prefix of ``order`` spans several."""
+    there).  Ranges are cut by sampled rows, so a hot prefix of ``order`` spans several.
+    ``cut`` (short columns in an order that ``order`` refines) spares the driver the sampled
+    values of long columns; ``drop`` columns serve the order only."""
     place = F.monotonically_increasing_id()
-    out = (df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", place)
+    out = (df.repartitionByRange(*(cut or order)).sortWithinPartitions(*order).withColumn("__place", place)
            .withColumn("__pid", F.shiftright("__place", 33))
-           .withColumn("__seq", F.col("__place").bitwiseAND((1 << 33) - 1)).drop("__place"))
+           .withColumn("__seq", F.col("__place").bitwiseAND((1 << 33) - 1)).drop("__place", *drop))
     return staged(out, name)
 
 
