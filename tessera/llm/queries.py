@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import (chat_format, decontaminate, html_extract, line_dedup, near_dup, packing, prefix_trie,
-                         quality_rules, resampling, secret_scan, sharding, suffix_dedup)
+from tessera.llm import (chat_format, decontaminate, html_extract, line_dedup, near_dup, neighbours, packing,
+                         prefix_trie, quality_rules, resampling, secret_scan, sharding, suffix_dedup)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -106,3 +106,8 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+@query
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
