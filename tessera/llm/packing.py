@@ -4,13 +4,12 @@ Documents become token pieces of at most ``capacity``.  Only the histogram of pi
 (at most ``capacity`` counts, whatever the corpus) reaches the driver.  The program "cover
 every length's count with as few configurations (multisets of lengths that fit) as
 possible" has prices of lengths as its dual, and any prices bound the number of sequences
-from below.  Best-fit decreasing by counts is the plan if it comes within a thousandth of
-the bound.  Else the program is solved by multiplicative weights: a length's price falls
-with the share of its count already covered, and each step adds a part of the configuration
-of greatest price, found by a knapsack dynamic program over the capacity with no more of a
-length than is left.  Rounding takes whole multiples of the well-filled configurations, then
-those of largest fraction that still fit the counts, and packs what is left best-fit
-decreasing.
+from below.  It is solved by multiplicative weights: a length's price falls with the share
+of its count already covered, a knapsack dynamic program over the capacity finds the
+configurations of greatest price, and small steps cover a part of the scarcest length of
+one such configuration after another.  Rounding takes whole multiples of the well-filled
+configurations, then those of largest fraction that still fit the counts, and packs what is
+left best-fit decreasing.
 
 The plan says which ranks of a length go to which sequences; pieces get ranks per length in
 bounded cells and look their place up by binary search in the plan, which is as bounded as
@@ -24,11 +23,15 @@ an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,14 @@ from tessera.llm.tables import rank_within, staged
 
 CAPACITY = 2048
 
+# fixed values: the word pattern of the byte-level tokenizer, over characters whose class
+# (letter, digit, white space, other) is beyond doubt
+_LETTERS, _SIGNS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "\u00a1\u00a7\u00ab\u00b7\u00bb\u00bf\u2010-\u2027"
+PLAIN = re.compile(f"[\t\n\r\x20-\x7e{_LETTERS}{_SIGNS}]*")
+WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s0-9{_LETTERS}]+|\\s+(?!\\S)|\\s+")
+#: a space before one of these, or at the end, may belong to what comes before it
+LOOSE = frozenset(["", *(chr(c) for c in range(0x3001) if chr(c).isspace()), "\u180e", "\u200b", "\ufeff"])
+
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
@@ -62,22 +73,94 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(s, (first if first and s == 0 else capacity)) for s in starts]
 
 
+class Encoder:
+    """Token ids of texts as bytes, from the ids of their words.
+
+    Texts of plain characters are cut into words by the tokenizer's own pattern, other texts
+    at each space that a non-space follows, where a new word always starts, and then part by
+    part; a part with other characters counts as one word.  New words go through the tokenizer, one call
+    for about ``block`` characters of texts.  Ids of words are kept up to ``keep`` of them
+    and forgotten together beyond that, which costs time only."""
+
+    def __init__(self, path: str, keep: int = 500_000, short: int = 40, block: int = 1 << 20) -> None:
+        self.tok, self.keep, self.short, self.block = _tokenizer(path), keep, short, block
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), 8192):
+            some = words[at:at + 8192]
+            for x, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.known[x] = array("I", e.ids).tobytes()
+
+    def _blocks(self, texts: list[str]) -> Iterator[list[tuple[int, str]]]:
+        """Lists of (text number, stretch of it) of about ``block`` characters."""
+        held, size = [], 0
+        for i, text in enumerate(texts):
+            at = 0
+            while at < len(text):
+                end = text.find(" ", at + self.block - size)
+                while end >= 0 and text[end + 1:end + 2] in LOOSE:
+                    end = text.find(" ", end + 1)
+                end = len(text) if end < 0 else end
+                held.append((i, text[at:end]))
+                size, at = size + end - at, end
+                if size >= self.block:
+                    yield held
+                    held, size = [], 0
+        yield held
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of every text."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        for held in self._blocks(texts):
+            words = [_words(x) for _, x in held]
+            new = list(set(chain.from_iterable(words)).difference(self.known))
+            self._learn(new)
+            for (i, _), w in zip(held, words, strict=True):
+                out[i].append(b"".join(map(self.known.__getitem__, w)))
+            if len(self.known) > self.keep:
+                self.known.clear()
+            for x in new:
+                if len(x) > self.short:
+                    self.known.pop(x, None)
+        return [b"".join(x) for x in out]
+
+
+def _words(text: str) -> list[str]:
+    if PLAIN.fullmatch(text):
+        return WORD.findall(text)
+    parts = text.split(" ")
+    parts[1:] = [" " + x for x in parts[1:]]
+    out, start = [], 0
+    for i in range(1, len(parts) + 1):
+        if i == len(parts) or parts[i][1:2] not in LOOSE:
+            x = parts[start] if i == start + 1 else "".join(parts[start:i])
+            out += WORD.findall(x) if PLAIN.fullmatch(x) else [x]
+            start = i
+    return out
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every row of ``docs``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(str(path or tokenizer_path()))
+        encoder = _encoder(str(path or tokenizer_path()))
         for b in batches:
             _, off = buffers(b.column("text"))
             for i, j in slices(off):
-                texts = [x or "" for x in b.column("text").slice(i, j - i).to_pylist()]
                 row, out = [], []
-                for r, e in enumerate(tok.encode_batch(texts, add_special_tokens=False)):
-                    ids = np.array([*e.ids, end], "<u4")
-                    for n, (s, size) in enumerate(cut(len(ids), capacity)):
+                for r, x in enumerate(encoder.encode([x or "" for x in b.column("text").slice(i, j - i).to_pylist()])):
+                    ids = x + last
+                    for n, (s, size) in enumerate(cut(len(ids) // 4, capacity)):
                         row.append(r)
-                        out.append((n, s, size, zlib.crc32(ids[s:s + size].tobytes())))
+                        out.append((n, s, size, zlib.crc32(ids[4 * s:4 * (s + size)])))
                 cols = zip(*out, strict=True) if out else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").slice(i, j - i).take(pa.array(row, pa.int64())),
@@ -88,24 +171,33 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, e
         run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def best_configuration(lengths: np.ndarray, price: np.ndarray, capacity: int) -> Counter:
-    """Unbounded knapsack: the multiset of ``lengths`` (ascending) of greatest price."""
-    choice = np.zeros(capacity + 1, np.int64)
-    dense = np.full(capacity, -np.inf)  # price of length x at x - 1
+def knapsack(lengths: np.ndarray, price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack: the best price of each room c at ``capacity - c``, and the price
+    of length x at x - 1.  Both lie so that a room's choices are one slice."""
+    dense = np.full(capacity, -np.inf)
     dense[lengths - 1] = price
-    back = np.zeros(capacity + 1)  # the best price of c at capacity - c: slices, no gathers
+    best = np.zeros(capacity + 1)
     for c in range(1, capacity + 1):
-        v = back[capacity - c + 1:] + dense[:c]
-        j = int(v.argmax())
-        back[capacity - c] = back[capacity - c + 1]
-        if v[j] > back[capacity - c]:
-            back[capacity - c], choice[c] = v[j], j + 1
-    out, c = Counter(), capacity
-    while c > 0:
-        x = int(choice[c])
-        if x:
-            out[x] += 1
-        c -= x or 1
+        best[capacity - c] = max((best[capacity - c + 1:] + dense[:c]).max(), best[capacity - c + 1])
+    return best, dense
+
+
+def draw(best: np.ndarray, dense: np.ndarray, left: np.ndarray, loss: float, rng: np.random.Generator) -> Counter:
+    """A random configuration of at least 1 - ``loss`` of the best price, as far as what is
+    ``left`` of the lengths (x at x - 1) allows."""
+    capacity = len(dense)
+    room, spare, out, open_ = capacity, loss * best[0], Counter(), left > 0
+    while room > 0:
+        lost = best[capacity - room] - (best[capacity - room + 1:] + dense[:room])
+        choice = np.flatnonzero((lost <= spare) & open_[:room])
+        if not len(choice):
+            break
+        j = int(choice[rng.integers(len(choice))])
+        spare -= max(lost[j], 0.0)
+        out[j + 1] += 1
+        room -= j + 1
+        if out[j + 1] + 1 > left[j]:
+            open_[j] = False
     return out
 
 
@@ -130,28 +222,53 @@ def bounded_configuration(lengths: np.ndarray, price: np.ndarray, most: np.ndarr
     return out
 
 
-def fractional(hist: dict[int, int], capacity: int, step: float = 0.5, rate: float = 1.0) -> tuple[list[tuple[Counter, float]], float]:
-    """A cover of the histogram by configurations with weights, and the dual bound: by the
-    best of the prices met, no cover has fewer configurations."""
-    lengths = np.array(sorted(hist))
-    need = np.array([hist[int(x)] for x in lengths], float)
-    at = {int(x): i for i, x in enumerate(lengths)}
-    done, out, bound = np.zeros(len(lengths)), [], 0.0
-    while (open_ := np.flatnonzero(done < 1 - 1e-9)).size:
-        price = lengths[open_] / capacity * np.exp(-rate * done[open_])
-        most = np.maximum(1, np.ceil(need[open_] * (1 - done[open_]) - 1e-6)).astype(int)
-        config = best_configuration(lengths[open_], price, capacity)
-        worth = sum(a * price[np.searchsorted(lengths[open_], x)] for x, a in config.items())
-        bound = max(bound, float(need[open_] @ price) / worth)
-        if any(a > most[np.searchsorted(lengths[open_], x)] for x, a in config.items()):
-            config = bounded_configuration(lengths[open_], price, most, capacity)
-        idx = np.array([at[x] for x in config])
-        mult = np.array([config[x] for x in config], float)
-        # a step covers a part of what is left of the scarcest length, or all of a little
-        left = ((1 - done[idx]) * need[idx] / mult).min()
-        amount = min(left, max(step * left, 1.0))
-        done[idx] += amount * mult / need[idx]
+@dataclass(frozen=True)
+class Program:
+    """``step`` is the share of the scarcest length that one step covers (one sequence at
+    least), ``draws`` the steps from one knapsack, ``loss`` the price that a step may lack
+    of the best, ``tail`` the share of the tokens that is left to best-fit with what
+    rounding leaves, ``fill`` the fill from which a configuration is rounded."""
+    step: float = 0.25
+    draws: int = 128
+    loss: float = 2e-3
+    rate: float = 1.0
+    tail: float = 0.01
+    fill: float = 0.998
+    seed: int = 1
+
+
+def fractional(hist: dict[int, int], capacity: int, p: Program = Program()) -> tuple[list[tuple[Counter, float]], float]:
+    """A cover of the histogram, but for its tail, by configurations with weights, and the
+    dual bound: by the best of the prices met, no cover has fewer configurations."""
+    rng = np.random.default_rng(p.seed)
+    size = np.arange(1, capacity + 1)
+    need = np.zeros(capacity)
+    need[np.array(list(hist), np.int64) - 1] = list(hist.values())
+    left, out, bound = need.copy(), [], 0.0
+
+    def add(config: Counter) -> None:
+        at, mult = np.array(list(config)) - 1, np.array(list(config.values()), float)
+        most = (left[at] / mult).min()
+        amount = min(most, max(p.step * most, 1.0))
+        after = left[at] - amount * mult
+        left[at] = np.where(after < 1e-9 * need[at], 0.0, after)
         out.append((config, float(amount)))
+
+    while left @ size > p.tail * (need @ size):
+        open_ = np.flatnonzero(left)
+        price = size[open_] / capacity * np.exp(-p.rate * (1 - left[open_] / need[open_]))
+        best, dense = knapsack(size[open_], price, capacity)
+        bound = max(bound, float(need[open_] @ price) / best[0])
+        drawn = len(out)
+        for _ in range(p.draws):
+            config = draw(best, dense, left, p.loss, rng)
+            if sum(a * dense[x - 1] for x, a in config.items()) < (1 - p.loss) * best[0] or any(
+                    a > max(left[x - 1], 1) for x, a in config.items()):
+                break
+            add(config)
+        if len(out) == drawn:  # too little is left of some lengths: the best that there is
+            open_ = np.flatnonzero(left)
+            add(bounded_configuration(size[open_], dense[open_], np.maximum(1, np.ceil(left[open_] - 1e-6)).astype(int), capacity))
     return out, bound
 
 
@@ -190,35 +307,28 @@ def _best_fit(hist: dict[int, int], capacity: int) -> list[tuple[Counter, int]]:
     return [b for r in bins.values() for b in r]
 
 
-def configurations(hist: dict[int, int], capacity: int, gap: float = 1e-3) -> list[tuple[Counter, int]]:
-    """Whole configurations with multiplicities that hold every piece exactly once.  Prices in
-    proportion to length bound any packing; best-fit decreasing that comes within ``gap`` of
-    them is the plan, else the rounded program or best-fit decreasing, which takes fewer."""
+def configurations(hist: dict[int, int], capacity: int, p: Program = Program()) -> list[tuple[Counter, int]]:
+    """Whole configurations with multiplicities that hold every piece exactly once: the
+    rounded program, and what it leaves by best-fit decreasing."""
     left = {x: n for x, n in hist.items() if n}
     out = []
     if left.get(capacity):
         out.append((Counter({capacity: 1}), left.pop(capacity)))
-    plain = _best_fit(left, capacity)
-    bound = max(sum(x * n for x, n in left.items()) / capacity, sum(n for x, n in left.items() if 2 * x > capacity))
-    if sum(k for _, k in plain) <= np.ceil((1 + gap) * bound):
-        return out + plain
-    cover, _ = fractional(left, capacity)
-    rounded = []
+    cover, _ = fractional(left, capacity, p)
 
     def take(config: Counter, times: int) -> None:
-        times = min([times, *(left.get(x, 0) // a for x, a in config.items())])
+        times = min([times, *(left[x] // a for x, a in config.items())])
         if times > 0:
-            rounded.append((config, times))
+            out.append((config, times))
             for x, a in config.items():
                 left[x] -= a * times
 
-    full = [(c, w) for c, w in cover if sum(x * a for x, a in c.items()) >= 0.98 * capacity]
+    full = [(c, w) for c, w in cover if sum(x * a for x, a in c.items()) >= p.fill * capacity]
     for config, w in full:
         take(config, int(w + 1e-9))
     for config, _ in sorted(full, key=lambda c: -(c[1] % 1)):
         take(config, 1)
-    rounded += _best_fit({x: n for x, n in left.items() if n}, capacity)
-    return out + min(rounded, plain, key=lambda p: sum(k for _, k in p))
+    return out + _best_fit({x: n for x, n in left.items() if n}, capacity)
 
 
 def plan(hist: dict[int, int], capacity: int) -> np.ndarray:
