@@ -68,15 +68,15 @@ def _counts(data: np.ndarray, off: np.ndarray, window: int) -> list[np.ndarray]:
             np.bincount(ld, minlength=t.n), np.bincount(ld[later], minlength=t.n), n_repeat]
 
 
-def measure(docs: DataFrame, carry: list[str], rules: Rules = Rules()) -> DataFrame:
+def measure(docs: DataFrame, carry: list[str], rules: Rules = Rules(), text: str = "text") -> DataFrame:
     """``carry`` columns (``text`` among them if wanted) plus MEASURES, one row each."""
-    cols = [*dict.fromkeys([*carry, "text"])]
+    cols = [*dict.fromkeys([*carry, text])]
     out = [f for f in docs.select(*cols).schema.fields if f.name in carry]
     window = rules.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, off = buffers(b.column("text"))
+            data, off = buffers(b.column(text))
             parts = [_counts(data[off[i]:off[j]], off[i:j + 1], window) for i, j in slices(off)]
             if parts:
                 got = [pa.array(np.concatenate(p).astype(np.int64)) for p in zip(*parts, strict=True)]
@@ -172,9 +172,8 @@ def keep(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     in a second (text is measured twice but neither shuffled nor stored)."""
     cols = docs.columns
     d = docs.select([docs[c].alias(f"_c{i}") for i, c in enumerate(cols)])
-    need = {c: f"_c{cols.index(c)}" for c in ("text", "lang", "source")}
-    named = d.select("*", *[F.col(v).alias(k) for k, v in need.items()])
-    first = staged(measure(named, ["lang", "source"], rules), "quality")
+    text, lang, source = (F.col(f"_c{cols.index(c)}").alias(c) for c in ("text", "lang", "source"))
+    first = staged(measure(d.select(text, lang, source), ["lang", "source"], rules), "quality")
     bounds = staged(fences(sketch(first, rules), rules), "fences")
-    second = judge(measure(named, [*d.columns, "lang", "source"], rules), bounds, rules)
+    second = judge(measure(d, d.columns, rules, f"_c{cols.index('text')}").select("*", lang, source), bounds, rules)
     return second.filter("kept").select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)])

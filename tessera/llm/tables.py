@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.session import ensure_checkpoint_dir
 
 
+def batches_by_bytes(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Bound the record batches between Spark and its Python workers by their bytes, not by
+    rows alone: ten thousand documents are too many for one buffer."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and read it back:
     lineage is cut, a lost executor costs no recomputation, and the copy is compressed."""
