@@ -10,21 +10,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, line_dedup, near_dup, packing, quality_rules
-from tessera.llm.tables import staged
+from tessera.llm.tables import batches_by_bytes, staged
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the adaptive rules reject go."""
+    batches_by_bytes(spark)
     return quality_rules.keep(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blocks shared with an earlier document go; documents left without a word go."""
+    batches_by_bytes(spark)
     return line_dedup.dedup(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays (five-word shingles, 0.8)."""
+    batches_by_bytes(spark)
     return near_dup.dedup(docs)
 
 
@@ -35,6 +38,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their places in the training sequences."""
+    batches_by_bytes(spark)
     return packing.pack(docs)
 
 
