@@ -15,20 +15,21 @@ Here the class graphs are built once and each sample is a *delta*:
   and only in its cut tail.  Only the hyperedges of the sources of such pairs change;
   their old and new member sets give the correction.
 
-All work is joins and aggregations keyed by the sample or the class; every per-sample
-table is bounded by ``n_nodes²`` rows.
+All work is joins and aggregations keyed by the sample, or by a row of a class.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import hypergraph as hg
 from tessera.operators import sessions as ss
 from tessera.session import materialize
+from tessera.sources import io
 
 SAMPLE = ["geek_id", "session_no"]
 
@@ -97,20 +98,36 @@ def _pairs_from_sets(df: DataFrame, keys: list[str], set_col: str, weight) -> Da
             .select(*keys, "i", F.explode(set_col).alias("j"), "w"))
 
 
-def view1_delta(ti: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per-sample corrections of view 1: (sample, i, j, w) and (sample, node, dv_delta)."""
+#: weight of a hyperedge from its key columns, e.g. ``lambda c: 1 + c("session_no") % 3``
+EdgeWeight = Callable[[Callable[[str], Column]], Column]
+
+
+def unit_weight(c: Callable[[str], Column]) -> Column:
+    return F.lit(1.0)
+
+
+def class_adjacency(inc: DataFrame, weight: EdgeWeight = unit_weight) -> DataFrame:
+    """H5/H6 of the whole class with the same edge weights as the sample corrections."""
+    return hg.adjacency(inc, weight=weight(lambda n: F.col(f"edge.{n}")).cast("double"))
+
+
+def view1_delta(ti: DataFrame, weight: EdgeWeight = unit_weight) -> tuple[DataFrame, DataFrame]:
+    """Per-sample corrections of view 1: (sample, i, j, w) and (sample, node, dv_delta).
+    The hyperedge of view 1 is a session, so ``weight`` sees geek_id and session_no."""
     sets = ti.groupBy(*SAMPLE, "n_f", "n_q").agg(
         F.collect_set("node").alias("f_set"),
         F.collect_set(F.when(F.col("in_q"), F.col("node"))).alias("q_set"))
-    minus = _pairs_from_sets(sets, SAMPLE, "f_set", -F.lit(1.0) / F.col("n_f"))
-    plus = _pairs_from_sets(sets.filter(F.col("n_q") > 0), SAMPLE, "q_set",
-                            F.lit(1.0) / F.col("n_q"))
+    w = weight(F.col).cast("double")
+    minus = _pairs_from_sets(sets, SAMPLE, "f_set", -w / F.col("n_f"))
+    plus = _pairs_from_sets(sets.filter(F.col("n_q") > 0), SAMPLE, "q_set", w / F.col("n_q"))
     dv = ti.select(*SAMPLE, "node", (F.col("in_q").cast("int") - F.lit(1)).alias("dv_delta"))
     return minus.unionByName(plus), dv
 
 
-def view2_delta(g: ClassGraphs, removed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per-sample corrections of view 2 from the hyperedges of affected sources."""
+def view2_delta(g: ClassGraphs, removed: DataFrame,
+                weight: EdgeWeight = unit_weight) -> tuple[DataFrame, DataFrame]:
+    """Per-sample corrections of view 2 from the hyperedges of affected sources.
+    The hyperedge of view 2 is a source item, so ``weight`` sees src."""
     aff = removed.select(*SAMPLE, "graph_id", "src").distinct()
     members = g.inc2.select("graph_id", F.col("edge.src").alias("src"), "node")
     rm = removed.select(*SAMPLE, "src", F.col("dst").alias("node"), F.lit(True).alias("_rm"))
@@ -120,36 +137,120 @@ def view2_delta(g: ClassGraphs, removed: DataFrame) -> tuple[DataFrame, DataFram
     sets = m.groupBy(*SAMPLE, "src").agg(
         F.collect_set("node").alias("old"),
         F.collect_set(F.when(F.col("kept"), F.col("node"))).alias("new"))
-    minus = _pairs_from_sets(sets, SAMPLE + ["src"], "old", -F.lit(1.0) / F.size("old"))
+    w = weight(F.col).cast("double")
+    minus = _pairs_from_sets(sets, SAMPLE + ["src"], "old", -w / F.size("old"))
     plus = _pairs_from_sets(sets.filter(F.size("new") > 0), SAMPLE + ["src"], "new",
-                            F.lit(1.0) / F.size("new"))
+                            w / F.size("new"))
     delta = minus.unionByName(plus).drop("src")
     dv = (m.filter(~F.col("kept")).groupBy(*SAMPLE, "node")
           .agg((-F.count(F.lit(1))).alias("dv_delta")))
     return delta, dv
 
 
-def sample_adjacency(header: DataFrame, class_adj: DataFrame, delta: DataFrame,
-                     rows: DataFrame | None = None, eps: float = 1e-12) -> DataFrame:
-    """H8: every sample's adjacency = its class adjacency + its correction rows.
-
-    ``rows`` (sample, i) restricts the result to those rows (e.g. the history items)
-    before the class rows are copied per sample.  Output (sample, graph_id, i, j, w).
-    """
-    keys = header.select(*SAMPLE, "graph_id")
-    d = delta
-    if rows is None:
-        base = keys.join(class_adj, "graph_id")
-    else:
-        # only the requested rows of each sample: join them to the class rows on
-        # (graph_id, i), |rows| x n_nodes instead of n_nodes² rows per sample
-        base = rows.join(keys, SAMPLE).join(class_adj, ["graph_id", "i"])
-        d = d.join(rows, [*SAMPLE, "i"], "left_semi")
-    d = d.join(header.select(*SAMPLE, "graph_id"), SAMPLE)
-    return (base.select(*SAMPLE, "graph_id", "i", "j", "w")
-            .unionByName(d.select(*SAMPLE, "graph_id", "i", "j", "w"))
-            .groupBy(*SAMPLE, "graph_id", "i", "j").agg(F.sum("w").alias("w"))
-            .filter(F.abs("w") > F.lit(eps)))
+# ---------------------------------------------------------------- overlay edge store
+# A sample's graph is its class graph but for the few rows of its own target.  The store
+# keeps each class row once, (graph_id, i, row), and each sample's changes of a row,
+# (sample, i, changed); a row of a sample is read by joining on (graph_id, i) and then
+# merged inside the row, so that neither samples x nodes² entries are stored nor shuffled.
+
+def class_rows(adj: DataFrame) -> DataFrame:
+    """Adjacency rows of the classes: (graph_id, i, row), row = array of (j, w) by j."""
+    return adj.groupBy("graph_id", "i").agg(
+        F.array_sort(F.collect_list(F.struct("j", "w"))).alias("row"))
+
+
+def changed_rows(delta: DataFrame) -> DataFrame:
+    """Changes of the samples: (sample, i, changed), changed = map j -> summed correction."""
+    per = delta.groupBy(*SAMPLE, "i", "j").agg(F.sum("w").alias("w"))
+    return per.groupBy(*SAMPLE, "i").agg(
+        F.map_from_entries(F.collect_list(F.struct("j", "w"))).alias("changed"))
+
+
+def all_rows(header: DataFrame, n_nodes: int) -> DataFrame:
+    """(sample, graph_id, i) of every node of every sample, without a join."""
+    return header.select(*SAMPLE, "graph_id", F.explode(F.sequence(F.lit(0), F.lit(n_nodes - 1))).alias("i"))
+
+
+def overlay(wanted: DataFrame, base: DataFrame, changes: DataFrame, eps: float = 1e-9) -> DataFrame:
+    """Rows of samples: ``wanted`` (sample, graph_id, i) and the two tables of the store to
+    (sample, graph_id, i, row).
+
+    A correction takes parts of a class weight away, so it only ever meets entries that the
+    class row has.  An entry that loses all its parts leaves a rounding residue: what is left
+    below ``eps`` of the class weight is no entry."""
+    joined = (wanted.select(*SAMPLE, "graph_id", "i").join(base, ["graph_id", "i"])
+              .join(changes, [*SAMPLE, "i"], "left"))
+    now = F.transform("row", lambda e: F.struct(
+        e["j"].alias("j"), (e["w"] + F.coalesce(F.try_element_at("changed", e["j"]), F.lit(0.0))).alias("w"),
+        e["w"].alias("whole")))
+    kept = F.filter(now, lambda e: F.abs(e["w"]) > F.abs(e["whole"]) * F.lit(eps))
+    row = F.when(F.col("changed").isNull(), F.col("row")).otherwise(
+        F.transform(kept, lambda e: F.struct(e["j"].alias("j"), e["w"].alias("w"))))
+    return joined.select(*SAMPLE, "graph_id", "i", row.alias("row")).filter(F.size("row") > 0)
+
+
+def entries(rows: DataFrame) -> DataFrame:
+    """(sample, graph_id, i, j, w) of packed rows."""
+    return rows.select(*SAMPLE, "graph_id", "i", F.inline("row"))
+
+
+def sample_adjacency(header: DataFrame, class_adj: DataFrame, delta: DataFrame, n_nodes: int | None = None,
+                     rows: DataFrame | None = None) -> DataFrame:
+    """H8: every sample's adjacency = its class adjacency + its correction rows, as
+    (sample, graph_id, i, j, w).  ``rows`` (sample, i) restricts it to those rows (e.g. the
+    history items); without it all rows of the ``n_nodes`` nodes are read."""
+    wanted = (all_rows(header, n_nodes) if rows is None
+              else rows.join(header.select(*SAMPLE, "graph_id"), SAMPLE))
+    return entries(overlay(wanted, class_rows(class_adj), changed_rows(delta)))
+
+
+@dataclass
+class SampleStore:
+    """Header (sample, graph_id, cut, history, label, split), class rows and sample
+    changes of both views, and the features of the nodes, which all samples share."""
+    header: DataFrame
+    base: DataFrame       # view, graph_id, i, row
+    changes: DataFrame    # view, sample, i, changed
+    features: DataFrame | None = None
+
+    def rows(self, view: int, n_nodes: int, samples: DataFrame | None = None) -> DataFrame:
+        """Adjacency rows of one view of the given samples (rows of the header), or of all."""
+        wanted = all_rows(self.header if samples is None else samples, n_nodes)
+        return overlay(wanted, self.base.filter(F.col("view") == view).drop("view"),
+                       self.changes.filter(F.col("view") == view).drop("view"))
+
+    def write(self, path: str) -> None:
+        io.write_partitioned(self.header, f"{path}/header", "split")
+        io.write_partitioned(self.base, f"{path}/base", "view")
+        split = self.header.select(*SAMPLE, "split")
+        io.write_partitioned(self.changes.join(split, SAMPLE), f"{path}/changes", ["split", "view"])
+        if self.features is not None:
+            io.write_parquet(self.features, f"{path}/features")
+
+    @staticmethod
+    def read(spark: SparkSession, path: str, features: bool = False, split: str | None = None) -> SampleStore:
+        """``split`` prunes header and changes to that folder."""
+        header, changes = (io.read_table(spark, f"{path}/{t}") for t in ("header", "changes"))
+        if split is not None:
+            header, changes = (t.filter(F.col("split") == split) for t in (header, changes))
+        return SampleStore(header, io.read_table(spark, f"{path}/base"), changes.drop("split"),
+                           io.read_table(spark, f"{path}/features") if features else None)
+
+
+def sample_store(g: ClassGraphs, top_k: int, val_prop: float, mode: str = "split",
+                 weights: tuple[EdgeWeight, EdgeWeight] = (unit_weight, unit_weight),
+                 features: DataFrame | None = None) -> SampleStore:
+    """The whole sample set of the class graphs."""
+    ti = target_items(g, top_k)
+    base, changes = [], []
+    for view, inc, weight, (delta, _) in (
+            (1, g.inc1, weights[0], view1_delta(ti, weights[0])),
+            (2, g.inc2, weights[1], view2_delta(g, removed_pairs(g, top_k), weights[1]))):
+        base.append(class_rows(class_adjacency(inc, weight)).withColumn("view", F.lit(view)))
+        changes.append(changed_rows(delta).withColumn("view", F.lit(view)))
+    header = (split_samples(sample_header(g, top_k), val_prop, mode=mode)
+              .join(history_items(ti), SAMPLE, "left").join(label_lists(g, top_k), SAMPLE, "left"))
+    return SampleStore(header, base[0].unionByName(base[1]), changes[0].unionByName(changes[1]), features)
 
 
 def sample_degree(header: DataFrame, class_dv: DataFrame, dv_delta: DataFrame) -> DataFrame:
@@ -204,8 +305,9 @@ def history_rows(g: ClassGraphs, ti: DataFrame, header: DataFrame,
 
 
 def split_samples(header: DataFrame, val_prop: float, part_col: str = "graph_id",
-                  key_range: int = 1 << 16) -> DataFrame:
-    """Deterministic train/test split — the first ``floor(n*(1-val_prop))`` samples
+                  key_range: int = 1 << 16, mode: str = "split") -> DataFrame:
+    """With ``mode`` 'all' every sample is of the one split 'all' (the set that is
+    only read).  Else a deterministic train/test split — the first ``floor(n*(1-val_prop))`` samples
     in (class, target) order are 'train', the rest 'test'.  The global ordinal is the
     class offset (per-class counts: one row per class) plus a two-level ordinal inside
     the class, so no single task sees all samples of a class."""
@@ -218,6 +320,10 @@ def split_samples(header: DataFrame, val_prop: float, part_col: str = "graph_id"
                        F.floor(F.col(SAMPLE[0]) / F.lit(key_range)), "_in")
     out = (inner.join(per, part_col)
            .withColumn("sample_no", (F.col("_off") + F.col("_in")).cast("long")))
+    if mode not in ("split", "all"):
+        raise ValueError(f"a sample set is split or read whole, not {mode!r}")
+    if mode == "all":
+        return out.withColumn("split", F.lit("all")).drop("_off", "_n", "_in")
     cut = F.floor(F.col("_n") * F.lit(1.0 - val_prop))
     return (out.withColumn("split", F.when(F.col("sample_no") < cut, F.lit("train"))
                            .otherwise(F.lit("test")))

@@ -377,7 +377,5 @@ def wavelets_dense(lap: DataFrame, nodes: DataFrame, graphs: DataFrame, taus: li
                                      "j": jj.astype("int32"), "val": r[ii, jj]}))
         return pd.concat(out, ignore_index=True)
 
-    schema = f"{G} long, filter int, t double, i int, j int, val double"
-    key_type = lap.schema[G].dataType
-    return (head.unionByName(body).groupBy(G).applyInPandas(solve, schema=schema)
-            .withColumn(G, F.col(G).cast(key_type)))
+    schema = f"{G} {lap.schema[G].dataType.simpleString()}, filter int, t double, i int, j int, val double"
+    return head.unionByName(body).groupBy(G).applyInPandas(solve, schema=schema)

@@ -2,9 +2,11 @@
 (H5), sample assembly (H9) and the centre lookup join (J5)."""
 
 import uuid
+from functools import reduce
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import hypergraph as hg
@@ -87,21 +89,18 @@ UNION ALL
 SELECT sp.split, a.sg, a.ss, a.i, a.j, ROUND(a.w, 6), 2 FROM a2 a
 JOIN sp ON sp.sg = a.sg AND sp.ss = a.ss""")
 def s11_sample_roundtrip(spark, sf):
-    """Sample edge tables of both views written partitioned by split and read back."""
-    g = sp.class_graphs(sessions_long(spark, sf), P.list_cnt)
-    header = sp.sample_header(g, P.top_k)
-    split = sp.split_samples(header, P.val_prop).select(*sp.SAMPLE, "split")
-    ti = sp.target_items(g, P.top_k)
-    parts = []
-    for view, inc, (delta, _) in ((1, g.inc1, sp.view1_delta(ti)),
-                                  (2, g.inc2, sp.view2_delta(g, sp.removed_pairs(g, P.top_k)))):
-        a = sp.sample_adjacency(header, hg.adjacency(inc), delta)
-        parts.append(a.withColumn("view", F.lit(view)))
-    edges = parts[0].unionByName(parts[1]).join(split, sp.SAMPLE)
+    """The sample set written as a store (header, class rows, changes of the samples; no
+    table of samples x nodes²) and read back: a sample's rows are merged when read."""
+    store = sp.sample_store(sp.class_graphs(sessions_long(spark, sf), P.list_cnt), P.top_k, P.val_prop)
     path = _scratch(spark, "s11")
-    io.write_partitioned(edges.select("split", *sp.SAMPLE, "i", "j", r6("w").alias("w"), "view"),
-                         path, "split")
-    return io.read_table(spark, path).select("split", *sp.SAMPLE, "i", "j", "w", "view")
+    store.write(path)
+    parts = []
+    for split in ("train", "test"):
+        back = sp.SampleStore.read(spark, path, split=split)
+        parts += [sp.entries(back.rows(v, P.k_job)).withColumn("view", F.lit(v)).withColumn("split", F.lit(split))
+                  for v in (1, 2)]
+    edges = reduce(DataFrame.unionByName, parts)
+    return edges.select("split", *sp.SAMPLE, "i", "j", r6("w").alias("w"), "view")
 
 
 @register("s12_profile_cached", f"""WITH {SESS}
@@ -126,30 +125,40 @@ def h5_weighted_adjacency(spark, sf):
 
 
 @register("h9_sample_assembly", f"""WITH {SAMPLES},
-h AS (SELECT sg, ss, list(i ORDER BY i) AS hist_items FROM hist GROUP BY 1, 2),
-c1 AS (SELECT sg, ss, COUNT(*) AS n1 FROM a1 GROUP BY 1, 2),
-c2 AS (SELECT sg, ss, COUNT(*) AS n2 FROM a2 GROUP BY 1, 2)
-SELECT s.sg AS geek_id, s.ss AS session_no, s.graph_id, h.hist_items, l.label,
-  CAST(c1.n1 AS BIGINT) AS n_a1, CAST(COALESCE(c2.n2, 0) AS BIGINT) AS n_a2
-FROM samples s JOIN h USING (sg, ss) JOIN lab l USING (sg, ss) JOIN c1 USING (sg, ss)
-LEFT JOIN c2 USING (sg, ss)""")
+ft AS (SELECT label AS node, AVG(embedding[1]) AS x FROM embeddings GROUP BY 1),
+hp AS (SELECT sg, ss, node AS i, MIN(pos) AS fp FROM sv WHERE geek_id = sg AND session_no = ss GROUP BY 1, 2, 3),
+h AS (SELECT sg, ss, list(i ORDER BY fp) AS history, list(ROUND(x, 6) ORDER BY fp) AS history_x
+      FROM hp LEFT JOIN ft ON ft.node = hp.i GROUP BY 1, 2),
+c1 AS (SELECT sg, ss, COUNT(*) AS n, SUM(w) AS w, SUM((i + 1) * (j + 2) * w) AS m FROM a1 GROUP BY 1, 2),
+c2 AS (SELECT sg, ss, COUNT(*) AS n, SUM(w) AS w, SUM((i + 1) * (j + 2) * w) AS m FROM a2 GROUP BY 1, 2),
+n AS (SELECT graph_id, sg, ss, ROW_NUMBER() OVER (ORDER BY graph_id, sg, ss) - 1 AS sample_no FROM samples)
+SELECT n.sg AS geek_id, n.ss AS session_no, n.graph_id,
+  CASE WHEN n.sample_no < FLOOR((SELECT COUNT(*) FROM samples) * (1 - {P.val_prop}))
+       THEN 'train' ELSE 'test' END AS split,
+  h.history, h.history_x, l.label, CAST(c1.n AS BIGINT) AS n_a1, ROUND(c1.w, 6) AS w_a1, ROUND(c1.m, 3) AS m_a1,
+  CAST(COALESCE(c2.n, 0) AS BIGINT) AS n_a2, ROUND(COALESCE(c2.w, 0), 6) AS w_a2, ROUND(COALESCE(c2.m, 0), 3) AS m_a2
+FROM n JOIN h USING (sg, ss) JOIN lab l USING (sg, ss) JOIN c1 USING (sg, ss) LEFT JOIN c2 USING (sg, ss)""")
 def h9_sample_assembly(spark, sf):
-    """One row per sample: class, history items, label list and the sizes of its two
-    adjacency tables (the sample tuple of the original, as a joined header)."""
-    g = sp.class_graphs(sessions_long(spark, sf), P.list_cnt)
-    header = sp.sample_header(g, P.top_k)
-    ti = sp.target_items(g, P.top_k)
-    hist = (ti.filter("in_q").groupBy(*sp.SAMPLE)
-            .agg(F.array_sort(F.collect_list("node")).alias("hist_items")))
-    counts = []
-    for name, inc, (delta, _) in (("n_a1", g.inc1, sp.view1_delta(ti)),
-                                  ("n_a2", g.inc2, sp.view2_delta(g, sp.removed_pairs(g, P.top_k)))):
-        a = sp.sample_adjacency(header, hg.adjacency(inc), delta)
-        counts.append(a.groupBy(*sp.SAMPLE).agg(F.count(F.lit(1)).alias(name)))
-    out = (header.select(*sp.SAMPLE, "graph_id").join(hist, sp.SAMPLE)
-           .join(sp.label_lists(g, P.top_k), sp.SAMPLE).join(counts[0], sp.SAMPLE)
-           .join(counts[1], sp.SAMPLE, "left").fillna({"n_a2": 0}))
-    return out.select(*sp.SAMPLE, "graph_id", "hist_items", "label", "n_a1", "n_a2")
+    """The whole sample: person, class, split, the history in first-seen order with the
+    features of its items, the label, and both graphs, here as the count, the sum and a
+    place-weighted sum of their entries."""
+    c = centres(spark, sf).select(F.col("label").cast("int").alias("node"), F.col("center").alias("x"))
+    store = sp.sample_store(sp.class_graphs(sessions_long(spark, sf), P.list_cnt), P.top_k, P.val_prop, features=c)
+    path = _scratch(spark, "h9")
+    store.write(path)
+    back = sp.SampleStore.read(spark, path, features=True)
+    out = back.header
+    for v in (1, 2):
+        at = (F.col("i") + 1) * (F.col("j") + 2) * F.col("w")
+        per = sp.entries(back.rows(v, P.k_job)).groupBy(*sp.SAMPLE).agg(
+            F.count("*").alias(f"n_a{v}"), r6(F.sum("w")).alias(f"w_a{v}"), F.round(F.sum(at), 3).alias(f"m_a{v}"))
+        out = out.join(per, sp.SAMPLE, "inner" if v == 1 else "left").fillna(0, [f"n_a{v}", f"w_a{v}", f"m_a{v}"])
+    items = (back.header.select(*sp.SAMPLE, F.posexplode("history").alias("at", "node"))
+             .join(back.features.select("node", F.get("x", F.lit(0)).alias("x")), "node", "left")
+             .groupBy(*sp.SAMPLE).agg(F.array_sort(F.collect_list(F.struct("at", r6("x").alias("x")))).alias("_x")))
+    out = out.join(items, sp.SAMPLE).withColumn("history_x", F.transform("_x", lambda e: e["x"]))
+    return out.select(*sp.SAMPLE, "graph_id", "split", "history", "history_x", "label",
+                      *[f"{c}_a{v}" for v in (1, 2) for c in "nwm"])
 
 
 @register("j5_centre_lookup", """WITH c AS (SELECT label, pos, AVG(x) AS cx FROM

@@ -198,7 +198,7 @@ def _sample_view(spark, sf, view):
 SELECT sg AS geek_id, ss AS session_no, graph_id, i, j, ROUND(w, 6) AS w FROM a1""")
 def h8_sample_adjacency_v1(spark, sf):
     header, inc, delta, _ = _sample_view(spark, sf, 1)
-    a = sp.sample_adjacency(header, hg.adjacency(inc), delta)
+    a = sp.sample_adjacency(header, hg.adjacency(inc), delta, P.k_job)
     return a.select("geek_id", "session_no", "graph_id", "i", "j", r6("w").alias("w"))
 
 
@@ -206,10 +206,30 @@ def h8_sample_adjacency_v1(spark, sf):
 SELECT sg AS geek_id, ss AS session_no, graph_id, i, j, ROUND(w, 6) AS w FROM a2""")
 def h8_sample_adjacency_v2(spark, sf):
     header, inc, delta, _ = _sample_view(spark, sf, 2)
-    a = sp.sample_adjacency(header, hg.adjacency(inc), delta)
+    a = sp.sample_adjacency(header, hg.adjacency(inc), delta, P.k_job)
     return a.select("geek_id", "session_no", "graph_id", "i", "j", r6("w").alias("w"))
 
 
+_WEIGHTED_SQL = SAMPLES.replace("a1 AS (SELECT x.sg, x.ss, x.graph_id, x.node AS i, y.node AS j, SUM(1.0 / x.de)",
+                                "a1 AS (SELECT x.sg, x.ss, x.graph_id, x.node AS i, y.node AS j, SUM((1 + x.session_no % 3) * 1.0 / x.de)")
+_WEIGHTED_SQL = _WEIGHTED_SQL.replace("a2 AS (SELECT x.sg, x.ss, x.graph_id, x.node AS i, y.node AS j, SUM(1.0 / x.de)",
+                                      "a2 AS (SELECT x.sg, x.ss, x.graph_id, x.node AS i, y.node AS j, SUM((1 + x.src % 2) * 1.0 / x.de)")
+assert _WEIGHTED_SQL.count("% 3") == _WEIGHTED_SQL.count("% 2") == 1
+
+
+@register("h8_weighted_samples", f"""WITH {_WEIGHTED_SQL}
+SELECT sg AS geek_id, ss AS session_no, graph_id, i, j, ROUND(w, 6) AS w, 1 AS view FROM a1
+UNION ALL SELECT sg, ss, graph_id, i, j, ROUND(w, 6), 2 FROM a2""")
+def h8_weighted_samples(spark, sf):
+    """H5 inside H8: both views with hyperedge weights, 1 + session_no % 3 for a session and
+    1 + src % 2 for a source item."""
+    store = sp.sample_store(_graphs(spark, sf), P.top_k, P.val_prop, weights=(
+        lambda c: F.lit(1) + c("session_no") % 3, lambda c: F.lit(1) + c("src") % 2))
+    views = [sp.entries(store.rows(v, P.k_job)).withColumn("view", F.lit(v)) for v in (1, 2)]
+    return views[0].unionByName(views[1]).select(
+        "geek_id", "session_no", "graph_id", "i", "j", r6("w").alias("w"), "view")
+
+
 @register("h8_sample_degrees", f"""WITH {SAMPLES}
 SELECT sg AS geek_id, ss AS session_no, i AS node, CAST(dv AS BIGINT) AS dv, 1 AS view FROM dv1
 UNION ALL
@@ -236,6 +256,17 @@ def h10_split(spark, sf):
         "graph_id", "geek_id", "session_no", "sample_no", "split")
 
 
+@register("h10_all_samples", f"""WITH {SAMPLES}
+SELECT graph_id, sg AS geek_id, ss AS session_no,
+  CAST(ROW_NUMBER() OVER (ORDER BY graph_id, sg, ss) - 1 AS BIGINT) AS sample_no, 'all' AS split
+FROM samples""")
+def h10_all_samples(spark, sf):
+    """The mode of the sample set that only reads: every sample, none held out."""
+    header = sp.sample_header(_graphs(spark, sf), P.top_k)
+    return sp.split_samples(header, P.val_prop, mode="all").select(
+        "graph_id", "geek_id", "session_no", "sample_no", "split")
+
+
 @register("r3_recommend", f"""WITH {SAMPLES}
 SELECT sg AS geek_id, ss AS session_no, item, rk, score FROM rec""")
 def r3_recommend(spark, sf):

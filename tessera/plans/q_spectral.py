@@ -368,16 +368,16 @@ from tessera.plans.sqlparts import SAMPLE_GRAPHS  # noqa: E402
 
 
 def sample_graph_edges(spark, sf):
-    """Both views of every leave-one-out sample as one edge table; graph key =
-    (geek_id * 100000 + session_no) * 2 + view - 1."""
+    """Both views of every leave-one-out sample as one edge table; the graph key is the text
+    geek_id:session_no:view, so that no two samples share one."""
     g = smp.class_graphs(sessions_long(spark, sf), _P.list_cnt)
     header = smp.sample_header(g, _P.top_k)
     ti = smp.target_items(g, _P.top_k)
     parts = []
-    for view, inc, (delta, _) in ((0, g.inc1, smp.view1_delta(ti)),
-                                  (1, g.inc2, smp.view2_delta(g, smp.removed_pairs(g, _P.top_k)))):
-        a = smp.sample_adjacency(header, hg.adjacency(inc), delta)
-        key = (F.col("geek_id") * 100000 + F.col("session_no")) * 2 + view
+    for view, inc, (delta, _) in ((1, g.inc1, smp.view1_delta(ti)),
+                                  (2, g.inc2, smp.view2_delta(g, smp.removed_pairs(g, _P.top_k)))):
+        a = smp.sample_adjacency(header, hg.adjacency(inc), delta, _P.k_job)
+        key = F.concat_ws(":", "geek_id", "session_no", F.lit(view))
         parts.append(a.select(key.alias("graph_id"), F.col("i").alias("src"), F.col("j").alias("dst"), "w"))
     return parts[0].unionByName(parts[1])
 
@@ -389,7 +389,8 @@ sig AS (SELECT graph_id, node, node AS signal, 1.0 AS val FROM nodes),
 kept AS (SELECT * FROM r WHERE val >= 0.0 AND val <> 0),
 wv AS (SELECT graph_id, filter, node AS i, signal AS j,
          val / SUM(abs(val)) OVER (PARTITION BY graph_id, filter, node) AS val FROM kept)
-SELECT graph_id, filter, i, j, ROUND(val, 6) AS val FROM wv""")
+SELECT CAST(split_part(graph_id, ':', 1) AS BIGINT) AS geek_id, CAST(split_part(graph_id, ':', 2) AS BIGINT) AS session_no,
+  CAST(split_part(graph_id, ':', 3) AS INTEGER) AS view, filter, i, j, ROUND(val, 6) AS val FROM wv""")
 def k20_sample_wavelets(spark, sf):
     """Forward (t=-1) and inverse (t=+1) wavelets of both graphs of every sample (the
     transform the original runs per sample before the network).  Sample graphs are
@@ -398,4 +399,6 @@ def k20_sample_wavelets(spark, sf):
     e = materialize(sample_graph_edges(spark, sf))
     nodes = nodes_of(e)
     w = sp.wavelets_dense(e, nodes, gr.lmax_bound(e, nodes), TAUS, order=3, from_weights=True)
-    return w.select("graph_id", "filter", "i", "j", r6("val").alias("val"))
+    part = F.split("graph_id", ":")
+    return w.select(part[0].cast("long").alias("geek_id"), part[1].cast("long").alias("session_no"),
+                    part[2].cast("int").alias("view"), "filter", "i", "j", r6("val").alias("val"))

@@ -179,8 +179,8 @@ nodes AS (SELECT g.graph_id, CAST(r.range AS INTEGER) AS node
 # Every sample's two graphs (direct construction) as one set of graphs:
 # graph key = (geek_id * 100000 + session_no) * 2 + view - 1.
 SAMPLE_GRAPHS = SAMPLES + f""",
-ug AS (SELECT (sg * 100000 + ss) * 2 AS graph_id, i AS src, j AS dst, w FROM a1
-       UNION ALL SELECT (sg * 100000 + ss) * 2 + 1, i, j, w FROM a2),
+ug AS (SELECT sg || ':' || ss || ':1' AS graph_id, i AS src, j AS dst, w FROM a1
+       UNION ALL SELECT sg || ':' || ss || ':2', i, j, w FROM a2),
 nodes AS (SELECT g.graph_id, CAST(r.range AS INTEGER) AS node
           FROM (SELECT DISTINCT graph_id FROM ug) g, range({P.k_job}) r),
 """ + LAP[LAP.index("lap AS"):]

@@ -35,7 +35,8 @@ def write_partitioned(df: DataFrame, path: str, by: list[str] | str,
     with a third of all rows is not written by one task.
     """
     by = [by] if isinstance(by, str) else list(by)
-    rest = [F.col(c) for c in df.columns if c not in by]
+    # maps have no hash
+    rest = [F.col(f.name) for f in df.schema.fields if f.name not in by and not isinstance(f.dataType, T.MapType)]
     part = F.pmod(F.xxhash64(*rest), F.lit(salt)) if rest else F.lit(0)
     (df.repartition(*[F.col(c) for c in by], part)
      .write.mode(mode).partitionBy(*by).parquet(path))
