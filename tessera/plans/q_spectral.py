@@ -267,6 +267,57 @@ def k4_k9_exact_filter(spark, sf):
     return ex.join(norms, ["graph_id", "filter"])
 
 
+# ---------------------------------------------------------------- Krylov
+from tessera.operators import krylov as kr  # noqa: E402
+
+_EXACT_SQL = f"""{LAP}, {heat_coeff_sql(TAUS, 12)},
+sig AS (SELECT graph_id, node, 0 AS signal, dw AS val FROM dwt),
+{cheby_terms_sql('sig', 12, a_expr='(g.lmax / 2)')},
+{cheby_combine_sql(12)}"""
+
+
+@register("k9_krylov_filter", f"""WITH {_EXACT_SQL}
+SELECT graph_id, node, filter, ROUND(val, 5) AS val FROM r""")
+def k9_krylov_filter(spark, sf):
+    """g(L) s of the weighted degrees with a stated error (1e-10 of the signal's norm), no
+    eigen-decomposition; the oracle is a Chebyshev series of order 12."""
+    e, nodes, lap, graphs = _graph(spark, sf)
+    s = gr.degrees(e, nodes).select("graph_id", F.lit(0).alias("signal"), "node", F.col("dw").alias("val"))
+    out = kr.krylov_filter(lap, s, graphs, TAUS, tol=1e-10)
+    return out.select("graph_id", "node", "filter", F.round("val", 5).alias("val"))
+
+
+@register("k4_normalized_filter", f"""WITH {LAP}, {heat_coeff_sql(TAUS, 12)}, {heat_coeff_sql([2 * t for t in TAUS], 12, 'c2')},
+sig AS (SELECT graph_id, node, 0 AS signal, dw AS val FROM dwt),
+{cheby_terms_sql('sig', 12, a_expr='(g.lmax / 2)')}, {cheby_combine_sql(12)},
+ds AS (SELECT graph_id, node, node AS signal, 1.0 AS val FROM nodes),
+{cheby_terms_sql('ds', 12, prefix='u', a_expr='(g.lmax / 2)')}, {cheby_combine_sql(12, coeff='c2', prefix='u', name='q')},
+nm AS (SELECT graph_id, filter, sqrt(SUM(val)) AS norm FROM q WHERE node = signal GROUP BY 1, 2)
+SELECT r.graph_id, r.node, r.filter, ROUND(r.val / nm.norm, 5) AS val
+FROM r JOIN nm ON nm.graph_id = r.graph_id AND nm.filter = r.filter""")
+def k4_normalized_filter(spark, sf):
+    """Filtering with kernels divided by their norm over the spectrum: the norm is a trace."""
+    e, nodes, lap, graphs = _graph(spark, sf)
+    s = gr.degrees(e, nodes).select("graph_id", F.lit(0).alias("signal"), "node", F.col("dw").alias("val"))
+    out = kr.normalized(kr.krylov_filter(lap, s, graphs, TAUS, tol=1e-10),
+                        kr.kernel_norms(lap, nodes, graphs, TAUS, tol=1e-10))
+    return out.select("graph_id", "node", "filter", F.round("val", 5).alias("val"))
+
+
+@register("g10_lmax_lanczos", f"""WITH {LAP}
+SELECT graph_id, TRUE AS bounded FROM gl""")
+def g10_lmax_lanczos(spark, sf):
+    """Largest eigenvalue of every class graph by the Lanczos recurrence.  The oracle holds
+    what SQL can say: one row a graph, between the Rayleigh quotient of the best delta (the
+    greatest diagonal entry) and 1.01 times the bound 2 max(dw)."""
+    e, nodes, lap, graphs = _graph(spark, sf)
+    diagonal = lap.filter(F.col("i") == F.col("j")).groupBy("graph_id").agg(F.max("v").alias("d"))
+    got = kr.lmax_lanczos(lap, nodes).join(graphs.withColumnRenamed("lmax", "top"), "graph_id").join(
+        diagonal, "graph_id", "left")
+    ok = (F.col("lmax") >= F.coalesce("d", F.lit(0.0))) & (F.col("lmax") <= 1.01 * F.col("top"))
+    return got.select("graph_id", (ok & (F.col("residual") <= 5e-3 * F.col("ritz"))).alias("bounded"))
+
+
 # ---------------------------------------------------------------- wavelet layer
 from tessera.operators import hypergraph as hg  # noqa: E402
 from tessera.operators import recommend as rc  # noqa: E402
