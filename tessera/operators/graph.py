@@ -110,10 +110,10 @@ def laplacian(edges: DataFrame, nodes: DataFrame, lap_type: str = "combinatorial
     Off-diagonal terms and diagonal terms are unioned and summed per (i, j).
     """
     if lap_type not in ("combinatorial", "normalized"):
-        raise ValueError(f"Unknown Laplacian type {lap_type}")
+        raise ValueError(f"a Laplacian is combinatorial or normalized, not {lap_type!r}")
     if lap_type == "normalized":
         if directed:
-            raise NotImplementedError("Directed graphs with normalized Laplacian not supported")
+            raise NotImplementedError("the normalized Laplacian needs an undirected graph")
         dw = degrees(edges, nodes).select(G, "node", "dw")
         inv = dw.select(G, "node", F.when(F.col("dw") > 0, F.pow("dw", -0.5)).alias("r"))
         off = (edges.join(inv.withColumnRenamed("node", "src").withColumnRenamed("r", "ri"), [G, "src"])
@@ -251,14 +251,15 @@ def reach_from(edges: DataFrame, nodes: DataFrame, start: int = 0,
 
 
 def is_connected(edges: DataFrame, nodes: DataFrame, directed: bool = False) -> DataFrame:
-    """Every node reachable from node 0 — for directed graphs over the edges and
-    over the transposed edges, both orientations in one loop (key ``dir``)."""
-    e = edges.select(G, "src", "dst", "w", F.lit(0).alias("dir"))
-    if directed:
-        e = e.unionByName(edges.select(G, F.col("dst").alias("src"), F.col("src").alias("dst"),
-                                       "w", F.lit(1).alias("dir")))
-    dirs = F.array(*[F.lit(d) for d in ((0, 1) if directed else (0,))])
-    n_all = materialize(nodes.select(G, "node", F.explode(dirs).alias("dir")))
+    """Undirected, all nodes of one component; directed, every node reachable from
+    node 0 over the edges and over the transposed edges, both orientations in one loop
+    (key ``dir``)."""
+    if not directed:
+        c = components(edges.filter(F.col("w") > 0), nodes)
+        return c.groupBy(G).agg((F.min("component") == F.max("component")).alias("connected"))
+    e = edges.select(G, "src", "dst", "w", F.lit(0).alias("dir")).unionByName(
+        edges.select(G, F.col("dst").alias("src"), F.col("src").alias("dst"), "w", F.lit(1).alias("dir")))
+    n_all = materialize(nodes.select(G, "node", F.explode(F.array(F.lit(0), F.lit(1))).alias("dir")))
     r = (reach_from(e, n_all, keys=(G, "dir")).groupBy(G, "dir").agg(F.count(F.lit(1)).alias("_r")))
     n = n_all.groupBy(G, "dir").agg(F.count(F.lit(1)).alias("_n"))
     per_dir = n.join(r, [G, "dir"], "left").select(
@@ -266,29 +267,35 @@ def is_connected(edges: DataFrame, nodes: DataFrame, directed: bool = False) ->
     return per_dir.groupBy(G).agg(F.bool_and("_ok").alias("connected"))
 
 
-def components(edges: DataFrame, nodes: DataFrame,
-               checkpoint_every: int = 4) -> DataFrame:
-    """Connected components of undirected graphs as (graph_id, node, component)
-    with component = smallest node id of the component (min-label propagation until
-    no label changes, all graphs together)."""
-    adj = (binary_adjacency(edges).select(G, "src", "dst")
-           .unionByName(binary_adjacency(edges).select(G, F.col("dst").alias("src"),
-                                                      F.col("src").alias("dst"))).distinct())
-    adj = materialize(adj)
-    lab = materialize(nodes.select(G, "node", F.col("node").alias("comp")))
-    lab = lab.persist()
-    for k in count():
-        prop = (lab.join(adj.withColumnRenamed("src", "node"), [G, "node"])
-                .groupBy(G, F.col("dst").alias("node")).agg(F.min("comp").alias("_c")))
-        new = (lab.join(prop, [G, "node"], "left")
-               .select(G, "node", F.least("comp", F.coalesce("_c", F.col("comp"))).alias("comp"),
-                       (F.col("_c") < F.col("comp")).alias("_chg")))
-        new = materialize(new) if (k + 1) % checkpoint_every == 0 else new.persist()
-        stable = new.filter(F.col("_chg")).isEmpty()
-        lab = new.drop("_chg")
-        if stable:
-            break
-    return lab.withColumnRenamed("comp", "component")
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Connected components of undirected graphs as (graph_id, node, component) with
+    component = smallest node id of the component, all graphs together.
+
+    Every node points to a node of its component, at first to itself.  A round offers each
+    node the smallest pointer's pointer among its neighbours, offers the same to the node it
+    points to, and lets it skip to its own pointer's pointer.  Offers only lower a pointer, so
+    the sum of all pointers tells when a round has changed nothing.  Skipping halves the way
+    to the smallest node, so that rounds grow with the logarithm of the diameter."""
+    e = binary_adjacency(edges).select(G, "src", "dst")
+    adj = materialize(e.unionByName(e.select(G, F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    at = materialize(nodes.select(G, "node", F.col("node").cast("long").alias("to")))
+    total = None
+    while True:
+        now = at.agg(F.sum(F.col("to").cast("decimal(38,0)"))).head()[0]
+        if now == total:
+            return at.select(G, "node", F.col("to").cast(nodes.schema["node"].dataType).alias("component"))
+        total = now
+        step = at.select(G, F.col("node").alias("to"), F.col("to").alias("skip"))
+        two = at.join(step, [G, "to"])  # (graph_id, to, node, skip)
+        near = (adj.join(two.select(G, F.col("node").alias("dst"), "skip"), [G, "dst"])
+                .groupBy(G, F.col("src").alias("node")).agg(F.min("skip").alias("best")))
+        seen = two.join(near, [G, "node"], "left")
+        offers = seen.select(G, F.explode(F.array(
+            F.struct("node", F.least("skip", F.coalesce("best", F.col("skip"))).alias("to")),
+            F.struct(F.col("to").cast(nodes.schema["node"].dataType).alias("node"),
+                     F.coalesce("best", F.col("skip")).alias("to")))).alias("o"))
+        # a pointer never rises: a node's own offer is at most its pointer
+        at = materialize(offers.groupBy(G, F.col("o.node").alias("node")).agg(F.min("o.to").alias("to")))
 
 
 # ---------------------------------------------------------------- differential operator
@@ -341,7 +348,7 @@ def symmetrize(edges: DataFrame, method: str = "average") -> DataFrame:
         keep = F.col("src") >= F.col("dst") if method == "tril" else F.col("src") <= F.col("dst")
         return symmetrize(edges.filter(keep), "maximum")
     else:
-        raise ValueError(f"Unknown symmetrization method {method}.")
+        raise ValueError(f"no way to symmetrize by {method!r}")
     return out.filter(F.col("w") != 0)
 
 

@@ -194,12 +194,14 @@ def rejected_graphs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select(G).distinct().join(edges.select(G).distinct(), G, "left_anti")
 
 
-def density(matrix: DataFrame, nodes: DataFrame, keys: tuple[str, ...] = ("filter",)) -> DataFrame:
-    """Share of non-zero entries, percent rounded to 2."""
+def density(matrix: DataFrame, nodes: DataFrame, n_filters: int = 1) -> DataFrame:
+    """Share of non-zero entries of every graph and filter, percent rounded to 2; 0
+    where there are none."""
     n = nodes.groupBy(G).agg(F.count(F.lit(1)).alias("_n"))
-    nnz = matrix.filter(F.col("val") != 0).groupBy(G, *keys).agg(F.count(F.lit(1)).alias("_z"))
-    return nnz.join(n, G).select(G, *keys, F.round(F.lit(100.0) * F.col("_z") / (F.col("_n") ** 2), 2)
-                                 .alias("density"))
+    every = n.withColumn("filter", F.explode(F.sequence(F.lit(0), F.lit(n_filters - 1))))
+    nnz = matrix.filter(F.col("val") != 0).groupBy(G, "filter").agg(F.count(F.lit(1)).alias("_z"))
+    share = F.round(F.lit(100.0) * F.coalesce("_z", F.lit(0)) / (F.col("_n") ** 2), 2)
+    return every.join(nnz, [G, "filter"], "left").select(G, "filter", share.alias("density"))
 
 
 def frame_bounds(graphs: DataFrame, taus: list[float], n_points: int = 1000, kernel: str = "heat",

@@ -194,7 +194,7 @@ SELECT graph_id, filter, ROUND(100.0 * COUNT(*) / pow({100}, 2), 2) AS density F
 GROUP BY 1, 2""")
 def k18_density(spark, sf):
     w, nodes = _wavelets(spark, sf)
-    return sp.density(w, nodes).select("graph_id", "filter", "density")
+    return sp.density(w, nodes, len(TAUS)).select("graph_id", "filter", "density")
 
 
 @register("k19_scale_list", """WITH g AS (SELECT DISTINCT user_id % 4 + 1 AS s FROM events),

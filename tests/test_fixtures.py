@@ -400,8 +400,38 @@ def test_every_term_is_counted(spark):
     assert {tuple(r) for r in ft.term_counts(df, "id", "tok").collect()} == {(1, "a", 2.0), (1, "b", 1.0), (2, "c", 1.0)}
 
 
-def test_long_path_is_one_component(spark):
+def test_long_path_in_few_rounds(spark, monkeypatch):
+    import random
+
     from tessera.operators import graph as gr
-    e = spark.createDataFrame([(1, i, i + 1, 1.0) for i in range(12)], "graph_id int, src int, dst int, w double")
-    n = spark.createDataFrame([(1, i) for i in range(13)], "graph_id int, node int")
-    assert {r.component for r in gr.components(e, n).collect()} == {0}
+    ids = list(range(10_000))
+    random.Random(1).shuffle(ids)
+    edges = [(1, i, i + 1, 1.0) for i in range(9_999)] + [(2, a, b, 1.0) for a, b in zip(ids, ids[1:], strict=False)]
+    e = spark.createDataFrame(edges, "graph_id int, src int, dst int, w double")
+    n = spark.createDataFrame([(g, i) for g in (1, 2, 3) for i in range(10_000)], "graph_id int, node int")
+    calls, real = [], gr.materialize
+    monkeypatch.setattr(gr, "materialize", lambda df: calls.append(1) or real(df))
+    got = gr.components(e, n).groupBy("graph_id").agg({"component": "max"}).collect()
+    assert {tuple(r) for r in got} == {(1, 0), (2, 0), (3, 9_999)}
+    assert len(calls) - 2 <= 20, len(calls)
+
+
+def test_density_keeps_graphs_without_entries(spark):
+    from tessera.operators import spectral as sp
+    m = spark.createDataFrame([(1, 0, 0.5), (1, 1, 0.0), (1, 1, 2.0)], "graph_id long, filter int, val double")
+    n = spark.createDataFrame([(g, i) for g in (1, 2) for i in range(2)], "graph_id long, node int")
+    got = {(r.graph_id, r.filter): r.density for r in sp.density(m, n, 2).collect()}
+    assert got == {(1, 0): 25.0, (1, 1): 25.0, (2, 0): 0.0, (2, 1): 0.0}
+
+
+def test_sample_rows_keep_light_edges(spark):
+    """The cut of rounding residues is relative to the class weight."""
+    from tessera.operators import samples as sa
+    header = spark.createDataFrame([(7, 1, 3)], "geek_id long, session_no long, graph_id int")
+    adj = spark.createDataFrame([(3, 0, 1, 1e-13), (3, 1, 0, 1.0), (3, 1, 1, 0.3)], "graph_id int, i int, j int, w double")
+    delta = spark.createDataFrame([(7, 1, 1, 0, -0.25), (7, 1, 1, 1, -0.1), (7, 1, 1, 1, -0.1), (7, 1, 1, 1, -0.1)],
+                                  "geek_id long, session_no long, i int, j int, w double")
+    got = {(r.i, r.j): r.w for r in sa.sample_adjacency(header, adj, delta, 3).collect()}
+    assert got == {(0, 1): 1e-13, (1, 0): 0.75}
+    some = spark.createDataFrame([(7, 1, 0)], "geek_id long, session_no long, i int")
+    assert {(r.i, r.j) for r in sa.sample_adjacency(header, adj, delta, rows=some).collect()} == {(0, 1)}
