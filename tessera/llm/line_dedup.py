@@ -2,8 +2,8 @@
 
 Every line is hashed.  A line of some words links each document that holds it to the
 earliest holder (a star, so a line in a million documents gives a million rows, not their
-square).  A pair overlaps if it shares a rare line, or at any frequency two lines or one of
-``alone_words`` words: one short frequent line alone (a greeting) is no evidence.
+square).  A pair overlaps if the lines it shares have the words of a block in all, however
+many documents hold them: the verdict on a pair does not change with the corpus.
 Overlapping pairs are aligned by patience diff on the hashes (a gap without unique lines by
 its longest common runs), and the aligned blocks of enough words are deleted from the later
 document; an alignment is one to one.  "Earlier" is the order of (doc_id, hash of the text).
@@ -33,12 +33,10 @@ from tessera.llm.tables import staged
 
 @dataclass(frozen=True)
 class Align:
-    """A seed line has ``seed_words`` words; a rare one is in at most ``rare`` documents; a
-    deleted block has ``block_words`` words; a line of ``alone_words`` needs no other."""
+    """A seed line has ``seed_words`` words; a deleted block, and what a pair must share to
+    be aligned, has ``block_words``."""
     seed_words: int = 3
-    rare: int = 50
     block_words: int = 5
-    alone_words: int = 6
 
 
 def _increasing(pos: list[int]) -> list[int]:
@@ -179,14 +177,13 @@ def overlapping(lines: DataFrame, p: Align) -> DataFrame:
     """Pairs (did, th) of a later and (f.did, f.th) of an earlier document that overlap."""
     seed = F.array_distinct(F.transform(
         F.filter(F.arrays_zip("h", "w"), lambda x: x["w"] >= p.seed_words),
-        lambda x: F.struct(x["h"].alias("line"), (x["w"] >= p.alone_words).alias("alone"))))
+        lambda x: F.struct(x["h"].alias("line"), x["w"].alias("words"))))
     held = lines.select("did", "th", F.explode(seed).alias("s")).select("did", "th", "s.*")
     first = (held.groupBy("line").agg(F.min(F.struct("did", "th")).alias("f"), F.count("*").alias("df"))
-             .filter("df > 1").withColumnRenamed("line", "l"))
+             .filter("df > 1").select(F.col("line").alias("l"), "f"))
     return (held.join(first, F.col("line") == F.col("l")).filter(F.struct("did", "th") != F.col("f"))
-            .groupBy("did", "th", "f").agg(F.min("df").alias("rarest"), F.count("*").alias("shared"),
-                                           F.max("alone").alias("alone"))
-            .filter((F.col("rarest") <= p.rare) | (F.col("shared") > 1) | F.col("alone")).select("did", "th", "f"))
+            .groupBy("did", "th", "f").agg(F.sum("words").alias("words"))
+            .filter(F.col("words") >= p.block_words).select("did", "th", "f"))
 
 
 def removed_runs(docs: DataFrame, p: Align) -> DataFrame:

@@ -41,10 +41,10 @@ def brute_lines(rows, p=ld.Align()):
             first = min(h[0] for h in holders[x])
             first = next(h for h in holders[x] if h[0] == first)
             if first != k:
-                partners.setdefault(first, []).append(len(holders[x]))
+                partners.setdefault(first, []).append(words(x))
         gone = set()
-        for f, dfs in partners.items():
-            if min(dfs) <= p.rare or len(dfs) > 1:
+        for f, shared in partners.items():
+            if sum(shared) >= p.block_words:
                 for s, e in ld.common_runs(docs[f], ls, [words(x) for x in ls], p.block_words):
                     gone |= set(range(s, e))
         out[k] = "\n".join(x for i, x in enumerate(ls) if i not in gone)
