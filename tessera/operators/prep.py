@@ -30,6 +30,13 @@ def split_by_cutoff(df: DataFrame, date_col: str, end: Column, test_days: int) -
     return df.withColumn("split", F.when(F.col(date_col) > cut, F.lit("test")).otherwise(F.lit("train")))
 
 
+def days_of(log: DataFrame, date_col: str, days: DataFrame) -> DataFrame:
+    """The rows of a log on the listed ``days``.  Where the log is partitioned by date,
+    the list prunes the folders that are scanned (a calendar has one row a day, so it is
+    broadcast by its size)."""
+    return log.join(days.select(F.col("date").alias(date_col)).distinct(), date_col, "left_semi")
+
+
 def date_range_filter(df: DataFrame, date_col: str, start, end) -> DataFrame:
     """Rows whose date lies in [start, end]."""
     return df.filter(F.col(date_col).between(F.lit(start).cast("date"), F.lit(end).cast("date")))

@@ -44,7 +44,7 @@ def sample_scores(g: sp.ClassGraphs, top_k_label: int, history: str = "target")
         adj = hg.adjacency(inc)
         dv = hg.vertex_degree(inc)
         rows = sp.sample_adjacency(header, adj, delta, rows=hist)
-        deg = sp.sample_degree(header, dv, dv_delta).withColumnRenamed("node", "i")
+        deg = sp.sample_degree(header, dv, dv_delta, rows=hist).withColumnRenamed("node", "i")
         parts.append(rows.join(deg, [*SAMPLE, "i"])
                      .select(*SAMPLE, "j", (F.col("w") / F.col("dv")).alias("s")))
     return (parts[0].unionByName(parts[1]).groupBy(*SAMPLE, "j")

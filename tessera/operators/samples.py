@@ -253,14 +253,16 @@ def sample_store(g: ClassGraphs, top_k: int, val_prop: float, mode: str = "split
     return SampleStore(header, base[0].unionByName(base[1]), changes[0].unionByName(changes[1]), features)
 
 
-def sample_degree(header: DataFrame, class_dv: DataFrame, dv_delta: DataFrame) -> DataFrame:
-    """Per-sample vertex degree = class degree + correction (zeros dropped)."""
-    base = (header.select(*SAMPLE, "graph_id").join(class_dv, "graph_id")
-            .select(*SAMPLE, "node", F.col("dv").cast("long").alias("d")))
-    return (base.unionByName(dv_delta.select(*SAMPLE, "node",
-                                             F.col("dv_delta").cast("long").alias("d")))
-            .groupBy(*SAMPLE, "node").agg(F.sum("d").alias("dv"))
-            .filter(F.col("dv") != 0))
+def sample_degree(header: DataFrame, class_dv: DataFrame, dv_delta: DataFrame, n_nodes: int | None = None,
+                  rows: DataFrame | None = None) -> DataFrame:
+    """Per-sample vertex degree = class degree + correction (zeros dropped), of the ``rows``
+    (sample, i) or of all ``n_nodes`` nodes; read by (graph_id, node) like the adjacency."""
+    wanted = (all_rows(header, n_nodes) if rows is None
+              else rows.join(header.select(*SAMPLE, "graph_id"), SAMPLE)).withColumnRenamed("i", "node")
+    change = dv_delta.groupBy(*SAMPLE, "node").agg(F.sum("dv_delta").alias("_d"))
+    dv = F.col("dv").cast("long") + F.coalesce("_d", F.lit(0))
+    return (wanted.join(class_dv, ["graph_id", "node"]).join(change, [*SAMPLE, "node"], "left")
+            .select(*SAMPLE, "node", dv.alias("dv")).filter(F.col("dv") != 0))
 
 
 def label_lists(g: ClassGraphs, top_k: int) -> DataFrame:

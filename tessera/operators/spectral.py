@@ -255,7 +255,7 @@ def spectrum(lap: DataFrame, nodes: DataFrame, max_nodes: int = 2000) -> DataFra
                              "u": u.T.ravel()})
 
     return rows.groupBy(G).applyInPandas(
-        solve, schema=f"{G} int, k int, lam double, node int, u double")
+        solve, schema=f"{G} {nodes.schema[G].dataType.simpleString()}, k int, lam double, node int, u double")
 
 
 def coherence(spec: DataFrame) -> DataFrame:

@@ -1,12 +1,15 @@
 """Registered queries: scans, preparation, scalar functions, set ops, joins,
 aggregations and sorts (S1-S2, S13, P, F, T, J1-J3, J5, A3-A5, A8, O1-O2, O5)."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.functions import codes as fc
 from tessera.operators import prep
 from tessera.plans.common import td
 from tessera.plans.registry import register
+from tessera.session import ensure_checkpoint_dir
 from tessera.sources import io
 
 
@@ -53,6 +56,25 @@ def p2_split_log(spark, sf):
     return prep.split_by_cutoff(log.select("event_id", "date"), "date", end, 6)
 
 
+@register("p2_partitioned_split", f"""WITH {_BOUNDS_SQL}
+SELECT event_id, CAST(ts AS DATE) AS date,
+       CASE WHEN CAST(ts AS DATE) > (SELECT e FROM b) - 6 THEN 'test' ELSE 'train' END AS split
+FROM events""")
+def p2_partitioned_split(spark, sf):
+    """Both splits read from a log that is partitioned by date: each scans only the folders
+    of its days, found from the calendar when the query runs."""
+    log = td(spark, sf).log().select("event_id", "date")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/p2-{uuid.uuid4().hex}"
+    io.write_partitioned(log, f"{path}/log", "date")
+    b = log.agg(F.min("date").alias("s"), F.max("date").alias("e"))
+    days = b.select(F.explode(F.sequence("s", "e", F.expr("interval 1 day"))).alias("date"), "e")
+    io.write_parquet(prep.split_by_cutoff(days, "date", F.col("e"), 6).drop("e"), f"{path}/calendar")
+    log, calendar = (io.read_table(spark, f"{path}/{x}") for x in ("log", "calendar"))
+    parts = [prep.days_of(log, "date", calendar.filter(F.col("split") == s)).withColumn("split", F.lit(s))
+             for s in ("train", "test")]
+    return parts[0].unionByName(parts[1]).select("event_id", "date", "split")
+
+
 # p_partkey * 700 as text: 7-digit codes such as '1000300' fall inside the string range
 # although their numeric value does not (the lexicographic rule of the reference).
 _CODE_SQL = "CAST(p_partkey * 700 AS VARCHAR)"
@@ -271,6 +293,34 @@ def j2_label_log(spark, sf):
     return out.select("geek_id", "job_id", "order_id", "line_no", "pred_person", "pred_job")
 
 
+@register("j2_label_log_daily", """WITH sp AS (SELECT DISTINCT o_custkey AS geek_id, CAST(o_orderdate AS DATE) AS ds,
+    (c_nationkey + dayofmonth(o_orderdate)) % 5 AS pred_person
+  FROM orders JOIN customer ON o_custkey = c_custkey WHERE dayofmonth(o_orderdate) % 7 <> 0),
+sj AS (SELECT DISTINCT l_partkey AS job_id, CAST(o_orderdate AS DATE) AS ds, (p_size + dayofmonth(o_orderdate)) % 10 AS pred_job
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
+  WHERE (l_partkey + dayofmonth(o_orderdate)) % 5 <> 0)
+SELECT o.o_custkey AS geek_id, l.l_partkey AS job_id, CAST(o.o_orderdate AS DATE) AS ds, l.l_orderkey AS order_id,
+  l.l_linenumber AS line_no, sp.pred_person, sj.pred_job
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+  JOIN sp ON sp.geek_id = o.o_custkey AND sp.ds = CAST(o.o_orderdate AS DATE)
+  JOIN sj ON sj.job_id = l.l_partkey AND sj.ds = CAST(o.o_orderdate AS DATE)""")
+def j2_label_log_daily(spark, sf):
+    """The log labelled from daily snapshots, by id and day: an id's class changes from day
+    to day, and rows without a snapshot of their day go."""
+    t = td(spark, sf)
+    log = t.order_log()
+    day = F.dayofmonth("ds")
+    who = log.select("geek_id", "ds").join(t.table("customer").select(
+        F.col("c_custkey").alias("geek_id"), "c_nationkey"), "geek_id")
+    person = (who.filter(day % 7 != 0).select("geek_id", "ds", ((F.col("c_nationkey") + day) % 5).alias("pred_person"))
+              .distinct())
+    what = log.select("job_id", "ds").join(t.table("part").select(F.col("p_partkey").alias("job_id"), "p_size"), "job_id")
+    job = (what.filter((F.col("job_id") + day) % 5 != 0)
+           .select("job_id", "ds", ((F.col("p_size") + day) % 10).alias("pred_job")).distinct())
+    out = prep.label_with_classes(log, person, job, ["geek_id", "ds"], ["job_id", "ds"])
+    return out.select("geek_id", "job_id", "ds", "order_id", "line_no", "pred_person", "pred_job")
+
+
 @register("j3_string_date_join", """WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day,
   CAST(COUNT(*) AS BIGINT) AS orders_that_day FROM orders GROUP BY 1)
 SELECT o.o_orderkey, d.orders_that_day FROM orders o

@@ -238,7 +238,7 @@ def h8_sample_degrees(spark, sf):
     out = []
     for v in (1, 2):
         header, inc, _, dvd = _sample_view(spark, sf, v)
-        out.append(sp.sample_degree(header, hg.vertex_degree(inc), dvd)
+        out.append(sp.sample_degree(header, hg.vertex_degree(inc), dvd, P.k_job)
                    .withColumn("view", F.lit(v)))
     return out[0].unionByName(out[1]).select("geek_id", "session_no", "node", "dv", "view")
 

@@ -435,3 +435,19 @@ def test_sample_rows_keep_light_edges(spark):
     assert got == {(0, 1): 1e-13, (1, 0): 0.75}
     some = spark.createDataFrame([(7, 1, 0)], "geek_id long, session_no long, i int")
     assert {(r.i, r.j) for r in sa.sample_adjacency(header, adj, delta, rows=some).collect()} == {(0, 1)}
+
+
+def test_calendar_prunes_the_folders_of_the_log(spark):
+    from tessera.plans.catalog import QUERIES
+    plan = QUERIES["p2_partitioned_split"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.split("PartitionFilters: ")[1:] if "dynamicpruning" in x.split("PushedFilters")[0]]
+    assert len(scans) == 2, plan
+
+
+def test_exact_lmax_keeps_graphs_without_entries(spark):
+    from tessera.operators import graph as gr
+    big = 1 << 40
+    e = spark.createDataFrame([(big, 0, 1, 1.0), (big, 1, 0, 1.0)], "graph_id long, src int, dst int, w double")
+    n = spark.createDataFrame([(g, i) for g in (big, 2) for i in range(2)], "graph_id long, node int")
+    got = {r.graph_id: r.lmax for r in gr.lmax_exact(gr.laplacian(e, n), n).collect()}
+    assert abs(got[big] - 2.02) < 1e-9 and got[2] == 0.0
