@@ -9,7 +9,7 @@ from tessera.operators import spectral as sp
 from tessera.plans.common import r6
 from tessera.plans.q_graph import nodes_of, ug
 from tessera.plans.registry import register
-from tessera.plans.sqlparts import LAP, cheby_combine_sql, cheby_terms_sql, heat_coeff_sql
+from tessera.plans.sqlparts import LAP, UG, cheby_combine_sql, cheby_terms_sql, heat_coeff_sql
 
 TAUS = [-1.0, 1.0]
 
@@ -318,6 +318,22 @@ def g10_lmax_lanczos(spark, sf):
     return got.select("graph_id", (ok & (F.col("residual") <= 5e-3 * F.col("ritz"))).alias("bounded"))
 
 
+@register("g22_resistance_foster", f"""WITH RECURSIVE {UG},
+un AS (SELECT graph_id, src, dst FROM ug WHERE src <> dst),
+reach AS (SELECT graph_id, node AS root, node FROM nodes
+  UNION SELECT r.graph_id, r.root, u.dst FROM reach r JOIN un u ON u.graph_id = r.graph_id AND u.src = r.node),
+low AS (SELECT graph_id, node, MIN(root) AS root FROM reach GROUP BY 1, 2)
+SELECT graph_id, ROUND(CAST(COUNT(*) - COUNT(DISTINCT root) AS DOUBLE), 4) AS total FROM low GROUP BY 1
+HAVING COUNT(*) > COUNT(DISTINCT root)""")
+def g22_resistance_foster(spark, sf):
+    """Resistance distance of every edge of every class graph, by conjugate gradients.  The
+    check is Foster's theorem: weights times resistances add up to nodes less components."""
+    e, nodes, _, _ = _graph(spark, sf)
+    pairs = e.filter(F.col("src") < F.col("dst")).select("graph_id", F.col("src").alias("a"), F.col("dst").alias("b"), "w")
+    r = kr.resistance_distance(e, nodes, pairs).join(pairs, ["graph_id", "a", "b"])
+    return r.groupBy("graph_id").agg(F.round(F.sum(F.col("r") * F.col("w")), 4).alias("total"))
+
+
 # ---------------------------------------------------------------- wavelet layer
 from tessera.operators import hypergraph as hg  # noqa: E402
 from tessera.operators import recommend as rc  # noqa: E402

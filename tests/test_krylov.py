@@ -74,3 +74,15 @@ def test_kernel_norms_are_those_over_the_spectrum(spark):
         lam = np.linalg.eigvalsh(dense[g])
         for f, t in enumerate(taus):
             assert math.isclose(got[g, f], math.sqrt(float((np.exp(-t * lam / limit) ** 2).sum())), rel_tol=1e-6)
+
+
+def test_resistance_of_all_pairs(spark):
+    e, nodes, dense = graphs_of(spark)
+    e, nodes = (t.filter("graph_id IN (2, 3, 5)") for t in (e, nodes))
+    pairs = nodes.withColumnRenamed("node", "a").join(nodes.withColumnRenamed("node", "b"), "graph_id")
+    got = {(r.graph_id, r.a, r.b): r.r for r in kr.resistance_distance(e, nodes, pairs, 1e-10).collect()}
+    for g in (2, 3, 5):
+        p = np.linalg.pinv(dense[g])
+        for a in range(len(p)):
+            for b in range(len(p)):
+                assert abs(got[g, a, b] - (p[a, a] + p[b, b] - p[a, b] - p[b, a])) <= 1e-6
