@@ -5,19 +5,23 @@ A byte goes if a ``length``-byte string over it also starts in a document of sma
 1. Documents become blocks of about a megabyte (written once, compressed).
 2. Every window of ``length`` bytes has a minimizer: the least hash of its ``seed``-byte
    strings.  Equal windows have equal minimizers, so hash buckets of minimizers split the
-   windows of the corpus into independent, bounded sets.  Minimizers that occur in one
-   document only are ruled out first, by 32-bit remainders and one answer bit each.
+   windows of the corpus into independent sets.  Minimizers that occur in one document
+   only are ruled out first, by 32-bit remainders and one answer bit each.  The same
+   exchange counts the distinct strings of a minimizer: one with more than ``hot_bytes`` of
+   them (a phrase that very many documents hold between different neighbours) is dealt anew,
+   each of its windows by the hash of its own bytes, so equal windows still meet.
 3. Runs of windows with a shared minimizer travel to its bucket as strings with the least
    document that holds them (equal strings once).  Strings that are alone with their
-   minimizer share no window with others; a bucket splits the rest into shards, builds each shard's Burrows-Wheeler transform, and merges the transforms by
-   iterative interleave refinement: round t stably deals the interleave by the symbols of
+   minimizer share no window with others; a bucket splits the rest
+   into shards, builds each shard's Burrows-Wheeler transform, and merges the
+   transforms by iterative interleave refinement: round t stably deals the interleave by the symbols of
    the transforms, which sorts all suffixes by t symbols without comparing texts.  The
    round in which neighbours part is their common prefix + 1; after ``length`` rounds the
    intervals that have not parted are the repeated windows, and each gets its least document.
 4. The answers go back to the blocks, which mark and remove the covered bytes.
 
-Only bounded sets meet in a task: a block, or a bucket, to which a string contributes one
-entry per block however often it occurs.  Hashes choose candidates; equality of windows is
+Only bounded sets meet in a task: a block, or a bucket of minimizers of at most ``hot_bytes``
+each, to which a string contributes one entry per block however often it occurs.  Hashes choose candidates; equality of windows is
 decided on bytes by the merge (equal strings are pooled by 64-bit hashes before it).
 
 Edge cases: null and empty texts have no bytes and keep none; rows of equal id do not
@@ -46,10 +50,12 @@ LOWEST = -(1 << 63)
 
 @dataclass(frozen=True)
 class Repeats:
-    """``bucket_bytes`` of text per bucket on average; ``shards`` transforms per bucket."""
+    """``bucket_bytes`` of text per bucket on average; ``hot_bytes`` of distinct strings with
+    one minimizer stay together; ``shards`` transforms per bucket."""
     length: int = 50
     seed: int = 28
     bucket_bytes: int = 4 << 20
+    hot_bytes: int = 1 << 20
     shards: int = 4
     run: int = 200
 
@@ -115,38 +121,58 @@ class Block:
         self.count = np.minimum(np.repeat(size, parts) - step * p.run, p.run)
         self.doc, self.least = doc[self.start], low[self.start]
 
-    def minimizers(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct minimizers by bucket, their buckets, and if two documents here have it."""
-        order = np.lexsort((self.doc, self.least))
-        h, d = self.least[order], self.doc[order]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        two = np.zeros(int(new.sum()), bool)
-        change = np.zeros(len(h), bool)
-        change[1:] = ~new[1:] & (d[1:] != d[:-1])
-        two[(np.cumsum(new) - 1)[change]] = True
-        h = h[new]
+    def minimizers(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct minimizers by bucket, and their buckets."""
+        h = np.unique(self.least)
         b = (h % U(buckets)).astype(np.int64)
         by = np.argsort(b, kind="stable")
-        return h[by], b[by], two[by]
-
-    def strings(self, shared: np.ndarray, buckets: int, p: Repeats) -> tuple[np.ndarray, ...]:
-        """Runs whose minimizer is in ``shared`` (sorted): run numbers, the string number of
-        each, and per string its bucket, start, length and least document."""
-        at = np.searchsorted(shared, self.least)
-        run = np.flatnonzero((at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == self.least)) if len(
-            shared) else np.zeros(0, np.int64)
-        s, n = self.start[run], self.count[run] + p.length - 1
-        key = span_hash(self.pre, s, s + n)
+        return h[by], b[by]
+
+    def spread(self, h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """For every minimizer of ``h``: if two documents here have it, and the bytes of its
+        distinct strings here."""
+        two, size = np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+        if not len(h):
+            return two, size
+        by = np.argsort(h)
+        at = by[np.searchsorted(h, self.least, sorter=by)]
+        first = np.full(len(h), np.iinfo(np.int64).max)
+        np.minimum.at(first, at, self.doc)
+        two[at[self.doc > first[at]]] = True
+        n = self.count + length - 1
+        _, one = np.unique(span_hash(self.pre, self.start, self.start + n), return_index=True)
+        np.add.at(size, at[one], n[one])
+        return two, size
+
+    def strings(self, shared: np.ndarray, hot: np.ndarray, buckets: int, p: Repeats) -> tuple[np.ndarray, ...]:
+        """Runs whose minimizer is in ``shared`` (sorted), those of ``hot`` ones in single
+        windows: start, windows, document and string number of each, and per string its
+        bucket, start, length and least document."""
+        run = np.flatnonzero(_among(self.least, shared))
+        single = _among(self.least[run], hot)
+        parts = np.where(single, self.count[run], 1)
+        step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        run, single = np.repeat(run, parts), np.repeat(single, parts)
+        start, count, of_doc = self.start[run] + step, np.where(single, 1, self.count[run]), self.doc[run]
+        key = span_hash(self.pre, start, start + count + p.length - 1)
+        deal = np.where(single, key, self.least[run])
         _, first, of = np.unique(key, return_index=True, return_inverse=True)
         doc = np.full(len(first), np.iinfo(np.int64).max)
-        np.minimum.at(doc, of, self.ids[self.doc[run]])
-        bucket = (self.least[run][first] % U(buckets)).astype(np.int64)
+        np.minimum.at(doc, of, self.ids[of_doc])
+        bucket = (deal[first] % U(buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         rank = np.empty(len(by), np.int64)
         rank[by] = np.arange(len(by))
         first = first[by]
-        return run, rank[of], bucket[by], s[first], n[first], doc[by]
+        return (start, count, of_doc, rank[of]), (bucket[by], start[first], count[first] + p.length - 1, doc[by])
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which ``values`` are in ``known`` (sorted)."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return known[at] == values
 
 
 def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -235,38 +261,50 @@ def _alone(strings: list[bytes], p: Repeats) -> np.ndarray:
 
 
 def _shared(blocked: DataFrame, buckets: int, p: Repeats) -> DataFrame:
-    """(block, bucket, shared): bits of the block's minimizers of the bucket."""
+    """(block, bucket, shared, hot): bits of the block's minimizers of the bucket, and the
+    places among them of those with more than ``hot_bytes`` of strings in the corpus."""
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                h, at, two = Block(r["ids"], r["lens"], r["data"], p).minimizers(buckets)
+                k = Block(r["ids"], r["lens"], r["data"], p)
+                h, at = k.minimizers(buckets)
+                two, size = k.spread(h, p.length)
                 cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
                 end = np.concatenate([cut[1:], [len(at)]]).astype(int)
                 low = (h >> U(32)).astype("<u4")
                 yield pa.RecordBatch.from_pydict(
                     {"bucket": [int(at[i]) for i in cut], "block": [r["block"]] * len(cut),
                      "h": [_pack(np.diff(low[i:j], prepend=low.dtype.type(0)).tobytes()) for i, j in zip(cut, end, strict=False)],
-                     "two": [np.packbits(two[i:j]).tobytes() for i, j in zip(cut, end, strict=False)]},
-                    schema=pa.schema([("bucket", pa.int64()), ("block", pa.string()), ("h", pa.binary()), ("two", pa.binary())]))
+                     "two": [np.packbits(two[i:j]).tobytes() for i, j in zip(cut, end, strict=False)],
+                     "size": [_pack(size[i:j].astype("<u4").tobytes()) for i, j in zip(cut, end, strict=False)]},
+                    schema=pa.schema([("bucket", pa.int64()), ("block", pa.string()), ("h", pa.binary()),
+                                      ("two", pa.binary()), ("size", pa.binary())]))
 
     def answer(t: pa.Table) -> pa.Table:
         h = [np.cumsum(np.frombuffer(_unpack(x), "<u4"), dtype="<u4") for x in t["h"].to_pylist()]
+        size = np.concatenate([np.frombuffer(_unpack(x), "<u4") for x in t["size"].to_pylist()])
         _, of, n = np.unique(np.concatenate(h), return_inverse=True, return_counts=True)
-        again = np.split(n[of] > 1, np.cumsum([len(x) for x in h])[:-1])
+        cut = np.cumsum([len(x) for x in h])[:-1]
+        again = np.split(n[of] > 1, cut)
+        much = np.split((np.bincount(of, weights=size) > p.hot_bytes)[of], cut)
         bits = [np.packbits(a | np.unpackbits(np.frombuffer(w, np.uint8), count=len(a)).astype(bool)).tobytes()
                 for a, w in zip(again, t["two"].to_pylist(), strict=True)]
-        return pa.table({"block": t["block"].cast(pa.string()), "bucket": t["bucket"], "shared": pa.array(bits, pa.binary())})
+        return pa.table({"block": t["block"].cast(pa.string()), "bucket": t["bucket"], "shared": pa.array(bits, pa.binary()),
+                         "hot": pa.array([np.flatnonzero(x) for x in much], pa.list_(pa.int32()))})
 
-    return (blocked.mapInArrow(send, "bucket long, block string, h binary, two binary")
-            .groupBy("bucket").applyInArrow(answer, "block string, bucket long, shared binary"))
+    return (blocked.mapInArrow(send, "bucket long, block string, h binary, two binary, size binary")
+            .groupBy("bucket").applyInArrow(answer, "block string, bucket long, shared binary, hot array<int>"))
 
 
-def _shared_of(block: Block, answers: list, buckets: int) -> np.ndarray:
-    h, at, _ = block.minimizers(buckets)
-    bits = [np.unpackbits(np.frombuffer(a["shared"], np.uint8), count=int(np.searchsorted(at, a["bucket"], "right")
-                                                                          - np.searchsorted(at, a["bucket"])))
-            for a in sorted(answers, key=lambda a: a["bucket"])]
-    return np.sort(h[np.concatenate(bits).astype(bool)]) if bits else h[:0]
+def _shared_of(block: Block, answers: list, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The block's shared minimizers and its hot ones, each sorted."""
+    h, at = block.minimizers(buckets)
+    shared, hot = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    for a in answers:
+        i, j = np.searchsorted(at, a["bucket"]), np.searchsorted(at, a["bucket"], "right")
+        shared[i:j] = np.unpackbits(np.frombuffer(a["shared"], np.uint8), count=int(j - i))
+        hot[i + np.array(a["hot"], np.int64)] = True
+    return np.sort(h[shared]), np.sort(h[hot])
 
 
 def repeats(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
@@ -275,7 +313,7 @@ def repeats(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
     total = blocked.select(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = max(12, total // p.bucket_bytes)
     answers = _shared(blocked, buckets, p).groupBy("block").agg(
-        F.collect_list(F.struct("bucket", "shared")).alias("answers"))  # bounded by the block's minimizers
+        F.collect_list(F.struct("bucket", "shared", "hot")).alias("answers"))  # bounded by the block's minimizers
     asked = staged(answers, "shared")
     full = blocked.join(asked, "block", "left")
 
@@ -283,7 +321,7 @@ def repeats(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
         for b in batches:
             for r in b.to_pylist():
                 k = Block(r["ids"], r["lens"], r["data"], p)
-                _, _, bucket, s, n, doc = k.strings(_shared_of(k, r["answers"] or [], buckets), buckets, p)
+                _, (bucket, s, n, doc) = k.strings(*_shared_of(k, r["answers"] or [], buckets), buckets, p)
                 cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else bucket
                 end = np.concatenate([cut[1:], [len(bucket)]]).astype(int)
                 raw = k.data.tobytes()
@@ -326,14 +364,14 @@ def repeats(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
                 k = Block(r["ids"], r["lens"], r["data"], p)
                 gone = np.zeros(len(k.data) + 1, np.int64)
                 if r["lows"]:
-                    run, of, _, _, n, _ = k.strings(_shared_of(k, r["answers"] or [], buckets), buckets, p)
+                    (start, size, of_doc, of), (_, _, n, _) = k.strings(
+                        *_shared_of(k, r["answers"] or [], buckets), buckets, p)
                     low = np.concatenate([np.frombuffer(_unpack(x["low"]), "<i8")
                                           for x in sorted(r["lows"], key=lambda x: x["bucket"])])
                     first = np.concatenate([[0], np.cumsum(n - p.length + 1)])[:-1]
-                    size = k.count[run]
                     step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                    hit = low[np.repeat(first[of], size) + step] < np.repeat(k.ids[k.doc[run]], size)
-                    at = (np.repeat(k.start[run], size) + step)[hit]
+                    hit = low[np.repeat(first[of], size) + step] < np.repeat(k.ids[of_doc], size)
+                    at = (np.repeat(start, size) + step)[hit]
                     np.add.at(gone, at, 1)
                     np.add.at(gone, at + p.length, -1)
                 gone = np.cumsum(gone)[:-1] > 0
