@@ -46,6 +46,7 @@ from tessera.llm.numtext import U, buffers, prefix, slices, span_hash
 from tessera.llm.tables import staged
 
 LOWEST = -(1 << 63)
+CHUNK = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -88,6 +89,16 @@ def blocks(docs: DataFrame) -> DataFrame:
         run, "block string, ids array<long>, lens array<long>, data binary")
 
 
+def _least(pre: tuple[np.ndarray, np.ndarray], i: int, j: int, p: Repeats) -> np.ndarray:
+    """The minimizers of the windows that start at ``i`` to ``j - 1``."""
+    width, wide = 1, p.length - p.seed + 1
+    at = np.arange(i, j + wide - 1)
+    low = span_hash(pre, at, at + p.seed)
+    while 2 * width <= wide:
+        low, width = np.minimum(low[:-width], low[width:]), 2 * width
+    return np.minimum(low[:width - wide], low[wide - width:]) if width < wide else low
+
+
 class Block:
     """The windows of a block in runs of equal minimizer."""
 
@@ -100,49 +111,47 @@ class Block:
             self.start = self.count = self.doc = np.zeros(0, np.int64)
             self.least = np.zeros(0, U)
             return
-        at = np.arange(n - p.seed + 1)
-        low = span_hash(self.pre, at, at + p.seed)
-        width, wide = 1, p.length - p.seed + 1
-        while 2 * width <= wide:
-            low, width = np.minimum(low[:-width], low[width:]), 2 * width
-        if width < wide:
-            low = np.minimum(low[:width - wide], low[wide - width:])
-        doc = np.repeat(np.arange(len(lens)), np.diff(self.off))[: len(low)]
-        inside = np.arange(len(low)) + p.length <= self.off[doc + 1]
-        new = np.ones(len(low), bool)
-        new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]) | (inside[1:] != inside[:-1])
+        low = np.empty(n - p.length + 1, U)
+        for i in range(0, len(low), CHUNK):  # pieces that fit a processor's cache
+            j = min(i + CHUNK, len(low))
+            low[i:j] = _least(self.pre, i, j, p)
+        new = np.concatenate([[True], low[1:] != low[:-1]])
+        for edge in (self.off[:-1], np.maximum(self.off[1:] - p.length + 1, self.off[:-1])):
+            new[edge[edge < len(low)]] = True  # a document's start, its first window that is not whole
         first = np.flatnonzero(new)
         size = np.diff(np.concatenate([first, [len(low)]]))
-        ok = inside[first]
-        first, size = first[ok], size[ok]
+        doc = np.searchsorted(self.off, first, "right") - 1
+        ok = first + p.length <= self.off[doc + 1]
+        first, size, doc = first[ok], size[ok], doc[ok]
         parts = -(-size // p.run)  # very long runs (one letter repeated) in pieces
         step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         self.start = np.repeat(first, parts) + step * p.run
         self.count = np.minimum(np.repeat(size, parts) - step * p.run, p.run)
-        self.doc, self.least = doc[self.start], low[self.start]
+        self.doc, self.least = np.repeat(doc, parts), low[self.start]
 
     def minimizers(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         """Distinct minimizers by bucket, and their buckets."""
-        h = np.unique(self.least)
-        b = (h % U(buckets)).astype(np.int64)
+        h = np.sort(self.least)
+        h = h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
+        b = (h % U(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
         by = np.argsort(b, kind="stable")
         return h[by], b[by]
 
     def spread(self, h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """For every minimizer of ``h``: if two documents here have it, and the bytes of its
         distinct strings here."""
-        two, size = np.zeros(len(h), bool), np.zeros(len(h), np.int64)
         if not len(h):
-            return two, size
-        by = np.argsort(h)
-        at = by[np.searchsorted(h, self.least, sorter=by)]
-        first = np.full(len(h), np.iinfo(np.int64).max)
-        np.minimum.at(first, at, self.doc)
-        two[at[self.doc > first[at]]] = True
+            return np.zeros(0, bool), np.zeros(0, np.int64)
         n = self.count + length - 1
-        _, one = np.unique(span_hash(self.pre, self.start, self.start + n), return_index=True)
-        np.add.at(size, at[one], n[one])
-        return two, size
+        key = span_hash(self.pre, self.start, self.start + n)
+        order = np.lexsort((key, self.least))
+        low, key, n, doc = self.least[order], key[order], n[order], self.doc[order]
+        head = np.concatenate([[True], low[1:] != low[:-1]])
+        again = np.concatenate([[False], key[1:] == key[:-1]]) & ~head
+        cut = np.flatnonzero(head)
+        at = np.searchsorted(low[cut], h)
+        two = np.minimum.reduceat(doc, cut) != np.maximum.reduceat(doc, cut)
+        return two[at], np.add.reduceat(np.where(again, 0, n), cut)[at]
 
     def strings(self, shared: np.ndarray, hot: np.ndarray, buckets: int, p: Repeats) -> tuple[np.ndarray, ...]:
         """Runs whose minimizer is in ``shared`` (sorted), those of ``hot`` ones in single
@@ -189,7 +198,7 @@ def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         nxt = np.zeros(n, np.int64)
         nxt[:-t] = rank[t:]
         key = rank * np.int64(n + m + 300) + nxt
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         k = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]]))
@@ -277,7 +286,7 @@ def _shared(blocked: DataFrame, buckets: int, p: Repeats) -> DataFrame:
                      "h": [_pack(np.diff(low[i:j], prepend=low.dtype.type(0)).tobytes()) for i, j in zip(cut, end, strict=False)],
                      "two": [np.packbits(two[i:j]).tobytes() for i, j in zip(cut, end, strict=False)],
                      "size": [_pack(size[i:j].astype("<u4").tobytes()) for i, j in zip(cut, end, strict=False)]},
-                    schema=pa.schema([("bucket", pa.int64()), ("block", pa.string()), ("h", pa.binary()),
+                    schema=pa.schema([("bucket", pa.int32()), ("block", pa.string()), ("h", pa.binary()),
                                       ("two", pa.binary()), ("size", pa.binary())]))
 
     def answer(t: pa.Table) -> pa.Table:
@@ -292,8 +301,9 @@ def _shared(blocked: DataFrame, buckets: int, p: Repeats) -> DataFrame:
         return pa.table({"block": t["block"].cast(pa.string()), "bucket": t["bucket"], "shared": pa.array(bits, pa.binary()),
                          "hot": pa.array([np.flatnonzero(x) for x in much], pa.list_(pa.int32()))})
 
-    return (blocked.mapInArrow(send, "bucket long, block string, h binary, two binary, size binary")
-            .groupBy("bucket").applyInArrow(answer, "block string, bucket long, shared binary, hot array<int>"))
+    return (blocked.mapInArrow(send, "bucket int, block string, h binary, two binary, size binary")
+            .repartitionById(buckets, "bucket").groupBy("bucket")
+            .applyInArrow(answer, "block string, bucket int, shared binary, hot array<int>"))
 
 
 def _shared_of(block: Block, answers: list, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -331,7 +341,7 @@ def repeats(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
                               for i, j in zip(cut, end, strict=False)],
                      "size": [_pack(n[i:j].astype("<i8").tobytes()) for i, j in zip(cut, end, strict=False)],
                      "doc": [_pack(doc[i:j].astype("<i8").tobytes()) for i, j in zip(cut, end, strict=False)]},
-                    schema=pa.schema([("bucket", pa.int64()), ("block", pa.string()), ("text", pa.binary()),
+                    schema=pa.schema([("bucket", pa.int32()), ("block", pa.string()), ("text", pa.binary()),
                                       ("size", pa.binary()), ("doc", pa.binary())]))
 
     def settle(t: pa.Table) -> pa.Table:
@@ -387,8 +397,9 @@ def repeats(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
                      pa.array(kept, pa.binary())],
                     names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    sent = full.mapInArrow(send, "bucket long, block string, text binary, size binary, doc binary")
-    settled = staged(sent.groupBy("bucket").applyInArrow(settle, "block string, bucket long, low binary")
+    sent = full.mapInArrow(send, "bucket int, block string, text binary, size binary, doc binary")
+    settled = staged(sent.repartitionById(buckets, "bucket").groupBy("bucket")  # a task for each bucket
+                     .applyInArrow(settle, "block string, bucket int, low binary")
                      .groupBy("block").agg(F.collect_list(F.struct("bucket", "low")).alias("lows")), "least")
     return full.join(settled, "block", "left").mapInArrow(
         remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
