@@ -10,8 +10,10 @@ total order in cells of the interval, so neither a hot source nor the corpus is
 one task.  Texts are read but not shuffled.
 
 Edge cases: a null text has size 8 and CRC 0; null sources are a source of their own;
-rows with null or repeated doc_id are placed one by one (their ties are broken by CRC and
-size, and rows equal in all three are interchangeable); an empty table gives no rows.
+rows with null or repeated doc_id are placed one by one (the seeded hash takes in CRC and
+size, so they spread over the cells like any others; rows equal in all three are
+interchangeable and share a cell); very long texts are read once and only their size and CRC
+travel; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ def shard_rows(docs: DataFrame, shards: int = 24, seed: int = 20, cells: int = C
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         "doc_id", "source", (F.octet_length(text) + F.lit(8)).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(F.lit(seed), F.col("doc_id")).alias("h"))
+        F.crc32(text.cast("binary")).alias("text_crc32"))
+    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size"))
     ties = ["h", "doc_id", "text_crc32", "size"]
     ranked = rank_within(rows, ["source"], ties, "rank", F.shiftrightunsigned("h", 64 - 12) % cells)
     n_source = rows.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("n_s"))

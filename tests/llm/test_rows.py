@@ -9,6 +9,8 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tessera.llm import quality_rules, secret_scan, sharding
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -156,3 +158,29 @@ def test_digest(spark):
         want = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in brute_base(texts[r.doc_id]))
         assert [r.n_assign, r.n_access, r.n_hex] == [want.count(f"{k}:") for k in secret_scan.KINDS[:3]]
         assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_shards_against_plain_ranks(docs_of):
+    """Fractional ranks in plain Python; null ids do not meet in one cell."""
+    rows = [(None, f"null {i}") for i in range(300)] + [(i, f"text {i % 50}") for i in range(700)] + [(9, "w" * 1_200_000), (9, None)]
+    docs = docs_of(rows, extra=True)
+    text = F.coalesce("text", F.lit(""))
+    seen = docs.select("doc_id", "source", (F.octet_length(text) + 8).cast("long").alias("size"),
+                       F.crc32(text.cast("binary")).alias("crc"))
+    seen = seen.withColumn("h", F.xxhash64(F.lit(20), "doc_id", "crc", "size")).withColumn(
+        "u", F.pmod(F.xxhash64(F.lit(20), F.lit("offset"), "source"), F.lit(1 << 20)) / float(1 << 20))
+    key = lambda r: (r.h % 2 ** 64, r.doc_id is not None, r.doc_id or 0, r.crc, r.size)
+    by = {}
+    for r in seen.collect():
+        by.setdefault(r.source, []).append(r)
+    placed = sorted(((i + r.u) / len(part), s is not None, s or "", key(r)) for s, part in by.items()
+                    for i, r in enumerate(sorted(part, key=key)))
+    n, want, slot = len(rows), [], Counter()
+    for pos, (_, _, s, (_, has, d, crc, size)) in enumerate(placed):
+        shard = pos * 24 // n
+        want.append((str(d if has else None), s, size, crc, shard, slot[shard]))
+        slot[shard] += 1
+    got = sharding.shard_rows(docs, shards=24).collect()
+    assert sorted((str(g.doc_id), g.source or "", g.size, g.text_crc32, g.shard, g.slot) for g in got) == sorted(want)
+    cells = Counter(r.h >> 52 for part in by.values() for r in part if r.doc_id is None)
+    assert max(cells.values()) < 10
