@@ -7,8 +7,8 @@ A byte goes if a ``length``-byte string over it also starts in a document of sma
    strings.  Equal windows have equal minimizers, so hash buckets of minimizers split the
    windows of the corpus into independent sets.  Minimizers that occur in one document
    only are ruled out first, by 32-bit remainders and one answer bit each.  The same
-   exchange counts the distinct strings of a minimizer: one with more than ``hot_bytes`` of
-   them (a phrase that very many documents hold between different neighbours) is dealt anew,
+   exchange counts the distinct strings of a minimizer: one with more than ``hot_strings``
+   (a phrase that very many documents hold between different neighbours) is dealt anew,
    each of its windows by the hash of its own bytes, so equal windows still meet.
 3. Runs of windows with a shared minimizer travel to its bucket as strings with the least
    document that holds them (equal strings once).  Strings that are alone with their
@@ -20,7 +20,7 @@ A byte goes if a ``length``-byte string over it also starts in a document of sma
    intervals that have not parted are the repeated windows, and each gets its least document.
 4. The answers go back to the blocks, which mark and remove the covered bytes.
 
-Only bounded sets meet in a task: a block, or a bucket of minimizers of at most ``hot_bytes``
+Only bounded sets meet in a task: a block, or a bucket of minimizers of at most ``hot_strings``
 each, to which a string contributes one entry per block however often it occurs.  Hashes choose candidates; equality of windows is
 decided on bytes by the merge (equal strings are pooled by 64-bit hashes before it).
 
@@ -51,12 +51,12 @@ CHUNK = 1 << 14
 
 @dataclass(frozen=True)
 class Repeats:
-    """``bucket_bytes`` of text per bucket on average; ``hot_bytes`` of distinct strings with
-    one minimizer stay together; ``shards`` transforms per bucket."""
+    """``bucket_bytes`` of text per bucket on average; up to ``hot_strings`` distinct strings
+    with one minimizer stay together; ``shards`` transforms per bucket."""
     length: int = 50
     seed: int = 28
     bucket_bytes: int = 4 << 20
-    hot_bytes: int = 1 << 20
+    hot_strings: int = 1 << 14
     shards: int = 4
     run: int = 200
 
@@ -138,20 +138,19 @@ class Block:
         return h[by], b[by]
 
     def spread(self, h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """For every minimizer of ``h``: if two documents here have it, and the bytes of its
-        distinct strings here."""
+        """For every minimizer of ``h``: if two documents here have it, and how many
+        distinct strings here do."""
         if not len(h):
             return np.zeros(0, bool), np.zeros(0, np.int64)
-        n = self.count + length - 1
-        key = span_hash(self.pre, self.start, self.start + n)
+        key = span_hash(self.pre, self.start, self.start + self.count + length - 1)
         order = np.lexsort((key, self.least))
-        low, key, n, doc = self.least[order], key[order], n[order], self.doc[order]
+        low, key, doc = self.least[order], key[order], self.doc[order]
         head = np.concatenate([[True], low[1:] != low[:-1]])
         again = np.concatenate([[False], key[1:] == key[:-1]]) & ~head
         cut = np.flatnonzero(head)
         at = np.searchsorted(low[cut], h)
         two = np.minimum.reduceat(doc, cut) != np.maximum.reduceat(doc, cut)
-        return two[at], np.add.reduceat(np.where(again, 0, n), cut)[at]
+        return two[at], np.add.reduceat((~again).astype(np.int64), cut)[at]
 
     def strings(self, shared: np.ndarray, hot: np.ndarray, buckets: int, p: Repeats) -> tuple[np.ndarray, ...]:
         """Runs whose minimizer is in ``shared`` (sorted), those of ``hot`` ones in single
@@ -271,13 +270,13 @@ def _alone(strings: list[bytes], p: Repeats) -> np.ndarray:
 
 def _shared(blocked: DataFrame, buckets: int, p: Repeats) -> DataFrame:
     """(block, bucket, shared, hot): bits of the block's minimizers of the bucket, and the
-    places among them of those with more than ``hot_bytes`` of strings in the corpus."""
+    places among them of those with more than ``hot_strings`` in the corpus."""
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 k = Block(r["ids"], r["lens"], r["data"], p)
                 h, at = k.minimizers(buckets)
-                two, size = k.spread(h, p.length)
+                two, many = k.spread(h, p.length)
                 cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
                 end = np.concatenate([cut[1:], [len(at)]]).astype(int)
                 low = (h >> U(32)).astype("<u4")
@@ -285,23 +284,23 @@ def _shared(blocked: DataFrame, buckets: int, p: Repeats) -> DataFrame:
                     {"bucket": [int(at[i]) for i in cut], "block": [r["block"]] * len(cut),
                      "h": [_pack(np.diff(low[i:j], prepend=low.dtype.type(0)).tobytes()) for i, j in zip(cut, end, strict=False)],
                      "two": [np.packbits(two[i:j]).tobytes() for i, j in zip(cut, end, strict=False)],
-                     "size": [_pack(size[i:j].astype("<u4").tobytes()) for i, j in zip(cut, end, strict=False)]},
+                     "many": [_pack(many[i:j].astype("<u4").tobytes()) for i, j in zip(cut, end, strict=False)]},
                     schema=pa.schema([("bucket", pa.int32()), ("block", pa.string()), ("h", pa.binary()),
-                                      ("two", pa.binary()), ("size", pa.binary())]))
+                                      ("two", pa.binary()), ("many", pa.binary())]))
 
     def answer(t: pa.Table) -> pa.Table:
         h = [np.cumsum(np.frombuffer(_unpack(x), "<u4"), dtype="<u4") for x in t["h"].to_pylist()]
-        size = np.concatenate([np.frombuffer(_unpack(x), "<u4") for x in t["size"].to_pylist()])
+        many = np.concatenate([np.frombuffer(_unpack(x), "<u4") for x in t["many"].to_pylist()])
         _, of, n = np.unique(np.concatenate(h), return_inverse=True, return_counts=True)
         cut = np.cumsum([len(x) for x in h])[:-1]
         again = np.split(n[of] > 1, cut)
-        much = np.split((np.bincount(of, weights=size) > p.hot_bytes)[of], cut)
+        much = np.split((np.bincount(of, weights=many) > p.hot_strings)[of], cut)
         bits = [np.packbits(a | np.unpackbits(np.frombuffer(w, np.uint8), count=len(a)).astype(bool)).tobytes()
                 for a, w in zip(again, t["two"].to_pylist(), strict=True)]
         return pa.table({"block": t["block"].cast(pa.string()), "bucket": t["bucket"], "shared": pa.array(bits, pa.binary()),
                          "hot": pa.array([np.flatnonzero(x) for x in much], pa.list_(pa.int32()))})
 
-    return (blocked.mapInArrow(send, "bucket int, block string, h binary, two binary, size binary")
+    return (blocked.mapInArrow(send, "bucket int, block string, h binary, two binary, many binary")
             .repartitionById(buckets, "bucket").groupBy("bucket")
             .applyInArrow(answer, "block string, bucket int, shared binary, hot array<int>"))
 

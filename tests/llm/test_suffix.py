@@ -57,8 +57,8 @@ def test_against_all_windows(docs_of):
         rows.append((r.randint(0, 10 ** 9), t))
     rows += [(7, "x" * 3000), (9, "x" * 70), (11, "y" * 49 + "x" * 60), (3, None), (4, ""), (rows[5][0], rows[5][1]),
              (rows[5][0], shared[0]), (None, shared[1]), (2 ** 40, rows[8][1]), (2 ** 41, rows[8][1]), (2 ** 42, "a\0" * 60), (2 ** 43, "a\0" * 55)]
-    for bucket_bytes, hot_bytes in ((4 << 20, 1 << 20), (500, 1 << 20), (500, 100)):
-        p = sd.Repeats(bucket_bytes=bucket_bytes, hot_bytes=hot_bytes)
+    for bucket_bytes, hot_strings in ((4 << 20, 1 << 14), (500, 1 << 14), (500, 2)):
+        p = sd.Repeats(bucket_bytes=bucket_bytes, hot_strings=hot_strings)
         got = sd.repeats(docs_of(rows, extra=True).repartition(4), p).collect()
         assert sorted((str(g.doc_id), g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) for g in got) == brute(rows, 50)
     assert np.sum([g.n_removed for g in got]) > 2000
@@ -75,17 +75,17 @@ def test_hot_phrase_is_dealt_anew(docs_of):
     hot = tries[low:low + 28]  # the minimizer of every window that holds it
     rows = [(i, noise(90) + (hot if i % 3 == 0 else noise(28)) + noise(r.randint(40, 90))) for i in range(600)]
     rows += [(1000 + i, rows[3 * i][1][60:150]) for i in range(40)] + [(2000, "z" * 1_500_000 + rows[0][1]), (2001, rows[2][1])]
-    p = sd.Repeats(bucket_bytes=20_000, hot_bytes=4_000)
+    p = sd.Repeats(bucket_bytes=20_000, hot_strings=60)
     got = sd.repeats(docs_of(rows).repartition(5), p).collect()
     assert sorted((str(g.doc_id), g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) for g in got) == brute(rows, 50)
 
     block = sd.Block([d for d, _ in rows[:600]], [len(t) for _, t in rows[:600]],
                      sd._pack("".join(t for _, t in rows[:600]).encode()), p)
     h, at = block.minimizers(16)
-    two, size = block.spread(h, p.length)
-    assert (size > p.hot_bytes).sum() == 1 and two[size > p.hot_bytes].all()
+    two, many = block.spread(h, p.length)
+    assert (many > p.hot_strings).sum() == 1 and two[many > p.hot_strings].all()
     shared, most = np.sort(h[two]), []
-    for much in (h[:0], h[size > p.hot_bytes]):
+    for much in (h[:0], h[many > p.hot_strings]):
         _, (bucket, _, n, _) = block.strings(shared, much, 16, p)
         most.append(np.bincount(bucket, weights=n, minlength=16))
     assert most[0].max() > 10 * np.median(most[0]) and most[1].max() < 2 * np.median(most[1])
