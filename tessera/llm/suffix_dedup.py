@@ -63,7 +63,7 @@ class Repeats:
 
 def _pack(raw: bytes) -> bytes:
     import zstandard
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return zstandard.ZstdCompressor(level=2).compress(raw)
 
 
 def _unpack(raw: bytes) -> bytes:
