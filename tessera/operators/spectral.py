@@ -320,64 +320,3 @@ def resistance_distance(spec: DataFrame, pairs: DataFrame, eps: float = 1e-10) -
     ub = s.select(G, "k", F.col("node").alias("b"), F.col("u").alias("ub"))
     return (pairs.join(ua, [G, "a"]).join(ub, [G, "k", "b"])
             .groupBy(G, "a", "b").agg(F.sum((F.col("ua") - F.col("ub")) ** 2 / F.col("lam")).alias("r")))
-
-
-def wavelets_dense(lap: DataFrame, nodes: DataFrame, graphs: DataFrame, taus: list[float],
-                   order: int = 3, tolerance: float = 0.0, kernel: str = "heat",
-                   lmax: str = "lmax", pad: float = 1e-5, max_nodes: int = 2000,
-                   from_weights: bool = False) -> DataFrame:
-    """K12/K16/K17/K20 for many small dense graphs: same result as ``wavelets``.
-
-    A wavelet matrix is the matrix polynomial p(L) itself.  As joins each Chebyshev step
-    of a dense graph emits n³ partial products; here Spark shuffles each graph's
-    Laplacian entries (at most ``max_nodes``² rows, guarded) to one grouped pandas call
-    that runs the same recurrence with dense NumPy products, then applies the same
-    threshold and row L1 normalization.  Coefficients come from ``cheby_coeff``.
-    With ``from_weights`` the first argument is the weight table (graph_id, src, dst, w)
-    and the combinatorial Laplacian D - W is formed inside the group (saves a shuffle
-    of all entries).  Output (graph_id, filter, t, i, j, val)."""
-    import numpy as np
-    import pandas as pd
-
-    if from_weights:
-        lap = lap.select(G, F.col("src").alias("i"), F.col("dst").alias("j"), F.col("w").alias("v"))
-    coeff = cheby_coeff(graphs, taus, m=order, kernel=kernel, lmax=lmax)
-    cf = coeff.groupBy(G).agg(F.array_sort(F.collect_list(F.struct("filter", "k", "c"))).alias("cf"))
-    n = nodes.groupBy(G).agg(F.max("node").alias("nmax"))
-    head = (n.join(graphs.select(G, F.col(lmax).alias("lm")), G).join(cf, G)
-            .select(G, F.lit(None).cast("int").alias("i"), F.lit(None).cast("int").alias("j"),
-                    F.lit(None).cast("double").alias("v"), "nmax", "lm", "cf"))
-    body = lap.select(G, "i", "j", "v", F.lit(None).cast("int").alias("nmax"),
-                      F.lit(None).cast("double").alias("lm"),
-                      F.lit(None).cast(head.schema["cf"].dataType).alias("cf"))
-    tarr = list(map(float, taus))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = pdf[pdf["nmax"].notna()].iloc[0]
-        size = int(h["nmax"]) + 1
-        if size > max_nodes:
-            raise ValueError(f"graph with {size} nodes is above the dense guard {max_nodes}")
-        e = pdf[pdf["i"].notna()]
-        L = np.zeros((size, size))
-        np.add.at(L, (e["i"].to_numpy(dtype=int), e["j"].to_numpy(dtype=int)), e["v"].to_numpy())
-        if from_weights:
-            L = np.diag(L.sum(axis=1)) - L
-        a = (float(h["lm"]) + pad) / 2.0
-        eye = np.eye(size)
-        terms = [eye, (L - a * eye) / a]
-        for _ in range(2, order + 1):
-            terms.append(2.0 / a * (L - a * eye) @ terms[-1] - terms[-2])
-        out = []
-        for f in sorted({int(c["filter"]) for c in h["cf"]}):
-            cs = {int(c["k"]): float(c["c"]) for c in h["cf"] if int(c["filter"]) == f}
-            r = 0.5 * cs[0] * terms[0] + sum(cs[k] * terms[k] for k in range(1, order + 1))
-            r = np.where((r >= tolerance) & (r != 0), r, 0.0)
-            s = np.abs(r).sum(axis=1, keepdims=True)
-            r = np.divide(r, s, out=np.zeros_like(r), where=s > 0)
-            ii, jj = np.nonzero(r)
-            out.append(pd.DataFrame({G: h[G], "filter": f, "t": tarr[f], "i": ii.astype("int32"),
-                                     "j": jj.astype("int32"), "val": r[ii, jj]}))
-        return pd.concat(out, ignore_index=True)
-
-    schema = f"{G} {lap.schema[G].dataType.simpleString()}, filter int, t double, i int, j int, val double"
-    return head.unionByName(body).groupBy(G).applyInPandas(solve, schema=schema)

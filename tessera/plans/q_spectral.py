@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import kernels as kn
 from tessera.operators import graph as gr
+from tessera.operators import blocks as bm
 from tessera.operators import spectral as sp
 from tessera.plans.common import r6
 from tessera.plans.q_graph import nodes_of, ug
@@ -175,9 +176,8 @@ wv AS (SELECT graph_id, filter, node AS i, signal AS j,
 
 
 def _wavelets(spark, sf):
-    # class graphs are small and dense: the matrix polynomial runs per graph
     e, nodes, lap, graphs = _graph(spark, sf)
-    return sp.wavelets_dense(lap, nodes, graphs, TAUS, order=3, tolerance=0.0), nodes
+    return bm.wavelets(lap, nodes, graphs, TAUS, order=3, tolerance=0.0), nodes
 
 
 @register("k12_k16_k17_k20_wavelets", f"""WITH {_WAVE_SQL}
@@ -396,7 +396,7 @@ def _two_view_graphs(spark, sf):
 
 def _layer(spark, sf):
     e, nodes, lap, graphs = _two_view_graphs(spark, sf)
-    w = sp.wavelets_dense(lap, nodes, graphs, TAUS, order=3)
+    w = bm.wavelets(lap, nodes, graphs, TAUS, order=3)
     phi = w.filter(F.col("filter") == 0).select("graph_id", "i", "j", "val")
     phi_inv = w.filter(F.col("filter") == 1).select("graph_id", "i", "j", "val")
     x, wt, theta = _layer_inputs(spark, sf)
@@ -460,12 +460,11 @@ SELECT CAST(split_part(graph_id, ':', 1) AS BIGINT) AS geek_id, CAST(split_part(
   CAST(split_part(graph_id, ':', 3) AS INTEGER) AS view, filter, i, j, ROUND(val, 6) AS val FROM wv""")
 def k20_sample_wavelets(spark, sf):
     """Forward (t=-1) and inverse (t=+1) wavelets of both graphs of every sample (the
-    transform the original runs per sample before the network).  Sample graphs are
-    small and dense, so the matrix polynomial runs per graph (``wavelets_dense``)."""
+    transform the original runs per sample before the network), by block products."""
     from tessera.session import materialize
     e = materialize(sample_graph_edges(spark, sf))
     nodes = nodes_of(e)
-    w = sp.wavelets_dense(e, nodes, gr.lmax_bound(e, nodes), TAUS, order=3, from_weights=True)
+    w = bm.wavelets(e, nodes, gr.lmax_bound(e, nodes), TAUS, order=3, from_weights=True)
     part = F.split("graph_id", ":")
     return w.select(part[0].cast("long").alias("geek_id"), part[1].cast("long").alias("session_no"),
                     part[2].cast("int").alias("view"), "filter", "i", "j", r6("val").alias("val"))

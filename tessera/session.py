@@ -67,3 +67,12 @@ def materialize(df, eager: bool = True):
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def batches_by_bytes(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Bound the record batches between Spark and its Python workers by bytes: ten thousand
+    rows of matrix blocks are too many for one buffer.  A lower bound of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.isdigit() or int(now) > size:
+        spark.conf.set(key, str(size))

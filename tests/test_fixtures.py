@@ -299,7 +299,8 @@ def test_string_index_order(spark):
     assert got == [0.0, 1.0, 2.0, 3.0, 3.0]
 
 
-def test_dense_wavelets_equal_join_wavelets(spark):
+def test_block_wavelets_equal_join_wavelets(spark):
+    from tessera.operators import blocks as bm
     rng = np.random.default_rng(7)
     rows = []
     for g in range(3):
@@ -313,13 +314,50 @@ def test_dense_wavelets_equal_join_wavelets(spark):
     a = {(r.graph_id, r.filter, r.i, r.j): r.val
          for r in sp.wavelets(lap, nodes, graphs, [-1.0, 1.0]).collect()}
     b = {(r.graph_id, r.filter, r.i, r.j): r.val
-         for r in sp.wavelets_dense(lap, nodes, graphs, [-1.0, 1.0]).collect()}
+         for r in bm.wavelets(lap, nodes, graphs, [-1.0, 1.0], block=3).collect()}
     c = {(r.graph_id, r.filter, r.i, r.j): r.val
-         for r in sp.wavelets_dense(e, nodes, graphs, [-1.0, 1.0], from_weights=True).collect()}
+         for r in bm.wavelets(e, nodes, graphs, [-1.0, 1.0], from_weights=True).collect()}
     assert a.keys() == b.keys() == c.keys()
     assert all(abs(a[k] - b[k]) < 1e-9 and abs(a[k] - c[k]) < 1e-9 for k in a)
 
 
+def test_block_wavelets_of_a_large_graph(spark):
+    """More nodes than the former dense form took, many blocks, text keys, one small graph."""
+    from tessera.operators import blocks as bm
+    n = 2_100
+    ring = spark.range(n).select(F.lit("ring").alias("graph_id"), F.col("id").cast("int").alias("src"),
+                                 ((F.col("id") + 1) % n).cast("int").alias("dst"))
+    small = spark.createDataFrame([("two", 0, 1)], "graph_id string, src int, dst int")
+    one = ring.unionByName(small)
+    e = (one.unionByName(one.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
+         .withColumn("w", F.lit(1.0)))
+    nodes = e.select("graph_id", F.col("src").alias("node")).distinct()
+    graphs = spark.createDataFrame([("ring", 4.0), ("two", 2.0)], "graph_id string, lmax double")
+    w = bm.wavelets(e, nodes, graphs, [-1.0, 1.0], order=3, from_weights=True, block=128)
+    rows = {(r.graph_id, r["filter"], r.i, r.j): r.val for r in w.filter("i in (0, 1)").collect()}
+
+    def dense(lap, lmax, t):
+        a = (lmax + 1e-5) / 2
+        m = lap / a - np.eye(len(lap))
+        terms = [np.eye(len(lap)), m, 2 * m @ m - np.eye(len(lap))]
+        terms.append(2 * m @ terms[2] - m)
+        th = np.pi * (np.arange(4) + 0.5) / 4
+        g = np.exp(-t * (lmax / 2 * np.cos(th) + lmax / 2) / lmax)
+        c = [0.5 * (g * np.cos(k * th)).sum() for k in range(4)]
+        r = 0.5 * c[0] * terms[0] + sum(c[k] * terms[k] for k in range(1, 4))
+        r = np.where(r >= 0, r, 0.0)
+        return r / np.abs(r).sum(axis=1, keepdims=True)
+
+    size = 40  # a shorter ring has the same rows, order 3 reaches three steps
+    lap = 2 * np.eye(size) - np.roll(np.eye(size), 1, axis=0) - np.roll(np.eye(size), -1, axis=0)
+    for f, t in enumerate([-1.0, 1.0]):
+        ring_row, two = dense(lap, 4.0, t)[0], dense(np.array([[1.0, -1], [-1, 1]]), 2.0, t)
+        for j in (0, 1, 2, 3, n - 1, n - 2, n - 3):
+            want = ring_row[j if j < 4 else j - n]
+            assert abs(rows.get(("ring", f, 0, j), 0.0) - want) < 1e-9
+        assert all(abs(rows.get(("two", f, i, j), 0.0) - two[i, j]) < 1e-9 for i in (0, 1) for j in (0, 1))
+
+
 def test_label_dedupe_and_rejects(spark):
     from tessera.operators import prep
     log = spark.createDataFrame([(1, 10), (2, 11)], "geek_id long, job_id long")
