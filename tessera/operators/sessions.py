@@ -18,6 +18,8 @@ from typing import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import materialize
+
 _UNB = Window.unboundedPreceding
 
 
@@ -132,6 +134,62 @@ def sessionize(df: DataFrame, key: str, time_col: str, gap: float,
     return x.drop("_b", "rows_before", "start_pos")
 
 
+def sessionize_split(df: DataFrame, key: str, time_col: str, gap: float,
+                     bucket: float | None = None, tiebreak: Iterable[str] = (),
+                     session_cols: Iterable[str] = (), split_rows: int = 100_000,
+                     slices: int = 256, broadcast_rows: int = 100_000) -> DataFrame:
+    """``sessionize`` for logs in which one (key, bucket) alone is too large for a task.
+
+    Buckets with more than ``split_rows`` events are cut by count: their times go into a
+    quantile sketch, merged from all tasks, whose ``slices`` - 1 cuts (at most, and no more
+    than the largest bucket needs) bound its slices.  Counts of the slices give each one's
+    first position, and the numbering window runs inside (key, bucket, slice), which is also
+    the key of the one shuffle of the events.  Events of the same time stay in one slice.
+    Same rows as ``sessionize``.
+
+    The cut table has one row per large bucket; it is written once and broadcast when it has
+    at most ``broadcast_rows`` rows, else joined by a shuffle."""
+    bucket = gap if bucket is None else bucket
+    tiebreak = list(tiebreak)
+    session_cols = list(session_cols)
+    kb = [key, "_b"]
+    summ = materialize(_session_attrs(
+        bucket_summary(df, key, time_col, gap, bucket, tiebreak, session_cols), key, session_cols)
+        .select(*kb, "_n", "session_no", "rows_before", "start_pos", "list_size",
+                *[f"first_{c}" for c in session_cols]))
+    x = df.withColumn("_b", F.floor(F.col(time_col) / F.lit(bucket)).cast("long"))
+    large = summ.filter(F.col("_n") > F.lit(split_rows)).select(*kb)
+    n_large, top = summ.filter(F.col("_n") > F.lit(split_rows)).agg(
+        F.count(F.lit(1)), F.max("_n")).first()
+    if n_large == 0:
+        cut = x.withColumn("_sl", F.lit(0))
+        summ = summ.withColumn("_sl", F.lit(0)).withColumn("_off", F.lit(0).cast("long"))
+    else:
+        def hint(t):
+            return F.broadcast(t) if n_large <= broadcast_rows else t
+
+        parts = min(slices, -(-top // split_rows))
+        grid = [i / parts for i in range(1, parts)]
+        cuts = materialize(x.join(hint(large), kb).groupBy(*kb).agg(
+            F.array_distinct(F.percentile_approx(F.col(time_col).cast("long"), grid, 10_000)).alias("_cuts")))
+        # cuts below the event's time: its slice, 0 where a bucket has no cuts
+        slice_no = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<bigint>")),
+                                   lambda c: c < F.col("_t")))
+        x = x.withColumn("_t", F.col(time_col).cast("long"))
+        cut = x.join(hint(cuts), kb, "left").withColumn("_sl", slice_no).drop("_cuts", "_t")
+        in_slices = (x.join(hint(cuts), kb).withColumn("_sl", slice_no)
+                     .groupBy(*kb, "_sl").agg(F.count(F.lit(1)).alias("_c")))
+        before = Window.partitionBy(*kb).orderBy("_sl").rowsBetween(_UNB, -1)
+        offs = in_slices.select(*kb, "_sl", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+        summ = (summ.join(offs, kb, "left").withColumn("_sl", F.coalesce("_sl", F.lit(0)))
+                .withColumn("_off", F.coalesce("_off", F.lit(0))))
+    y = cut.join(summ.drop("_n"), [*kb, "_sl"])
+    wb = Window.partitionBy(*kb, "_sl").orderBy(*_order_cols(time_col, tiebreak))
+    y = y.withColumn("pos", (F.col("rows_before") + F.col("_off") + F.row_number().over(wb) - 1
+                             - F.col("start_pos")).cast("int"))
+    return y.drop("_b", "_sl", "_off", "rows_before", "start_pos")
+
+
 def session_table(df: DataFrame, key: str, time_col: str, gap: float,
                   bucket: float | None = None, tiebreak: Iterable[str] = (),
                   session_cols: Iterable[str] = ()) -> DataFrame:

@@ -101,7 +101,7 @@ def w6_w7_relation_table(spark, sf):
 
 @register("s6_s7_relation_roundtrip", _REL_SQL)
 def s6_s7_relation_roundtrip(spark, sf):
-    """S6 relation sink (CSV per class and ordinal) read back by S7."""
+    """S6 relation sink (CSV by class and session bucket) read back by S7."""
     import uuid
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/relations-{uuid.uuid4().hex}"
     io.write_relations(_relations(spark, sf), path)

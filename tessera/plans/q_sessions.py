@@ -18,6 +18,16 @@ def w5_sessionize(spark, sf):
         "geek_id", "session_no", "pos", "list_size", "job_class", "t_us", "first_person_class")
 
 
+@register("w5_split_buckets", f"""WITH {SESS}
+SELECT geek_id, session_no, pos, list_size, job_class, t_us, first_person_class FROM sess""")
+def w5_split_buckets(spark, sf):
+    """W5 with every bucket of more than 4 events cut by count into slices."""
+    return ss.sessionize_split(td(spark, sf).log(), "geek_id", "t_us", GAP_US, bucket=GAP_US,
+                               tiebreak=["event_id"], session_cols=["person_class"],
+                               split_rows=4).select(
+        "geek_id", "session_no", "pos", "list_size", "job_class", "t_us", "first_person_class")
+
+
 @register("w4_session_flags", f"""WITH {LOG_V},
 a AS (SELECT geek_id, t_us, LAG(t_us) OVER (PARTITION BY geek_id ORDER BY t_us) AS prev_time
       FROM log_v),

@@ -52,26 +52,41 @@ RELATION_SCHEMA = T.StructType([
 ])
 
 
-def write_relations(relations: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One header CSV folder per (person_class, session_no) of the relation table.
-
-    ``relations`` is the long table of ``operators.sessions.relation_table``.
+def write_relations(relations: DataFrame, path: str, mode: str = "overwrite",
+                    buckets: int = 64) -> None:
+    """The relation table as CSV with headers, in ``buckets`` folders to a class.
+
+    ``relations`` is the long table of ``operators.sessions.relation_table``.  A session's
+    ordinal is a column, and its residue modulo ``buckets`` the second folder level, so the
+    number of folders does not grow with the sessions.  Rows are spread by ranges of (class,
+    bucket, session, id): a class with a third of all rows goes to many tasks, and a file
+    holds few folders' rows, sorted by session.
     """
-    cols = ["person_class", "session_no"] + RELATION_SCHEMA.fieldNames()
-    (relations.select(*cols)
-     .repartition("person_class", "session_no")
-     .sortWithinPartitions("person_class", "session_no", "id")
-     .write.mode(mode).partitionBy("person_class", "session_no")
+    cols = ["person_class", "session_bucket", "session_no"] + RELATION_SCHEMA.fieldNames()
+    keys = ["person_class", "session_bucket", "session_no", "id"]
+    (relations.withColumn("session_bucket", F.pmod("session_no", F.lit(buckets)).cast("int"))
+     .select(*cols).repartitionByRange(*keys).sortWithinPartitions(*keys)
+     .write.mode(mode).partitionBy("person_class", "session_bucket")
      .option("header", True).csv(path))
 
 
-def read_relations(spark: SparkSession, path: str) -> DataFrame:
-    """Relation scan with a fixed schema; class and ordinal come from the folders."""
-    schema = T.StructType(RELATION_SCHEMA.fields + [
+def read_relations(spark: SparkSession, path: str, person_class: int | None = None,
+                   session_no: int | None = None, buckets: int = 64) -> DataFrame:
+    """Relation scan with a fixed schema; the class comes from the folders.
+
+    A given class or session reads the folders that can hold it only; ``buckets`` is that
+    of the store."""
+    schema = T.StructType([T.StructField("session_no", T.IntegerType())] + RELATION_SCHEMA.fields + [
         T.StructField("person_class", T.IntegerType()),
-        T.StructField("session_no", T.IntegerType()),
+        T.StructField("session_bucket", T.IntegerType()),
     ])
-    return spark.read.schema(schema).option("header", True).csv(path)
+    df = spark.read.schema(schema).option("header", True).csv(path)
+    if person_class is not None:
+        df = df.filter(F.col("person_class") == person_class)
+    if session_no is not None:
+        df = df.filter((F.col("session_bucket") == session_no % buckets)
+                       & (F.col("session_no") == session_no))
+    return df.drop("session_bucket")
 
 
 def save_model(model, path: str) -> None:

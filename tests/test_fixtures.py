@@ -489,3 +489,61 @@ def test_exact_lmax_keeps_graphs_without_entries(spark):
     n = spark.createDataFrame([(g, i) for g in (big, 2) for i in range(2)], "graph_id long, node int")
     got = {r.graph_id: r.lmax for r in gr.lmax_exact(gr.laplacian(e, n), n).collect()}
     assert abs(got[big] - 2.02) < 1e-9 and got[2] == 0.0
+
+
+def test_large_bucket_spreads_over_tasks(spark):
+    """One user with a third of all events in one hour: same sessions, bounded slices."""
+    hour = 3_600_000_000
+    hot = spark.range(20_000).select(F.lit(1).cast("long").alias("u"),
+                                     (F.col("id") * F.col("id") % hour + 5 * hour).alias("t"),
+                                     F.col("id").alias("e"))
+    rest = spark.range(20_000, 60_000).select((F.col("id") % 97 + 2).alias("u"),
+                                              (F.col("id") * 7_919 % (30 * hour)).alias("t"),
+                                              F.col("id").alias("e"))
+    log = hot.unionByName(rest).withColumn("c", F.col("e") % 7)
+    args = dict(key="u", time_col="t", gap=hour, tiebreak=["e"], session_cols=["c"])
+    want = ss.sessionize(log, **args)
+    got = ss.sessionize_split(log, split_rows=500, **args)
+    assert got.columns == want.columns
+    assert got.exceptAll(want).isEmpty() and got.count() == want.count()
+    few = ss.sessionize_split(log, split_rows=500, broadcast_rows=0, **args)  # the shuffle way
+    assert few.exceptAll(want).isEmpty() and few.count() == want.count()
+    none = ss.sessionize_split(log, split_rows=10**6, **args)
+    assert none.exceptAll(want).isEmpty() and none.count() == want.count()
+    assert ss.sessionize_split(log.limit(0), **args).count() == 0
+    # as on a large log: no side is small enough to be broadcast, no partitions are merged
+    small = {"spark.sql.adaptive.coalescePartitions.enabled": "false",
+             "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        # the largest position keeps the numbering in the plan
+        shares = [r.n for r in got.filter("u = 1").withColumn("p", F.spark_partition_id())
+                  .groupBy("p").agg(F.count("*").alias("n"), F.max("pos")).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(shares) == 20_000 and max(shares) < 8_000
+
+
+def test_relation_store_folders(spark, tmp_path):
+    """Folders depend on classes and buckets, not on sessions; a session reads one folder."""
+    import os
+
+    from tessera.sources import io
+    rows = (spark.range(3_000).select(
+        (F.col("id") % 3).cast("int").alias("person_class"), F.col("id").cast("int").alias("session_no"),
+        F.lit(0).alias("id"), F.lit(4).alias("pred_job"), F.col("id").alias("unix_time"),
+        F.to_date(F.lit("2020-01-01")).alias("date"), F.col("id").alias("job_id"),
+        F.col("id").alias("geek_id")))
+    path = str(tmp_path / "rel")
+    io.write_relations(rows, path, buckets=8)
+    folders = [d for d, sub, _ in os.walk(path) if "session_bucket=" in os.path.basename(d)]
+    assert len(folders) == 3 * 8
+    back = io.read_relations(spark, path, buckets=8)
+    assert back.select(rows.columns).exceptAll(rows).isEmpty() and back.count() == 3_000
+    one = io.read_relations(spark, path, person_class=1, session_no=1_000, buckets=8)
+    assert [r.geek_id for r in one.collect()] == [1_000]
+    assert "PartitionFilters: [isnotnull(person_class" in \
+        one._jdf.queryExecution().executedPlan().toString()
