@@ -11,11 +11,13 @@ lineage with reliable checkpoints.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.sessions import ordinal
 from tessera.session import materialize
 
 G = "graph_id"
@@ -77,12 +79,11 @@ def edge_count(edges: DataFrame, tol: float = 0.0) -> DataFrame:
 def edge_list(edges: DataFrame) -> DataFrame:
     """(graph_id, e, v_in, v_out, weight) of an undirected graph: lower triangle
     with the diagonal, numbered in (row, column) order; ``e`` is the edge index used by
-    the differential operator.  The window is per graph (at most n_nodes² rows)."""
+    the differential operator.  Offsets come from counts of rows, a window holds one row."""
     low = edges.filter(F.col("src") >= F.col("dst"))
-    w = Window.partitionBy(G).orderBy("src", "dst")
-    return low.select(G, (F.row_number().over(w) - 1).cast("int").alias("e"),
-                      F.col("src").alias("v_in"), F.col("dst").alias("v_out"),
-                      F.col("w").alias("weight"))
+    return ordinal(low, [G], ["src", "dst"], F.col("src"), "e").select(
+        G, F.col("e").cast("int").alias("e"), F.col("src").alias("v_in"),
+        F.col("dst").alias("v_out"), F.col("w").alias("weight"))
 
 
 def binary_adjacency(edges: DataFrame) -> DataFrame:
@@ -222,9 +223,10 @@ def lmax_exact(lap: DataFrame, nodes: DataFrame, margin: float = 1.01,
 # ---------------------------------------------------------------- structure
 def subgraph(edges: DataFrame, keep: DataFrame) -> DataFrame:
     """The subgraph on the nodes of ``keep(graph_id, node)``, renumbered 0..n-1 in
-    node order (both ends must be kept: two semi-joins, then the renumbering)."""
-    rank = keep.select(G, "node", (F.dense_rank().over(Window.partitionBy(G).orderBy("node")) - 1)
-                       .cast("int").alias("_new"))
+    node order (both ends must be kept: two semi-joins, then the renumbering).  A node listed
+    twice counts once; ranges of 4,096 nodes are numbered apart."""
+    rank = ordinal(keep.select(G, "node").distinct(), [G], ["node"],
+                   F.floor(F.col("node") / 4096), "_new").withColumn("_new", F.col("_new").cast("int"))
     e = (edges.join(rank.select(G, F.col("node").alias("src"), F.col("_new").alias("_s")), [G, "src"])
          .join(rank.select(G, F.col("node").alias("dst"), F.col("_new").alias("_d")), [G, "dst"]))
     return e.select(G, F.col("_s").alias("src"), F.col("_d").alias("dst"), "w")
@@ -334,25 +336,31 @@ def div(dop: DataFrame, edge_signal: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- symmetrize
+def symmetrize_by(edges: DataFrame, methods: Iterable[str]) -> DataFrame:
+    """G21 for several methods from one join with the transpose: (method, graph_id, src, dst,
+    w), non-zero entries.  ``tril`` and ``triu`` mirror one triangle, negative weights off
+    the diagonal become 0."""
+    w, wt, zero = F.col("w"), F.col("wt"), F.lit(0.0)
+    below, above = F.col("src") > F.col("dst"), F.col("src") < F.col("dst")
+    filled = F.when((w <= 0) & (wt > 0), w + wt).otherwise(w)
+    filled_t = F.when((wt <= 0) & (w > 0), wt + w).otherwise(wt)
+    ways = {"average": (w + wt) / 2,
+            "maximum": F.greatest(w, wt),
+            "fill": (filled + filled_t) / 2,
+            "tril": F.when(below, F.greatest(w, zero)).when(above, F.greatest(wt, zero)).otherwise(w),
+            "triu": F.when(above, F.greatest(w, zero)).when(below, F.greatest(wt, zero)).otherwise(w)}
+    methods = list(methods)
+    for m in methods:
+        if m not in ways:
+            raise ValueError(f"no way to symmetrize by {m!r}")
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), ways[m].alias("w")) for m in methods]))
+    return (_with_transpose(edges).select(G, "src", "dst", each.alias("_m"))
+            .select("_m.method", G, "src", "dst", "_m.w").filter(F.col("w") != 0))
+
+
 def symmetrize(edges: DataFrame, method: str = "average") -> DataFrame:
-    """Average, maximum, fill, tril, triu — non-zero entries of the result."""
-    if method == "average":
-        t = _with_transpose(edges)
-        out = t.select(G, "src", "dst", ((F.col("w") + F.col("wt")) / 2).alias("w"))
-    elif method == "maximum":
-        t = _with_transpose(edges)
-        out = t.select(G, "src", "dst", F.greatest("w", "wt").alias("w"))
-    elif method == "fill":
-        t = _with_transpose(edges)
-        filled = F.when((F.col("w") <= 0) & (F.col("wt") > 0), F.col("w") + F.col("wt")).otherwise(F.col("w"))
-        filled_t = F.when((F.col("wt") <= 0) & (F.col("w") > 0), F.col("wt") + F.col("w")).otherwise(F.col("wt"))
-        out = t.select(G, "src", "dst", ((filled + filled_t) / 2).alias("w"))
-    elif method in ("tril", "triu"):
-        keep = F.col("src") >= F.col("dst") if method == "tril" else F.col("src") <= F.col("dst")
-        return symmetrize(edges.filter(keep), "maximum")
-    else:
-        raise ValueError(f"no way to symmetrize by {method!r}")
-    return out.filter(F.col("w") != 0)
+    """Average, maximum, fill, tril or triu; non-zero entries of the result."""
+    return symmetrize_by(edges, [method]).drop("method")
 
 
 # ---------------------------------------------------------------- vectors and scales

@@ -255,13 +255,9 @@ r AS (SELECT 'average' AS method, graph_id, src, dst, (w + wt) / 2 AS w FROM t
       UNION ALL SELECT 'tril', * FROM tl UNION ALL SELECT 'triu', * FROM tu)
 SELECT method, graph_id, src, dst, ROUND(w, 6) AS w FROM r WHERE w <> 0""")
 def g21_symmetrize(spark, sf):
-    d = dg(spark, sf)
-    out = None
-    for m in ("average", "maximum", "fill", "tril", "triu"):
-        s = gr.symmetrize(d, m).select(F.lit(m).alias("method"), "graph_id", "src", "dst",
-                                       r6("w").alias("w"))
-        out = s if out is None else out.unionByName(s)
-    return out
+    """All five ways to symmetrize the directed class graphs, from one transpose join."""
+    out = gr.symmetrize_by(dg(spark, sf), ["average", "maximum", "fill", "tril", "triu"])
+    return out.select("method", "graph_id", "src", "dst", r6("w").alias("w"))
 
 
 _CENTRES_SQL = """c AS (SELECT label, pos, AVG(x) AS cx FROM

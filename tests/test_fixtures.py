@@ -547,3 +547,29 @@ def test_relation_store_folders(spark, tmp_path):
     assert [r.geek_id for r in one.collect()] == [1_000]
     assert "PartitionFilters: [isnotnull(person_class" in \
         one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbering_without_a_window_over_a_graph(spark):
+    """Edge numbers and renumbered nodes over several ranges, with a repeated node."""
+    n = 9_000
+    ring = spark.range(n).select(F.lit(7).alias("graph_id"), F.col("id").cast("int").alias("src"),
+                                 ((F.col("id") + 1) % n).cast("int").alias("dst"))
+    e = (ring.unionByName(ring.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
+         .withColumn("w", F.lit(1.0)))
+    got = [(r.e, r.v_in, r.v_out) for r in gr.edge_list(e).orderBy("e").collect()]
+    pairs = sorted({(max(a, (a + 1) % n), min(a, (a + 1) % n)) for a in range(n)})
+    assert got == [(k, a, b) for k, (a, b) in enumerate(pairs)]
+    keep = spark.range(1_000, 8_000).select(F.lit(7).alias("graph_id"), F.col("id").cast("int").alias("node"))
+    sub = gr.subgraph(e, keep.unionByName(keep.filter("node < 1010")))
+    assert {(r.src, r.dst) for r in sub.collect()} == (
+        {(a, a + 1) for a in range(6_999)} | {(a + 1, a) for a in range(6_999)})
+    assert sub.count() == 2 * 6_999
+    plan = gr.edge_list(e)._jdf.queryExecution().executedPlan().toString()
+    assert "row_number() windowspecdefinition(graph_id" in plan and ", _ob#" in plan
+
+
+def test_triangles_with_negative_weights(spark):
+    e = spark.createDataFrame([(0, 0, 1, -2.0), (0, 1, 0, 3.0), (0, 1, 1, -1.0), (0, 2, 0, -4.0)],
+                              "graph_id int, src int, dst int, w double")
+    got = {(r.method, r.src, r.dst): r.w for r in gr.symmetrize_by(e, ["tril", "triu"]).collect()}
+    assert got == {("tril", 1, 0): 3.0, ("tril", 0, 1): 3.0, ("tril", 1, 1): -1.0, ("triu", 1, 1): -1.0}
