@@ -92,12 +92,6 @@ def removed_pairs(g: ClassGraphs, top_k: int) -> DataFrame:
             .select(*SAMPLE, "graph_id", "src", "dst"))
 
 
-def _pairs_from_sets(df: DataFrame, keys: list[str], set_col: str, weight) -> DataFrame:
-    """(keys, i, j, w) for every ordered pair of a bounded member set."""
-    return (df.select(*keys, F.explode(set_col).alias("i"), set_col, weight.alias("w"))
-            .select(*keys, "i", F.explode(set_col).alias("j"), "w"))
-
-
 #: weight of a hyperedge from its key columns, e.g. ``lambda c: 1 + c("session_no") % 3``
 EdgeWeight = Callable[[Callable[[str], Column]], Column]
 
@@ -111,17 +105,30 @@ def class_adjacency(inc: DataFrame, weight: EdgeWeight = unit_weight) -> DataFra
     return hg.adjacency(inc, weight=weight(lambda n: F.col(f"edge.{n}")).cast("double"))
 
 
+def _members(node: str, kept: str) -> Column:
+    """The (node, kept) pairs of a group whose nodes are distinct; null nodes have no place."""
+    return F.collect_list(F.when(F.col(node).isNotNull(), F.struct(F.col(node).alias("j"), F.col(kept).alias("kept"))))
+
+
+def _correction(kept, e, minus: str, plus: str) -> Column:
+    """What a pair of members loses with the old hyperedge and, both kept, gets with the new."""
+    return F.when(kept & e["kept"], F.col(minus) + F.col(plus)).otherwise(F.col(minus))
+
+
 def view1_delta(ti: DataFrame, weight: EdgeWeight = unit_weight) -> tuple[DataFrame, DataFrame]:
-    """Per-sample corrections of view 1: (sample, i, j, w) and (sample, node, dv_delta).
-    The hyperedge of view 1 is a session, so ``weight`` sees geek_id and session_no."""
-    sets = ti.groupBy(*SAMPLE, "n_f", "n_q").agg(
-        F.collect_set("node").alias("f_set"),
-        F.collect_set(F.when(F.col("in_q"), F.col("node"))).alias("q_set"))
+    """Per-sample corrections of view 1: rows (sample, i, changed) as of ``changed_rows`` and
+    (sample, node, dv_delta).  The hyperedge of view 1 is a session, so ``weight`` sees
+    geek_id and session_no.  A row needs its target's members only, so it is formed in place:
+    nothing is summed over pairs of members."""
     w = weight(F.col).cast("double")
-    minus = _pairs_from_sets(sets, SAMPLE, "f_set", -w / F.col("n_f"))
-    plus = _pairs_from_sets(sets.filter(F.col("n_q") > 0), SAMPLE, "q_set", w / F.col("n_q"))
+    sets = ti.groupBy(*SAMPLE, "n_f", "n_q").agg(_members("node", "in_q").alias("_m")).select(
+        *SAMPLE, "_m", (-w / F.col("n_f")).alias("_minus"), (w / F.nullif("n_q", F.lit(0))).alias("_plus"))
+    changed = F.map_from_entries(F.transform("_m", lambda e: F.struct(
+        e["j"].alias("j"), _correction(F.col("_e.kept"), e, "_minus", "_plus").alias("w"))))
+    rows = (sets.select("*", F.explode("_m").alias("_e"))
+            .select(*SAMPLE, F.col("_e.j").alias("i"), changed.alias("changed")))
     dv = ti.select(*SAMPLE, "node", (F.col("in_q").cast("int") - F.lit(1)).alias("dv_delta"))
-    return minus.unionByName(plus), dv
+    return rows, dv
 
 
 def view2_delta(g: ClassGraphs, removed: DataFrame,
@@ -134,14 +141,14 @@ def view2_delta(g: ClassGraphs, removed: DataFrame,
     m = (aff.join(members, ["graph_id", "src"])
          .join(rm, [*SAMPLE, "src", "node"], "left")
          .withColumn("kept", F.col("_rm").isNull()).drop("_rm"))
-    sets = m.groupBy(*SAMPLE, "src").agg(
-        F.collect_set("node").alias("old"),
-        F.collect_set(F.when(F.col("kept"), F.col("node"))).alias("new"))
+    n_new = F.size(F.filter("_m", lambda e: e["kept"]))
     w = weight(F.col).cast("double")
-    minus = _pairs_from_sets(sets, SAMPLE + ["src"], "old", -w / F.size("old"))
-    plus = _pairs_from_sets(sets.filter(F.size("new") > 0), SAMPLE + ["src"], "new",
-                            w / F.size("new"))
-    delta = minus.unionByName(plus).drop("src")
+    sets = m.groupBy(*SAMPLE, "src").agg(_members("node", "kept").alias("_m")).select(
+        *SAMPLE, "_m", (-w / F.size("_m")).alias("_minus"), (w / F.nullif(n_new, F.lit(0))).alias("_plus"))
+    delta = (sets.select("*", F.explode("_m").alias("_e"))
+             .select(*SAMPLE, F.col("_e.j").alias("i"), F.col("_e.kept").alias("_k"), "_minus", "_plus", F.explode("_m").alias("_e"))
+             .select(*SAMPLE, "i", F.col("_e.j").alias("j"),
+                     _correction(F.col("_k"), F.col("_e"), "_minus", "_plus").alias("w")))
     dv = (m.filter(~F.col("kept")).groupBy(*SAMPLE, "node")
           .agg((-F.count(F.lit(1))).alias("dv_delta")))
     return delta, dv
@@ -160,8 +167,14 @@ def class_rows(adj: DataFrame) -> DataFrame:
 
 
 def changed_rows(delta: DataFrame) -> DataFrame:
-    """Changes of the samples: (sample, i, changed), changed = map j -> summed correction."""
-    per = delta.groupBy(*SAMPLE, "i", "j").agg(F.sum("w").alias("w"))
+    """Changes of the samples: (sample, i, changed), changed = map j -> summed correction.
+
+    ``delta`` is (sample, i, j, w), or has these rows already.  The corrections are dealt by
+    row before they are summed: they come of few, short input rows, so sums in front of the
+    exchange would hold most of a view's pairs in the memory of one task."""
+    if "changed" in delta.columns:
+        return delta
+    per = delta.repartition(*SAMPLE, "i").groupBy(*SAMPLE, "i", "j").agg(F.sum("w").alias("w"))
     return per.groupBy(*SAMPLE, "i").agg(
         F.map_from_entries(F.collect_list(F.struct("j", "w"))).alias("changed"))
 
@@ -172,21 +185,22 @@ def all_rows(header: DataFrame, n_nodes: int) -> DataFrame:
 
 
 def overlay(wanted: DataFrame, base: DataFrame, changes: DataFrame, eps: float = 1e-9) -> DataFrame:
-    """Rows of samples: ``wanted`` (sample, graph_id, i) and the two tables of the store to
-    (sample, graph_id, i, row).
+    """Rows of samples: ``wanted`` (sample, graph_id, i, any more columns) and the two tables
+    of the store to (sample, graph_id, i, those columns, row).
 
-    A correction takes parts of a class weight away, so it only ever meets entries that the
+    The changes are joined first, on their short keys: the class rows come last and are
+    merged where they are met, so no exchange or sort holds a class row per sample.  A correction takes parts of a class weight away, so it only ever meets entries that the
     class row has.  An entry that loses all its parts leaves a rounding residue: what is left
     below ``eps`` of the class weight is no entry."""
-    joined = (wanted.select(*SAMPLE, "graph_id", "i").join(base, ["graph_id", "i"])
-              .join(changes, [*SAMPLE, "i"], "left"))
+    more = [c for c in wanted.columns if c not in (*SAMPLE, "graph_id", "i")]
+    joined = wanted.join(changes, [*SAMPLE, "i"], "left").join(base, ["graph_id", "i"])
     now = F.transform("row", lambda e: F.struct(
         e["j"].alias("j"), (e["w"] + F.coalesce(F.try_element_at("changed", e["j"]), F.lit(0.0))).alias("w"),
         e["w"].alias("whole")))
     kept = F.filter(now, lambda e: F.abs(e["w"]) > F.abs(e["whole"]) * F.lit(eps))
     row = F.when(F.col("changed").isNull(), F.col("row")).otherwise(
         F.transform(kept, lambda e: F.struct(e["j"].alias("j"), e["w"].alias("w"))))
-    return joined.select(*SAMPLE, "graph_id", "i", row.alias("row")).filter(F.size("row") > 0)
+    return joined.select(*SAMPLE, "graph_id", "i", *more, row.alias("row")).filter(F.size("row") > 0)
 
 
 def entries(rows: DataFrame) -> DataFrame:
@@ -196,7 +210,7 @@ def entries(rows: DataFrame) -> DataFrame:
 
 def sample_adjacency(header: DataFrame, class_adj: DataFrame, delta: DataFrame, n_nodes: int | None = None,
                      rows: DataFrame | None = None) -> DataFrame:
-    """H8: every sample's adjacency = its class adjacency + its correction rows, as
+    """H8: every sample's adjacency = its class adjacency + its corrections (as of ``changed_rows``), as
     (sample, graph_id, i, j, w).  ``rows`` (sample, i) restricts it to those rows (e.g. the
     history items); without it all rows of the ``n_nodes`` nodes are read."""
     wanted = (all_rows(header, n_nodes) if rows is None

@@ -573,3 +573,41 @@ def test_triangles_with_negative_weights(spark):
                               "graph_id int, src int, dst int, w double")
     got = {(r.method, r.src, r.dst): r.w for r in gr.symmetrize_by(e, ["tril", "triu"]).collect()}
     assert got == {("tril", 1, 0): 3.0, ("tril", 0, 1): 3.0, ("tril", 1, 1): -1.0, ("triu", 1, 1): -1.0}
+
+
+def test_view1_corrections_are_rows_of_the_target(spark):
+    """A target's row is formed from its members alone; no sum over pairs of members."""
+    from tessera.operators import samples as sa
+    ti = spark.createDataFrame([(7, 1, 0, True, 3, 2), (7, 1, 4, True, 3, 2), (7, 1, 9, False, 3, 2), (8, 0, 5, False, 1, 0)],
+                               "geek_id long, session_no long, node int, in_q boolean, n_f long, n_q long")
+    delta, _ = sa.view1_delta(ti)
+    assert delta.columns == ["geek_id", "session_no", "i", "changed"] and sa.changed_rows(delta) is delta
+    got = {(r.geek_id, r.i): r.changed for r in delta.collect()}
+    both, one = pytest.approx(1 / 2 - 1 / 3), pytest.approx(-1 / 3)
+    assert got == {(7, 0): {0: both, 4: both, 9: one}, (7, 4): {0: both, 4: both, 9: one},
+                   (7, 9): {0: one, 4: one, 9: one}, (8, 5): {5: -1.0}}
+
+
+def test_overlay_joins_class_rows_last(spark):
+    """Further columns stay with their row, and no exchange lies above the class rows."""
+    from tessera.operators import samples as sa
+    wanted = spark.createDataFrame([(7, 1, 3, 0, 5)], "geek_id long, session_no long, graph_id int, i int, dv long")
+    base = sa.class_rows(spark.createDataFrame([(3, 0, 1, 1.0)], "graph_id int, i int, j int, w double"))
+    delta = spark.createDataFrame([(7, 1, 0, 1, -0.25)], "geek_id long, session_no long, i int, j int, w double")
+    out = sa.overlay(wanted, base, sa.changed_rows(delta))
+    assert [(r.dv, r.row[0].w) for r in out.collect()] == [(5, 0.75)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("Join LeftOuter")
+
+
+def test_wavelets_of_packed_rows(spark):
+    from tessera.operators import blocks as bm
+    e = _edges(spark, [[0.5, 1, 0, 0], [1, 0, 2, 0], [0, 2, 0, 0], [0, 0, 0, 0]]).unionByName(
+        _edges(spark, [[0, 3], [3, 1]], graph_id=1))
+    nodes = _nodes(spark, 4).unionByName(_nodes(spark, 2, graph_id=1))
+    top = gr.lmax_bound(e, nodes)
+    rows = e.groupBy("graph_id", F.col("src").alias("i")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("dst").alias("j"), "w"))).alias("row"))
+    want, got = ({(r.graph_id, r.filter, r.t, r.i, r.j): r.val for r in bm.wavelets(
+        x, nodes, top, [-1.0, 1.0], from_weights=True, block=3).collect()} for x in (e, rows))
+    assert got == pytest.approx(want) and len(got) > 20
