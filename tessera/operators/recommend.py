@@ -43,9 +43,11 @@ def sample_scores(g: sp.ClassGraphs, top_k_label: int, history: str = "target")
                                    (g.inc2, sp.view2_delta(g, removed))):
         adj = hg.adjacency(inc)
         dv = hg.vertex_degree(inc)
-        rows = sp.sample_adjacency(header, adj, delta, rows=hist)
         deg = sp.sample_degree(header, dv, dv_delta, rows=hist).withColumnRenamed("node", "i")
-        parts.append(rows.join(deg, [*SAMPLE, "i"])
+        # the degree goes with the row's key: a row is unpacked only after the last join
+        wanted = hist.join(header.select(*SAMPLE, "graph_id"), SAMPLE).join(deg, [*SAMPLE, "i"])
+        rows = sp.overlay(wanted, sp.class_rows(adj), sp.changed_rows(delta))
+        parts.append(rows.select(*SAMPLE, "dv", F.inline("row"))
                      .select(*SAMPLE, "j", (F.col("w") / F.col("dv")).alias("s")))
     return (parts[0].unionByName(parts[1]).groupBy(*SAMPLE, "j")
             .agg(F.sum("s").alias("score")))
