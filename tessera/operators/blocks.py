@@ -165,6 +165,76 @@ def polynomial(entries: DataFrame, nodes: DataFrame, coeff: DataFrame, order: in
     return add(weighted, [G, "filter", "bi", "bj"], block * block)
 
 
+def _graph_wavelets(rows: DataFrame, nodes: DataFrame, graphs: DataFrame, taus: list[float], order: int,
+                    tolerance: float, kernel: str, lmax: str, pad: float, from_weights: bool,
+                    max_nodes: int = 2000) -> DataFrame:
+    """``wavelets`` of packed rows (graph_id, i, row of (j, w)): very many graphs of at most
+    ``max_nodes`` nodes (guarded).  The rows are dealt by graph once, and a task forms and
+    multiplies one graph's matrices after another; no term is written."""
+    spark = nodes.sparkSession
+    batches_by_bytes(spark)
+    coeff = cheby_coeff(graphs, taus, m=order, kernel=kernel, lmax=lmax)
+    listed = coeff.groupBy(G).agg(F.array_sort(F.collect_list(F.struct("filter", "k", "c"))).alias("_c")).select(
+        G, F.transform("_c", lambda x: x["c"]).alias("cs"))
+    size = nodes.groupBy(G).agg((F.max("node") + 1).cast("int").alias("n"))
+    head = (graphs.select(G, ((F.col(lmax) + F.lit(pad)) / 2.0).alias("a")).join(listed, G).join(size, G)
+            .withColumn("i", F.lit(-1)).withColumn("js", F.lit(None).cast("array<int>"))
+            .withColumn("ws", F.lit(None).cast("array<double>")))
+    packed = rows.select(G, "i", F.transform("row", lambda e: e["j"]).alias("js"),
+                         F.transform("row", lambda e: e["w"]).alias("ws"))
+    every = (head.unionByName(packed, allowMissingColumns=True).select(G, "i", "js", "ws", "a", "cs", "n")
+             .repartition(G).sortWithinPartitions(G, "i"))
+    scales = np.array([float(t) for t in taus])
+
+    def matrices(lap: np.ndarray, a: float, cs: np.ndarray) -> Iterator[np.ndarray]:
+        if from_weights:
+            lap = np.diag(lap.sum(axis=1)) - lap
+        old, cur = np.eye(len(lap)), lap / a - np.eye(len(lap))
+        out = [c[0] / 2 * old for c in cs]
+        for k in range(1, order + 1):
+            if k > 1:
+                old, cur = cur, 2.0 * (m @ cur) - old
+            else:
+                m = cur
+            for f, c in enumerate(cs):
+                out[f] += c[k] * cur
+        yield from out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = lap = a = cs = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for f, p in enumerate(matrices(lap, a, cs)):
+                x = np.where(p >= tolerance, p, 0.0)
+                i, j = np.nonzero(x)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(key, len(i)), pa.repeat(pa.scalar(f, pa.int32()), len(i)), pa.repeat(pa.scalar(scales[f]), len(i)),
+                     pa.array(i.astype("int32")), pa.array(j.astype("int32")), pa.array(x[i, j] / np.abs(x).sum(axis=1)[i])],
+                    names=[G, "filter", "t", "i", "j", "val"])
+
+        for b in batches:
+            at = b.column("i").to_numpy()
+            js, ws = b.column("js"), b.column("ws")
+            end = np.cumsum(np.nan_to_num(pc.list_value_length(js).to_numpy(zero_copy_only=False))).astype(int)
+            j, w = js.flatten().to_numpy(), ws.flatten().to_numpy()
+            for r in range(b.num_rows):
+                if at[r] < 0:
+                    if key is not None:
+                        yield from done()
+                    key, a, n = (b.column(c)[r] for c in (G, "a", "n"))
+                    n, a = n.as_py(), a.as_py()
+                    if n > max_nodes:
+                        raise ValueError(f"graph with {n} nodes is above the dense guard {max_nodes}")
+                    cs, lap = np.array(b.column("cs")[r].as_py()).reshape(len(scales), order + 1), np.zeros((n, n))
+                else:
+                    part = slice(end[r - 1] if r else 0, end[r])
+                    lap[at[r], j[part]] = w[part]
+        if key is not None:
+            yield from done()
+
+    return every.mapInArrow(run, _schema(rows, [G], "filter int, t double, i int, j int, val double"))
+
+
 def wavelets(lap: DataFrame, nodes: DataFrame, graphs: DataFrame, taus: list[float],
              order: int = 3, tolerance: float = 0.0, kernel: str = "heat", lmax: str = "lmax",
              pad: float = 1e-5, from_weights: bool = False, block: int = 64) -> DataFrame:
@@ -176,7 +246,12 @@ def wavelets(lap: DataFrame, nodes: DataFrame, graphs: DataFrame, taus: list[flo
     product.  Entries below ``tolerance`` and zeros go, rows are divided by their absolute
     sum.  With ``from_weights`` the first argument is the weight table (graph_id, src, dst,
     w) and the combinatorial Laplacian D - W is formed in the blocks.  ``nodes`` holds the
-    numbers 0 to n-1 of each graph.  Output (graph_id, filter, t, i, j, val)."""
+    numbers 0 to n-1 of each graph.  Output (graph_id, filter, t, i, j, val).
+
+    A table (graph_id, i, row) of packed rows stands for very many small graphs, one matrix
+    of which a task holds as a whole."""
+    if "row" in lap.columns:
+        return _graph_wavelets(lap, nodes, graphs, taus, order, tolerance, kernel, lmax, pad, from_weights)
     spark = nodes.sparkSession
     batches_by_bytes(spark)
     if from_weights:

@@ -434,18 +434,21 @@ from tessera.operators import samples as smp  # noqa: E402
 from tessera.plans.sqlparts import SAMPLE_GRAPHS  # noqa: E402
 
 
-def sample_graph_edges(spark, sf):
-    """Both views of every leave-one-out sample as one edge table; the graph key is the text
-    geek_id:session_no:view, so that no two samples share one."""
+def sample_graph_rows(spark, sf):
+    """Both views of every leave-one-out sample as packed rows (graph_id, i, row); the graph key
+    is the text geek_id:session_no:view, so that no two samples share one.  Only the store is
+    written: the class rows once and the changes of the samples."""
+    from tessera.session import materialize
     g = smp.class_graphs(sessions_long(spark, sf), _P.list_cnt)
     header = smp.sample_header(g, _P.top_k)
     ti = smp.target_items(g, _P.top_k)
     parts = []
     for view, inc, (delta, _) in ((1, g.inc1, smp.view1_delta(ti)),
                                   (2, g.inc2, smp.view2_delta(g, smp.removed_pairs(g, _P.top_k)))):
-        a = smp.sample_adjacency(header, hg.adjacency(inc), delta, _P.k_job)
+        rows = smp.overlay(smp.all_rows(header, _P.k_job), materialize(smp.class_rows(hg.adjacency(inc))),
+                           materialize(smp.changed_rows(delta)))
         key = F.concat_ws(":", "geek_id", "session_no", F.lit(view))
-        parts.append(a.select(key.alias("graph_id"), F.col("i").alias("src"), F.col("j").alias("dst"), "w"))
+        parts.append(rows.select(key.alias("graph_id"), "i", "row"))
     return parts[0].unionByName(parts[1])
 
 
@@ -460,11 +463,11 @@ SELECT CAST(split_part(graph_id, ':', 1) AS BIGINT) AS geek_id, CAST(split_part(
   CAST(split_part(graph_id, ':', 3) AS INTEGER) AS view, filter, i, j, ROUND(val, 6) AS val FROM wv""")
 def k20_sample_wavelets(spark, sf):
     """Forward (t=-1) and inverse (t=+1) wavelets of both graphs of every sample (the
-    transform the original runs per sample before the network), by block products."""
-    from tessera.session import materialize
-    e = materialize(sample_graph_edges(spark, sf))
-    nodes = nodes_of(e)
-    w = bm.wavelets(e, nodes, gr.lmax_bound(e, nodes), TAUS, order=3, from_weights=True)
+    transform the original runs per sample before the network), a graph at a time."""
+    rows = sample_graph_rows(spark, sf)
+    nodes = nodes_of(rows)
+    e = rows.select("graph_id", F.col("i").alias("src"), F.inline("row").alias("dst", "w"))
+    w = bm.wavelets(rows, nodes, gr.lmax_bound(e, nodes), TAUS, order=3, from_weights=True)
     part = F.split("graph_id", ":")
     return w.select(part[0].cast("long").alias("geek_id"), part[1].cast("long").alias("session_no"),
                     part[2].cast("int").alias("view"), "filter", "i", "j", r6("val").alias("val"))
