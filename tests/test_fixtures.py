@@ -611,3 +611,23 @@ def test_wavelets_of_packed_rows(spark):
     want, got = ({(r.graph_id, r.filter, r.t, r.i, r.j): r.val for r in bm.wavelets(
         x, nodes, top, [-1.0, 1.0], from_weights=True, block=3).collect()} for x in (e, rows))
     assert got == pytest.approx(want) and len(got) > 20
+
+
+def test_person_profile_fits_read_no_source_again(spark, tmp_path, monkeypatch):
+    import datetime
+    from tessera.plans import profiles
+    path = str(tmp_path / "snapshots")
+    spark.createDataFrame(
+        [(i, datetime.date(2020, 1 + 5 * (i % 2), 1 + i), ["a", "b"][:1 + i % 2], i, 1.0 * i, i % 3, 2.0 * i, "xy"[i % 2]) for i in range(12)],
+        "geek_id long, date date, tokens array<string>, n_lines long, total_price double, nation int, acctbal double, segment string",
+    ).write.parquet(path)
+    monkeypatch.setattr(profiles, "person_snapshots", lambda t: spark.read.parquet(path))
+    seen, fit = [], ft.fit_apply
+
+    def watched(stages, train, *others):
+        seen.append(train._jdf.queryExecution().executedPlan().toString())
+        return fit(stages, train, *others)
+
+    monkeypatch.setattr(ft, "fit_apply", watched)
+    assert profiles.person_profile(spark, "unused", k=2, topics=2, max_iter=1).count() == 12
+    assert len(seen) == 1 and "parquet" not in seen[0]
