@@ -2,7 +2,8 @@
 
 A byte goes if a ``length``-byte string over it also starts in a document of smaller id.
 
-1. Documents become blocks of about a megabyte (written once, compressed).
+1. Documents become blocks of about a megabyte (written once, compressed).  ``bundle`` blocks
+   are a row, so the exchanges have a row for each bundle and bucket; tasks read block by block.
 2. Every window of ``length`` bytes has a minimizer: the least hash of its ``seed``-byte
    strings.  Equal windows have equal minimizers, so hash buckets of minimizers split the
    windows of the corpus into independent sets.  Minimizers that occur in one document
@@ -12,12 +13,14 @@ A byte goes if a ``length``-byte string over it also starts in a document of sma
    each of its windows by the hash of its own bytes, so equal windows still meet.
 3. Runs of windows with a shared minimizer travel to its bucket as strings with the least
    document that holds them (equal strings once).  Strings that are alone with their
-   minimizer share no window with others; a bucket splits the rest
-   into shards, builds each shard's Burrows-Wheeler transform, and merges the
+   minimizer share no window with others; a bucket takes the rest
+   in parts by minimizer, splits a part into shards, builds each shard's Burrows-Wheeler transform, and merges the
    transforms by iterative interleave refinement: round t stably deals the interleave by the symbols of
    the transforms, which sorts all suffixes by t symbols without comparing texts.  The
    round in which neighbours part is their common prefix + 1; after ``length`` rounds the
    intervals that have not parted are the repeated windows, and each gets its least document.
+   A suffix alone in its interval stays alone, so a round deals only the others (``merge`` is
+   the same refinement of the whole interleave).
 4. The answers go back to the blocks, which mark and remove the covered bytes.
 
 Only bounded sets meet in a task: a block, or a bucket of minimizers of at most ``hot_strings``
@@ -35,6 +38,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.numtext import U, buffers, prefix, slices, span_hash
+from tessera.llm.numtext import SLICE_BYTES, U, buffers, prefix, slices, span_hash
 from tessera.llm.tables import staged
 
 LOWEST = -(1 << 63)
@@ -51,42 +55,80 @@ CHUNK = 1 << 14
 
 @dataclass(frozen=True)
 class Repeats:
-    """``bucket_bytes`` of text per bucket on average; up to ``hot_strings`` distinct strings
-    with one minimizer stay together; ``shards`` transforms per bucket."""
+    """``bucket_bytes`` of text per bucket on average, merged in parts of about ``part_bytes``
+    by ``shards`` transforms each; up to ``hot_strings`` distinct strings with one minimizer
+    stay together; ``bundle`` blocks travel together."""
     length: int = 50
     seed: int = 28
-    bucket_bytes: int = 4 << 20
+    bucket_bytes: int = 16 << 20
     hot_strings: int = 1 << 14
     shards: int = 4
+    part_bytes: int = 1 << 18
+    bundle: int = 8
     run: int = 200
 
 
-def _pack(raw: bytes) -> bytes:
+@cache
+def _codec() -> tuple:
+    """One per worker: making a compressor costs more than a short text."""
     import zstandard
-    return zstandard.ZstdCompressor(level=2).compress(raw)
+    return zstandard.ZstdCompressor(level=2), zstandard.ZstdDecompressor()
+
+
+def _pack(raw: bytes) -> bytes:
+    return _codec()[0].compress(raw)
 
 
 def _unpack(raw: bytes) -> bytes:
-    import zstandard
-    return zstandard.ZstdDecompressor().decompress(raw)
+    return _codec()[1].decompress(raw)
+
 
+def blocks(docs: DataFrame, p: Repeats) -> DataFrame:
+    """(bundle, ids, lens, data): the documents in compressed blocks, ``bundle`` of them to a row."""
+    schema = pa.schema([("bundle", pa.string()), ("ids", pa.list_(pa.list_(pa.int64()))),
+                        ("lens", pa.list_(pa.list_(pa.int64()))), ("data", pa.list_(pa.binary()))])
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """(block, ids, lens, data): the documents in compressed blocks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, part = 0, TaskContext.get().partitionId()
+        n, part, size, held = 0, TaskContext.get().partitionId(), 0, []
+
+        def row() -> pa.RecordBatch:
+            ids, lens, data = zip(*held, strict=True)
+            return pa.RecordBatch.from_pydict({"bundle": [f"{part}-{n}"], "ids": [ids], "lens": [lens], "data": [data]},
+                                              schema=schema)
+
         for b in batches:
             data, off = buffers(b.column("text"))
             for i, j in slices(off):
-                yield pa.RecordBatch.from_pydict(
-                    {"block": [f"{part}-{n}"], "ids": [b.column("doc_id").slice(i, j - i).to_pylist()],
-                     "lens": [np.diff(off[i:j + 1]).tolist()], "data": [_pack(data[off[i]:off[j]].tobytes())]},
-                    schema=pa.schema([("block", pa.string()), ("ids", pa.list_(pa.int64())),
-                                      ("lens", pa.list_(pa.int64())), ("data", pa.binary())]))
-                n += 1
+                held.append((b.column("doc_id").slice(i, j - i).to_pylist(), np.diff(off[i:j + 1]).tolist(),
+                             _pack(data[off[i]:off[j]].tobytes())))
+                size += int(off[j] - off[i])
+                if len(held) == p.bundle or size >= p.bundle * SLICE_BYTES:
+                    yield row()
+                    n, size, held = n + 1, 0, []
+        if held:
+            yield row()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "block string, ids array<long>, lens array<long>, data binary")
+        run, "bundle string, ids array<array<long>>, lens array<array<long>>, data array<binary>")
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
+
+
+def _blocks_of(row: dict, p: Repeats) -> Iterator[Block]:
+    for ids, lens, data in zip(row["ids"], row["lens"], row["data"], strict=True):
+        yield Block(ids, lens, data, p)
+
+
+def _by_bucket(bucket: np.ndarray) -> tuple[np.ndarray, list[int], list[int], list[int]]:
+    """Order by bucket, and of each bucket its number, begin and end there."""
+    by = np.argsort(bucket, kind="stable")
+    of = bucket[by]
+    cut = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else by
+    return by, of[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(of)][:len(cut)]
 
 
 def _least(pre: tuple[np.ndarray, np.ndarray], i: int, j: int, p: Repeats) -> np.ndarray:
@@ -187,23 +229,31 @@ def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Burrows-Wheeler transform (0: end mark) of sorted strings, and the suffix order as
     positions in their concatenation, an end mark after each."""
     text = np.frombuffer(b"\0".join([*strings, b""]), np.uint8).astype(np.int64) + 1
-    ends = np.cumsum([len(s) + 1 for s in strings]) - 1
-    text[ends] = 0
-    n, m = len(text), len(strings)
-    rank = text + m
-    rank[ends] = np.arange(m)  # end marks in the order of the strings
-    t, longest = 1, max(len(s) for s in strings) + 1
-    while t < longest:
-        nxt = np.zeros(n, np.int64)
-        nxt[:-t] = rank[t:]
-        key = rank * np.int64(n + m + 300) + nxt
-        order = np.argsort(key)
-        k = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]]))
-        t *= 2
-    order = np.empty(n, np.int64)
-    order[rank] = np.arange(n)
+    text[np.cumsum([len(s) + 1 for s in strings]) - 1] = 0
+    n, key, at = len(text), text, np.arange(len(text))
+    for width, more, low in ((1, 1, 0), (2, 2, 0), (4, 3, 9)):  # seven symbols, none after an end mark
+        after = np.zeros(n, np.int64)
+        after[:-width] = key[width:] >> low
+        key = (key << 9 * more) | np.where(key & 511, after, 0)
+    order = np.argsort(key)
+    key = key[order]
+    head = np.concatenate([[True], key[1:] != key[:-1]])
+    ended = np.flatnonzero((key & 511) == 0)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(head, at, 0))
+    pos = order[ended]  # equal ones in the order of their strings
+    order[ended] = pos = pos[np.argsort(rank[pos] * n + pos)]
+    rank[pos], head[ended] = ended, True
+    open_, t = np.flatnonzero(~(head & np.append(head[1:], True))), 7
+    open_ = open_[(key[open_] & 511) != 0]
+    while len(open_):  # suffixes that are alone with their first t symbols stay in place
+        pos = order[open_]
+        by = rank[pos] * n + rank[pos + t]
+        o = np.argsort(by)
+        by, pos = by[o], pos[o]
+        head = np.concatenate([[True], by[1:] != by[:-1]])
+        order[open_], rank[pos] = pos, open_[np.maximum.accumulate(np.where(head, at[:len(by)], 0))]
+        open_, t = open_[~(head & np.append(head[1:], True))], 2 * t
     return np.where(order == 0, 0, text[order - 1]), order
 
 
@@ -230,63 +280,112 @@ def merge(bwts: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray]:
     return z, common
 
 
-def least_documents(strings: list[bytes], docs: np.ndarray, p: Repeats) -> list[np.ndarray]:
-    """For every window of every string the least document whose strings hold it."""
+def unparted(bwts: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """The intervals of ``merge`` that have not parted after ``rounds``: their suffixes as
+    rows of the transforms one after the other, and where each interval begins.  A suffix
+    that is alone in its interval stays so when symbols are put before it, so every round
+    deals only the intervals of two or more."""
+    flat = np.concatenate(bwts)
+    known = np.bincount(flat, minlength=257) > 0
+    codes = (np.cumsum(known) - 1)[flat].astype(np.uint8 if known.sum() <= 256 else np.uint16)
+    before, base = np.empty(len(flat), np.int32), 0  # row of the suffix that is longer by one symbol
+    for b in bwts:
+        before[base + np.argsort(codes[base:base + len(b)], kind="stable")] = np.arange(base, base + len(b))
+        base += len(b)
+    rows, interval = np.arange(len(flat), dtype=np.int32), np.zeros(len(flat), np.int32)
+    head = np.zeros(len(flat), bool)
+    for _ in range(rounds):
+        sym = codes[rows]
+        order = np.argsort(sym, kind="stable")
+        sym = sym[order]
+        whole = int(np.searchsorted(sym, 1))  # an end mark: no longer suffix of this string
+        sym, order = sym[whole:], order[whole:]
+        rows, interval = before[rows[order]], interval[order]
+        head = np.ones(len(rows) + 1, bool)
+        head[1:-1] = (sym[1:] != sym[:-1]) | (interval[1:] != interval[:-1])
+        stay = np.flatnonzero(~(head[:-1] & head[1:]))
+        head = head[stay]
+        rows, interval = rows[stay], np.cumsum(head, dtype=np.int32)
+    return rows, np.flatnonzero(head)
+
+
+def least_documents(strings: list[bytes], docs: np.ndarray, p: Repeats) -> np.ndarray:
+    """For every window of every string, one string after the other, the least document
+    whose strings hold it."""
     cuts = np.linspace(0, len(strings), min(p.shards, len(strings)) + 1).astype(int)
-    bwts, where, size = [], [], np.array([len(s) for s in strings])
+    bwts, orders, starts, names, size = [], [], [], [], np.array([len(s) for s in strings])
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         by = sorted(range(a, b), key=strings.__getitem__)
         bwt, order = transform([strings[i] for i in by])
-        base = np.concatenate([[0], np.cumsum(size[by] + 1)])
-        k = np.searchsorted(base, order, "right") - 1
+        starts.append(np.cumsum(size[by] + 1) - size[by] - 1 + sum(map(len, bwts)))
+        orders.append(order + sum(map(len, bwts)))
         bwts.append(bwt)
-        where.append((np.array(by)[k], order - base[k]))
-    z, common = merge(bwts, p.length)
-    at = np.argsort(z, kind="stable")
-    owner, place = np.empty(len(z), np.int64), np.empty(len(z), np.int64)
-    owner[at] = np.concatenate([w[0] for w in where])
-    place[at] = np.concatenate([w[1] for w in where])
-    whole = place + p.length <= size[owner]
-    value = np.where(whole, docs[owner], np.iinfo(np.int64).max)
-    heads = np.flatnonzero(common < p.length)
-    low = np.repeat(np.minimum.reduceat(value, heads), np.diff(np.concatenate([heads, [len(z)]])))
-    first = np.concatenate([[0], np.cumsum(size - p.length + 1)])
-    out = np.empty(first[-1], np.int64)
-    out[first[owner[whole]] + place[whole]] = low[whole]
-    return np.split(out, first[1:-1])
-
-
-def _alone(strings: list[bytes], p: Repeats) -> np.ndarray:
-    """Which strings are the only ones with their minimizer (they share no window)."""
-    text, size = np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings])
-    end = np.cumsum(size)
-    at = np.arange(len(text))
-    inside = at + p.seed <= np.repeat(end, size)
-    low = np.full(len(text), np.iinfo(U).max, U)
-    low[inside] = span_hash(prefix(text), at[inside], at[inside] + p.seed)
-    _, of, n = np.unique(np.minimum.reduceat(low, end - size), return_inverse=True, return_counts=True)
-    return n[of] == 1
+        names.append(by)
+    rows, heads = unparted(bwts, p.length)
+    count = size - p.length + 1
+    first, out = np.cumsum(count) - count, np.repeat(docs, count)
+    if len(rows):
+        at, base = np.concatenate(orders)[rows], np.concatenate(starts)
+        k = np.searchsorted(base, at, "right") - 1
+        owner = np.concatenate(names).astype(np.int64)[k]
+        low = np.minimum.reduceat(docs[owner], heads)
+        out[first[owner] + at - base[k]] = np.repeat(low, np.diff(np.append(heads, len(rows))))
+    return out
+
+
+def _least_of(strings: list[bytes], p: Repeats) -> np.ndarray:
+    """The minimizer of every string."""
+    size = np.array([len(s) for s in strings])
+    out = np.empty(len(strings), U)
+    for i, j in slices(np.concatenate([[0], np.cumsum(size)])):
+        text, end = np.frombuffer(b"".join(strings[i:j]), np.uint8), np.cumsum(size[i:j])
+        at = np.arange(len(text) - p.seed + 1)
+        low = span_hash(prefix(text), at, at + p.seed)
+        past = (end[:-1, None] - np.arange(1, p.seed)).ravel()  # these would reach into the next string
+        low[past] = np.iinfo(U).max
+        out[i:j] = np.minimum.reduceat(low, end - size[i:j])
+    return out
+
+
+def least_of_all(strings: list[bytes], docs: np.ndarray, p: Repeats) -> np.ndarray:
+    """``least_documents`` of a bucket: strings that are alone with their minimizer share no
+    window, and the others are merged in parts by minimizer."""
+    _, of, n = np.unique(_least_of(strings, p), return_inverse=True, return_counts=True)
+    count = np.array([len(s) for s in strings]) - p.length + 1
+    first, out = np.cumsum(count) - count, np.repeat(docs, count)
+    more = np.flatnonzero(n[of] > 1)
+    more = more[np.argsort(of[more], kind="stable")]
+    total = np.concatenate([[0], np.cumsum(count[more] + p.length - 1)])
+    edge = np.flatnonzero(np.diff(of[more], prepend=-1))
+    part = total[edge] // p.part_bytes  # a part begins with a minimizer
+    cuts = [*edge[np.flatnonzero(np.diff(part, prepend=-1))].tolist(), len(more)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        k = more[a:b]
+        low, c = least_documents([strings[i] for i in k], docs[k], p), count[k]
+        out[np.repeat(first[k] - np.cumsum(c) + c, c) + np.arange(len(low))] = low
+    return out
 
 
 def _shared(blocked: DataFrame, buckets: int, p: Repeats) -> DataFrame:
-    """(block, bucket, shared, hot): bits of the block's minimizers of the bucket, and the
-    places among them of those with more than ``hot_strings`` in the corpus."""
+    """(bundle, bucket, shared, hot): bits of the bundle's minimizers of the bucket, block by
+    block, and the places among them of those with more than ``hot_strings`` in the corpus."""
+    schema = pa.schema([("bucket", pa.int32()), ("bundle", pa.string()), ("h", pa.binary()),
+                        ("two", pa.binary()), ("many", pa.binary())])
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                k = Block(r["ids"], r["lens"], r["data"], p)
+        for r in _rows(batches):
+            found = []
+            for k in _blocks_of(r, p):
                 h, at = k.minimizers(buckets)
-                two, many = k.spread(h, p.length)
-                cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
-                end = np.concatenate([cut[1:], [len(at)]]).astype(int)
-                low = (h >> U(32)).astype("<u4")
-                yield pa.RecordBatch.from_pydict(
-                    {"bucket": [int(at[i]) for i in cut], "block": [r["block"]] * len(cut),
-                     "h": [_pack(np.diff(low[i:j], prepend=low.dtype.type(0)).tobytes()) for i, j in zip(cut, end, strict=False)],
-                     "two": [np.packbits(two[i:j]).tobytes() for i, j in zip(cut, end, strict=False)],
-                     "many": [_pack(many[i:j].astype("<u4").tobytes()) for i, j in zip(cut, end, strict=False)]},
-                    schema=pa.schema([("bucket", pa.int32()), ("block", pa.string()), ("h", pa.binary()),
-                                      ("two", pa.binary()), ("many", pa.binary())]))
+                found.append((at, (h >> U(32)).astype("<u4"), *k.spread(h, p.length)))
+            at, low, two, many = (np.concatenate(x) for x in zip(*found, strict=True))
+            by, bucket, cut, end = _by_bucket(at)
+            low, two, many = low[by], two[by], many[by].astype("<u4")
+            yield pa.RecordBatch.from_pydict(
+                {"bucket": bucket, "bundle": [r["bundle"]] * len(cut),
+                 "h": [_pack(np.diff(low[i:j], prepend=low.dtype.type(0)).tobytes()) for i, j in zip(cut, end, strict=True)],
+                 "two": [np.packbits(two[i:j]).tobytes() for i, j in zip(cut, end, strict=True)],
+                 "many": [_pack(many[i:j].tobytes()) for i, j in zip(cut, end, strict=True)]}, schema=schema)
 
     def answer(t: pa.Table) -> pa.Table:
         h = [np.cumsum(np.frombuffer(_unpack(x), "<u4"), dtype="<u4") for x in t["h"].to_pylist()]
@@ -297,92 +396,117 @@ def _shared(blocked: DataFrame, buckets: int, p: Repeats) -> DataFrame:
         much = np.split((np.bincount(of, weights=many) > p.hot_strings)[of], cut)
         bits = [np.packbits(a | np.unpackbits(np.frombuffer(w, np.uint8), count=len(a)).astype(bool)).tobytes()
                 for a, w in zip(again, t["two"].to_pylist(), strict=True)]
-        return pa.table({"block": t["block"].cast(pa.string()), "bucket": t["bucket"], "shared": pa.array(bits, pa.binary()),
+        return pa.table({"bundle": t["bundle"].cast(pa.string()), "bucket": t["bucket"], "shared": pa.array(bits, pa.binary()),
                          "hot": pa.array([np.flatnonzero(x) for x in much], pa.list_(pa.int32()))})
 
-    return (blocked.mapInArrow(send, "bucket int, block string, h binary, two binary, many binary")
+    return (blocked.mapInArrow(send, "bucket int, bundle string, h binary, two binary, many binary")
             .repartitionById(buckets, "bucket").groupBy("bucket")
-            .applyInArrow(answer, "block string, bucket int, shared binary, hot array<int>"))
+            .applyInArrow(answer, "bundle string, bucket int, shared binary, hot array<int>"))
 
 
-def _shared_of(block: Block, answers: list, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The block's shared minimizers and its hot ones, each sorted."""
-    h, at = block.minimizers(buckets)
-    shared, hot = np.zeros(len(h), bool), np.zeros(len(h), bool)
+class Parts:
+    """Arrays of a bundle by bucket, taken block by block."""
+
+    def __init__(self, of: dict[int, np.ndarray]):
+        self.of, self.at = of, dict.fromkeys(of, 0)
+
+    def take(self, bucket: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:
+        """The next ``size`` values (one) for every entry of ``bucket`` (sorted)."""
+        cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else bucket
+        n = np.diff(np.append(cut, len(bucket))) if size is None else np.add.reduceat(size, cut) if len(cut) else cut
+        out = [np.zeros(0, np.int64)]
+        for b, m in zip(bucket[cut].tolist(), n.tolist(), strict=True):
+            i = self.at[b]
+            out.append(self.of[b][i:i + m])
+            self.at[b] = i + m
+        return np.concatenate(out)
+
+
+def _shared_of(answers: list) -> Parts:
+    """Of every minimizer: 0 in one document only, 1 shared, 2 or 3 hot."""
+    of = {}
     for a in answers:
-        i, j = np.searchsorted(at, a["bucket"]), np.searchsorted(at, a["bucket"], "right")
-        shared[i:j] = np.unpackbits(np.frombuffer(a["shared"], np.uint8), count=int(j - i))
-        hot[i + np.array(a["hot"], np.int64)] = True
-    return np.sort(h[shared]), np.sort(h[hot])
+        x = np.unpackbits(np.frombuffer(a["shared"], np.uint8))
+        x[np.array(a["hot"], np.int64)] |= 2
+        of[a["bucket"]] = x
+    return Parts(of)
+
+
+def _strings_of(block: Block, shared: Parts, buckets: int, p: Repeats) -> tuple:
+    h, at = block.minimizers(buckets)
+    x = shared.take(at)
+    return block.strings(np.sort(h[(x & 1) > 0]), np.sort(h[x > 1]), buckets, p)
 
 
 def repeats(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row of ``docs``."""
-    blocked = staged(blocks(docs), "blocks")
-    total = blocked.select(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    blocked = staged(blocks(docs, p), "blocks")
+    total = blocked.select(F.sum(F.aggregate(F.flatten("lens"), F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = max(12, total // p.bucket_bytes)
-    answers = _shared(blocked, buckets, p).groupBy("block").agg(
-        F.collect_list(F.struct("bucket", "shared", "hot")).alias("answers"))  # bounded by the block's minimizers
+    answers = _shared(blocked, buckets, p).groupBy("bundle").agg(
+        F.collect_list(F.struct("bucket", "shared", "hot")).alias("answers"))  # bounded by the bundle's minimizers
     asked = staged(answers, "shared")
-    full = blocked.join(asked, "block", "left")
+    full = blocked.join(asked, "bundle", "left")
+    schema = pa.schema([("bucket", pa.int32()), ("bundle", pa.string()), ("text", pa.binary()),
+                        ("size", pa.binary()), ("doc", pa.binary())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                k = Block(r["ids"], r["lens"], r["data"], p)
-                _, (bucket, s, n, doc) = k.strings(*_shared_of(k, r["answers"] or [], buckets), buckets, p)
-                cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else bucket
-                end = np.concatenate([cut[1:], [len(bucket)]]).astype(int)
-                raw = k.data.tobytes()
-                yield pa.RecordBatch.from_pydict(
-                    {"bucket": [int(bucket[i]) for i in cut], "block": [r["block"]] * len(cut),
-                     "text": [_pack(b"".join([raw[x:x + y] for x, y in zip(s[i:j].tolist(), n[i:j].tolist(), strict=True)]))
-                              for i, j in zip(cut, end, strict=False)],
-                     "size": [_pack(n[i:j].astype("<i8").tobytes()) for i, j in zip(cut, end, strict=False)],
-                     "doc": [_pack(doc[i:j].astype("<i8").tobytes()) for i, j in zip(cut, end, strict=False)]},
-                    schema=pa.schema([("bucket", pa.int32()), ("block", pa.string()), ("text", pa.binary()),
-                                      ("size", pa.binary()), ("doc", pa.binary())]))
+        for r in _rows(batches):
+            shared, raw, found, base = _shared_of(r["answers"] or []), [], [], 0
+            for k in _blocks_of(r, p):
+                _, (bucket, s, n, doc) = _strings_of(k, shared, buckets, p)
+                raw.append(k.data.tobytes())
+                found.append((bucket, s + base, n, doc))
+                base += len(k.data)
+            raw = b"".join(raw)
+            bucket, s, n, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+            by, bucket, cut, end = _by_bucket(bucket)
+            s, n, doc = s[by], n[by].astype("<i8"), doc[by].astype("<i8")
+            yield pa.RecordBatch.from_pydict(
+                {"bucket": bucket, "bundle": [r["bundle"]] * len(cut),
+                 "text": [_pack(b"".join([raw[x:x + y] for x, y in zip(s[i:j].tolist(), n[i:j].tolist(), strict=True)]))
+                          for i, j in zip(cut, end, strict=True)],
+                 "size": [_pack(n[i:j].tobytes()) for i, j in zip(cut, end, strict=True)],
+                 "doc": [_pack(doc[i:j].tobytes()) for i, j in zip(cut, end, strict=True)]}, schema=schema)
 
     def settle(t: pa.Table) -> pa.Table:
         of: dict[bytes, int] = {}
-        docs_, names, rows = [], [], []
-        for text, size, doc in zip(*(t[c].to_pylist() for c in ("text", "size", "doc")), strict=True):
-            text, at, mine = _unpack(text), 0, []
-            for n, d in zip(np.frombuffer(_unpack(size), "<i8").tolist(), np.frombuffer(_unpack(doc), "<i8").tolist(), strict=True):
-                s, at = text[at:at + n], at + n
-                k = of.setdefault(s, len(of))
-                if k == len(names):
-                    names.append(s)
+        docs_, rows = [], []
+        for text, size, doc in zip(*(t[c] for c in ("text", "size", "doc")), strict=True):
+            text, at, mine = _unpack(text.as_py()), 0, []
+            for n, d in zip(np.frombuffer(_unpack(size.as_py()), "<i8").tolist(),
+                            np.frombuffer(_unpack(doc.as_py()), "<i8").tolist(), strict=True):
+                k = of.setdefault(text[at:at + n], len(of))
+                at += n
+                if k == len(docs_):
                     docs_.append(d)
                 elif d < docs_[k]:
                     docs_[k] = d
                 mine.append(k)
-            rows.append(mine)
-        least, alone = np.array(docs_, np.int64), _alone(names, p)
-        low = [np.full(len(s) - p.length + 1, d) for s, d in zip(names, docs_, strict=True)]
-        if not alone.all():
-            more = np.flatnonzero(~alone)
-            for k, v in zip(more, least_documents([names[k] for k in more], least[more], p), strict=True):
-                low[k] = v
-        return pa.table({"block": t["block"].cast(pa.string()), "bucket": t["bucket"], "low": pa.array(
-            [_pack(np.concatenate([low[k] for k in mine]).astype("<i8").tobytes()) for mine in rows], pa.binary())})
+            rows.append(np.array(mine, np.int32))
+        names = list(of)
+        low = least_of_all(names, np.array(docs_, np.int64), p)
+        count = np.array([len(s) for s in names]) - p.length + 1
+        first, out = np.cumsum(count) - count, []
+        for k in rows:
+            c = count[k]
+            out.append(_pack(low[np.repeat(first[k] - np.cumsum(c) + c, c) + np.arange(c.sum())].astype("<i8").tobytes()))
+        return pa.table({"bundle": t["bundle"].cast(pa.string()), "bucket": t["bucket"], "low": pa.array(out, pa.binary())})
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                k = Block(r["ids"], r["lens"], r["data"], p)
+        for r in _rows(batches):
+            shared = _shared_of(r["answers"] or [])
+            lows = Parts({x["bucket"]: np.frombuffer(_unpack(x["low"]), "<i8") for x in r["lows"] or []})
+            for k, ids in zip(_blocks_of(r, p), r["ids"], strict=True):
                 gone = np.zeros(len(k.data) + 1, np.int64)
-                if r["lows"]:
-                    (start, size, of_doc, of), (_, _, n, _) = k.strings(
-                        *_shared_of(k, r["answers"] or [], buckets), buckets, p)
-                    low = np.concatenate([np.frombuffer(_unpack(x["low"]), "<i8")
-                                          for x in sorted(r["lows"], key=lambda x: x["bucket"])])
-                    first = np.concatenate([[0], np.cumsum(n - p.length + 1)])[:-1]
+                (start, size, of_doc, of), (bucket, _, n, _) = _strings_of(k, shared, buckets, p)
+                if len(start):
+                    low = lows.take(bucket, n - p.length + 1)
+                    first = np.cumsum(n - p.length + 1) - (n - p.length + 1)
                     step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                     hit = low[np.repeat(first[of], size) + step] < np.repeat(k.ids[of_doc], size)
                     at = (np.repeat(start, size) + step)[hit]
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, at + p.length, -1)
+                    gone = np.bincount(at, minlength=len(gone)) - np.bincount(at + p.length, minlength=len(gone))
                 gone = np.cumsum(gone)[:-1] > 0
                 head = gone.copy()
                 head[1:] &= ~gone[:-1]
@@ -391,14 +515,14 @@ def repeats(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
                 cg, ch = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, head))
                 kept = [k.data[i:j][~gone[i:j]].tobytes() for i, j in zip(k.off[:-1], k.off[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["ids"], pa.int64()), pa.array(np.diff(k.off)), pa.array(np.diff(cg[k.off])),
+                    [pa.array(ids, pa.int64()), pa.array(np.diff(k.off)), pa.array(np.diff(cg[k.off])),
                      pa.array(np.diff(ch[k.off])), pa.array([hashlib.sha256(x).hexdigest() for x in kept]),
                      pa.array(kept, pa.binary())],
                     names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    sent = full.mapInArrow(send, "bucket int, block string, text binary, size binary, doc binary")
+    sent = full.mapInArrow(send, "bucket int, bundle string, text binary, size binary, doc binary")
     settled = staged(sent.repartitionById(buckets, "bucket").groupBy("bucket")  # a task for each bucket
-                     .applyInArrow(settle, "block string, bucket int, low binary")
-                     .groupBy("block").agg(F.collect_list(F.struct("bucket", "low")).alias("lows")), "least")
-    return full.join(settled, "block", "left").mapInArrow(
+                     .applyInArrow(settle, "bundle string, bucket int, low binary")
+                     .groupBy("bundle").agg(F.collect_list(F.struct("bucket", "low")).alias("lows")), "least")
+    return full.join(settled, "bundle", "left").mapInArrow(
         remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -89,3 +89,39 @@ def test_hot_phrase_is_dealt_anew(docs_of):
         _, (bucket, _, n, _) = block.strings(shared, much, 16, p)
         most.append(np.bincount(bucket, weights=n, minlength=16))
     assert most[0].max() > 10 * np.median(most[0]) and most[1].max() < 2 * np.median(most[1])
+
+
+def test_unparted_intervals_are_those_of_the_merge():
+    r = random.Random(4)
+    for rounds in (1, 3, 8):
+        shards = [sorted({bytes(r.choices(b"ab\0", k=r.randint(1, 20))) for _ in range(12)}) for _ in range(4)]
+        bwts, orders = zip(*map(sd.transform, shards))
+        z, common = sd.merge(list(bwts), rounds)
+        base, seen, want = np.cumsum([0] + [len(b) for b in bwts]), [0] * 4, []
+        ends = [np.cumsum([len(x) + 1 for x in s]) - 1 for s in shards]
+        for i, k in enumerate(z):
+            if common[i] < rounds:
+                want.append(set())
+            at = orders[k][seen[k]]
+            if ends[k][np.searchsorted(ends[k], at)] - at >= rounds:  # a whole window
+                want[-1].add(int(base[k]) + seen[k])
+            seen[k] += 1
+        rows, heads = sd.unparted(bwts, rounds)
+        got = [set(x.tolist()) for x in np.split(rows, heads[1:])]
+        assert sorted(map(sorted, got)) == sorted(sorted(w) for w in want if len(w) > 1)
+
+
+def test_blocks_travel_in_bundles(docs_of, monkeypatch):
+    """The exchanges have a row for a bundle of blocks and a bucket, not for every block and bucket."""
+    r = random.Random(5)
+    noise = lambda k: "".join(r.choices("abcdefgh ", k=k))
+    rows = [(i, noise(600_000)) for i in range(12)]
+    rows += [(100 + i, noise(30) + "#" + rows[i][1][1000:1000 + 40 * i] + "#" + noise(500_000)) for i in range(12)]
+    staged, kept = sd.staged, {}
+    monkeypatch.setattr(sd, "staged", lambda df, name: kept.setdefault(name, staged(df, name)))
+    p = sd.Repeats(bucket_bytes=1 << 20)
+    got = sd.repeats(docs_of(rows).repartition(1), p).select("doc_id", "n_removed").collect()
+    assert {g.doc_id: g.n_removed for g in got if g.n_removed > 0} == {
+        100 + i: 40 * i for i in range(2, 12)}
+    assert kept["blocks"].count() == 3  # 24 documents, a block each
+    assert kept["least"].selectExpr("sum(size(lows))").first()[0] <= 3 * 13
