@@ -8,14 +8,15 @@ Every estimator is fit on the train split and applied frozen to both splits (M12
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.clustering import KMeans, LDA
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import CountVectorizer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.codes import arg_max
+from tessera.operators import topics
 
 
 def string_index(train: DataFrame, cols: list[str], suffix: str = "_idx"):
@@ -24,11 +25,10 @@ def string_index(train: DataFrame, cols: list[str], suffix: str = "_idx"):
                          handleInvalid="keep", stringOrderType="frequencyDesc").fit(train)
 
 
-def bag_of_words(train: DataFrame, tokens: str, out: str = "tf", vocab_size: int = (1 << 31) - 1,
-                 min_df: float = 1.0):
-    """M2: CountVectorizer over all terms, for models that need term indices."""
-    return CountVectorizer(inputCol=tokens, outputCol=out, vocabSize=vocab_size,
-                           minDF=min_df).fit(train)
+def bag_of_words(df: DataFrame, keys: list[str], tokens: str) -> DataFrame:
+    """M2: bags over all terms for the topic model, as blocks of documents (see ``topics``):
+    no vocabulary on the driver."""
+    return topics.bags(df, keys, tokens)
 
 
 def term_counts(df: DataFrame, id_col: str, tokens: str) -> DataFrame:
@@ -37,16 +37,15 @@ def term_counts(df: DataFrame, id_col: str, tokens: str) -> DataFrame:
             .agg(F.count(F.lit(1)).cast("double").alias("count")))
 
 
-def topic_model(train: DataFrame, features: str, k: int, max_iter: int, seed: int = 1):
-    """M3: LDA (online optimizer, the default) with an explicit seed."""
-    return LDA(k=k, maxIter=max_iter, seed=seed, featuresCol=features,
-               optimizer="online").fit(train)
+def topic_model(train: DataFrame, k: int, max_iter: int, seed: int = 1) -> topics.TopicModel:
+    """M3: LDA by the online optimizer on bags, with an explicit seed; topics are a table."""
+    return topics.fit(train, k, max_iter, seed)
 
 
 def dominant_topic(df: DataFrame, dist_col: str = "topicDistribution",
                    out: str = "skills") -> DataFrame:
     """Index of the largest topic weight (ties -> lowest index)."""
-    return df.withColumn(out, arg_max(vector_to_array(F.col(dist_col))))
+    return df.withColumn(out, arg_max(F.col(dist_col)))
 
 
 def assemble(cols: list[str], out: str = "features") -> VectorAssembler:

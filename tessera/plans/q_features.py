@@ -51,9 +51,8 @@ def m3_m4_topics(spark, sf):
     """LDA (k=5, 5 iterations, seed 1) on the document bag of words and the dominant
     topic of every document (rows-only: a fitted model)."""
     d = td(spark, sf).table("documents").select("doc_id", fc.split_tokens(F.col("text"), " ").alias("tok"))
-    cv = ft.bag_of_words(d, "tok")
-    tf = cv.transform(d)
-    lda = ft.topic_model(tf, "tf", 5, 5)
+    tf = ft.bag_of_words(d, ["doc_id"], "tok")
+    lda = ft.topic_model(tf, 5, 5)
     return ft.dominant_topic(lda.transform(tf)).select("doc_id", "skills")
 
 

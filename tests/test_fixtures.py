@@ -631,3 +631,58 @@ def test_person_profile_fits_read_no_source_again(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ft, "fit_apply", watched)
     assert profiles.person_profile(spark, "unused", k=2, topics=2, max_iter=1).count() == 12
     assert len(seen) == 1 and "parquet" not in seen[0]
+
+
+def test_online_topics_are_those_of_the_plain_steps(spark):
+    """Two iterations over all documents against a loop over documents and terms."""
+    from tessera.operators import topics as tp
+    texts = ["a b b c", "c d d", None, "", "a a a e", "f g c", "a b b c", "e"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select(
+        "doc_id", F.split("text", " ").alias("tok"))
+    bag = ft.bag_of_words(docs.repartition(3), ["doc_id"], "tok")
+    model = tp.fit(bag, 2, 2, seed=3, share=1.0, tau0=1.0)
+    assert model.terms().count() == 8  # the empty string is a term of the empty text
+
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id", F.col("tok")).alias("h")).collect()}
+    words = {i: ([] if t is None else t.split(" ")) for i, t in enumerate(texts)}
+    vocab = sorted({w for x in words.values() for w in x})
+    start = {r.term: r.h for r in spark.createDataFrame([(w,) for w in vocab], "term string").select(
+        "term", F.xxhash64("term").alias("h")).collect()}
+    lam = tp._gamma(np.array([start[w] for w in vocab]), 2, ~3)
+    alpha = np.full(2, 0.5)
+
+    def steps(i, beta, alpha, seed):
+        g = tp._gamma(np.array([hashes[i]]), 2, seed)[0]
+        ids = [vocab.index(w) for w in words[i]]
+        while True:
+            t = np.exp(tp._expectation(g))
+            new = alpha + sum(t * beta[w] / (t * beta[w]).sum() for w in ids)
+            g, moved = new, np.abs(new - g).mean()
+            if moved <= 1e-3:
+                return g, ids
+
+    for it in (1, 2):
+        beta, stat, logp = np.exp(tp.digamma(lam) - tp.digamma(lam.sum(0))), np.zeros_like(lam), []
+        for i in (i for i in words if words[i]):
+            g, ids = steps(i, beta, alpha, 3 + it)
+            logp.append(tp._expectation(g))
+            for w in ids:
+                phi = np.exp(logp[-1]) * beta[w]
+                stat[w] += phi / phi.sum()
+        rho = (1 + it) ** -0.51
+        lam = lam * (1 - rho) + rho * (stat + 0.5)
+        alpha = tp._next_alpha(alpha, np.mean(logp, 0), len(logp), rho)
+    got = {r.term: r.weight for r in model.terms().collect()}
+    assert np.array([got[w] for w in vocab]) == pytest.approx(lam, rel=1e-6)
+    assert model.alpha == pytest.approx(alpha, rel=1e-6)
+
+    dist = {r.doc_id: r.topicDistribution for r in model.transform(bag).collect()}
+    beta = np.exp(tp.digamma(lam) - tp.digamma(lam.sum(0)))
+    for i in words:
+        g = steps(i, beta, alpha, 3)[0] if words[i] else np.zeros(2)
+        assert dist[i] == pytest.approx(g / max(g.sum(), 1e-300), rel=1e-6)
+    assert tp.digamma(np.array([1.0, 0.1])) == pytest.approx([-0.5772156649, -10.4237549404])
+    assert tp.trigamma(np.array([1.0, 0.1])) == pytest.approx([1.6449340668, 101.4332991508])
+    other = ft.bag_of_words(spark.createDataFrame([(1, ["a", "new"]), (2, ["new"])], "doc_id long, tok array<string>"), ["doc_id"], "tok")
+    rest = {r.doc_id: r.topicDistribution for r in model.transform(other).collect()}
+    assert sum(rest[1]) == pytest.approx(1) and rest[2] == [0, 0]
