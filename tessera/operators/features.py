@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from tessera.functions.codes import arg_max
 from tessera.operators import topics
 
+TASK_ROWS = 1 << 19
+
 
 def string_index(train: DataFrame, cols: list[str], suffix: str = "_idx"):
     """M1: multi-column StringIndexer, frequency order, unseen and null -> extra index."""
@@ -64,8 +66,16 @@ def kmeans(k: int, seed: int = 1, features: str = "scaled", max_iter: int = 20)
                   maxIter=max_iter)
 
 
+def bounded_tasks(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` in partitions of about ``rows`` rows at most.  Adaptive execution joins partitions
+    by their compressed bytes in a shuffle; fits keep rows as objects, which are far larger."""
+    parts = -(-df.count() // (rows or TASK_ROWS))
+    return df.repartition(parts) if parts > 1 else df
+
+
 def fit_apply(stages, train: DataFrame, *others: DataFrame):
     """Fit every stage on ``train`` and apply the frozen model to each frame."""
+    train = bounded_tasks(train)
     model = Pipeline(stages=list(stages)).fit(train)
     return model, [model.transform(train)] + [model.transform(o) for o in others]
 

@@ -686,3 +686,16 @@ def test_online_topics_are_those_of_the_plain_steps(spark):
     other = ft.bag_of_words(spark.createDataFrame([(1, ["a", "new"]), (2, ["new"])], "doc_id long, tok array<string>"), ["doc_id"], "tok")
     rest = {r.doc_id: r.topicDistribution for r in model.transform(other).collect()}
     assert sum(rest[1]) == pytest.approx(1) and rest[2] == [0, 0]
+
+
+def test_fits_bound_the_rows_of_a_task(spark, monkeypatch):
+    """A shuffle of few bytes is few partitions, whatever the rows weigh as objects."""
+    monkeypatch.setattr(ft, "TASK_ROWS", 1000)
+    df = spark.range(20_000).select("id", F.sin("id").alias("a"), F.cos("id").alias("b")).repartition(1)
+    stages = [ft.assemble(["a", "b"]), ft.scaler(), ft.kmeans(2)]
+    _, (tr, te) = ft.fit_apply(stages, df, df.limit(10))
+    sizes = [r["count"] for r in tr.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 20 and max(sizes) <= 1500 and sum(sizes) == 20_000
+    assert te.count() == 10
+    few = df.limit(500)
+    assert ft.bounded_tasks(few) is few
