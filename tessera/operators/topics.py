@@ -8,9 +8,10 @@ which its hash gives anywhere, shrunk by a factor common to all, plus a common a
 what documents said about it: only the last is kept, for terms of drawn documents.
 
 Documents are packed into bags: blocks of up to ``BAG_TERMS`` terms with the list of their
-distinct ones.  An iteration joins the terms of the drawn documents with their weights, brings
-these together by block, runs the documents' variational steps there and adds what they say
-about a term by term.  Only k numbers reach the driver.
+distinct ones.  The documents of coming mini-batches are set apart in blocks of their own.  An
+iteration joins the terms of its blocks with what was said about them, brings that to the blocks,
+runs the documents' variational steps there and adds what they say about a term by term.  A task
+holds a block at a time.  Only k numbers reach the driver.
 
 A document is drawn, and starts, by a hash of its row, a term by a hash of itself, so the
 result does not depend on partitions (but for the order of sums); equal rows are drawn together.
@@ -21,31 +22,45 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.session import batches_by_bytes, ensure_checkpoint_dir
-from tessera.sources import io
 
-BAG_TERMS = 1 << 18
+BAG_TERMS = 1 << 19
 CELLS = 1 << 17  # (term of a document, topic) pairs that a task works on at once: they fit its cache
 SHAPE = 100  # of the gamma distribution of starting values, their mean is 1
 U = np.uint64
 
 
-def _staged(df: DataFrame, name: str) -> DataFrame:
+def _staged(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    io.write_parquet(df, path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """A query's shuffle files go when it ends, not when the driver's garbage is collected: the
+    steps of a fit are read from their tables, never from an earlier shuffle."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
@@ -76,10 +91,10 @@ def _gamma(h: np.ndarray, k: int, seed: int) -> np.ndarray:
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
-    y = x + 6
-    z = 1 / (y * y)
+    y, u = x + 6, x * (x + 5)
+    z = 1 / (y * y)  # the last term is the sum of 1 / (x + i) for i below 6
     return (np.log(y) - 0.5 / y - z * (1 / 12 - z * (1 / 120 - z * (1 / 252 - z / 240)))
-            - sum(1 / (x + i) for i in range(6)))
+            - (2 * x + 5) * (3 * u * u + 20 * u + 24) / (u * (u + 4) * (u + 6)))
 
 
 def trigamma(x: np.ndarray) -> np.ndarray:
@@ -91,28 +106,28 @@ def trigamma(x: np.ndarray) -> np.ndarray:
 
 def _expectation(x: np.ndarray) -> np.ndarray:
     """E[log p] of Dirichlet rows."""
-    return digamma(x) - digamma(x.sum(-1, keepdims=True))
-
-
-def infer(beta: np.ndarray, size: np.ndarray, at: np.ndarray, count: np.ndarray, start: np.ndarray,
-          alpha: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Variational steps of documents: ``size`` terms (one at least) each, given by their rows
-    in ``beta`` and counts.  Returns gamma and the counts over the terms' norms."""
-    gamma, first = start.T.copy(), np.cumsum(size) - size  # topics in rows: long inner loops
-    theta, alpha = np.exp(_expectation(start)).T.copy(), alpha[:, None]
-    of = np.repeat(np.arange(len(size)), size)
-    whole = b = beta[at].T.copy()
-    live, n, c, o, f = np.arange(len(size)), size, count, of, first
-    while len(live):
-        t = theta[:, live]
-        new = t * np.add.reduceat(b * (c / ((b * np.take(t, o, axis=1)).sum(0) + 1e-100)), f, axis=1) + alpha
-        go = np.abs(new - gamma[:, live]).mean(0) > 1e-3
-        gamma[:, live], theta[:, live] = new, np.exp(_expectation(new.T)).T
-        if not go.all():  # a document that has come to rest is left alone
-            keep = go[o]
-            live, n, b, c = live[go], n[go], b[:, keep], c[keep]
-            o, f = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
-    return gamma.T, count / ((whole * theta[:, of]).sum(0) + 1e-100)
+    d = digamma(np.concatenate([x, x.sum(-1, keepdims=True)], -1))
+    return d[..., :-1] - d[..., -1:]
+
+
+def infer(beta: np.ndarray, count: np.ndarray, start: np.ndarray, alpha: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Variational steps of documents: ``beta`` (documents, topics, terms) and ``count`` (documents,
+    terms), with zeros after a document's last term.  Returns gamma and the counts over the terms' norms."""
+    gamma, theta = start.copy(), np.exp(_expectation(start))
+    b, c, g, t = beta, count, gamma, theta.copy()
+    rows, live = np.arange(len(c)), np.ones(len(c), bool)
+    while len(rows):
+        p = np.matmul(t[:, None, :], b)[:, 0] + 1e-100
+        new = np.matmul(b, np.divide(c, p, out=p)[:, :, None])[:, :, 0] * t + alpha
+        go = np.abs(new - g).mean(1) > 1e-3
+        g, t = new, np.exp(_expectation(new))
+        stop = live & ~go
+        if stop.any():  # a document that has come to rest keeps its values
+            gamma[rows[stop]], theta[rows[stop]], live = g[stop], t[stop], live & go
+            if live.sum() < 0.75 * len(live):
+                rows, b, c, g, t = (x[live] for x in (rows, b, c, g, t))
+                live = np.ones(len(rows), bool)
+    return gamma, count / (np.matmul(theta[:, None, :], beta)[:, 0] + 1e-100)
 
 
 def _whole(a) -> pa.ListArray:
@@ -120,6 +135,20 @@ def _whole(a) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
 
 
+def _packed(*arrays: np.ndarray) -> list[pa.Array]:
+    """One row of each: whole numbers from 0 on, in the bytes that the largest needs, deflated."""
+    kinds = [np.min_scalar_type(a.max(initial=0)) for a in arrays]
+    return [pa.array([bytes([d.itemsize]) + zlib.compress(a.astype(d).tobytes(), 1)], pa.binary())
+            for a, d in zip(arrays, kinds, strict=True)]
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(x[1:]), f"u{x[0]}").astype(np.int64)
+
+
+DOCS = "hash array<long>, size array<int>, at binary, count binary"
+
+
 def bags(df: DataFrame, keys: list[str], tokens: str) -> DataFrame:
     """(block, keys, hash, size, at, count, terms): bags of words of the rows in blocks; every
     term, no vocabulary on the driver."""
@@ -130,83 +159,113 @@ def bags(df: DataFrame, keys: list[str], tokens: str) -> DataFrame:
         n, part = 0, TaskContext.get().partitionId()
         for batch in batches:
             toks = batch.column("tokens")
-            length = np.asarray(toks.value_lengths(), np.int64)
+            length = np.asarray(toks.value_lengths().fill_null(0), np.int64)
             end, i = np.cumsum(length), 0
             while i < len(length):
                 j = max(i + 1, int(np.searchsorted(end, (end[i - 1] if i else 0) + BAG_TERMS, "right")))
-                words = toks.slice(i, j - i).flatten().dictionary_encode()
+                words, of = toks.slice(i, j - i).flatten(), np.repeat(np.arange(j - i), length[i:j])
+                if words.null_count:
+                    words, of = words.drop_null(), of[np.asarray(words.is_valid())]
+                words = words.dictionary_encode()
                 v = max(len(words.dictionary), 1)
-                pair, count = np.unique(np.repeat(np.arange(j - i), length[i:j]) * v
-                                        + np.asarray(words.indices, np.int64), return_counts=True)
+                pair, count = np.unique(of * v + np.asarray(words.indices, np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([f"{part}-{n}"]), _whole(batch.column("keys").slice(i, j - i)),
+                    [pa.array([part << 32 | n]), _whole(batch.column("keys").slice(i, j - i)),
                      _whole(batch.column("hash").slice(i, j - i)),
                      _whole(pa.array(np.bincount(pair // v, minlength=j - i).astype(np.int32))),
-                     _whole(pa.array((pair % v).astype(np.int32))), _whole(pa.array(count.astype(np.int32))),
-                     _whole(words.dictionary.cast(pa.string()))],
+                     *_packed(pair % v, count), _whole(words.dictionary.cast(pa.string()))],
                     names=["block", "keys", "hash", "size", "at", "count", "terms"])
                 i, n = j, n + 1
 
-    rows = df.select(F.struct(*keys).alias("keys"), F.xxhash64(*keys, tokens).alias("hash"),
-                     F.coalesce(F.array_compact(tokens), F.array().cast("array<string>")).alias("tokens"))
-    return _staged(rows.mapInArrow(run, f"block string, keys array<{key}>, hash array<long>, size array<int>, "
-                                        "at array<int>, count array<int>, terms array<string>"), "bags")
+    rows = df.select(F.struct(*keys).alias("keys"), F.xxhash64(*keys, tokens).alias("hash"), F.col(tokens).alias("tokens"))
+    return _staged(rows.mapInArrow(run, f"block long, keys array<{key}>, {DOCS}, terms array<string>"), "bags")
 
 
-def _arrays(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
-    """Row by row: the batch of one row and its lists as arrays."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1)
-            yield row, *(np.asarray(row.column(c).flatten()) for c in names)
+def _docs(rows: pa.RecordBatch | pa.Table, i: int = 0) -> tuple[np.ndarray, ...]:
+    """``DOCS`` of a block as arrays."""
+    return (*(np.asarray(rows[c][i].values) for c in ("hash", "size")), *(_unpacked(rows[c][i].as_py()) for c in ("at", "count")))
 
 
-def _drawn(bag: DataFrame, iteration: int, share: float, seed: int) -> DataFrame:
-    """The bags of the mini-batch: documents drawn by their hash, and the terms they have."""
-    names = ["hash", "size", "at", "count"]
+def _drawn(bag: DataFrame, iterations: range, share: float, seed: int) -> DataFrame:
+    """(iteration, block, DOCS, terms): the mini-batches in blocks of their own, documents drawn by
+    their hash; staged by iteration."""
+    def block(kept: list, part: int, n: int, iteration: int) -> pa.RecordBatch:
+        words = pa.concat_arrays([x[4] for x in kept]).dictionary_encode()
+        shift = np.cumsum([0, *(len(x[4]) for x in kept)])
+        at = np.asarray(words.indices, np.int64)[np.concatenate([x[2] + s for x, s in zip(kept, shift, strict=False)])]
+        h, size, count = (np.concatenate([x[c] for x in kept]) for c in (0, 1, 3))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([iteration], pa.int32()), pa.array([part << 32 | n]), _whole(h), _whole(size),
+             *_packed(at, count), _whole(words.dictionary)],
+            names=["iteration", "block", "hash", "size", "at", "count", "terms"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, h, size, at, count in _arrays(batches, *names):
-            take = (_uniform(_mix(h.view(U) + U(seed % (1 << 64))), iteration) <= share) & (size > 0)
-            if take.any():
-                mine = np.repeat(take, size)
-                used, at = np.unique(at[mine], return_inverse=True)
-                terms = row.column("terms").flatten().take(pa.array(used))
-                yield pa.RecordBatch.from_arrays(
-                    [row.column("block"), *map(_whole, (h[take], size[take], at.astype(np.int32), count[mine], terms))],
-                    names=["block", *names, "terms"])
-
-    return bag.select("block", *names, "terms").mapInArrow(
-        run, "block string, hash array<long>, size array<int>, at array<int>, count array<int>, terms array<string>")
-
-
-def _weighted(bag: DataFrame, said: DataFrame | None, k: int, known: DataFrame | None = None) -> DataFrame:
-    """Bags with ``start`` (hashes of the terms), and ``place`` in the list of terms and ``said``
-    (flat) of those that documents said something about, or of all terms in ``known``."""
-    asked = bag.select("block", F.posexplode("terms").alias("place", "term"))
+        n, part, kept = 0, TaskContext.get().partitionId(), {i: [] for i in iterations}
+        for batch in batches:
+            for r in range(batch.num_rows):
+                h, size, at, count = _docs(batch, r)
+                chance = _mix(h.view(U) + U(seed % (1 << 64)))
+                for i, mine in kept.items():
+                    take = (_uniform(chance, i) <= share) & (size > 0)
+                    if take.any():
+                        pairs = np.repeat(take, size)
+                        used, place = np.unique(at[pairs], return_inverse=True)
+                        mine.append((h[take], size[take], place, count[pairs], batch["terms"][r].values.take(pa.array(used))))
+                        if sum(len(x[2]) for x in mine) >= BAG_TERMS:
+                            yield block(mine, part, n, i)
+                            n, kept[i] = n + 1, []
+        for i, mine in kept.items():
+            if mine:
+                yield block(mine, part, n, i)
+                n += 1
+
+    return _staged(bag.select("hash", "size", "at", "count", "terms").mapInArrow(
+        run, f"iteration int, block long, {DOCS}, terms array<string>"), "drawn", ("iteration",))
+
+
+def _with_said(bag: DataFrame, asked: DataFrame, said: DataFrame | None, k: int, run: Callable, schema: str,
+               known: DataFrame | None = None) -> DataFrame:
+    """``run`` over the blocks of ``bag``, each with a table (place, said) of the terms in ``asked``
+    that documents said something about, or of all that are ``known``."""
+    asked = asked.select("block", F.posexplode("terms").alias("place", "term"))
     if known is not None:
         asked = asked.join(known, "term", "left_semi")
+    zero = F.array_repeat(F.lit(0.0), k)
     if said is None:
-        asked = asked.withColumn("said", F.array_repeat(F.lit(0.0), k)).filter(F.lit(known is not None))
+        asked = asked.withColumn("said", zero).filter(F.lit(known is not None))
     else:
-        asked = asked.join(said, "term", "inner" if known is None else "left")
-    zero = F.when(F.col("said").isNull(), F.array_repeat(F.lit(0.0), k)).otherwise(F.col("said"))
-    found = asked.select("block", F.struct("place", zero.alias("said")).alias("f")).groupBy("block").agg(
-        F.collect_list("f").alias("found"))
-    return (bag.join(found, "block", "left").withColumn("start", F.transform("terms", lambda t: F.xxhash64(t)))
-            .withColumn("place", F.col("found.place")).withColumn("said", F.flatten("found.said")).drop("found"))
+        asked = asked.join(_summed(said, k), "term", "inner" if known is None else "left")
+    found = asked.select(F.col("block").alias("owner"), "place", F.when(F.col("said").isNull(), zero).otherwise(F.col("said")).alias("said"))
+    return bag.groupBy("block").cogroup(found.groupBy("owner")).applyInArrow(run, schema)
+
+
+def _summed(said: DataFrame, k: int) -> DataFrame:
+    # dealt first: a term comes once in each table, so that sums before the shuffle would be wasted
+    return said.repartition("term").groupBy("term").agg(F.array(*[F.sum(F.col("said")[i]) for i in range(k)]).alias("said"))
+
+
+def _found(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Places and what was said of them (flat)."""
+    if not found.num_rows:  # Spark's empty lists have no buffers
+        return np.zeros(0, np.int64), np.zeros(0)
+    return np.asarray(found["place"]), np.concatenate([np.asarray(c.flatten()) for c in found["said"].chunks])
 
 
 def _steps(hashes, size, at, count, beta, alpha, seed) -> Iterator[tuple]:
-    """``infer`` over a block, so many documents at once that their terms fit ``CELLS``."""
-    end, i, k = np.cumsum(size), 0, len(alpha)
-    while i < len(size):
-        a = end[i - 1] if i else 0
-        j = max(i + 1, int(np.searchsorted(end, a + CELLS // k, "right")))
-        gamma, ratio = infer(beta, size[i:j], at[a:end[j - 1]], count[a:end[j - 1]].astype(float),
-                             _gamma(hashes[i:j], k, seed), alpha)
-        yield i, j, a, end[j - 1], gamma, ratio
-        i = j
+    """``infer`` over a block, so many documents of like size at once that their terms fit ``CELLS``.
+    Gives documents, their gamma, the places of their terms in the block and the counts over norms."""
+    first, order, k, i = np.cumsum(size) - size, np.argsort(-size, kind="stable"), len(alpha), 0
+    while i < len(order):
+        docs = order[i:i + max(1, int(CELLS // (k * size[order[i]])))]
+        n = size[docs].astype(np.int64)
+        of = np.repeat(np.arange(len(docs)), n)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        pairs = first[docs][of] + nth
+        b, c = np.zeros((len(docs), k, n[0])), np.zeros((len(docs), n[0]))
+        b[of, :, nth], c[of, nth] = beta[at[pairs]], count[pairs]
+        gamma, ratio = infer(b, c, _gamma(hashes[docs], k, seed), alpha)
+        yield docs, gamma, pairs, ratio[of, nth]
+        i += len(docs)
 
 
 @dataclass(frozen=True)
@@ -219,7 +278,7 @@ class Weights:
 
     def of(self, start: np.ndarray, place: np.ndarray, said: np.ndarray) -> np.ndarray:
         w = self.shrunk * _gamma(start, len(self.totals), ~self.seed) + self.same
-        np.add.at(w, place, said.reshape(-1, len(self.totals)))
+        w[place] += said.reshape(-1, len(self.totals))
         return w
 
     def beta(self, start: np.ndarray, place: np.ndarray, said: np.ndarray) -> np.ndarray:
@@ -227,9 +286,6 @@ class Weights:
         return np.exp(digamma(self.of(start, place, said)) - digamma(self.totals))
 
 
-LISTS = ("hash", "size", "at", "count", "start", "place", "said")
-
-
 @dataclass(frozen=True)
 class TopicModel:
     """``bag`` it was fitted on; ``said`` (term, said array<double>), a row for each iteration
@@ -255,8 +311,7 @@ class TopicModel:
         if self.said is None:
             words = words.withColumn("said", none)
         else:
-            said = self.said.groupBy("term").agg(F.array(*[F.sum(F.col("said")[i]) for i in range(k)]).alias("said"))
-            words = words.join(said, "term", "left").withColumn(
+            words = words.join(_summed(self.said, k), "term", "left").withColumn(
                 "said", F.when(F.col("said").isNull(), none).otherwise(F.col("said")))
         return words.select("term", F.xxhash64("term").alias("start"), "said").mapInArrow(
             run, "term string, weight array<double>")
@@ -267,28 +322,30 @@ class TopicModel:
         weights, alpha, k = self.weights, self.alpha, len(self.alpha)
         key, same = bag.schema["keys"].dataType.elementType, bag is self.bag
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for row, h, size, at, count, start, place, said in _arrays(batches, *LISTS):
-                beta, known = weights.beta(start, place, said), np.full(len(start), same)
-                known[place] = True
-                mine = known[at]
-                of = np.repeat(np.arange(len(size)), size)[mine]
-                size, at, count = np.bincount(of, minlength=len(h)), at[mine], count[mine]
-                full, out = np.flatnonzero(size), np.zeros((len(h), k))
-                for i, j, _, _, gamma, _ in _steps(h[full], size[full], at, count, beta, alpha, weights.seed):
-                    out[full[i:j]] = gamma / gamma.sum(1, keepdims=True)
-                keys = row.column("keys").flatten()
-                yield pa.RecordBatch.from_arrays(
-                    [*keys.flatten(), pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1) * k, pa.int32()), out.ravel())],
-                    names=[*key.names, "topicDistribution"])
+        def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+            h, size, at, count = _docs(rows)
+            start, (place, said) = np.asarray(rows["start"][0].values), _found(found)
+            beta, known = weights.beta(start, place, said), np.full(len(start), same)
+            known[place] = True
+            mine = known[at]
+            of = np.repeat(np.arange(len(size)), size)[mine]
+            size, at, count = np.bincount(of, minlength=len(h)), at[mine], count[mine]
+            full, out = np.flatnonzero(size), np.zeros((len(h), k))
+            for docs, gamma, _, _ in _steps(h[full], size[full], at, count, beta, alpha, weights.seed):
+                out[full[docs]] = gamma / gamma.sum(1, keepdims=True)
+            return pa.Table.from_arrays(
+                [*rows["keys"][0].values.flatten(), pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1) * k, pa.int32()), out.ravel())],
+                names=[*key.names, "topicDistribution"])
 
         types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key.fields)
-        return _weighted(bag, self.said, k, None if same else _vocabulary(self.bag)).mapInArrow(
-            run, f"{types}, topicDistribution array<double>")
+        blocks = bag.select("block", "keys", "hash", "size", "at", "count",
+                            F.transform("terms", lambda t: F.xxhash64(t)).alias("start"))
+        return _with_said(blocks, bag, self.said, k, run, f"{types}, topicDistribution array<double>",
+                          None if same else _vocabulary(self.bag))
 
 
 def _vocabulary(bag: DataFrame) -> DataFrame:
-    return bag.select(F.explode("terms").alias("term")).distinct()
+    return bag.select(F.explode("terms").alias("term")).repartition("term").distinct()
 
 
 def _next_alpha(alpha: np.ndarray, logphat: np.ndarray, n: float, rho: float) -> np.ndarray:
@@ -302,6 +359,32 @@ def _next_alpha(alpha: np.ndarray, logphat: np.ndarray, n: float, rho: float) ->
 def fit(bag: DataFrame, k: int, max_iter: int, seed: int = 1, share: float = 0.05, tau0: float = 1024.0,
         kappa: float = 0.51) -> TopicModel:
     """Online LDA over bags (see ``bags``)."""
+    with _shuffles_dropped(bag.sparkSession):
+        return _fit(bag, k, max_iter, seed, share, tau0, kappa)
+
+
+def _learner(weights: Weights, alpha: np.ndarray, seed: int) -> Callable:
+    k = len(alpha)
+
+    def learn(rows: pa.Table, found: pa.Table) -> pa.Table:
+        h, size, at, count = _docs(rows)
+        start, (place, known) = np.asarray(rows["start"][0].values), _found(found)
+        beta, stat, logp = weights.beta(start, place, known), np.zeros((len(start), k)), np.zeros((len(h), k))
+        norms = np.zeros(len(at))
+        for own, gamma, pairs, ratio in _steps(h, size, at, count, beta, alpha, seed):
+            logp[own], norms[pairs] = _expectation(gamma), ratio
+        for t in range(k):
+            stat[:, t] = np.bincount(at, np.repeat(np.exp(logp[:, t]), size) * norms, len(start))
+        out = np.concatenate([(stat * beta).ravel(), logp.sum(0), [len(size)]])  # last a row of no term
+        edge = np.append(np.arange(len(start) + 1) * k, len(out))
+        return pa.Table.from_arrays(
+            [pa.concat_arrays([rows["terms"][0].values, pa.array([None], pa.string())]),
+             pa.ListArray.from_arrays(pa.array(edge, pa.int32()), out)], names=["term", "stat"])
+
+    return learn
+
+
+def _fit(bag: DataFrame, k: int, max_iter: int, seed: int, share: float, tau0: float, kappa: float) -> TopicModel:
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             w = _gamma(np.asarray(b.column("start")), k, ~seed).sum(0)
@@ -314,24 +397,14 @@ def fit(bag: DataFrame, k: int, max_iter: int, seed: int = 1, share: float = 0.0
     docs = bag.agg(F.sum(F.size("size"))).first()[0] or 0
     said, alpha, eta = None, np.full(k, 1.0 / k), 1.0 / k
     weights = Weights(np.array(first, float), 1.0, 0.0, seed)
+    ahead = max(1, int(1 / share))  # iterations whose documents are set apart at once: as many as there are, on the average
     for iteration in range(1, max_iter + 1):
-        def learn(batches: Iterator[pa.RecordBatch], weights=weights, alpha=alpha, iteration=iteration) -> Iterator[pa.RecordBatch]:
-            for row, h, size, at, count, start, place, known in _arrays(batches, *LISTS):
-                beta, stat, logp = weights.beta(start, place, known), np.zeros((len(start), k)), np.zeros(k)
-                for i, j, a, b, gamma, ratio in _steps(h, size, at, count, beta, alpha, seed + iteration):
-                    e = _expectation(gamma)
-                    logp += e.sum(0)
-                    theta = np.repeat(np.exp(e), size[i:j], axis=0)
-                    for t in range(k):
-                        stat[:, t] += np.bincount(at[a:b], theta[:, t] * ratio, len(start))
-                out = np.concatenate([(stat * beta).ravel(), logp, [len(size)]])  # last a row of no term
-                edge = np.append(np.arange(len(start) + 1) * k, len(out))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.concat_arrays([row.column("terms").flatten(), pa.array([None], pa.string())]),
-                     pa.ListArray.from_arrays(pa.array(edge, pa.int32()), out)], names=["term", "stat"])
+        if (iteration - 1) % ahead == 0:
+            drawn = _drawn(bag, range(iteration, min(iteration + ahead, max_iter + 1)), share, seed)
 
-        found = _weighted(_drawn(bag, iteration, share, seed), said, k).mapInArrow(
-            learn, "term string, stat array<double>")
+        batch = drawn.filter(F.col("iteration") == iteration).drop("iteration")
+        found = _with_said(batch.withColumn("start", F.transform("terms", lambda t: F.xxhash64(t))), batch, said, k,
+                           _learner(weights, alpha, seed + iteration), "term string, stat array<double>")
         found = _staged(found.groupBy("term").agg(F.array(*[F.sum(F.try_element_at("stat", F.lit(i + 1)))
                                                             for i in range(k + 1)]).alias("stat")), "stats")
         heard = found.filter(F.col("term").isNull()).select("stat").first()

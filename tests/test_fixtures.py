@@ -699,3 +699,18 @@ def test_fits_bound_the_rows_of_a_task(spark, monkeypatch):
     assert te.count() == 10
     few = df.limit(500)
     assert ft.bounded_tasks(few) is few
+
+
+def test_topics_gather_no_block_as_objects(spark):
+    """What was said of a block's terms comes sorted by block, not as lists of all blocks of a task."""
+    from tessera.operators import topics as tp
+    docs = spark.createDataFrame([(i, [f"w{j}" for j in range(i % 7)] + [None]) for i in range(40)], "doc_id long, tok array<string>")
+    bag = ft.bag_of_words(docs.repartition(4), ["doc_id"], "tok")
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    model = tp.fit(bag, 2, 2, share=0.5)
+    assert spark.conf.get(key, None) == before
+    out = model.transform(bag)
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
+    dist = {r.doc_id: sum(r.topicDistribution) for r in out.collect()}
+    assert dist == pytest.approx({i: min(i % 7, 1) for i in range(40)})
