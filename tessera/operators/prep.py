@@ -30,6 +30,18 @@ def split_by_cutoff(df: DataFrame, date_col: str, end: Column, test_days: int) -
     return df.withColumn("split", F.when(F.col(date_col) > cut, F.lit("test")).otherwise(F.lit("train")))
 
 
+def split_days_by_cutoff(df: DataFrame, dates_col: str, end: Column, test_days: int) -> DataFrame:
+    """P2 for rows with a list of dates: a row for each split that has any, with its dates."""
+    late = F.filter(dates_col, lambda d: d > F.col("_cut"))
+    rest = F.filter(dates_col, lambda d: ~F.coalesce(d > F.col("_cut"), F.lit(False)))
+    # the end may be a subquery, which cannot sit inside a lambda
+    parts = F.array(F.struct(F.lit("train").alias("split"), rest.alias("days")),
+                    F.struct(F.lit("test").alias("split"), late.alias("days")))
+    out = df.withColumn("_cut", F.date_sub(end, test_days)).withColumn("_part", F.explode(parts))
+    return (out.withColumn("split", F.col("_part.split")).withColumn(dates_col, F.col("_part.days"))
+            .drop("_cut", "_part").filter(F.size(dates_col) > 0))
+
+
 def days_of(log: DataFrame, date_col: str, days: DataFrame) -> DataFrame:
     """The rows of a log on the listed ``days``.  Where the log is partitioned by date,
     the list prunes the folders that are scanned (a calendar has one row a day, so it is

@@ -714,3 +714,43 @@ def test_topics_gather_no_block_as_objects(spark):
     assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
     dist = {r.doc_id: sum(r.topicDistribution) for r in out.collect()}
     assert dist == pytest.approx({i: min(i % 7, 1) for i in range(40)})
+
+
+def test_weighted_fits_are_those_of_repeated_rows(spark):
+    rows = [("b", 3, [0.0, 1.0]), ("a", 2, [0.5, 1.5]), ("a", 1, [9.0, 7.0]), (None, 9, [9.5, 8.0]), ("c", 1, [0.2, 1.0])]
+    df = spark.createDataFrame(rows, "x string, n int, v array<double>").withColumn("features", ft.as_vector("v", "features"))
+    each = df.withColumn("again", F.explode(F.array_repeat(F.lit(0), F.col("n")))).drop("again")
+    one, two = (m.labelsArray for m in (ft.string_index(df, ["x"], weight="n"), ft.string_index(each, ["x"])))
+    assert [*map(list, one)] == [*map(list, two)] == [["a", "b", "c"]]
+    (m1, (tr, te)), (m2, (tr2,)) = (ft.fit_apply([ft.scaler(), ft.kmeans(2)], x, *o, **k) for x, o, k in (
+        (df, [df.limit(2)], {"weight": "n"}), (each, [], {})))
+    assert te.count() == 2
+    assert list(m1.stages[0].std) == pytest.approx(list(m2.stages[0].std))
+    c1, c2 = (sorted(map(list, m.stages[1].clusterCenters())) for m in (m1, m2))
+    assert c1[0] == pytest.approx(c2[0]) and c1[1] == pytest.approx(c2[1])
+    assert ft.silhouette(tr, "scaled", "prediction", weight="n") == pytest.approx(ft.silhouette(tr2, "scaled", "prediction"))
+
+
+def test_job_profile_fits_on_jobs(spark, tmp_path, monkeypatch):
+    """Fits and predictions see a job once a split, however many days it has."""
+    import datetime
+    from tessera.plans import profiles
+    day = lambda i: None if i is None else datetime.datetime(2020, 1, 1) + datetime.timedelta(days=i)
+    days = {1: [*range(30), 0, 1, None], 2: [5, 5, 200, 201], 3: [None], 4: [7], None: [1], 8: [9]}
+    spark.createDataFrame([(j, day(i)) for j, x in days.items() for i in x], "l_partkey long, l_shipdate timestamp").write.parquet(
+        f"{tmp_path}/lineitem.parquet")
+    parts = [(j, f"t{j % 2}", f"Brand#{j}", j, 10.0 * j) for j in (1, 2, 3, 4, 4, 7)]
+    spark.createDataFrame(parts, "p_partkey long, p_type string, p_brand string, p_size int, p_retailprice double").write.parquet(
+        f"{tmp_path}/part.parquet")
+    seen, fit = [], ft.fit_apply
+
+    def watched(stages, train, *others, **kw):
+        seen.extend(x.count() for x in (train, *others))
+        return fit(stages, train, *others, **kw)
+
+    monkeypatch.setattr(ft, "fit_apply", watched)
+    out, sil, _ = profiles.job_profile(spark, str(tmp_path), k=2)
+    got = sorted((r.job_id, (r.date - datetime.date(2020, 1, 1)).days, r.split) for r in out.collect())
+    assert got == sorted([(1, i, "train") for i in range(30)] + [(2, 5, "train"), (2, 200, "test"), (2, 201, "test")]
+                         + [(4, 7, "train")] * 2)
+    assert seen == [4, 1] and -1 <= sil <= 1
