@@ -1,6 +1,7 @@
 """Small hand fixtures (FIXTURES.md §3) and identities of the operators."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -754,3 +755,23 @@ def test_job_profile_fits_on_jobs(spark, tmp_path, monkeypatch):
     assert got == sorted([(1, i, "train") for i in range(30)] + [(2, 5, "train"), (2, 200, "test"), (2, 201, "test")]
                          + [(4, 7, "train")] * 2)
     assert seen == [4, 1] and -1 <= sil <= 1
+
+
+def test_topic_words_travel_as_bytes(spark, monkeypatch):
+    from tessera.operators import topics as tp
+    words = ["", "a", "é", "abcd", "abcdefgh", "x" * 31, "x" * 32, "yz" * 50, "漢" * 40] + ["w" * (i % 70) + str(i) for i in range(300)]
+    array = pa.array(["before", *words]).slice(1)
+    want = [r.h for r in spark.createDataFrame([*enumerate(words)], "i int, w string").orderBy("i").select(F.xxhash64("w").alias("h")).collect()]
+    assert tp.hashes(array).tolist() == want
+    back, n = tp._unboxed([tp._boxed(*tp._parts(array), i, j) for i, j in ((0, 5), (5, 5), (5, len(words)))])
+    assert back.to_pylist() == words and n.tolist() == [5, 0, len(words) - 5]
+
+    docs = spark.createDataFrame([(i, words[i % 7:i * 3]) for i in range(60)], "doc_id long, tok array<string>")
+    bag = ft.bag_of_words(docs.repartition(5), ["doc_id"], "tok")
+    assert dict(bag.dtypes)["terms"] == "binary"
+    model = tp.fit(bag, 3, 3, share=0.4)
+    assert sorted(r.term for r in model.terms().collect()) == sorted({w for i in range(60) for w in words[i % 7:i * 3]})
+    whole = {r.doc_id: r.topicDistribution for r in model.transform(bag).collect()}
+    monkeypatch.setattr(tp, "SLICE_TERMS", 1)
+    parts = {r.doc_id: r.topicDistribution for r in model.transform(bag).collect()}
+    assert len(parts) == 60 and all(parts[i] == pytest.approx(whole[i]) for i in whole)
